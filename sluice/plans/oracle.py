@@ -136,7 +136,7 @@ HASH = _row_hash_sql(["c_custkey", "c_name", "c_nationkey", "c_mktsegment"])
 
 MASK = "regexp_replace(regexp_replace(regexp_replace({v}, '[A-Z]', 'X', 'g'), '[a-z]', 'x', 'g'), '[0-9]', 'n', 'g')"
 
-LUHN = """list_sum(list_transform(range(16), i -> CASE WHEN i % 2 = 1
+LUHN = """list_sum(list_transform(range(16), lambda i: CASE WHEN i % 2 = 1
     THEN (CASE WHEN CAST(substr(t, 16 - i, 1) AS INTEGER) * 2 > 9 THEN CAST(substr(t, 16 - i, 1) AS INTEGER) * 2 - 9
           ELSE CAST(substr(t, 16 - i, 1) AS INTEGER) * 2 END)
     ELSE CAST(substr(t, 16 - i, 1) AS INTEGER) END)) % 10 = 0"""
@@ -153,7 +153,7 @@ def _pii_scan_sql() -> str:
       CAST(count_if(regexp_matches({c}, '{email}')) AS BIGINT) AS m_email,
       CAST(count_if(regexp_matches({c}, '{phone}')) AS BIGINT) AS m_phone,
       CAST(count_if(regexp_matches({c}, '{nid}')) AS BIGINT) AS m_national_id,
-      CAST(count_if(coalesce(list_bool_or(list_transform(regexp_extract_all({c}, '{card}'), t -> {LUHN})), false)) AS BIGINT) AS m_financial
+      CAST(count_if(coalesce(list_bool_or(list_transform(regexp_extract_all({c}, '{card}'), lambda t: {LUHN})), false)) AS BIGINT) AS m_financial
     FROM documents""")
     unions = "\n  UNION ALL ".join(per_col)
     cats = [("email", "MASK", "PII"), ("phone", "MASK", "PII"), ("national_id", "ENCRYPT", "PII"), ("financial", "ENCRYPT", "PCI")]
@@ -234,7 +234,7 @@ FROM kv GROUP BY connection_id"""
     arg_max(coalesce(connection_property_value, ''), connection_property_id) AS v
   FROM details WHERE is_active AND connection_property IS NOT NULL GROUP BY 1, 2)""",
         """dm AS (SELECT connection_id, string_agg(k || '=' || v, ',' ORDER BY k || '=' || v) AS details_text FROM kv GROUP BY 1)""",
-        f"""am AS (SELECT connection_id, coalesce(list_aggregate(list_sort(list_transform(keys, x -> x || '=secret_' || CAST(connection_id AS VARCHAR))), 'string_agg', ','), '') AS auth_text,
+        f"""am AS (SELECT connection_id, coalesce(list_aggregate(list_sort(list_transform(keys, lambda x: x || '=secret_' || CAST(connection_id AS VARCHAR))), 'string_agg', ','), '') AS auth_text,
     {AUTH_TYPE_CASE} AS auth_type FROM auth_keys)""") + """
 SELECT c.connection_id, c.connection_name, c.connection_type, coalesce(dm.details_text, '') AS details_text,
   coalesce(am.auth_text, '') AS auth_text, coalesce(am.auth_type, 'none') AS auth_type
