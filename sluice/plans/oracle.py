@@ -312,13 +312,14 @@ FROM conns"""
 SELECT 'tbl_source_table' AS table_name, CAST(count(*) AS BIGINT) AS n_rows,
   CAST(count_if(is_active AND table_config_id IN (SELECT * FROM ids)) AS BIGINT) AS deactivated,
   CAST(count_if(is_active AND table_config_id NOT IN (SELECT * FROM ids)) AS BIGINT) AS still_active FROM configs
-UNION ALL SELECT 'tbl_watermark', count(*), count_if(table_config_id IN (SELECT * FROM ids)), count_if(table_config_id NOT IN (SELECT * FROM ids)) FROM wm
-UNION ALL SELECT 'tbl_schema_version', count(*), count_if(is_active AND table_config_id IN (SELECT * FROM ids)),
-  count_if(is_active AND table_config_id NOT IN (SELECT * FROM ids)) FROM versions
-UNION ALL SELECT 'aud_table_run', count(*), count_if(is_active AND table_config_id IN (SELECT * FROM ids)),
-  count_if(is_active AND table_config_id NOT IN (SELECT * FROM ids)) FROM runs
-UNION ALL SELECT 'bts_config', count(*), count_if(source_config_id IN (SELECT * FROM ids)),
-  count_if(source_config_id IS NULL OR source_config_id NOT IN (SELECT * FROM ids)) FROM bts"""
+UNION ALL SELECT 'tbl_watermark', count(*), CAST(count_if(table_config_id IN (SELECT * FROM ids)) AS BIGINT),
+  CAST(count_if(table_config_id NOT IN (SELECT * FROM ids)) AS BIGINT) FROM wm
+UNION ALL SELECT 'tbl_schema_version', count(*), CAST(count_if(is_active AND table_config_id IN (SELECT * FROM ids)) AS BIGINT),
+  CAST(count_if(is_active AND table_config_id NOT IN (SELECT * FROM ids)) AS BIGINT) FROM versions
+UNION ALL SELECT 'aud_table_run', count(*), CAST(count_if(is_active AND table_config_id IN (SELECT * FROM ids)) AS BIGINT),
+  CAST(count_if(is_active AND table_config_id NOT IN (SELECT * FROM ids)) AS BIGINT) FROM runs
+UNION ALL SELECT 'bts_config', count(*), CAST(count_if(source_config_id IN (SELECT * FROM ids)) AS BIGINT),
+  CAST(count_if(source_config_id IS NULL OR source_config_id NOT IN (SELECT * FROM ids)) AS BIGINT) FROM bts"""
 
     q["replace_children"] = _with(DETAILS, "par AS (SELECT s_suppkey, s_name FROM supplier WHERE s_acctbal > 5000)",
         "st AS (SELECT connection_id * 10 + connection_property_id AS connection_details_id, * FROM details)",
