@@ -64,6 +64,42 @@ def sequence_within(df: DataFrame, order: list, group: list[str] | None = None,
     return out.drop("_sq_mid", "_sq_pid", "_sq_pos", "_sq_pid_r", "_sq_first", "_sq_before", *[f"_sq_g_{i}" for i in range(len(group))])
 
 
+_RUNNING = {"sum": F.sum, "max": F.max, "min": F.min}
+
+
+def running_within(df: DataFrame, order: list, group: list[str], value, how: str = "sum", name: str = "running") -> DataFrame:
+    """Add ``name`` = running ``how`` (sum, max, min) of ``value`` over the rows of each
+    group up to and including the current one, in ``order`` (which must be total).
+
+    Same layout as ``sequence_within``: range-partitioned sort, a running aggregate inside
+    each (task, group) slice (hash-partitioned on task id and group, so a hot group is
+    still spread), and a carry-in from the group's slices in earlier tasks taken from the
+    small per-(task, group) summary.
+    """
+    agg = _RUNNING[how]
+    group = list(group)
+    val = value if isinstance(value, Column) else F.col(value)
+    sort_keys = [F.col(g) for g in group] + [_as_col(o) for o in order]
+    ranked = df.withColumn("_rw_v", val).orderBy(*sort_keys).withColumn("_rw_mid", F.monotonically_increasing_id())
+    ranked = cut_lineage(ranked)
+    ranked = ranked.withColumn("_rw_pid", F.shiftright("_rw_mid", _LOCAL_BITS))
+    local = Window.partitionBy("_rw_pid", *group).orderBy("_rw_mid").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = ranked.withColumn("_rw_local", agg("_rw_v").over(local))
+    stats = ranked.groupBy("_rw_pid", *group).agg(agg("_rw_v").alias("_rw_part"))
+    earlier = Window.partitionBy(*group).orderBy("_rw_pid").rowsBetween(Window.unboundedPreceding, -1)
+    stats = stats.withColumn("_rw_carry", agg("_rw_part").over(earlier))
+    s = stats.select(F.col("_rw_pid").alias("_rw_pid_r"), *[F.col(g).alias(f"_rw_g_{i}") for i, g in enumerate(group)], "_rw_carry")
+    cond = ranked["_rw_pid"] == s["_rw_pid_r"]
+    for i, g in enumerate(group):
+        cond = cond & ranked[g].eqNullSafe(s[f"_rw_g_{i}"])
+    out = ranked.join(s, cond, "inner")
+    combined = (F.coalesce(F.col("_rw_local"), F.lit(0)) + F.coalesce(F.col("_rw_carry"), F.lit(0))
+                if how == "sum" else (F.greatest if how == "max" else F.least)(F.col("_rw_local"), F.col("_rw_carry")))
+    out = out.withColumn(name, combined)
+    return out.drop("_rw_v", "_rw_mid", "_rw_pid", "_rw_local", "_rw_pid_r", "_rw_carry",
+                    *[f"_rw_g_{i}" for i in range(len(group))])
+
+
 def lag_within(df: DataFrame, order: list, group: list[str], cols: list[str], prefix: str = "prev_") -> DataFrame:
     """Add ``prefix+col`` = value of ``col`` on the previous row of the same group.
 

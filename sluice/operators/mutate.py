@@ -18,7 +18,7 @@ from sluice import schemas as S
 from sluice.functions.exprs import as_flag
 from sluice.operators.conform import conform
 from sluice.operators.eav import map_to_eav
-from sluice.operators.keys import assign_sequential_ids, next_id_base, sequence_within
+from sluice.operators.keys import assign_sequential_ids, next_id_base, running_within, sequence_within
 from sluice.operators.reads import latest_per_key
 from sluice.operators.validate import ERROR, unique_names
 
@@ -164,21 +164,33 @@ def upsert_watermark(state: DataFrame, upserts: DataFrame, now, fields: list[str
 
 def add_schema_versions(state: DataFrame, requests: DataFrame, now) -> DataFrame:
     """Append one version row per request. An explicit ``version_number`` is kept;
-    otherwise the number is max over *all* the config's versions (inactive too) plus the
-    request's position among that config's numberless requests (request order). Ids are
-    D12. Returns only the new rows.
-
-    Positions come from the skew-safe ``sequence_within``; the per-config maximum is an
-    aggregation combined map-side.
+    otherwise the number continues the config's running maximum, as sequential calls
+    would: the maximum over *all* existing versions (inactive too), raised by explicit
+    numbers and by the automatic numbers of earlier requests in the batch (request order).
+    Ids are D12. Returns only the new rows.
+
+    Without explicit numbers an automatic number is base + its position among the
+    config's requests (skew-safe ``sequence_within``). With explicit numbers it is
+    A + max(base, max over earlier explicit k of (e_k - A_k)), where A counts the automatic
+    requests so far: two skew-safe running aggregates (``running_within``).
     """
     base = state.groupBy(F.col("table_config_id").alias("_cfg")).agg(F.max("version_number").alias("_max"))
-    explicit = "version_number" in requests.columns
-    autos = requests.filter(F.col("version_number").isNull()) if explicit else requests
-    autos = sequence_within(autos, [F.col(SEQ)], ["table_config_id"], name="_vpos")
-    autos = autos.join(base, autos["table_config_id"] == base["_cfg"], "left").withColumn(
-        "version_number", (F.coalesce(F.col("_max"), F.lit(0)) + F.col("_vpos")).cast("long")
-    ).drop("_cfg", "_max", "_vpos")
-    rows = autos.unionByName(requests.filter(F.col("version_number").isNotNull()), allowMissingColumns=True) if explicit else autos
+    has_explicit = "version_number" in requests.columns and not requests.filter(F.col("version_number").isNotNull()).isEmpty()
+    if not has_explicit:
+        reqs = requests.drop("version_number") if "version_number" in requests.columns else requests
+        rows = sequence_within(reqs, [F.col(SEQ)], ["table_config_id"], name="_vpos")
+        rows = rows.join(base, rows["table_config_id"] == base["_cfg"], "left").withColumn(
+            "version_number", (F.coalesce(F.col("_max"), F.lit(0)) + F.col("_vpos")).cast("long")
+        ).drop("_cfg", "_max", "_vpos")
+    else:
+        auto = F.col("version_number").isNull()
+        rows = running_within(requests, [F.col(SEQ)], ["table_config_id"], auto.cast("long"), "sum", name="_autos")
+        rows = running_within(rows, [F.col(SEQ)], ["table_config_id"],
+                              F.when(~auto, F.col("version_number") - F.col("_autos")), "max", name="_lift")
+        rows = rows.join(base, rows["table_config_id"] == base["_cfg"], "left")
+        numbered = F.col("_autos") + F.greatest(F.coalesce(F.col("_max"), F.lit(0)), F.col("_lift"))
+        rows = rows.withColumn("version_number", F.when(auto, numbered).otherwise(F.col("version_number")).cast("long")).drop(
+            "_cfg", "_max", "_autos", "_lift")
     rows = assign_sequential_ids(rows, state, "version_id", [F.col(SEQ)])
     actor = F.coalesce(F.col("created_by"), F.lit(S.DEFAULT_ACTOR)) if "created_by" in rows.columns else F.lit(S.DEFAULT_ACTOR)
     t = ts_literal(now)

@@ -380,8 +380,11 @@ def add_versions(spark, sf):
     old = v.filter(F.col("created_at") < cut)
     old = K.sequence_within(old, ["request_seq"], ["table_config_id"], name="version_number")
     state = C.conform(_seeded(old.withColumn("version_id", F.col("request_seq")).drop("created_at")), TABLES["tbl_schema_version"])
-    reqs = v.filter(F.col("created_at") >= cut).select("table_config_id", "request_seq", "change_type",
-                                                       F.lit(None).cast("long").alias("version_number"))
+    # urgent orders carry an explicit version number; the rest are numbered automatically
+    o = read_table(spark, sf, "orders").select(F.col("o_orderkey").alias("_k"), "o_orderpriority")
+    reqs = v.filter(F.col("created_at") >= cut).join(o, F.col("request_seq") == F.col("_k")).select(
+        "table_config_id", "request_seq", "change_type",
+        E("CASE WHEN o_orderpriority = '1-URGENT' THEN 100 + request_seq % 7 END").cast("long").alias("version_number"))
     out = M.add_schema_versions(state, reqs.withColumn("column_count", F.lit(5).cast("long")), NOW)
     return out.select("version_id", "table_config_id", "version_number", "change_type")
 

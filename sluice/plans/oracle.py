@@ -350,10 +350,15 @@ FROM up WHERE table_config_id NOT IN (SELECT table_config_id FROM wm)"""
     row_number() OVER (PARTITION BY table_config_id ORDER BY request_seq) AS version_number FROM versions
   WHERE created_at < TIMESTAMP '1998-01-01 00:00:00')""",
         "base AS (SELECT table_config_id, max(version_number) AS mx FROM old GROUP BY 1)",
-        "req AS (SELECT * FROM versions WHERE created_at >= TIMESTAMP '1998-01-01 00:00:00')") + """
-SELECT (SELECT coalesce(max(request_seq), 0) FROM old) + row_number() OVER (ORDER BY r.request_seq) AS version_id, r.table_config_id,
-  CAST(coalesce(b.mx, 0) + row_number() OVER (PARTITION BY r.table_config_id ORDER BY r.request_seq) AS BIGINT) AS version_number, r.change_type
-FROM req r LEFT JOIN base b USING (table_config_id)"""
+        """req AS (SELECT v.*, CASE WHEN o.o_orderpriority = '1-URGENT' THEN 100 + v.request_seq % 7 END AS given
+    FROM versions v JOIN orders o ON o.o_orderkey = v.request_seq WHERE v.created_at >= TIMESTAMP '1998-01-01 00:00:00')""",
+        """a AS (SELECT *, sum(CASE WHEN given IS NULL THEN 1 ELSE 0 END) OVER w AS autos FROM req
+    WINDOW w AS (PARTITION BY table_config_id ORDER BY request_seq ROWS UNBOUNDED PRECEDING))""",
+        """p AS (SELECT *, max(CASE WHEN given IS NOT NULL THEN given - autos END) OVER w AS lift FROM a
+    WINDOW w AS (PARTITION BY table_config_id ORDER BY request_seq ROWS UNBOUNDED PRECEDING))""") + """
+SELECT (SELECT coalesce(max(request_seq), 0) FROM old) + row_number() OVER (ORDER BY p.request_seq) AS version_id, p.table_config_id,
+  CAST(CASE WHEN given IS NULL THEN autos + greatest(coalesce(b.mx, 0), lift) ELSE given END AS BIGINT) AS version_number, p.change_type
+FROM p LEFT JOIN base b USING (table_config_id)"""
 
     q["open_runs"] = _with(RUNS) + f"""SELECT (SELECT coalesce(max(table_run_id), 0) FROM runs WHERE status <> 'running')
     + row_number() OVER (ORDER BY event_id) AS table_run_id,

@@ -49,6 +49,14 @@ def test_time_ids_repeatable(spark):
     assert v == (millis << 22) | 5
 
 
+def test_running_within(spark):
+    df = spark.createDataFrame([("a", i, v) for i, v in enumerate([3, 1, 4, 1, 5])] + [("b", 0, 2)], "g string, t int, v int").repartition(3)
+    s = {(r["g"], r["t"]): r["running"] for r in rows(K.running_within(df, ["t"], ["g"], "v", "sum"))}
+    assert [s[("a", i)] for i in range(5)] == [3, 4, 8, 9, 14] and s[("b", 0)] == 2
+    m = {(r["g"], r["t"]): r["running"] for r in rows(K.running_within(df, ["t"], ["g"], "v", "max"))}
+    assert [m[("a", i)] for i in range(5)] == [3, 3, 4, 4, 5]
+
+
 def test_lag_within(spark):
     df = spark.createDataFrame([("a", 1, 10), ("a", 2, 20), ("b", 1, 30), ("a", 3, 40)], "g string, t int, v int")
     out = rows(K.lag_within(df, ["t"], ["g"], ["v"]), ["g", "t"])

@@ -112,6 +112,15 @@ def test_add_schema_versions(spark):
     assert got == [(7, 4, 2), (7, 5, 3), (8, 1, 4), (8, 10, 5)]
 
 
+def test_add_schema_versions_sequential_meaning(spark):
+    # base 3; auto, explicit 10, auto, explicit 2, auto -> 4, 10, 11, 2, 12 (as one-by-one calls)
+    st = spark.createDataFrame([(1, 7, 3, 5, "{}", "additive", None, "dev", True, "s", SEED, "s", SEED)], S.TABLES["tbl_schema_version"])
+    req = spark.createDataFrame([(7, 1, None), (7, 2, 10), (7, 3, None), (7, 4, 2), (7, 5, None), (9, 6, None)],
+                                "table_config_id long, request_seq long, version_number long")
+    out = rows(M.add_schema_versions(st, req, NOW), ["version_id"])
+    assert [(r["table_config_id"], r["version_number"]) for r in out] == [(7, 4), (7, 10), (7, 11), (7, 2), (7, 12), (9, 1)]
+
+
 def test_open_and_close_runs(spark):
     st = C.empty_table(spark, "aud_table_run")
     req = spark.createDataFrame([("r1", 1, dt.datetime(2024, 1, 1), 1), ("r2", 2, None, 2)],
