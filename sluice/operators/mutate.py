@@ -20,7 +20,7 @@ from sluice.operators.conform import conform
 from sluice.operators.eav import map_to_eav
 from sluice.operators.keys import assign_sequential_ids, next_id_base, running_within, sequence_within
 from sluice.operators.reads import latest_per_key
-from sluice.operators.validate import ERROR, unique_names
+from sluice.operators.validate import ERROR, bulk_validate, connector_code, missing_parent, unique_names
 
 SEQ = "request_seq"
 
@@ -91,20 +91,34 @@ def overwrite_update(state: DataFrame, changes: DataFrame, key: str, fields: lis
 
 
 def soft_delete(state: DataFrame, ids: DataFrame, key: str, now, actor: str = S.DEFAULT_ACTOR,
-                id_col: str | None = None) -> DataFrame:
+                id_col: str | None = None, actor_col: str | None = None) -> DataFrame:
     """Active rows whose ``key`` is in ``ids`` get is_active=false and new stamps;
-    no row is removed. ``ids`` is reduced to distinct keys before the join."""
+    no row is removed. ``ids`` is reduced to one row per key before the join; with
+    ``actor_col`` each id carries its own actor (the largest if an id repeats)."""
     id_col = id_col or key
-    hits = ids.select(F.col(id_col).alias("_d")).filter(F.col("_d").isNotNull()).distinct()
+    who = F.max(actor_col) if actor_col else F.lit(actor)
+    hits = ids.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_d")).agg(who.alias("_who"))
     j = state.join(hits, state[key] == hits["_d"], "left")
     hit = F.col("_d").isNotNull() & _active(state)
     return j.withColumns({
         "is_active": F.when(hit, F.lit(False)).otherwise(_active(state)),
-        "updated_by": F.when(hit, F.lit(actor)).otherwise(F.col("updated_by")),
+        "updated_by": F.when(hit, F.col("_who")).otherwise(F.col("updated_by")),
         "updated_at": F.when(hit, ts_literal(now)).otherwise(F.col("updated_at")),
     }).select(*state.columns)
 
 
+def soft_delete_connections(master: DataFrame, details: DataFrame, auth: DataFrame, ids: DataFrame, now,
+                            actor: str = S.DEFAULT_ACTOR) -> dict[str, DataFrame]:
+    """D30 for connections: the master row and its details and auth rows, by connection_id.
+    Only connections that are active are deleted (the reference's not-found guard)."""
+    alive = master.filter(_active(master)).select("connection_id").join(ids.select("connection_id").distinct(), "connection_id", "left_semi")
+    return {
+        "conn_master": soft_delete(master, alive, "connection_id", now, actor),
+        "connection_details": soft_delete(details, alive, "connection_id", now, actor),
+        "connection_auth": soft_delete(auth, alive, "connection_id", now, actor),
+    }
+
+
 def cascade_soft_delete(configs: DataFrame, children: dict[str, tuple[DataFrame, str]], ids: DataFrame, now,
                         actor: str = S.DEFAULT_ACTOR, key: str = "table_config_id") -> dict[str, DataFrame]:
     """Soft-delete active configs in ``ids``, then, for the configs that were active,
@@ -118,16 +132,17 @@ def cascade_soft_delete(configs: DataFrame, children: dict[str, tuple[DataFrame,
 
 
 def replace_children(state: DataFrame, parents: DataFrame, new_children: DataFrame, parent_col: str, id_col: str,
-                     order: list, now, actor: str = S.DEFAULT_ACTOR) -> DataFrame:
+                     order: list, now, actor: str = S.DEFAULT_ACTOR, actor_col: str | None = None) -> DataFrame:
     """Soft-delete every active child of the ``parents``, then append
     ``new_children`` with fresh ids (max+1.. in ``order``). A parent with no new children
-    is just cleared. Children are stamped with ``actor`` and ``now``."""
-    cleared = soft_delete(state, parents, parent_col, now, actor)
+    is just cleared. Children are stamped with ``actor`` (or the per-parent ``actor_col``
+    carried by ``parents`` and ``new_children``) and ``now``."""
+    cleared = soft_delete(state, parents, parent_col, now, actor, actor_col=actor_col)
     fresh = assign_sequential_ids(new_children, state, id_col, order)
     t = ts_literal(now)
+    who = F.col(actor_col) if actor_col else F.lit(actor)
     fresh = fresh.withColumns({
-        "is_active": F.lit(True), "created_by": F.lit(actor), "updated_by": F.lit(actor),
-        "created_at": t, "updated_at": t,
+        "is_active": F.lit(True), "created_by": who, "updated_by": who, "created_at": t, "updated_at": t,
     })
     return cleared.unionByName(conform(fresh, state.schema))
 
@@ -251,5 +266,100 @@ def composite_create(master: DataFrame, details: DataFrame, auth: DataFrame, req
     }
 
 
+CONNECTION_PATCH_FIELDS = ["connection_domain_name", "is_target"]
+_CHILD_SETS = [
+    ("connection_details", "details", "connection_details_id", "connection_property_id", "connection_property", "connection_property_value"),
+    ("connection_auth", "auth", "connection_auth_id", "auth_property_id", "auth_property", "auth_property_value"),
+]
+
+
+def validate_connection_updates(master: DataFrame, requests: DataFrame) -> DataFrame:
+    """D25 then D21 for connection updates: CONNECTION_NOT_FOUND without an active master
+    row; when an ``auth`` map is supplied its ``auth_type`` (default 'basic') must be
+    offered by the stored connection type."""
+    checked = missing_parent(requests, master, "connection_id", code=S.CONNECTION_NOT_FOUND)
+    if "auth" not in checked.columns:
+        return checked
+    types = master.select(F.col("connection_id").alias("_cid"), F.col("connection_type").alias("_ctype"))
+    j = checked.join(types, checked["connection_id"] == types["_cid"], "left")
+    auth_type = F.coalesce(F.col("auth_type"), F.lit("basic")) if "auth_type" in j.columns else F.lit("basic")
+    j = connector_code(j.withColumn("_atype", auth_type), "_ctype", "_atype")
+    code = F.when(F.col("auth").isNotNull(), F.col("_connector_code"))
+    return j.withColumn(ERROR, F.coalesce(F.col(ERROR), code)).drop("_cid", "_ctype", "_atype", "_connector_code")
+
+
+def update_connections(master: DataFrame, details: DataFrame, auth: DataFrame, requests: DataFrame, now,
+                       only: set[str] | None = None) -> dict[str, DataFrame]:
+    """D27 + D32 for connections. Requests: connection_id, request_seq, optional
+    connection_domain_name / is_target (patched, NULL keeps), optional details / auth maps
+    (when supplied, the active children are replaced; property ids restart at 1; the last
+    supplying request per connection wins), auth_type, updated_by. Returns the new master,
+    details and auth states plus the rejects (D25, D21); ``only`` limits the child tables
+    built (id assignment pins its rows with a checkpoint, so unused outputs cost a job)."""
+    checked = validate_connection_updates(master, requests)
+    ok = checked.filter(F.col(ERROR).isNull()).drop(ERROR)
+    actor = F.coalesce(F.col("updated_by"), F.lit(S.DEFAULT_ACTOR)) if "updated_by" in ok.columns else F.lit(S.DEFAULT_ACTOR)
+    ok = ok.withColumn("updated_by", actor)
+    fields = [f for f in CONNECTION_PATCH_FIELDS if f in ok.columns]
+    if "is_target" in fields:
+        ok = ok.withColumn("is_target", as_flag("is_target", ok.schema["is_target"].dataType))
+    out = {"conn_master": patch_update(master, ok, "connection_id", fields, now),
+           "rejects": checked.filter(F.col(ERROR).isNotNull())}
+    env = master.select(F.col("connection_id").alias("_eid"), F.col("env_type").alias("_env"))
+    states = {"connection_details": details, "connection_auth": auth}
+    for name, map_col, id_col, pid, kcol, vcol in _CHILD_SETS:
+        if map_col not in ok.columns or (only is not None and name not in only):
+            out[name] = states[name]
+            continue
+        last = ok.filter(F.col(map_col).isNotNull()).groupBy("connection_id").agg(
+            F.max_by(map_col, SEQ).alias(map_col), F.max_by("updated_by", SEQ).alias("updated_by"))
+        new = map_to_eav(last, "connection_id", map_col, pid, kcol, vcol, ["updated_by"])
+        new = new.join(env, new["connection_id"] == env["_eid"], "left").withColumn("env_type", F.col("_env")).drop("_eid", "_env")
+        out[name] = replace_children(states[name], last.select("connection_id", "updated_by"), new, "connection_id", id_col,
+                                     ["connection_id", pid], now, actor_col="updated_by")
+    return out
+
+
+WATERMARK_REQUEST_FIELDS = ["watermark_column", "watermark_type", "last_value", "last_run_id"]
+
+# ---- fixed values: defaults of a pipeline-config create request ----
+CONFIG_DEFAULTS = {
+    "watermark_enabled": False, "pii_scan_enabled": False, "fail_mode": "halt", "retry_count": 0,
+    "ingestion_frequency": "adhoc", "tags": "[]", "env_type": "dev",
+}
+
+
+def with_config_defaults(df: DataFrame) -> DataFrame:
+    """Missing or NULL create-request fields take the request model's defaults."""
+    out = {}
+    for name, value in CONFIG_DEFAULTS.items():
+        lit = F.lit(value)
+        out[name] = F.coalesce(F.col(name), lit) if name in df.columns else lit
+    return df.withColumns(out)
+
+
+def create_configs(configs: DataFrame, watermarks: DataFrame, requests: DataFrame, now,
+                   only: set[str] | None = None) -> dict[str, DataFrame]:
+    """D37 for pipeline configs: validate (D22, D23), assign ids (D12, request order),
+    stamp (D29, actor = created_by, default 'system'), conform to tbl_source_table; a
+    request with ``watermark_column`` also gets its initial watermark through D33 with the
+    same actor. Returns the new config rows, the new watermark state and the rejects."""
+    checked = bulk_validate(requests)
+    ok = checked.filter(F.col(ERROR).isNull()).drop(ERROR)
+    ok = assign_sequential_ids(ok, configs, "table_config_id", [F.col(SEQ)])
+    ok = with_config_defaults(stamp(ok, now).withColumn("is_active", F.lit(True)))
+    new_configs = conform(ok, configs.schema)
+    out = {"tbl_source_table": new_configs, "rejects": checked.filter(F.col(ERROR).isNotNull())}
+    if "watermark_column" in ok.columns and (only is None or "tbl_watermark" in only):
+        wm = ok.filter(F.col("watermark_column").isNotNull()).select(
+            "table_config_id", SEQ, *[F.col(f) if f in ok.columns else F.lit(None).cast("string").alias(f) for f in WATERMARK_REQUEST_FIELDS],
+            (F.col("wm_env_type") if "wm_env_type" in ok.columns else F.lit("dev")).alias("env_type"),
+            F.col("created_by").alias("updated_by"))
+        out["tbl_watermark"] = upsert_watermark(watermarks, wm, now, [*WATERMARK_REQUEST_FIELDS, "env_type"])
+    else:
+        out["tbl_watermark"] = watermarks
+    return out
+
+
 def next_ids(existing: DataFrame, id_col: str) -> Column:
     return next_id_base(existing, id_col)

@@ -59,16 +59,23 @@ def missing_fields(connections: DataFrame, present: DataFrame, spark: SparkSessi
     return required.join(present.select("connection_id", "field_name").distinct(), ["connection_id", "field_name"], "left_anti")
 
 
-def connector_check(df: DataFrame, type_col: str = "connection_type", auth_col: str = "auth_type") -> DataFrame:
-    """Unknown connector -> INVALID_CONNECTOR_TYPE, else an auth method the connector
-    does not offer -> INVALID_AUTH_TYPE. Fills ``error_code`` only where still NULL."""
+def connector_code(df: DataFrame, type_col: str = "connection_type", auth_col: str = "auth_type",
+                   name: str = "_connector_code") -> DataFrame:
+    """D21 as a column ``name``: unknown connector -> INVALID_CONNECTOR_TYPE, else an auth
+    method the connector does not offer -> INVALID_AUTH_TYPE, else NULL. The registry is a
+    fixed table of twelve rows, so it is broadcast."""
     reg = F.broadcast(registry_frame(df.sparkSession).select(F.col("connector").alias("_rc"), F.col("auth_methods").alias("_rm")))
     j = df.join(reg, df[type_col] == reg["_rc"], "left")
     code = (
         F.when(F.col("_rc").isNull(), F.lit(S.INVALID_CONNECTOR_TYPE))
         .when(~F.coalesce(F.array_contains(F.col("_rm"), F.col(auth_col)), F.lit(False)), F.lit(S.INVALID_AUTH_TYPE))
     )
-    return _fill(j, code).drop("_rc", "_rm")
+    return j.withColumn(name, code).drop("_rc", "_rm")
+
+
+def connector_check(df: DataFrame, type_col: str = "connection_type", auth_col: str = "auth_type") -> DataFrame:
+    """Fills ``error_code`` (only where still NULL) with the connector/auth code."""
+    return _fill(connector_code(df, type_col, auth_col), F.col("_connector_code")).drop("_connector_code")
 
 
 def _fill(df: DataFrame, code: Column) -> DataFrame:
@@ -108,18 +115,26 @@ def source_attributes_check(df: DataFrame, col: str = "source_attributes") -> Da
 
 def unique_names(requests: DataFrame, existing: DataFrame, seq_col: str = "request_seq",
                  name_col: str = "connection_name", env_col: str = "env_type",
-                 check_connector: bool = True) -> DataFrame:
+                 check_connector: bool = True, exclude_col: str | None = None) -> DataFrame:
     """D24 (batch form): D21 first; then a (name, env) already in ``existing`` (inactive
     rows included) -> DUPLICATE_CONNECTION_NAME; then every surviving copy after the first
     (by ``seq_col``) inside the batch is a duplicate too, as sequential calls would find.
 
+    ``exclude_col`` (e.g. connection_id on a rename) is the self-exclusion: an existing row
+    with the request's own id does not count as a clash.
+
     Both lookups are aggregations keyed by (name, env), combined map-side, then joined
-    back; no group is collected.
+    back; no group is collected and no pairs are formed.
     """
     checked = connector_check(requests) if check_connector else _fill(requests, F.lit(None).cast("string"))
-    taken = existing.select(F.col(name_col).alias("_tn"), F.col(env_col).alias("_te")).distinct().withColumn("_taken", F.lit(True))
+    ids = [F.min(exclude_col).alias("_tmin"), F.max(exclude_col).alias("_tmax")] if exclude_col else [F.count(F.lit(1)).alias("_tmin")]
+    taken = existing.groupBy(F.col(name_col).alias("_tn"), F.col(env_col).alias("_te")).agg(*ids)
     j = checked.join(taken, (checked[name_col] == taken["_tn"]) & (checked[env_col] == taken["_te"]), "left")
-    j = _fill(j, F.when(F.col("_taken"), F.lit(S.DUPLICATE_CONNECTION_NAME))).drop("_tn", "_te", "_taken")
+    clash = F.col("_tn").isNotNull()
+    if exclude_col:
+        only_self = (F.col("_tmin") == F.col(exclude_col)) & (F.col("_tmax") == F.col(exclude_col))
+        clash = clash & ~F.coalesce(only_self, F.lit(False))
+    j = _fill(j, F.when(clash, F.lit(S.DUPLICATE_CONNECTION_NAME))).drop("_tn", "_te", "_tmin", "_tmax")
     firsts = j.filter(F.col(ERROR).isNull()).groupBy(
         F.col(name_col).alias("_fn"), F.col(env_col).alias("_fe")
     ).agg(F.min(seq_col).alias("_first"))

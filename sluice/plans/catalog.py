@@ -421,6 +421,78 @@ def composite_create(spark, sf):
                                             "connection_property", "connection_property_value")
 
 
+def _auth_state(spark, sf):
+    a = _auth_rows(spark, sf).withColumn("connection_auth_id", E("connection_id * 10 + auth_property_id"))
+    env = read_table(spark, sf, "supplier").select(F.col("s_suppkey").alias("_s"), E("CASE s_suppkey % 2 WHEN 0 THEN 'dev' ELSE 'prod' END").alias("env_type"))
+    return _seeded(a.join(env, F.col("connection_id") == F.col("_s")).drop("_s"))
+
+
+def _connection_updates(spark, sf):
+    sup = read_table(spark, sf, "supplier").select(
+        F.col("s_suppkey").alias("connection_id"), F.col("s_suppkey").alias("request_seq"),
+        E("CASE WHEN s_acctbal > 5000 THEN concat('upd_', CAST(s_nationkey AS STRING)) END").alias("connection_domain_name"),
+        E("CASE WHEN s_nationkey % 4 = 1 THEN 1 END").alias("is_target"),
+        E("CASE WHEN s_nationkey % 3 = 0 THEN map('api_key', concat('k', CAST(s_suppkey AS STRING))) END").alias("auth"),
+        E("CASE WHEN s_nationkey % 3 = 0 AND s_suppkey % 2 = 0 THEN 'key' END").alias("auth_type"),
+        F.lit("editor").alias("updated_by"))
+    nat = read_table(spark, sf, "nation").select(
+        F.col("n_nationkey").cast("long").alias("connection_id"), (F.col("n_nationkey") + 1000).cast("long").alias("request_seq"),
+        E("concat('nat_', n_name)").alias("connection_domain_name"), F.lit(None).cast("int").alias("is_target"),
+        F.lit(None).cast("map<string,string>").alias("auth"), F.lit(None).cast("string").alias("auth_type"),
+        F.lit(None).cast("string").alias("updated_by"))
+    return sup.unionByName(nat)
+
+
+def _update_connections(spark, sf, only):
+    master = _seeded(lenses.connections(spark, sf).drop("auth_type", "request_seq"))
+    return M.update_connections(master, _details_state(spark, sf), _auth_state(spark, sf), _connection_updates(spark, sf), NOW, only)
+
+
+def update_connections(spark, sf):
+    return _update_connections(spark, sf, {"conn_master"})["conn_master"].select(
+        "connection_id", "connection_domain_name", "is_target", "updated_by", "updated_at")
+
+
+def update_connection_auth(spark, sf):
+    return _update_connections(spark, sf, {"connection_auth"})["connection_auth"].select(
+        "connection_auth_id", "connection_id", "auth_property_id", "auth_property", "auth_property_value",
+        "is_active", "updated_by", "env_type")
+
+
+def soft_delete_connections(spark, sf):
+    master = _seeded(lenses.connections(spark, sf).select("connection_id", "is_active"))
+    ids = read_table(spark, sf, "supplier").filter(F.col("s_acctbal") < 1000).select(F.col("s_suppkey").alias("connection_id"))
+    new = M.soft_delete_connections(master, _details_state(spark, sf), _auth_state(spark, sf), ids, NOW, "remover")
+    parts = [df.agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).cast("long").alias("n_rows"),
+                    F.count_if(F.col("updated_by") == "remover").cast("long").alias("deactivated"),
+                    F.count_if(F.col("is_active")).cast("long").alias("still_active"))
+             for name, df in new.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _create_configs(spark, sf, only=None):
+    reqs = lenses.configs(spark, sf).drop("is_active").withColumns({
+        "created_by": E("CASE WHEN table_config_id % 2 = 0 THEN 'tester' END"),
+        "watermark_column": E("CASE WHEN load_type = 'incremental' THEN 'updated_at' END"),
+        "watermark_type": F.lit("timestamp"),
+    })
+    return M.create_configs(C.empty_table(spark, "tbl_source_table"), C.empty_table(spark, "tbl_watermark"), reqs, NOW, only)
+
+
+def create_configs(spark, sf):
+    return _create_configs(spark, sf, {"tbl_source_table"})["tbl_source_table"].select(
+        "table_config_id", "load_type", "tags", "fail_mode", "retry_count", "watermark_enabled",
+        "created_by", "updated_by", "is_active", "created_at")
+
+
+def create_config_watermarks(spark, sf):
+    return _create_configs(spark, sf)["tbl_watermark"].select(
+        "watermark_id", "table_config_id", "watermark_column", "watermark_type", "env_type", "created_by", "updated_by")
+
+
 # ---------------------------------------------------------------- loads R01-R10
 
 def full_load(spark, sf):
@@ -669,6 +741,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "open_runs": open_runs,
     "close_runs": close_runs,
     "composite_create": composite_create,
+    "update_connections": update_connections,
+    "update_connection_auth": update_connection_auth,
+    "soft_delete_connections": soft_delete_connections,
+    "create_configs": create_configs,
+    "create_config_watermarks": create_config_watermarks,
     "full_load": full_load,
     "incremental_orders": incremental_orders,
     "hash_changes": hash_changes,

@@ -387,6 +387,67 @@ LEFT JOIN ch USING (table_run_id)"""
 SELECT row_number() OVER (ORDER BY connection_id, connection_property_id) AS connection_details_id, connection_id, connection_property_id,
   connection_property, connection_property_value FROM d"""
 
+    auth_state = """auth_state AS (
+    SELECT connection_id * 10 + pos AS connection_auth_id, connection_id, pos AS auth_property_id, k AS auth_property,
+      concat('secret_', CAST(connection_id AS VARCHAR)) AS auth_property_value, true AS is_active, 'seed' AS updated_by,
+      CASE connection_id % 2 WHEN 0 THEN 'dev' ELSE 'prod' END AS env_type
+    FROM (SELECT connection_id, unnest(keys) AS k, unnest(range(1, len(keys) + 1)) AS pos FROM auth_keys))"""
+    upd = """req AS (
+    SELECT s_suppkey AS connection_id, s_suppkey AS request_seq,
+      CASE WHEN s_acctbal > 5000 THEN concat('upd_', CAST(s_nationkey AS VARCHAR)) END AS dom,
+      CASE WHEN s_nationkey % 4 = 1 THEN true END AS tgt, s_nationkey % 3 = 0 AS has_auth,
+      concat('k', CAST(s_suppkey AS VARCHAR)) AS api_key,
+      coalesce(CASE WHEN s_nationkey % 3 = 0 AND s_suppkey % 2 = 0 THEN 'key' END, 'basic') AS atype, 'editor' AS actor
+    FROM supplier
+    UNION ALL SELECT n_nationkey, 1000 + n_nationkey, concat('nat_', n_name), NULL, false, NULL, 'basic', 'system' FROM nation),
+chk AS (SELECT r.*, CASE WHEN c.connection_id IS NULL THEN 'CONNECTION_NOT_FOUND'
+      WHEN r.has_auth AND c.connection_type NOT IN (SELECT connector FROM reg) THEN 'INVALID_CONNECTOR_TYPE'
+      WHEN r.has_auth AND NOT EXISTS (SELECT 1 FROM reg g WHERE g.connector = c.connection_type AND g.auth_method = r.atype)
+        THEN 'INVALID_AUTH_TYPE' END AS err
+    FROM req r LEFT JOIN conns c ON c.connection_id = r.connection_id AND c.is_active),
+ok AS (SELECT * FROM chk WHERE err IS NULL)"""
+    q["update_connections"] = _with(CONNECTIONS, _registry_methods(), upd,
+        """f AS (SELECT connection_id, arg_max(dom, request_seq) FILTER (WHERE dom IS NOT NULL) AS n_dom,
+    arg_max(tgt, request_seq) FILTER (WHERE tgt IS NOT NULL) AS n_tgt, arg_max(actor, request_seq) AS n_actor FROM ok GROUP BY 1)""") + f"""
+SELECT c.connection_id,
+  CASE WHEN f.connection_id IS NOT NULL AND c.is_active THEN coalesce(n_dom, c.connection_domain_name) ELSE c.connection_domain_name END AS connection_domain_name,
+  CASE WHEN f.connection_id IS NOT NULL AND c.is_active THEN coalesce(n_tgt, c.is_target) ELSE c.is_target END AS is_target,
+  CASE WHEN f.connection_id IS NOT NULL AND c.is_active THEN n_actor ELSE 'seed' END AS updated_by,
+  CASE WHEN f.connection_id IS NOT NULL AND c.is_active THEN {NOW} ELSE {SEED} END AS updated_at
+FROM conns c LEFT JOIN f USING (connection_id)"""
+
+    q["update_connection_auth"] = _with(CONNECTIONS, _registry_methods(), AUTH_ROWS, auth_state, upd,
+        """la AS (SELECT connection_id, arg_max(api_key, request_seq) AS api_key, arg_max(actor, request_seq) AS actor
+    FROM ok WHERE has_auth GROUP BY 1)""") + """
+SELECT a.connection_auth_id, a.connection_id, a.auth_property_id, a.auth_property, a.auth_property_value,
+  CASE WHEN a.is_active AND la.connection_id IS NOT NULL THEN false ELSE a.is_active END AS is_active,
+  CASE WHEN a.is_active AND la.connection_id IS NOT NULL THEN la.actor ELSE a.updated_by END AS updated_by, a.env_type
+FROM auth_state a LEFT JOIN la USING (connection_id)
+UNION ALL
+SELECT (SELECT max(connection_auth_id) FROM auth_state) + row_number() OVER (ORDER BY la.connection_id), la.connection_id,
+  CAST(1 AS BIGINT), 'api_key', la.api_key, true, la.actor, c.env_type
+FROM la JOIN conns c USING (connection_id)"""
+
+    q["soft_delete_connections"] = _with(CONNECTIONS, DETAILS, AUTH_ROWS, auth_state,
+        "ids AS (SELECT connection_id FROM conns WHERE is_active AND connection_id IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 1000))") + """
+SELECT 'conn_master' AS table_name, CAST(count(*) AS BIGINT) AS n_rows,
+  CAST(count_if(is_active AND connection_id IN (SELECT * FROM ids)) AS BIGINT) AS deactivated,
+  CAST(count_if(is_active AND connection_id NOT IN (SELECT * FROM ids)) AS BIGINT) AS still_active FROM conns
+UNION ALL SELECT 'connection_details', count(*), CAST(count_if(is_active AND connection_id IN (SELECT * FROM ids)) AS BIGINT),
+  CAST(count_if(is_active AND connection_id NOT IN (SELECT * FROM ids)) AS BIGINT) FROM details
+UNION ALL SELECT 'connection_auth', count(*), CAST(count_if(is_active AND connection_id IN (SELECT * FROM ids)) AS BIGINT),
+  CAST(count_if(is_active AND connection_id NOT IN (SELECT * FROM ids)) AS BIGINT) FROM auth_state"""
+
+    created = f"""created AS (SELECT row_number() OVER (ORDER BY request_seq) AS table_config_id, load_type, coalesce(tags, '[]') AS tags,
+    coalesce(CASE WHEN request_seq % 2 = 0 THEN 'tester' END, 'system') AS actor
+  FROM configs WHERE coalesce({LOAD_CODE}, {SOURCE_CODE}) IS NULL)"""
+    q["create_configs"] = _with(CONFIGS, created) + f"""SELECT table_config_id, load_type, tags, 'halt' AS fail_mode, CAST(0 AS BIGINT) AS retry_count,
+  false AS watermark_enabled, actor AS created_by, actor AS updated_by, true AS is_active, {NOW} AS created_at FROM created"""
+
+    q["create_config_watermarks"] = _with(CONFIGS, created) + """SELECT row_number() OVER (ORDER BY table_config_id) AS watermark_id, table_config_id,
+  'updated_at' AS watermark_column, 'timestamp' AS watermark_type, 'dev' AS env_type, actor AS created_by, actor AS updated_by
+FROM created WHERE load_type = 'incremental'"""
+
     q["full_load"] = "SELECT o_orderkey, o_custkey, o_orderstatus, o_orderdate FROM orders"
 
     q["incremental_orders"] = """SELECT o_orderkey, o_orderdate FROM orders

@@ -154,3 +154,61 @@ def test_stamp(spark):
     out = rows(M.stamp(df, NOW_DT.replace(tzinfo=dt.timezone.utc)))
     assert [(r["created_by"], r["updated_by"]) for r in out] == [("a", "a"), ("system", "system")]
     assert out[0]["created_at"] == out[1]["updated_at"] == NOW_DT
+
+
+def _conn_tables(spark):
+    master = C.conform(spark.createDataFrame(
+        [(1, "a", "postgres", "d1", False, "dev", True), (2, "b", "s3", "d2", False, "prod", True), (3, "c", "local", "d3", False, "dev", False)],
+        "connection_id long, connection_name string, connection_type string, connection_domain_name string, is_target boolean, env_type string, is_active boolean"),
+        S.TABLES["conn_master"]).withColumns({"updated_by": F.lit("seed"), "updated_at": F.lit(SEED)})
+    det = C.conform(spark.createDataFrame([(1, 1, 1, "host", "h", "dev", True)],
+                                          "connection_details_id long, connection_id long, connection_property_id long, connection_property string, connection_property_value string, env_type string, is_active boolean"),
+                    S.TABLES["connection_details"]).withColumns({"updated_by": F.lit("seed"), "updated_at": F.lit(SEED)})
+    auth = C.conform(spark.createDataFrame([(1, 2, 1, "iam_credentials", "t", "prod", True)],
+                                           "connection_auth_id long, connection_id long, auth_property_id long, auth_property string, auth_property_value string, env_type string, is_active boolean"),
+                     S.TABLES["connection_auth"]).withColumns({"updated_by": F.lit("seed"), "updated_at": F.lit(SEED)})
+    return master, det, auth
+
+
+def test_update_connections(spark):
+    master, det, auth = _conn_tables(spark)
+    req = spark.createDataFrame(
+        [(1, 1, "new_dom", None, None, None, "ed"), (2, 2, None, 1, {"api_key": "k"}, "key", "ed"),
+         (1, 3, None, None, {"api_key": "k"}, "key", "ed"), (3, 4, "x", None, None, None, "ed"), (9, 5, "y", None, None, None, "ed")],
+        "connection_id long, request_seq long, connection_domain_name string, is_target int, auth map<string,string>, auth_type string, updated_by string")
+    out = M.update_connections(master, det, auth, req, NOW)
+    codes = {r["request_seq"]: r["error_code"] for r in rows(out["rejects"])}
+    assert codes == {3: S.INVALID_AUTH_TYPE, 4: S.CONNECTION_NOT_FOUND, 5: S.CONNECTION_NOT_FOUND}
+    m = {r["connection_id"]: r for r in rows(out["conn_master"])}
+    assert (m[1]["connection_domain_name"], m[1]["updated_by"]) == ("new_dom", "ed")
+    assert (m[2]["is_target"], m[2]["connection_domain_name"]) == (True, "d2")
+    assert m[3]["connection_domain_name"] == "d3"
+    a = rows(out["connection_auth"], ["connection_auth_id"])
+    assert [(r["connection_auth_id"], r["auth_property"], r["is_active"], r["env_type"]) for r in a] == [
+        (1, "iam_credentials", False, "prod"), (2, "api_key", True, "prod")]
+    assert rows(out["connection_details"]) == rows(det)  # details not supplied: untouched
+
+
+def test_soft_delete_connections(spark):
+    master, det, auth = _conn_tables(spark)
+    ids = spark.createDataFrame([(1,), (3,)], "connection_id long")
+    out = M.soft_delete_connections(master, det, auth, ids, NOW, "x")
+    assert {r["connection_id"]: r["is_active"] for r in rows(out["conn_master"])} == {1: False, 2: True, 3: False}
+    assert [r["is_active"] for r in rows(out["connection_details"])] == [False]
+    assert [r["is_active"] for r in rows(out["connection_auth"])] == [True]
+
+
+def test_create_configs_with_watermark(spark):
+    req = spark.createDataFrame(
+        [(1, 7, "d", "g", '{"schema":"s","table":"t"}', '{}', "incremental", "ts", "timestamp", "ann"),
+         (2, 7, "d", "g", '{"schema":"s"}', '{}', "full", None, None, None),
+         (3, 7, "d", "g", '{"file_path":"/x","file_type":"csv"}', '{}', "full", None, None, None)],
+        "request_seq long, connection_source_id long, connection_domain_name string, config_group string, source_attributes string, "
+        "target_attributes string, load_type string, watermark_column string, watermark_type string, created_by string")
+    out = M.create_configs(C.empty_table(spark, "tbl_source_table"), C.empty_table(spark, "tbl_watermark"), req, NOW)
+    cfg = rows(out["tbl_source_table"], ["table_config_id"])
+    assert [(r["table_config_id"], r["created_by"], r["fail_mode"], r["tags"], r["retry_count"]) for r in cfg] == [
+        (1, "ann", "halt", "[]", 0), (2, "system", "halt", "[]", 0)]
+    wm = rows(out["tbl_watermark"])
+    assert [(r["watermark_id"], r["table_config_id"], r["created_by"], r["updated_by"]) for r in wm] == [(1, 1, "ann", "ann")]
+    assert [r["error_code"] for r in rows(out["rejects"])] == [S.INVALID_SOURCE_ATTRIBUTES]

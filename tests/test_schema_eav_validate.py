@@ -169,3 +169,11 @@ def test_missing_parent(spark):
     req = spark.createDataFrame([(1,), (2,), (3,)], "table_config_id long")
     got = {r["table_config_id"]: r["error_code"] for r in rows(V.missing_parent(req, parents, "table_config_id"))}
     assert got == {1: None, 2: S.PIPELINE_CONFIG_NOT_FOUND, 3: S.PIPELINE_CONFIG_NOT_FOUND}
+
+
+def test_unique_names_self_exclusion(spark):
+    existing = spark.createDataFrame([(1, "a", "dev"), (2, "b", "dev"), (3, "b", "dev")], "connection_id long, connection_name string, env_type string")
+    req = spark.createDataFrame([(1, 1, "a", "dev"), (2, 2, "b", "dev"), (3, 4, "a", "dev")],
+                                "request_seq long, connection_id long, connection_name string, env_type string")
+    got = {r["request_seq"]: r["error_code"] for r in rows(V.unique_names(req, existing, check_connector=False, exclude_col="connection_id"))}
+    assert got == {1: None, 2: S.DUPLICATE_CONNECTION_NAME, 3: S.DUPLICATE_CONNECTION_NAME}
