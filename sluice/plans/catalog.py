@@ -95,6 +95,28 @@ def search_page(spark, sf):
     return R.with_page_meta(pg, hits, SEARCH_SIZE)
 
 
+KEYSET_AFTER, KEYSET_SIZE = 700, 20
+
+
+def keyset_page(spark, sf):
+    cfg = R.active(lenses.configs(spark, sf))
+    return R.keyset_page(cfg, "table_config_id", KEYSET_AFTER, KEYSET_SIZE).select("table_config_id", "config_group", "env_type")
+
+
+def audit_page(spark, sf):
+    runs = R.active(lenses.runs(spark, sf))
+    hits = R.equality_filters(runs, {"status": "failed", "run_id": "", "table_config_id": 0})
+    pg = R.page(hits, 1, R.DEFAULT_PAGE_SIZE, "table_run_id").select("table_run_id", "run_id", "table_config_id", "status", "error_type")
+    return R.with_page_meta(pg, hits, R.DEFAULT_PAGE_SIZE)
+
+
+def bts_search(spark, sf):
+    bts = R.active(_bts_state(spark, sf))
+    hits = R.search(R.equality_filters(bts, {"env_type": None}), "BLUE", ["dataset_name"])
+    pg = R.page(hits, 1, R.DEFAULT_PAGE_SIZE, "bts_config_id").select("bts_config_id", "dataset_name", "source_config_id")
+    return R.with_page_meta(pg, hits, R.DEFAULT_PAGE_SIZE)
+
+
 def lookup_ids(spark, sf):
     ids = read_table(spark, sf, "orders").filter(F.col("o_orderstatus") == "P").select(F.col("o_custkey").alias("table_config_id"))
     return R.lookup_active(lenses.configs(spark, sf), ids, "table_config_id").select(
@@ -710,6 +732,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "active_scan": active_scan,
     "filtered_list": filtered_list,
     "search_page": search_page,
+    "keyset_page": keyset_page,
+    "audit_page": audit_page,
+    "bts_search": bts_search,
     "lookup_ids": lookup_ids,
     "latest_per_key": latest_per_key,
     "child_history": child_history,

@@ -188,6 +188,20 @@ SELECT connection_id, connection_name, connection_domain_name, (SELECT count(*)
   CAST(ceil((SELECT count(*) FROM hits) / 5.0) AS BIGINT) AS total_pages
 FROM hits ORDER BY connection_id DESC LIMIT 5 OFFSET 5"""
 
+    q["keyset_page"] = _with(CONFIGS) + """SELECT table_config_id, config_group, env_type FROM configs
+WHERE is_active AND table_config_id < 700 ORDER BY table_config_id DESC LIMIT 20"""
+
+    q["audit_page"] = _with(RUNS, "hits AS (SELECT * FROM runs WHERE is_active AND status = 'failed')") + """
+SELECT table_run_id, run_id, table_config_id, status, error_type, (SELECT count(*) FROM hits) AS total,
+  CAST(ceil((SELECT count(*) FROM hits) / 20.0) AS BIGINT) AS total_pages
+FROM hits ORDER BY table_run_id DESC LIMIT 20"""
+
+    q["bts_search"] = """WITH hits AS (SELECT p_partkey AS bts_config_id, p_name AS dataset_name,
+    CASE WHEN p_size > 45 THEN NULL ELSE p_partkey END AS source_config_id FROM part WHERE contains(lower(p_name), 'blue'))
+SELECT bts_config_id, dataset_name, source_config_id, (SELECT count(*) FROM hits) AS total,
+  CAST(ceil((SELECT count(*) FROM hits) / 20.0) AS BIGINT) AS total_pages
+FROM hits ORDER BY bts_config_id DESC LIMIT 20"""
+
     q["lookup_ids"] = _with(CONFIGS) + """SELECT table_config_id, config_group, load_type, env_type FROM configs
 WHERE is_active AND table_config_id IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')"""
 
