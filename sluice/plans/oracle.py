@@ -564,7 +564,7 @@ SELECT p_partkey, p_brand, p_size, reject_reasons = '' AS accepted, reject_reaso
   CAST(count(*) AS BIGINT) AS runs, CAST(count_if(status = 'succeeded') AS BIGINT) AS succeeded,
   CAST(sum(rows_read) AS BIGINT) AS rows_read, CAST(sum(rows_written) AS BIGINT) AS rows_written,
   avg((epoch_us(end_time) - epoch_us(start_time)) // 1000000) AS avg_elapsed,
-  quantile_cont((epoch_us(end_time) - epoch_us(start_time)) // 1000000, 0.95) AS p95_elapsed,
+  round(quantile_cont((epoch_us(end_time) - epoch_us(start_time)) // 1000000, 0.95), 6) AS p95_elapsed,
   count_if(status = 'succeeded') / count(*) AS success_rate
 FROM runs WHERE is_active GROUP BY ROLLUP (table_config_id, status)"""
 
