@@ -44,3 +44,15 @@ def detect_drift(old: DataFrame, new: DataFrame, config_col: str = "table_config
         "change_type": F.when(F.size("removed") > 0, F.lit("deletion")).when(F.size("added") > 0, F.lit("additive")).otherwise(F.lit("modified")),
         "column_changes_json": F.to_json(F.struct("added", "removed", "type_changed")),
     })
+
+
+def version_requests(drift: DataFrame, run_id: str | None = None, env_type: str = "dev", actor: str = "system",
+                     config_col: str = "table_config_id") -> DataFrame:
+    """R14 -> D34: one schema-version request per drifted config (numbered automatically,
+    in config order), carrying the change record, the new column count and the run."""
+    return drift.select(
+        F.col(config_col).alias("table_config_id"), F.col(config_col).alias("request_seq"),
+        "column_count", "column_changes_json", "change_type",
+        F.lit(run_id).cast("string").alias("detected_by_run_id"), F.lit(env_type).alias("env_type"),
+        F.lit(actor).alias("created_by"),
+    )

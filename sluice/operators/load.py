@@ -117,6 +117,17 @@ def advance_watermark(watermarks: DataFrame, extracted: DataFrame, config_col: s
     )
 
 
+def watermark_upserts(advanced: DataFrame, watermark_column: str, watermark_type: str, run_id: str,
+                      actor: str = "system") -> DataFrame:
+    """R04 -> D33: upsert requests for the configs whose watermark moved (rows were read);
+    configs with nothing extracted keep their watermark untouched."""
+    return advanced.filter(F.col("rows_read") > 0).select(
+        "table_config_id", F.col("table_config_id").alias("request_seq"),
+        F.lit(watermark_column).alias("watermark_column"), F.lit(watermark_type).alias("watermark_type"),
+        F.col("watermark_end").alias("last_value"), F.lit(run_id).alias("last_run_id"), F.lit(actor).alias("updated_by"),
+    )
+
+
 # ---- R05 natural-key upsert ----
 
 def latest_by_key(batch: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -88,6 +88,17 @@ def pii_scan(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     )
 
 
+def classification_rows(scan: DataFrame, table_config_id: int, access_tier: str = "INTERNAL") -> DataFrame:
+    """R11 -> tbl_pii_attribute rows (for D32's replace): one row per detected (column,
+    category) with the suggested protection and sensitivity, untagged, at ``access_tier``."""
+    return scan.select(
+        F.lit(table_config_id).cast("long").alias("table_config_id"), "column_name", "pii_category",
+        F.col("suggested_protection").alias("protection_method"), "sensitivity",
+        F.lit(None).cast("string").alias("masking_policy"), F.lit(False).alias("uc_tag_applied"),
+        F.lit(access_tier).alias("access_tier"),
+    )
+
+
 # ---- R12 protection ----
 
 def mask_value(v: Column, policy: str | None) -> Column:

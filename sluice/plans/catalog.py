@@ -551,6 +551,16 @@ def advance_watermark(spark, sf):
     return L.advance_watermark(wm, got, "user_id", "ts")
 
 
+def advance_and_upsert(spark, sf):
+    """R02 -> R04 -> D33: extract past each config's watermark, advance it, upsert it."""
+    state = _wm_state(spark, sf)
+    ev = read_table(spark, sf, "events").select("user_id", "ts")
+    adv = L.advance_watermark(state, L.incremental_by_config(ev, state, "user_id", "ts"), "user_id", "ts")
+    ups = L.watermark_upserts(adv, "ts", "timestamp", "run_adv", actor="loader")
+    out = M.upsert_watermark(state, ups, NOW, ["watermark_column", "watermark_type", "last_value", "last_run_id"])
+    return out.select("watermark_id", "table_config_id", "last_value", "last_run_id", "updated_by")
+
+
 LINE_CUT = "1997-01-01 00:00:00"
 LINE_KEYS = ["l_orderkey", "l_linenumber"]
 
@@ -610,6 +620,20 @@ def pii_scan(spark, sf):
     return P.pii_scan(docs)
 
 
+DOCS_CONFIG_ID = 1
+
+
+def pii_classify(spark, sf):
+    """R11 -> D32: the scan of ``documents`` replaces that table's PII classification."""
+    docs = read_table(spark, sf, "documents").select("text", "lang", "source")
+    new = P.classification_rows(P.pii_scan(docs), DOCS_CONFIG_ID)
+    parents = new.select("table_config_id").distinct()
+    out = M.replace_children(C.empty_table(spark, "tbl_pii_attribute"), parents, new, "table_config_id", "pii_id",
+                             ["table_config_id", "column_name", "pii_category"], NOW, "scanner")
+    return out.select("pii_id", "table_config_id", "column_name", "pii_category", "protection_method", "sensitivity",
+                      "access_tier", "is_active", "created_by")
+
+
 PII_ROWS = [
     {"column_name": "c_name", "protection_method": "MASK", "masking_policy": "last4", "access_tier": "RESTRICTED"},
     {"column_name": "c_mktsegment", "protection_method": "REDACT", "access_tier": "INTERNAL"},
@@ -652,6 +676,18 @@ def schema_drift(spark, sf):
                     F.array_join("type_changed", ",").alias("type_changed"), "column_count", "change_type", "column_changes_json")
 
 
+def drift_versions(spark, sf):
+    """R14 feeding D34: the drift of each config becomes its next schema version."""
+    ev = read_table(spark, sf, "events").select("user_id", "event_type", "value", "ts")
+    cut = F.lit(CDC_CUT).cast("timestamp_ntz")
+    d = DR.detect_drift(_observed_schema(ev.filter(F.col("ts") < cut)), _observed_schema(ev.filter(F.col("ts") >= cut)))
+    old = K.sequence_within(lenses.versions(spark, sf), ["request_seq"], ["table_config_id"], name="version_number")
+    state = C.conform(_seeded(old.withColumn("version_id", F.col("request_seq")).drop("created_at")), TABLES["tbl_schema_version"])
+    out = M.add_schema_versions(state, DR.version_requests(d, run_id="drift_run", actor="detector"), NOW)
+    return out.select("version_id", "table_config_id", "version_number", "column_count", "change_type",
+                      "column_changes_json", "detected_by_run_id", "created_by")
+
+
 # ---------------------------------------------------------------- quality R15-R18
 
 DQ_RULES = [
@@ -787,6 +823,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pii_protect": pii_protect,
     "pii_encrypt_roundtrip": pii_encrypt_roundtrip,
     "tier_view": tier_view,
+    "pii_classify": pii_classify,
+    "drift_versions": drift_versions,
+    "advance_and_upsert": advance_and_upsert,
     "schema_drift": schema_drift,
     "dq_rules": dq_rules,
     "dq_quarantine": dq_quarantine,

@@ -590,6 +590,23 @@ FROM configs c LEFT JOIN ok USING (table_config_id) WHERE c.is_active"""
     q["tag_index"] = _with(CONFIGS) + """SELECT tag, CAST(count(*) AS BIGINT) AS n_configs FROM (
   SELECT DISTINCT table_config_id, unnest(json_extract_string(tags, '$[*]')) AS tag FROM configs WHERE is_active AND tags IS NOT NULL AND tags <> '')
 GROUP BY tag"""
+    q["pii_classify"] = "WITH scan AS (\n" + _pii_scan_sql() + """)
+SELECT row_number() OVER (ORDER BY column_name, pii_category) AS pii_id, CAST(1 AS BIGINT) AS table_config_id, column_name,
+  pii_category, suggested_protection AS protection_method, sensitivity, 'INTERNAL' AS access_tier, true AS is_active,
+  'scanner' AS created_by FROM scan"""
+
+    q["drift_versions"] = "WITH d AS (\n" + q["schema_drift"] + """),
+base AS (SELECT o_custkey AS cfg, count(*) AS mx FROM orders GROUP BY 1)
+SELECT (SELECT max(o_orderkey) FROM orders) + row_number() OVER (ORDER BY d.table_config_id) AS version_id, d.table_config_id,
+  CAST(coalesce(base.mx, 0) + 1 AS BIGINT) AS version_number, d.column_count, d.change_type, d.column_changes_json,
+  'drift_run' AS detected_by_run_id, 'detector' AS created_by
+FROM d LEFT JOIN base ON base.cfg = d.table_config_id"""
+
+    q["advance_and_upsert"] = _with(WATERMARKS, """got AS (SELECT e.user_id, max(e.ts) AS mx, count(*) AS n FROM events e
+    LEFT JOIN wm ON wm.table_config_id = e.user_id WHERE wm.last_value IS NULL OR e.ts > wm.last_value GROUP BY 1)""") + """
+SELECT w.watermark_id, w.table_config_id, CASE WHEN g.n > 0 THEN greatest(w.last_value, g.mx) ELSE w.last_value END AS last_value,
+  CASE WHEN g.n > 0 THEN 'run_adv' ELSE 'seed_run' END AS last_run_id, CASE WHEN g.n > 0 THEN 'loader' ELSE 'seed' END AS updated_by
+FROM wm w LEFT JOIN got g ON g.user_id = w.table_config_id"""
     return q
 
 

@@ -37,3 +37,13 @@ def autoload_once(spark: SparkSession, source_dir: str, schema: StructType, targ
     if q.exception() is not None:
         raise q.exception()
     return target_dir
+
+
+def autoload_from_connection(spark: SparkSession, connection: dict, source_attributes: dict, schema: StructType,
+                             target_dir: str, checkpoint_dir: str, glob: str | None = None) -> str:
+    """R07 driven by configuration: the file connector and source_attributes (file_path,
+    file_type, delimiter, has_header) give the folder, format and reader options (R10)."""
+    from sluice.sources.connections import reader_spec
+
+    spec = reader_spec(connection, source_attributes)
+    return autoload_once(spark, spec["path"], schema, target_dir, checkpoint_dir, spec["format"], glob, spec["options"])

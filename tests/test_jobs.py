@@ -187,3 +187,23 @@ def test_run_operations(spark):
     assert fr == {7: True, 8: True, 9: False}
     assert {r["tag"]: r["n_configs"] for r in rows(RU.tag_index(cfg))} == {"a": 1, "b": 1}
     assert RU.with_tag(cfg, "a").count() == 1
+
+
+def test_autoload_from_connection_csv(spark):
+    from sluice.streaming.autoload import autoload_from_connection
+
+    base = tempfile.mkdtemp(prefix="sluice-csv-")
+    import os
+    os.makedirs(f"{base}/landing")
+    with open(f"{base}/landing/a.csv", "w") as fh:
+        fh.write("id;name\n1;x\n2;y\n")
+    conn = {"connection_type": "local", "details": {"base_path": base}}
+    attrs = {"file_path": "landing", "file_type": "csv", "delimiter": ";", "has_header": True}
+    schema = spark.createDataFrame([], "id int, name string").schema
+    tgt, ck = work_path(spark, "t_csv"), work_path(spark, "t_csv_ck")
+    autoload_from_connection(spark, conn, attrs, schema, tgt, ck)
+    assert sorted((r["id"], r["name"]) for r in spark.read.parquet(tgt).collect()) == [(1, "x"), (2, "y")]
+    with open(f"{base}/landing/b.csv", "w") as fh:
+        fh.write("id;name\n3;z\n")
+    autoload_from_connection(spark, conn, attrs, schema, tgt, ck)  # only the new file is read
+    assert spark.read.parquet(tgt).count() == 3
