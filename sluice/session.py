@@ -66,3 +66,22 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     does not force a recompute of non-deterministic columns upstream."""
     checkpoint_root(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def scale_conf(input_bytes: int, target_partition_bytes: int = 256 << 20, cores: int | None = None) -> dict[str, str]:
+    """Settings sized from the bytes a job reads: enough shuffle partitions that each holds
+    about ``target_partition_bytes`` (AQE coalesces small ones and splits skewed ones at run
+    time), scan splits of the same size, and AQE skew handling on. Apply with
+    ``spark.conf.set`` before building the job."""
+    parts = max(1, -(-input_bytes // target_partition_bytes))
+    if cores:
+        parts = max(parts, 2 * cores)
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+    }

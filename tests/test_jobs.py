@@ -207,3 +207,16 @@ def test_autoload_from_connection_csv(spark):
         fh.write("id;name\n3;z\n")
     autoload_from_connection(spark, conn, attrs, schema, tgt, ck)  # only the new file is read
     assert spark.read.parquet(tgt).count() == 3
+
+
+def test_scale_conf_and_approx_p95(spark):
+    from sluice.session import scale_conf
+
+    conf = scale_conf(100 * (1 << 40))
+    assert conf["spark.sql.shuffle.partitions"] == str(100 * (1 << 40) // (256 << 20))
+    runs = spark.createDataFrame([(1, "succeeded", dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 1, 0, 0, s), True) for s in range(1, 21)],
+                                 "table_config_id long, status string, start_time timestamp_ntz, end_time timestamp_ntz, is_active boolean")
+    runs = runs.withColumns({"rows_read": F.lit(1).cast("long"), "rows_written": F.lit(1).cast("long")})
+    exact = {(r["table_config_id"], r["status"]): r["p95_elapsed"] for r in rows(RU.run_metrics(runs))}
+    approx = {(r["table_config_id"], r["status"]): r["p95_elapsed"] for r in rows(RU.run_metrics(runs, approx_p95=True))}
+    assert exact[(1, "succeeded")] == 19.05 and approx[(1, "succeeded")] in (19.0, 20.0)
