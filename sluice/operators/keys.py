@@ -23,12 +23,45 @@ def _as_col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def _null_safe_on(left: DataFrame, right: DataFrame, cols: list[str]) -> Column | None:
-    cond = None
-    for c in cols:
-        term = left[c].eqNullSafe(right[c])
-        cond = term if cond is None else cond & term
-    return cond
+PID, POS = "_sl_pid", "_sl_pos"
+
+
+def ordered_slices(df: DataFrame, order: list, group: list[str]) -> DataFrame:
+    """The layout every skew-safe ordered operator shares: rows range-partitioned and
+    sorted on (group, order), so one hot group is spread over many tasks, with the task id
+    (``_sl_pid``) and the position inside the task (``_sl_pos``) pinned by a reliable
+    checkpoint. A (task, group) pair is a *slice*; a group's slices are contiguous and in
+    task order, so per-slice summaries windowed over the group give each slice its carry-in.
+    """
+    sort_keys = [F.col(g) for g in group] + [_as_col(o) for o in order]
+    ranked = df.orderBy(*sort_keys).withColumn("_sl_mid", F.monotonically_increasing_id())
+    # The ids depend on task layout; pin them before anything reads them twice.
+    ranked = cut_lineage(ranked)
+    return ranked.withColumns({
+        PID: F.shiftright("_sl_mid", _LOCAL_BITS),
+        POS: F.col("_sl_mid").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1)),
+    }).drop("_sl_mid")
+
+
+def earlier_slices(group: list[str]):
+    """Window over a group's slice summaries: all slices in earlier tasks."""
+    return Window.partitionBy(*group).orderBy(PID).rowsBetween(Window.unboundedPreceding, -1)
+
+
+def in_slice(group: list[str]):
+    """Window over the rows of one slice, up to the current row."""
+    return Window.partitionBy(PID, *group).orderBy(POS).rowsBetween(Window.unboundedPreceding, 0)
+
+
+def join_slice_stats(ranked: DataFrame, stats: DataFrame, group: list[str], cols: list[str]) -> DataFrame:
+    """Attach per-slice columns ``cols`` of ``stats`` (one row per slice) to its rows. The
+    stats table has at most (groups + tasks) rows; AQE broadcasts it when it is small and
+    otherwise shuffles on (task, group), which no hot group can skew."""
+    s = stats.select(F.col(PID).alias("_sj_pid"), *[F.col(g).alias(f"_sj_g_{i}") for i, g in enumerate(group)], *cols)
+    cond = ranked[PID] == s["_sj_pid"]
+    for i, g in enumerate(group):
+        cond = cond & ranked[g].eqNullSafe(s[f"_sj_g_{i}"])
+    return ranked.join(s, cond, "inner").drop("_sj_pid", *[f"_sj_g_{i}" for i in range(len(group))])
 
 
 def sequence_within(df: DataFrame, order: list, group: list[str] | None = None, name: str = "seq") -> DataFrame:
@@ -38,30 +71,12 @@ def sequence_within(df: DataFrame, order: list, group: list[str] | None = None,
     ties are numbered in arrival order. NULL group values form their own group.
     """
     group = list(group or [])
-    sort_keys = [F.col(g) for g in group] + [_as_col(o) for o in order]
-    ranked = df.orderBy(*sort_keys).withColumn("_sq_mid", F.monotonically_increasing_id())
-    # The ids depend on task layout; pin them before anything reads them twice.
-    ranked = cut_lineage(ranked)
-    ranked = ranked.withColumn("_sq_pid", F.shiftright("_sq_mid", _LOCAL_BITS)).withColumn(
-        "_sq_pos", F.col("_sq_mid").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1))
-    )
-    stats = ranked.groupBy("_sq_pid", *group).agg(
-        F.min("_sq_pos").alias("_sq_first"), F.count(F.lit(1)).alias("_sq_n")
-    )
-    earlier = Window.partitionBy(*group).orderBy("_sq_pid").rowsBetween(Window.unboundedPreceding, -1)
-    stats = stats.withColumn("_sq_before", F.coalesce(F.sum("_sq_n").over(earlier), F.lit(0)))
-    s = stats.select(
-        F.col("_sq_pid").alias("_sq_pid_r"),
-        *[F.col(g).alias(f"_sq_g_{i}") for i, g in enumerate(group)],
-        "_sq_first",
-        "_sq_before",
-    )
-    cond = ranked["_sq_pid"] == s["_sq_pid_r"]
-    for i, g in enumerate(group):
-        cond = cond & ranked[g].eqNullSafe(s[f"_sq_g_{i}"])
-    out = ranked.join(s, cond, "inner")
-    out = out.withColumn(name, (F.col("_sq_pos") - F.col("_sq_first") + F.col("_sq_before") + F.lit(1)).cast("long"))
-    return out.drop("_sq_mid", "_sq_pid", "_sq_pos", "_sq_pid_r", "_sq_first", "_sq_before", *[f"_sq_g_{i}" for i in range(len(group))])
+    ranked = ordered_slices(df, order, group)
+    stats = ranked.groupBy(PID, *group).agg(F.min(POS).alias("_sq_first"), F.count(F.lit(1)).alias("_sq_n"))
+    stats = stats.withColumn("_sq_before", F.coalesce(F.sum("_sq_n").over(earlier_slices(group)), F.lit(0)))
+    out = join_slice_stats(ranked, stats, group, ["_sq_first", "_sq_before"])
+    out = out.withColumn(name, (F.col(POS) - F.col("_sq_first") + F.col("_sq_before") + F.lit(1)).cast("long"))
+    return out.drop(PID, POS, "_sq_first", "_sq_before")
 
 
 _RUNNING = {"sum": F.sum, "max": F.max, "min": F.min}
@@ -71,33 +86,20 @@ def running_within(df: DataFrame, order: list, group: list[str], value, how: str
     """Add ``name`` = running ``how`` (sum, max, min) of ``value`` over the rows of each
     group up to and including the current one, in ``order`` (which must be total).
 
-    Same layout as ``sequence_within``: range-partitioned sort, a running aggregate inside
-    each (task, group) slice (hash-partitioned on task id and group, so a hot group is
-    still spread), and a carry-in from the group's slices in earlier tasks taken from the
-    small per-(task, group) summary.
+    Running aggregate inside each slice (a window on (task, group): the hash exchange it
+    needs spreads a hot group by task), plus the carry-in from the group's earlier slices.
     """
     agg = _RUNNING[how]
     group = list(group)
     val = value if isinstance(value, Column) else F.col(value)
-    sort_keys = [F.col(g) for g in group] + [_as_col(o) for o in order]
-    ranked = df.withColumn("_rw_v", val).orderBy(*sort_keys).withColumn("_rw_mid", F.monotonically_increasing_id())
-    ranked = cut_lineage(ranked)
-    ranked = ranked.withColumn("_rw_pid", F.shiftright("_rw_mid", _LOCAL_BITS))
-    local = Window.partitionBy("_rw_pid", *group).orderBy("_rw_mid").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = ranked.withColumn("_rw_local", agg("_rw_v").over(local))
-    stats = ranked.groupBy("_rw_pid", *group).agg(agg("_rw_v").alias("_rw_part"))
-    earlier = Window.partitionBy(*group).orderBy("_rw_pid").rowsBetween(Window.unboundedPreceding, -1)
-    stats = stats.withColumn("_rw_carry", agg("_rw_part").over(earlier))
-    s = stats.select(F.col("_rw_pid").alias("_rw_pid_r"), *[F.col(g).alias(f"_rw_g_{i}") for i, g in enumerate(group)], "_rw_carry")
-    cond = ranked["_rw_pid"] == s["_rw_pid_r"]
-    for i, g in enumerate(group):
-        cond = cond & ranked[g].eqNullSafe(s[f"_rw_g_{i}"])
-    out = ranked.join(s, cond, "inner")
+    ranked = ordered_slices(df.withColumn("_rw_v", val), order, group)
+    ranked = ranked.withColumn("_rw_local", agg("_rw_v").over(in_slice(group)))
+    stats = ranked.groupBy(PID, *group).agg(agg("_rw_v").alias("_rw_part"))
+    stats = stats.withColumn("_rw_carry", agg("_rw_part").over(earlier_slices(group)))
+    out = join_slice_stats(ranked, stats, group, ["_rw_carry"])
     combined = (F.coalesce(F.col("_rw_local"), F.lit(0)) + F.coalesce(F.col("_rw_carry"), F.lit(0))
                 if how == "sum" else (F.greatest if how == "max" else F.least)(F.col("_rw_local"), F.col("_rw_carry")))
-    out = out.withColumn(name, combined)
-    return out.drop("_rw_v", "_rw_mid", "_rw_pid", "_rw_local", "_rw_pid_r", "_rw_carry",
-                    *[f"_rw_g_{i}" for i in range(len(group))])
+    return out.withColumn(name, combined).drop("_rw_v", PID, POS, "_rw_local", "_rw_carry")
 
 
 def lag_within(df: DataFrame, order: list, group: list[str], cols: list[str], prefix: str = "prev_") -> DataFrame:

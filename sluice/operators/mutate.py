@@ -18,7 +18,17 @@ from sluice import schemas as S
 from sluice.functions.exprs import as_flag
 from sluice.operators.conform import conform
 from sluice.operators.eav import map_to_eav
-from sluice.operators.keys import assign_sequential_ids, next_id_base, running_within, sequence_within
+from sluice.operators.keys import (
+    PID,
+    POS,
+    assign_sequential_ids,
+    earlier_slices,
+    in_slice,
+    join_slice_stats,
+    next_id_base,
+    ordered_slices,
+    sequence_within,
+)
 from sluice.operators.reads import latest_per_key
 from sluice.operators.validate import ERROR, bulk_validate, connector_code, missing_parent, unique_names
 
@@ -187,7 +197,7 @@ def add_schema_versions(state: DataFrame, requests: DataFrame, now) -> DataFrame
     Without explicit numbers an automatic number is base + its position among the
     config's requests (skew-safe ``sequence_within``). With explicit numbers it is
     A + max(base, max over earlier explicit k of (e_k - A_k)), where A counts the automatic
-    requests so far: two skew-safe running aggregates (``running_within``).
+    requests so far, computed in one skew-safe sorted pass.
     """
     base = state.groupBy(F.col("table_config_id").alias("_cfg")).agg(F.max("version_number").alias("_max"))
     has_explicit = "version_number" in requests.columns and not requests.filter(F.col("version_number").isNotNull()).isEmpty()
@@ -198,14 +208,7 @@ def add_schema_versions(state: DataFrame, requests: DataFrame, now) -> DataFrame
             "version_number", (F.coalesce(F.col("_max"), F.lit(0)) + F.col("_vpos")).cast("long")
         ).drop("_cfg", "_max", "_vpos")
     else:
-        auto = F.col("version_number").isNull()
-        rows = running_within(requests, [F.col(SEQ)], ["table_config_id"], auto.cast("long"), "sum", name="_autos")
-        rows = running_within(rows, [F.col(SEQ)], ["table_config_id"],
-                              F.when(~auto, F.col("version_number") - F.col("_autos")), "max", name="_lift")
-        rows = rows.join(base, rows["table_config_id"] == base["_cfg"], "left")
-        numbered = F.col("_autos") + F.greatest(F.coalesce(F.col("_max"), F.lit(0)), F.col("_lift"))
-        rows = rows.withColumn("version_number", F.when(auto, numbered).otherwise(F.col("version_number")).cast("long")).drop(
-            "_cfg", "_max", "_autos", "_lift")
+        rows = _number_with_explicit(requests, base)
     rows = assign_sequential_ids(rows, state, "version_id", [F.col(SEQ)])
     actor = F.coalesce(F.col("created_by"), F.lit(S.DEFAULT_ACTOR)) if "created_by" in rows.columns else F.lit(S.DEFAULT_ACTOR)
     t = ts_literal(now)
@@ -216,6 +219,31 @@ def add_schema_versions(state: DataFrame, requests: DataFrame, now) -> DataFrame
     return conform(rows, state.schema)
 
 
+def _number_with_explicit(requests: DataFrame, base: DataFrame) -> DataFrame:
+    """Automatic numbers next to explicit ones, in one sorted pass (``ordered_slices``):
+
+    v_i = A_i + max(base, max over earlier explicit k of (e_k - A_k)), A = automatic
+    requests so far. Inside a slice A and the running max of (e_k - A_k) are window
+    aggregates; a slice's carry-in (A of earlier slices, and their best e_k - A_k, which
+    shifts by that same carry) comes from the per-slice summary windowed over the config.
+    """
+    group = ["table_config_id"]
+    auto = F.col("version_number").isNull()
+    r = ordered_slices(requests.withColumn("_auto", auto.cast("long")), [F.col(SEQ)], group)
+    r = r.withColumn("_a_loc", F.sum("_auto").over(in_slice(group)))
+    r = r.withColumn("_d", F.when(~auto, F.col("version_number") - F.col("_a_loc")))
+    r = r.withColumn("_d_loc", F.max("_d").over(in_slice(group)))
+    stats = r.groupBy(PID, *group).agg(F.sum("_auto").alias("_cnt"), F.max("_d").alias("_md"))
+    stats = stats.withColumn("_a_carry", F.coalesce(F.sum("_cnt").over(earlier_slices(group)), F.lit(0)))
+    stats = stats.withColumn("_p_carry", F.max(F.col("_md") - F.col("_a_carry")).over(earlier_slices(group)))
+    r = join_slice_stats(r, stats, group, ["_a_carry", "_p_carry"])
+    r = r.join(base, r["table_config_id"] == base["_cfg"], "left")
+    lift = F.greatest(F.col("_d_loc") - F.col("_a_carry"), F.col("_p_carry"))
+    numbered = F.col("_a_loc") + F.col("_a_carry") + F.greatest(F.coalesce(F.col("_max"), F.lit(0)), lift)
+    r = r.withColumn("version_number", F.when(auto, numbered).otherwise(F.col("version_number")).cast("long"))
+    return r.drop(PID, POS, "_auto", "_a_loc", "_d", "_d_loc", "_a_carry", "_p_carry", "_cfg", "_max")
+
+
 RUN_CLOSE_FIELDS = ["end_time", "elapsed_seconds", "rows_read", "rows_written", "watermark_start",
                     "watermark_end", "status", "error_message", "error_type"]
 

@@ -4,6 +4,7 @@ fixtures with a hot group, NULL groups and random input partitioning."""
 from __future__ import annotations
 
 import pandas as pd
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
@@ -11,7 +12,19 @@ from sluice.operators import keys as K
 
 GROUPS = st.sampled_from(["hot", "hot", "hot", "a", "b", None])
 ROWS = st.lists(st.tuples(GROUPS, st.integers(-50, 50)), min_size=0, max_size=60)
-SETTINGS = settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
+SETTINGS = settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+
+
+@pytest.fixture(autouse=True)
+def many_slices(spark):
+    """Keep every range partition (no AQE coalescing) so groups really span several tasks
+    and the carry-in between slices is exercised."""
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "5")
+    yield
+    for k, v in old.items():
+        spark.conf.set(k, v)
 
 
 def _frame(spark, data, parts):
@@ -71,3 +84,39 @@ def test_assign_ids_dense(spark, data, base):
     existing = spark.createDataFrame([(base,)], "id long")
     ids = sorted(r["id"] for r in K.assign_sequential_ids(df, existing, "id", ["uid"]).collect())
     assert ids == list(range(base + 1, base + 1 + len(pdf)))
+
+
+def _sequential_versions(base, reqs):
+    """Brute force: apply one request at a time."""
+    m, out = base, []
+    for e in reqs:
+        v = m + 1 if e is None else e
+        m = max(m, v)
+        out.append(v)
+    return out
+
+
+@SETTINGS
+@given(reqs=st.lists(st.one_of(st.none(), st.integers(0, 30)), min_size=1, max_size=40), base=st.integers(0, 10))
+def test_versions_match_one_by_one(spark, reqs, base):
+    import datetime as dt
+
+    from sluice import schemas as S
+    from sluice.operators import mutate as M
+
+    seed = dt.datetime(2024, 1, 1)
+    st_rows = [(1, 5, base, 1, "{}", "additive", None, "dev", False, "s", seed, "s", seed)] if base else []
+    state = spark.createDataFrame(st_rows, S.TABLES["tbl_schema_version"])
+    req = spark.createDataFrame([(5, i, e) for i, e in enumerate(reqs)], "table_config_id long, request_seq long, version_number long").repartition(3)
+    got = [r["version_number"] for r in M.add_schema_versions(state, req, "2024-02-01 00:00:00").orderBy("version_id").collect()]
+    assert got == _sequential_versions(base, reqs)
+
+
+def test_hot_group_really_spans_tasks(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.range(0, 3000).select(F.when(F.col("id") % 3 == 0, F.lit("cold")).otherwise(F.lit("hot")).alias("g"), "id")
+    sl = K.ordered_slices(df, ["id"], ["g"])
+    assert sl.filter("g = 'hot'").select(K.PID).distinct().count() > 1
+    got = K.sequence_within(df, ["id"], ["g"]).filter("g = 'hot'").agg(F.min("seq"), F.max("seq"), F.countDistinct("seq")).first()
+    assert tuple(got) == (1, 2000, 2000)
