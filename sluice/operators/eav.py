@@ -79,3 +79,23 @@ def connection_view(master: DataFrame, details: DataFrame, auth: DataFrame, only
         "auth": F.coalesce(F.col("auth"), F.expr(EMPTY_MAP)),
     })
     return out.withColumn("auth_type", infer_auth_type(F.col("auth")))
+
+
+def list_connections(master: DataFrame, details: DataFrame, auth: DataFrame, filters: dict | None = None,
+                     search_term: str | None = None, page_no: int = 1, page_size: int = 20) -> DataFrame:
+    """The connection list (D01 + D06 + D07 + D09 + D17 + D16) as one plan: filter and
+    search the masters, take the page (TakeOrderedAndProject), then build maps only for the
+    page's ids: the ids (at most ``MAX_PAGE_SIZE`` rows, a fixed bound) are broadcast into
+    semi joins on details and auth before their aggregation, so the EAV tables are scanned
+    but never aggregated or shuffled in full. Every row carries total and total_pages."""
+    from sluice.operators.reads import active as _active
+    from sluice.operators.reads import equality_filters, page, search, with_page_meta
+
+    flt = dict(filters or {})
+    state = flt.pop("is_active", True)
+    hits = search(equality_filters(_active(master, state), flt), search_term, ["connection_name", "connection_domain_name"])
+    pg = page(hits, page_no, page_size, "connection_id")
+    ids = F.broadcast(pg.select("connection_id"))
+    view = connection_view(pg, details.join(ids, "connection_id", "left_semi"), auth.join(ids, "connection_id", "left_semi"),
+                           only_active=False)
+    return with_page_meta(view, hits, page_size)

@@ -124,3 +124,27 @@ def child_history(df: DataFrame, parent: str, order_col: str, name: str = "posit
 
 def total_pages(total: int, page_size: int) -> int:
     return math.ceil(total / page_size) if total else 0
+
+
+CONFIG_LIST_FILTERS = ("env_type", "connection_source_id", "config_group", "load_type")
+
+
+def list_configs(configs: DataFrame, filters: dict | None = None, page_no: int = 1, page_size: int = DEFAULT_PAGE_SIZE) -> DataFrame:
+    """The pipeline-config list (D01 + D06 + D09 + D19): is_active filter (default true),
+    optional equality filters, the page by table_config_id DESC, JSON columns decoded
+    (tags -> array, [] when NULL or empty; source/target attributes -> maps), totals."""
+    from sluice.functions.exprs import decode_json_list, decode_json_map
+
+    flt = dict(filters or {})
+    state = flt.pop("is_active", True)
+    unknown = set(flt) - set(CONFIG_LIST_FILTERS)
+    if unknown:
+        raise ValueError(f"unknown filters {sorted(unknown)}")
+    hits = equality_filters(active(configs, state), flt)
+    pg = page(hits, page_no, page_size, "table_config_id").withColumns({
+        "tags": decode_json_list("tags"),
+        "source_attributes": decode_json_map("source_attributes"),
+    })
+    if "target_attributes" in configs.columns:
+        pg = pg.withColumn("target_attributes", decode_json_map("target_attributes"))
+    return with_page_meta(pg, hits, page_size)

@@ -228,6 +228,22 @@ def connection_view(spark, sf):
                     map_text("auth").alias("auth_text"), "auth_type")
 
 
+def connection_page(spark, sf):
+    """The connection list: dev connections matching 'conn_1', first page, with maps."""
+    v = EAV.list_connections(lenses.connections(spark, sf), lenses.details(spark, sf), _auth_rows(spark, sf),
+                             {"env_type": "dev"}, SEARCH_TERM, 1, R.DEFAULT_PAGE_SIZE)
+    return v.select("connection_id", "connection_name", map_text("details").alias("details_text"),
+                    map_text("auth").alias("auth_text"), "auth_type", "total", "total_pages")
+
+
+def config_page(spark, sf):
+    """The pipeline-config list: qa configs of one group, page 2 of 10, JSON decoded."""
+    v = R.list_configs(lenses.configs(spark, sf), {"env_type": "qa", "config_group": "grp_3"}, 2, 10)
+    return v.select("table_config_id", "load_type", F.array_join("tags", ",").alias("tags"),
+                    F.col("source_attributes")["schema"].alias("source_schema"),
+                    F.col("source_attributes")["table"].alias("source_table"), "total", "total_pages")
+
+
 # ---------------------------------------------------------------- JSON D18, D19
 
 def json_roundtrip(spark, sf):
@@ -785,6 +801,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "eav_to_map": eav_to_map,
     "auth_type": auth_type,
     "connection_view": connection_view,
+    "connection_page": connection_page,
+    "config_page": config_page,
     "json_roundtrip": json_roundtrip,
     "json_tags": json_tags,
     "connector_fields": connector_fields,

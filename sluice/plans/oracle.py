@@ -254,6 +254,27 @@ SELECT c.connection_id, c.connection_name, c.connection_type, coalesce(dm.detail
   coalesce(am.auth_text, '') AS auth_text, coalesce(am.auth_type, 'none') AS auth_type
 FROM conns c LEFT JOIN dm USING (connection_id) LEFT JOIN am USING (connection_id) WHERE c.is_active"""
 
+    q["connection_page"] = _with(CONNECTIONS, DETAILS, AUTH_ROWS,
+        """hits AS (SELECT * FROM conns WHERE is_active AND env_type = 'dev'
+    AND (contains(lower(connection_name), 'conn_1') OR contains(lower(connection_domain_name), 'conn_1')))""",
+        "pg AS (SELECT * FROM hits ORDER BY connection_id DESC LIMIT 20)",
+        """kv AS (SELECT connection_id, connection_property AS k, arg_max(coalesce(connection_property_value, ''), connection_property_id) AS v
+    FROM details WHERE is_active AND connection_property IS NOT NULL GROUP BY 1, 2)""",
+        """dm AS (SELECT connection_id, string_agg(k || '=' || v, ',' ORDER BY k || '=' || v) AS details_text FROM kv GROUP BY 1)""",
+        f"""am AS (SELECT connection_id, coalesce(list_aggregate(list_sort(list_transform(keys, lambda x: x || '=secret_' || CAST(connection_id AS VARCHAR))), 'string_agg', ','), '') AS auth_text,
+    {AUTH_TYPE_CASE} AS auth_type FROM auth_keys)""") + """
+SELECT pg.connection_id, pg.connection_name, coalesce(dm.details_text, '') AS details_text, coalesce(am.auth_text, '') AS auth_text,
+  coalesce(am.auth_type, 'none') AS auth_type, (SELECT count(*) FROM hits) AS total,
+  CAST(ceil((SELECT count(*) FROM hits) / 20.0) AS BIGINT) AS total_pages
+FROM pg LEFT JOIN dm USING (connection_id) LEFT JOIN am USING (connection_id)"""
+
+    q["config_page"] = _with(CONFIGS, "hits AS (SELECT * FROM configs WHERE is_active AND env_type = 'qa' AND config_group = 'grp_3')",
+        "pg AS (SELECT * FROM hits ORDER BY table_config_id DESC LIMIT 10 OFFSET 10)") + """
+SELECT table_config_id, load_type, coalesce(array_to_string(json_extract_string(tags, '$[*]'), ','), '') AS tags,
+  json_extract_string(source_attributes, '$.schema') AS source_schema, json_extract_string(source_attributes, '$.table') AS source_table,
+  (SELECT count(*) FROM hits) AS total, CAST(ceil((SELECT count(*) FROM hits) / 10.0) AS BIGINT) AS total_pages
+FROM pg"""
+
     q["json_roundtrip"] = """SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k,
   CAST(to_json({'k': CAST(json_extract(props, '$.k') AS INTEGER)}) AS VARCHAR) AS props_json FROM events"""
 

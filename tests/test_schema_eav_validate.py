@@ -177,3 +177,24 @@ def test_unique_names_self_exclusion(spark):
                                 "request_seq long, connection_id long, connection_name string, env_type string")
     got = {r["request_seq"]: r["error_code"] for r in rows(V.unique_names(req, existing, check_connector=False, exclude_col="connection_id"))}
     assert got == {1: None, 2: S.DUPLICATE_CONNECTION_NAME, 3: S.DUPLICATE_CONNECTION_NAME}
+
+
+def test_list_connections_builds_maps_for_page_only(spark):
+    master = spark.createDataFrame([(i, f"c{i}", "postgres", "dom", i % 2 == 0 and True or True, "dev") for i in range(1, 6)],
+                                   "connection_id long, connection_name string, connection_type string, connection_domain_name string, is_active boolean, env_type string")
+    det = spark.createDataFrame([(i, 1, "host", f"h{i}", True) for i in range(1, 6)],
+                                "connection_id long, connection_property_id long, connection_property string, connection_property_value string, is_active boolean")
+    auth = spark.createDataFrame([(5, 1, "api_key", "k", True)], "connection_id long, auth_property_id long, auth_property string, auth_property_value string, is_active boolean")
+    out = rows(EAV.list_connections(master, det, auth, {"env_type": "dev"}, "C", 1, 2), ["connection_id"])
+    assert [(r["connection_id"], r["details"], r["auth_type"], r["total"], r["total_pages"]) for r in out] == [
+        (4, {"host": "h4"}, "none", 5, 3), (5, {"host": "h5"}, "key", 5, 3)]
+
+
+def test_list_configs_decodes(spark):
+    from sluice.operators import reads as R
+
+    cfg = spark.createDataFrame([(1, "qa", True, '["a"]', '{"schema":"s","table":"t"}'), (2, "qa", True, None, "{}"), (3, "dev", True, "[]", "{}")],
+                                "table_config_id long, env_type string, is_active boolean, tags string, source_attributes string")
+    out = rows(R.list_configs(cfg, {"env_type": "qa"}, 1, 20), ["table_config_id"])
+    assert [(r["table_config_id"], r["tags"], r["source_attributes"].get("table"), r["total"]) for r in out] == [
+        (1, ["a"], "t", 2), (2, [], None, 2)]
