@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, StructType
+from pyspark.sql.types import DataType, StructType, TimestampNTZType, TimestampType
 
 from sluice.functions.exprs import row_hash
 from sluice.operators.conform import conform
@@ -128,6 +128,33 @@ def watermark_upserts(advanced: DataFrame, watermark_column: str, watermark_type
     )
 
 
+ISO_MICROS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+
+
+def run_close_requests(advanced: DataFrame, runs: DataFrame, now, status: str = "succeeded", actor: str = "system") -> DataFrame:
+    """R04 -> D36: close each config's latest open (active, running) run with the advance:
+    end_time = ``now``, elapsed seconds, rows read (= written), watermark start/end as ISO
+    text. The latest open run per config is a map-side max, joined on the config key."""
+    from sluice.operators.mutate import ts_literal
+
+    open_runs = runs.filter(F.col("is_active") & (F.col("status") == "running")).groupBy(
+        F.col("table_config_id").alias("_cfg")).agg(F.max(F.struct("table_run_id", "start_time")).alias("_r"))
+    t = ts_literal(now)
+    j = advanced.join(open_runs, advanced["table_config_id"] == open_runs["_cfg"], "inner")
+
+    def text(c):
+        return F.date_format(c, ISO_MICROS) if isinstance(advanced.schema[c].dataType, (TimestampType, TimestampNTZType)) \
+            else F.col(c).cast("string")
+
+    return j.select(
+        F.col("_r.table_run_id").alias("table_run_id"), F.col("_r.table_run_id").alias("request_seq"),
+        t.alias("end_time"), F.timestamp_diff("SECOND", F.col("_r.start_time"), t).cast("long").alias("elapsed_seconds"),
+        F.col("rows_read"), F.col("rows_read").alias("rows_written"),
+        text("watermark_start").alias("watermark_start"), text("watermark_end").alias("watermark_end"),
+        F.lit(status).alias("status"), F.lit(actor).alias("updated_by"),
+    )
+
+
 # ---- R05 natural-key upsert ----
 
 def latest_by_key(batch: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

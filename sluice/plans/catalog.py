@@ -577,6 +577,17 @@ def advance_and_upsert(spark, sf):
     return out.select("watermark_id", "table_config_id", "last_value", "last_run_id", "updated_by")
 
 
+def advance_and_close(spark, sf):
+    """R04 -> D36: each config's open run is closed with its watermark advance."""
+    state = _wm_state(spark, sf)
+    ev = read_table(spark, sf, "events").select("user_id", "ts")
+    adv = L.advance_watermark(state, L.incremental_by_config(ev, state, "user_id", "ts"), "user_id", "ts")
+    runs = C.conform(_seeded(lenses.runs(spark, sf)), TABLES["aud_table_run"])
+    out = M.close_runs(runs, L.run_close_requests(adv, runs, NOW, actor="loader"), NOW)
+    return out.select("table_run_id", "end_time", "elapsed_seconds", "rows_read", "rows_written", "watermark_start",
+                      "watermark_end", "status", "updated_by")
+
+
 LINE_CUT = "1997-01-01 00:00:00"
 LINE_KEYS = ["l_orderkey", "l_linenumber"]
 
@@ -844,6 +855,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pii_classify": pii_classify,
     "drift_versions": drift_versions,
     "advance_and_upsert": advance_and_upsert,
+    "advance_and_close": advance_and_close,
     "schema_drift": schema_drift,
     "dq_rules": dq_rules,
     "dq_quarantine": dq_quarantine,

@@ -628,6 +628,20 @@ FROM d LEFT JOIN base ON base.cfg = d.table_config_id"""
 SELECT w.watermark_id, w.table_config_id, CASE WHEN g.n > 0 THEN greatest(w.last_value, g.mx) ELSE w.last_value END AS last_value,
   CASE WHEN g.n > 0 THEN 'run_adv' ELSE 'seed_run' END AS last_run_id, CASE WHEN g.n > 0 THEN 'loader' ELSE 'seed' END AS updated_by
 FROM wm w LEFT JOIN got g ON g.user_id = w.table_config_id"""
+    q["advance_and_close"] = _with(RUNS, WATERMARKS, """got AS (SELECT e.user_id, max(e.ts) AS mx, count(*) AS n FROM events e
+    LEFT JOIN wm ON wm.table_config_id = e.user_id WHERE wm.last_value IS NULL OR e.ts > wm.last_value GROUP BY 1)""",
+        """adv AS (SELECT w.table_config_id, w.last_value AS ws, greatest(w.last_value, g.mx) AS we, CAST(coalesce(g.n, 0) AS BIGINT) AS n
+    FROM wm w LEFT JOIN got g ON g.user_id = w.table_config_id)""",
+        """op AS (SELECT table_config_id, max(table_run_id) AS rid FROM runs WHERE is_active AND status = 'running' GROUP BY 1)""",
+        """cl AS (SELECT op.rid AS table_run_id, adv.* FROM adv JOIN op USING (table_config_id))""") + f"""
+SELECT r.table_run_id, CASE WHEN h THEN {NOW} ELSE r.end_time END AS end_time,
+  CASE WHEN h THEN (epoch_us({NOW}) - epoch_us(r.start_time)) // 1000000 ELSE CAST(NULL AS BIGINT) END AS elapsed_seconds,
+  CASE WHEN h THEN cl.n ELSE r.rows_read END AS rows_read, CASE WHEN h THEN cl.n ELSE r.rows_written END AS rows_written,
+  CASE WHEN h THEN strftime(cl.ws, '%Y-%m-%dT%H:%M:%S.%f') END AS watermark_start,
+  CASE WHEN h THEN strftime(cl.we, '%Y-%m-%dT%H:%M:%S.%f') END AS watermark_end,
+  CASE WHEN h THEN 'succeeded' ELSE r.status END AS status, CASE WHEN h THEN 'loader' ELSE 'seed' END AS updated_by
+FROM (SELECT r.*, cl.table_run_id IS NOT NULL AND r.is_active AS h FROM runs r LEFT JOIN cl USING (table_run_id)) r
+LEFT JOIN cl USING (table_run_id)"""
     return q
 
 
