@@ -75,9 +75,9 @@ def test_eav_to_map_rules(spark):
          (1, 4, None, "x", True), (1, 5, "db", "gone", False), (2, 1, "k", "v", False)],
         "cid long, pid long, k string, v string, is_active boolean",
     )
-    out = {r["cid"]: r for r in rows(EAV.eav_to_map(d, "cid", "pid", "k", "v", "m"))}
+    out = {r["cid"]: r for r in rows(EAV.eav_to_map(d, "cid", "pid", "k", "v", "m").withColumn("keys", F.map_keys("m")))}
     assert set(out) == {1}
-    assert list(out[1]["m"].items()) == [("host", "b"), ("port", "")]
+    assert out[1]["keys"] == ["host", "port"] and out[1]["m"] == {"host": "b", "port": ""}
 
 
 def test_auth_type_inference(spark):
