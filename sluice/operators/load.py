@@ -165,17 +165,31 @@ def latest_by_key(batch: DataFrame, keys: list[str], order: list[str]) -> DataFr
     return best.select(*keys, *[F.col(f"_b.{c}").alias(c) for c in [*order, *rest]]).select(*batch.columns)
 
 
+def _matched_keys(target: DataFrame, batch_keys: DataFrame, keys: list[str]) -> DataFrame:
+    """Batch keys present in the target: a key-only scan of the target joined with the
+    batch's keys (which the planner broadcasts when the batch is small)."""
+    return target.select(*keys).join(batch_keys, keys, "inner").distinct()
+
+
 def upsert_by_key(target: DataFrame, batch: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Dedupe the batch to its latest row per key, update matched target rows,
-    insert new keys, keep the rest. Adds ``merge_action`` (insert/update/keep)."""
+    insert new keys, keep the rest. Adds ``merge_action`` (insert/update/keep).
+
+    No full outer join (which always shuffles both sides): the target left-joins the
+    deduplicated batch (broadcast by AQE when the batch is small, so the big target is
+    not shuffled), and the inserts are the batch keys absent from a key-only scan of the
+    target, an anti join between two batch-sized sides.
+    """
     latest = latest_by_key(batch, keys, order)
     b = latest.select(*[F.col(c).alias(f"_b_{c}") for c in latest.columns]).withColumn("_b_hit", F.lit(True))
-    t = target.withColumn("_t_hit", F.lit(True))
-    j = t.join(b, _key_cond(t, b, keys, "_b_"), "full_outer")
-    from_batch = F.col("_b_hit").isNotNull()
-    cols = [F.when(from_batch, F.col(f"_b_{c}")).otherwise(F.col(c)).alias(c) for c in target.columns]
-    action = F.when(from_batch & F.col("_t_hit").isNotNull(), F.lit("update")).when(from_batch, F.lit("insert")).otherwise(F.lit("keep"))
-    return j.select(*cols, action.alias("merge_action"))
+    j = target.join(b, _key_cond(target, b, keys, "_b_"), "left")
+    hit = F.col("_b_hit").isNotNull()
+    kept = j.select(*[F.when(hit, F.col(f"_b_{c}")).otherwise(F.col(c)).alias(c) for c in target.columns],
+                    F.when(hit, F.lit("update")).otherwise(F.lit("keep")).alias("merge_action"))
+    inserts = latest.join(_matched_keys(target, latest.select(*keys), keys), keys, "left_anti")
+    inserts = inserts.select(*[F.col(c) if c in inserts.columns else F.lit(None).cast(target.schema[c].dataType).alias(c)
+                               for c in target.columns], F.lit("insert").alias("merge_action"))
+    return kept.unionByName(inserts)
 
 
 # ---- R06 CDC apply ----
@@ -184,22 +198,30 @@ def cdc_apply(target: DataFrame, changes: DataFrame, keys: list[str], seq_col: s
               value_cols: list[str]) -> DataFrame:
     """Per key the last change by ``seq_col``; I/U upsert the values (active), D marks
     the target row inactive and keeps its values; a D for an unknown key adds nothing.
-    Output: keys, values, is_active, last_seq (NULL where no change applied)."""
+    Output: keys, values, is_active, last_seq (NULL where no change applied).
+
+    Same shape as R05: the target left-joins the folded changes (broadcastable when the
+    change set is small), new keys come from an anti join of change-sized sides.
+    """
     last = changes.groupBy(*keys).agg(F.max(F.struct(seq_col, op_col, *value_cols)).alias("_c")).select(
-        *[F.col(k).alias(f"_c_{k}") for k in keys],
-        F.col(f"_c.{seq_col}").alias("_c_seq"), F.col(f"_c.{op_col}").alias("_c_op"),
+        *keys, F.col(f"_c.{seq_col}").alias("_c_seq"), F.col(f"_c.{op_col}").alias("_c_op"),
         *[F.col(f"_c.{v}").alias(f"_c_{v}") for v in value_cols],
     )
-    t = target.select(*keys, *value_cols, "is_active").withColumn("_t_hit", F.lit(True))
-    j = t.join(last, _key_cond(t, last, keys, "_c_"), "full_outer")
-    j = j.filter(F.col("_t_hit").isNotNull() | (F.col("_c_op") != F.lit("D")))
+    c = last.select(*[F.col(k).alias(f"_c_{k}") for k in keys], "_c_seq", "_c_op", *[f"_c_{v}" for v in value_cols])
+    t = target.select(*keys, *value_cols, "is_active")
+    j = t.join(c, _key_cond(t, c, keys, "_c_"), "left")
     upsert = F.col("_c_op").isin("I", "U")
     delete = F.col("_c_op") == F.lit("D")
-    out = [F.coalesce(F.col(k), F.col(f"_c_{k}")).alias(k) for k in keys]
-    out += [F.when(upsert, F.col(f"_c_{v}")).otherwise(F.col(v)).alias(v) for v in value_cols]
-    out.append(F.when(upsert, F.lit(True)).when(delete, F.lit(False)).otherwise(F.col("is_active")).alias("is_active"))
-    out.append(F.col("_c_seq").alias("last_seq"))
-    return j.select(*out)
+    existing = j.select(
+        *keys,
+        *[F.when(upsert, F.col(f"_c_{v}")).otherwise(F.col(v)).alias(v) for v in value_cols],
+        F.when(upsert, F.lit(True)).when(delete, F.lit(False)).otherwise(F.col("is_active")).alias("is_active"),
+        F.col("_c_seq").alias("last_seq"),
+    )
+    fresh = last.filter(F.col("_c_op").isin("I", "U")).join(_matched_keys(t, last.select(*keys), keys), keys, "left_anti")
+    fresh = fresh.select(*keys, *[F.col(f"_c_{v}").alias(v) for v in value_cols], F.lit(True).alias("is_active"),
+                         F.col("_c_seq").alias("last_seq"))
+    return existing.unionByName(fresh)
 
 
 # ---- R09 partitioned write ----

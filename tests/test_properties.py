@@ -120,3 +120,24 @@ def test_hot_group_really_spans_tasks(spark):
     assert sl.filter("g = 'hot'").select(K.PID).distinct().count() > 1
     got = K.sequence_within(df, ["id"], ["g"]).filter("g = 'hot'").agg(F.min("seq"), F.max("seq"), F.countDistinct("seq")).first()
     assert tuple(got) == (1, 2000, 2000)
+
+
+KEYED = st.lists(st.tuples(st.integers(0, 8), st.integers(0, 5), st.integers(-3, 3)), max_size=25)
+
+
+@SETTINGS
+@given(target=st.dictionaries(st.integers(0, 8), st.integers(-3, 3), max_size=8), batch=KEYED)
+def test_upsert_matches_python_merge(spark, target, batch):
+    from sluice.operators import load as L
+
+    t = spark.createDataFrame([(k, 0, v) for k, v in target.items()], "k int, ver int, v int")
+    b = spark.createDataFrame(batch, "k int, ver int, v int")
+    got = {(r["k"]): (r["ver"], r["v"], r["merge_action"]) for r in L.upsert_by_key(t, b, ["k"], ["ver"]).collect()}
+    want = {k: (0, v, "keep") for k, v in target.items()}
+    latest = {}
+    for k, ver, v in batch:
+        if k not in latest or (ver, v) > latest[k]:
+            latest[k] = (ver, v)
+    for k, (ver, v) in latest.items():
+        want[k] = (ver, v, "update" if k in target else "insert")
+    assert got == want
