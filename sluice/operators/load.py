@@ -85,7 +85,10 @@ def hash_changes(source: DataFrame, target: DataFrame, keys: list[str], hash_col
     target's, with ``change_kind`` new/changed. One left join on the key; ``target``
     holds (keys, hash_col) of the last load."""
     src = source.withColumn(hash_col, row_hash(hash_cols))
-    tgt = target.select(*[F.col(k).alias(f"_t_{k}") for k in keys], F.col(hash_col).alias("_t_hash"))
+    # keep only the stored hashes of keys in this extract: a semi join that AQE broadcasts
+    # when the extract is small, so the stored (key, hash) table is scanned, not shuffled
+    relevant = target.select(*keys, hash_col).join(source.select(*keys), keys, "left_semi")
+    tgt = relevant.select(*[F.col(k).alias(f"_t_{k}") for k in keys], F.col(hash_col).alias("_t_hash"))
     j = src.join(tgt, _key_cond(src, tgt, keys, "_t_"), "left")
     kind = F.when(F.col(f"_t_{keys[0]}").isNull(), F.lit("new")).when(F.col("_t_hash") != F.col(hash_col), F.lit("changed"))
     return j.withColumn("change_kind", kind).filter(F.col("change_kind").isNotNull()).drop(
