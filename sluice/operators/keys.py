@@ -64,19 +64,33 @@ def join_slice_stats(ranked: DataFrame, stats: DataFrame, group: list[str], cols
     return ranked.join(s, cond, "inner").drop("_sj_pid", *[f"_sj_g_{i}" for i in range(len(group))])
 
 
-def sequence_within(df: DataFrame, order: list, group: list[str] | None = None, name: str = "seq") -> DataFrame:
+def sequence_within(df: DataFrame, order: list, group: list[str] | None = None, name: str = "seq",
+                    sums: dict[str, Column] | None = None) -> DataFrame:
     """Add ``name`` = 1-based position of each row inside its ``group`` under ``order``.
 
     ``order`` (names or Columns, ``.desc()`` allowed) must make the order total, otherwise
     ties are numbered in arrival order. NULL group values form their own group.
+
+    ``sums`` (output name -> numeric column) adds, in the same sorted pass, the sum of that
+    column over the group's *earlier* rows (an exclusive prefix sum), e.g. the offset at
+    which a row's children start when each row owns a variable number of them.
     """
     group = list(group or [])
-    ranked = ordered_slices(df, order, group)
-    stats = ranked.groupBy(PID, *group).agg(F.min(POS).alias("_sq_first"), F.count(F.lit(1)).alias("_sq_n"))
+    sums = dict(sums or {})
+    src = df.withColumns({f"_sq_v_{i}": F.coalesce(c, F.lit(0)).cast("long") for i, c in enumerate(sums.values())}) if sums else df
+    ranked = ordered_slices(src, order, group)
+    vals = [f"_sq_v_{i}" for i in range(len(sums))]
+    stats = ranked.groupBy(PID, *group).agg(F.min(POS).alias("_sq_first"), F.count(F.lit(1)).alias("_sq_n"),
+                                            *[F.sum(v).alias(f"{v}_part") for v in vals])
     stats = stats.withColumn("_sq_before", F.coalesce(F.sum("_sq_n").over(earlier_slices(group)), F.lit(0)))
-    out = join_slice_stats(ranked, stats, group, ["_sq_first", "_sq_before"])
+    for v in vals:
+        stats = stats.withColumn(f"{v}_carry", F.coalesce(F.sum(f"{v}_part").over(earlier_slices(group)), F.lit(0)))
+    if vals:
+        ranked = ranked.withColumns({f"{v}_loc": F.sum(v).over(in_slice(group)) - F.col(v) for v in vals})
+    out = join_slice_stats(ranked, stats, group, ["_sq_first", "_sq_before", *[f"{v}_carry" for v in vals]])
     out = out.withColumn(name, (F.col(POS) - F.col("_sq_first") + F.col("_sq_before") + F.lit(1)).cast("long"))
-    return out.drop(PID, POS, "_sq_first", "_sq_before")
+    out = out.withColumns({n: (F.col(f"{v}_loc") + F.col(f"{v}_carry")).cast("long") for n, v in zip(sums, vals)})
+    return out.drop(PID, POS, "_sq_first", "_sq_before", *vals, *[f"{v}_loc" for v in vals], *[f"{v}_carry" for v in vals])
 
 
 _RUNNING = {"sum": F.sum, "max": F.max, "min": F.min}

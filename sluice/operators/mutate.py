@@ -274,18 +274,28 @@ def composite_create(master: DataFrame, details: DataFrame, auth: DataFrame, req
     master (a reader never sees a parent without its children)."""
     checked = unique_names(requests, master)
     ok = checked.filter(F.col(ERROR).isNull()).drop(ERROR)
-    ok = assign_sequential_ids(ok, master, "connection_id", [F.col(SEQ)])
+    # One sorted pass gives each connection its id and the offsets at which its details
+    # and auth rows start, so the children's ids need no sort of their own.
+    ok = sequence_within(ok, [F.col(SEQ)], None, name="_pos", sums={
+        "_d_off": F.size("details") if "details" in ok.columns else F.lit(0),
+        "_a_off": F.size("auth") if "auth" in ok.columns else F.lit(0),
+    })
+    ok = ok.withColumns({
+        "connection_id": (next_id_base(master, "connection_id") + F.col("_pos")).cast("long"),
+        "_d_base": next_id_base(details, "connection_details_id") + F.col("_d_off"),
+        "_a_base": next_id_base(auth, "connection_auth_id") + F.col("_a_off"),
+    })
     ok = stamp(ok, now).withColumn("is_active", F.lit(True))
     ok = ok.withColumn("is_target", F.coalesce(as_flag("is_target", ok.schema["is_target"].dataType), F.lit(False))
                        if "is_target" in ok.columns else F.lit(False))
     carry = ["env_type", "is_active", "created_by", "created_at"]
     d = map_to_eav(ok, "connection_id", "details", "connection_property_id", "connection_property",
-                   "connection_property_value", carry)
-    d = d.withColumns({"updated_by": F.col("created_by"), "updated_at": F.col("created_at")})
-    d = assign_sequential_ids(d, details, "connection_details_id", ["connection_id", "connection_property_id"])
-    a = map_to_eav(ok, "connection_id", "auth", "auth_property_id", "auth_property", "auth_property_value", carry)
-    a = a.withColumns({"updated_by": F.col("created_by"), "updated_at": F.col("created_at")})
-    a = assign_sequential_ids(a, auth, "connection_auth_id", ["connection_id", "auth_property_id"])
+                   "connection_property_value", [*carry, "_d_base"])
+    d = d.withColumns({"updated_by": F.col("created_by"), "updated_at": F.col("created_at"),
+                       "connection_details_id": (F.col("_d_base") + F.col("connection_property_id")).cast("long")})
+    a = map_to_eav(ok, "connection_id", "auth", "auth_property_id", "auth_property", "auth_property_value", [*carry, "_a_base"])
+    a = a.withColumns({"updated_by": F.col("created_by"), "updated_at": F.col("created_at"),
+                       "connection_auth_id": (F.col("_a_base") + F.col("auth_property_id")).cast("long")})
     return {
         "connection_details": conform(d, details.schema),
         "connection_auth": conform(a, auth.schema),

@@ -141,3 +141,18 @@ def test_upsert_matches_python_merge(spark, target, batch):
     for k, (ver, v) in latest.items():
         want[k] = (ver, v, "update" if k in target else "insert")
     assert got == want
+
+
+@SETTINGS
+@given(data=ROWS, parts=st.integers(1, 5))
+def test_sequence_prefix_sums(spark, data, parts):
+    from pyspark.sql import functions as F
+
+    pdf, df = _frame(spark, data, parts)
+    out = K.sequence_within(df, ["uid"], ["g"], sums={"before": F.col("v")}).collect()
+    got = {r["uid"]: r["before"] for r in out}
+    if len(pdf):
+        pdf["k"] = pdf["g"].map(_key)
+        srt = pdf.sort_values("uid")
+        want = srt.groupby("k")["v"].cumsum() - srt["v"]
+        assert got == {int(srt.loc[i, "uid"]): int(want[i]) for i in srt.index}
