@@ -94,3 +94,34 @@ def decode_json_list(c: ColumnOrName, element: DataType | str = "string") -> Col
 def decode_json_map(c: ColumnOrName) -> Column:
     """JSON object text to map<string,string>; keys with JSON null stay present with NULL."""
     return F.from_json(_c(c), MapType(StringType(), StringType()))
+
+
+def encode_json_columns(df, cols: list[str]):
+    """D18 on write: the listed columns become JSON text, except those already text."""
+    out = {c: F.to_json(F.col(c)) for c in cols if c in df.columns and not isinstance(df.schema[c].dataType, StringType)}
+    return df.withColumns(out) if out else df
+
+
+# ---- fixed shapes of the JSON columns (declared in the configuration tables) ----
+LAYOUT_SCHEMA = "array<struct<name:string,type:string,nullable:boolean>>"
+DQ_RULES_SCHEMA = "array<struct<rule_name:string,expression:string>>"
+STD_RULES_SCHEMA = "array<struct<field:string,rule_type:string,rule_value:string>>"
+
+
+def decode_bts_config(df):
+    """D19 for BTS configs: silver_layout, dq_rules, std_rules and tags decoded to typed
+    arrays; NULL or empty text gives []."""
+    return df.withColumns({
+        "silver_layout": decode_json_list("silver_layout", LAYOUT_SCHEMA[6:-1]),
+        "dq_rules": decode_json_list("dq_rules", DQ_RULES_SCHEMA[6:-1]),
+        "std_rules": decode_json_list("std_rules", STD_RULES_SCHEMA[6:-1]),
+        "tags": decode_json_list("tags"),
+    })
+
+
+def decode_audit(df):
+    """D19 for audit runs: source/target attributes to maps; NULL or empty text stays NULL."""
+    return df.withColumns({
+        c: F.when(is_blank(c), F.lit(None).cast(MapType(StringType(), StringType()))).otherwise(decode_json_map(c))
+        for c in ("source_attributes", "target_attributes") if c in df.columns
+    })

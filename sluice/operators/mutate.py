@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import TimestampNTZType
 
 from sluice import schemas as S
-from sluice.functions.exprs import as_flag
+from sluice.functions.exprs import as_flag, encode_json_columns
 from sluice.operators.conform import conform
 from sluice.operators.eav import map_to_eav
 from sluice.operators.keys import (
@@ -200,6 +200,7 @@ def add_schema_versions(state: DataFrame, requests: DataFrame, now) -> DataFrame
     requests so far, computed in one skew-safe sorted pass.
     """
     base = state.groupBy(F.col("table_config_id").alias("_cfg")).agg(F.max("version_number").alias("_max"))
+    requests = encode_json_columns(requests, ["column_changes_json"])
     has_explicit = "version_number" in requests.columns and not requests.filter(F.col("version_number").isNotNull()).isEmpty()
     if not has_explicit:
         reqs = requests.drop("version_number") if "version_number" in requests.columns else requests
@@ -251,7 +252,7 @@ RUN_CLOSE_FIELDS = ["end_time", "elapsed_seconds", "rows_read", "rows_written",
 def open_runs(state: DataFrame, requests: DataFrame, now, order: list | None = None) -> DataFrame:
     """One audit row per request: status default 'running', start_time required
     (requests without one are not opened), ids D12, stamps D29. Returns only the new rows."""
-    reqs = requests.filter(F.col("start_time").isNotNull())
+    reqs = encode_json_columns(requests.filter(F.col("start_time").isNotNull()), ["source_attributes", "target_attributes"])
     reqs = reqs.withColumn("status", F.coalesce(F.col("status"), F.lit("running")) if "status" in reqs.columns else F.lit("running"))
     reqs = stamp(reqs, now).withColumn("is_active", F.lit(True))
     if "env_type" not in reqs.columns:
@@ -382,7 +383,7 @@ def create_configs(configs: DataFrame, watermarks: DataFrame, requests: DataFram
     stamp (D29, actor = created_by, default 'system'), conform to tbl_source_table; a
     request with ``watermark_column`` also gets its initial watermark through D33 with the
     same actor. Returns the new config rows, the new watermark state and the rejects."""
-    checked = bulk_validate(requests)
+    checked = bulk_validate(encode_json_columns(requests, ["source_attributes", "target_attributes", "tags"]))
     ok = checked.filter(F.col(ERROR).isNull()).drop(ERROR)
     ok = assign_sequential_ids(ok, configs, "table_config_id", [F.col(SEQ)])
     ok = with_config_defaults(stamp(ok, now).withColumn("is_active", F.lit(True)))

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.functions.exprs import decode_json_list, map_text, row_hash
+from sluice.functions.exprs import decode_bts_config, decode_json_list, map_text, row_hash
 from sluice.operators import conform as C
 from sluice.operators import drift as DR
 from sluice.operators import eav as EAV
@@ -251,6 +251,26 @@ def json_roundtrip(spark, sf):
     return ev.select("event_id", F.col("p.k").alias("k"), F.to_json(F.struct(F.col("p.k").alias("k"))).alias("props_json"))
 
 
+def _bts_configs(spark, sf):
+    return read_table(spark, sf, "part").select(
+        F.col("p_partkey").alias("bts_config_id"),
+        E("""CASE p_size % 3 WHEN 0 THEN '[{"rule_name":"size_pos","expression":"p_size > 0"},{"rule_name":"price_max","expression":"p_retailprice < 990"}]'
+             WHEN 1 THEN '' ELSE NULL END""").alias("dq_rules"),
+        E("""CASE WHEN p_size > 25 THEN '[{"name":"p_partkey","type":"bigint","nullable":false}]' ELSE '[]' END""").alias("silver_layout"),
+        F.lit(None).cast("string").alias("std_rules"),
+        E("""CASE WHEN p_brand = 'Brand#1' THEN '["hot"]' END""").alias("tags"))
+
+
+def bts_decode(spark, sf):
+    """D19 for BTS configs: rules and layout decoded with [] for NULL or empty text."""
+    d = decode_bts_config(_bts_configs(spark, sf))
+    return d.select("bts_config_id", F.size("dq_rules").cast("long").alias("n_dq_rules"),
+                    F.get("dq_rules", 0)["rule_name"].alias("first_rule"),
+                    F.size("silver_layout").cast("long").alias("n_layout"),
+                    F.get("silver_layout", 0)["nullable"].alias("first_nullable"),
+                    F.size("std_rules").cast("long").alias("n_std"), F.size("tags").cast("long").alias("n_tags"))
+
+
 def json_tags(spark, sf):
     tags = decode_json_list("tags")
     return lenses.configs(spark, sf).select("table_config_id", F.size(tags).cast("long").alias("n_tags"),
@@ -816,6 +836,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "config_page": config_page,
     "json_roundtrip": json_roundtrip,
     "json_tags": json_tags,
+    "bts_decode": bts_decode,
     "connector_fields": connector_fields,
     "connector_check": connector_check,
     "load_type_check": load_type_check,

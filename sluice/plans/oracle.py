@@ -281,6 +281,20 @@ FROM pg"""
     q["json_tags"] = _with(CONFIGS) + """SELECT table_config_id, CAST(coalesce(json_array_length(tags), 0) AS BIGINT) AS n_tags,
   json_extract_string(tags, '$[0]') AS first_tag FROM configs"""
 
+    q["bts_decode"] = """WITH b AS (SELECT p_partkey AS bts_config_id,
+    CASE p_size % 3 WHEN 0 THEN '[{"rule_name":"size_pos","expression":"p_size > 0"},{"rule_name":"price_max","expression":"p_retailprice < 990"}]'
+      WHEN 1 THEN '' ELSE NULL END AS dq_rules,
+    CASE WHEN p_size > 25 THEN '[{"name":"p_partkey","type":"bigint","nullable":false}]' ELSE '[]' END AS silver_layout,
+    CASE WHEN p_brand = 'Brand#1' THEN '["hot"]' END AS tags FROM part)
+SELECT bts_config_id,
+  CAST(CASE WHEN coalesce(dq_rules, '') = '' THEN 0 ELSE json_array_length(dq_rules) END AS BIGINT) AS n_dq_rules,
+  CASE WHEN coalesce(dq_rules, '') = '' THEN NULL ELSE json_extract_string(dq_rules, '$[0].rule_name') END AS first_rule,
+  CAST(json_array_length(silver_layout) AS BIGINT) AS n_layout,
+  CAST(json_extract(silver_layout, '$[0].nullable') AS BOOLEAN) AS first_nullable,
+  CAST(0 AS BIGINT) AS n_std,
+  CAST(CASE WHEN coalesce(tags, '') = '' THEN 0 ELSE json_array_length(tags) END AS BIGINT) AS n_tags
+FROM b"""
+
     q["connector_fields"] = _with(CONNECTIONS, _registry_fields(), """present AS (
     SELECT s_suppkey AS connection_id, 'host' AS field_name FROM supplier
     UNION ALL SELECT s_suppkey, 'port' FROM supplier WHERE s_suppkey % 3 <> 0

@@ -198,3 +198,21 @@ def test_list_configs_decodes(spark):
     out = rows(R.list_configs(cfg, {"env_type": "qa"}, 1, 20), ["table_config_id"])
     assert [(r["table_config_id"], r["tags"], r["source_attributes"].get("table"), r["total"]) for r in out] == [
         (1, ["a"], "t", 2), (2, [], None, 2)]
+
+
+def test_json_encode_only_non_text_and_decoders(spark):
+    from sluice.functions.exprs import decode_audit, decode_bts_config, encode_json_columns
+    from sluice.operators import quality as Q
+
+    df = spark.createDataFrame([({"schema": "s"}, '{"a":1}')], "source_attributes map<string,string>, target_attributes string")
+    enc = rows(encode_json_columns(df, ["source_attributes", "target_attributes"]))[0]
+    assert enc == {"source_attributes": '{"schema":"s"}', "target_attributes": '{"a":1}'}
+    aud = rows(decode_audit(spark.createDataFrame([("",), (None,), ('{"k":"v"}',)], "source_attributes string")))
+    assert [r["source_attributes"] for r in aud] == [None, None, {"k": "v"}]
+    bts = spark.createDataFrame([('[{"rule_name":"pos","expression":"x > 0"}]', "", None, None)],
+                                "dq_rules string, silver_layout string, std_rules string, tags string")
+    row = decode_bts_config(bts).first()
+    assert row["silver_layout"] == [] and row["std_rules"] == [] and row["tags"] == []
+    rules = [r.asDict() for r in row["dq_rules"]]
+    data = spark.createDataFrame([(1,), (-1,)], "x int")
+    assert [r["failed_rules"] for r in rows(Q.evaluate_rules(data, rules), ["x"])] == [["pos"], []]
