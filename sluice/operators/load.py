@@ -229,11 +229,25 @@ def cdc_apply(target: DataFrame, changes: DataFrame, keys: list[str], seq_col: s
 
 # ---- R09 partitioned write ----
 
-def partitioned_write(df: DataFrame, path: str, partition_cols: list[str], fmt: str = "parquet") -> str:
+def partitioned_write(df: DataFrame, path: str, partition_cols: list[str], fmt: str = "parquet",
+                      cluster: bool = False, num_partitions: int | None = None,
+                      max_records_per_file: int | None = None) -> str:
     """Write by partition columns, replacing only the partitions present in ``df``
-    (dynamic partition overwrite); untouched partitions stay as they are."""
-    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-       .partitionBy(*partition_cols).format(fmt).save(path))
+    (dynamic partition overwrite); untouched partitions stay as they are.
+
+    ``cluster`` range-partitions on (partition columns, a deterministic row hash) first:
+    each task then writes few partition values (few files), while a partition value with
+    a third of the rows is still spread over many tasks. The hash, unlike ``rand()``,
+    gives the same layout when a task is retried.
+    """
+    out = df
+    if cluster:
+        n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        out = df.repartitionByRange(n, *[F.col(c) for c in partition_cols], F.xxhash64(*[F.col(c) for c in df.columns]))
+    w = out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_cols).format(fmt)
+    if max_records_per_file:
+        w = w.option("maxRecordsPerFile", str(max_records_per_file))
+    w.save(path)
     return path
 
 

@@ -649,8 +649,9 @@ def row_hash_query(spark, sf):
 def partition_write(spark, sf):
     path = work_path(spark, "orders_by_status")
     o = read_table(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus")
-    L.partitioned_write(o, path, ["o_orderstatus"])
-    L.partitioned_write(o.filter(F.col("o_orderstatus") == "P").withColumn("o_orderpriority", F.lit("REWRITTEN")), path, ["o_orderstatus"])
+    L.partitioned_write(o, path, ["o_orderstatus"], cluster=True)
+    L.partitioned_write(o.filter(F.col("o_orderstatus") == "P").withColumn("o_orderpriority", F.lit("REWRITTEN")), path,
+                        ["o_orderstatus"], cluster=True)
     return spark.read.parquet(path).select("o_orderkey", "o_orderstatus", "o_orderpriority")
 
 

@@ -71,6 +71,17 @@ def test_partitioned_write_replaces_only_touched(spark):
     assert sorted((r["id"], r["p"]) for r in spark.read.parquet(path).collect()) == [(2, "b"), (3, "a")]
 
 
+def test_partitioned_write_clustered_hot_value(spark):
+    path = work_path(spark, "t_part_hot")
+    df = spark.range(0, 3000).select((F.col("id") % 3 != 0).cast("string").alias("p"), "id")  # 'true' holds 2/3
+    L.partitioned_write(df, path, ["p"], cluster=True, num_partitions=6)
+    back = spark.read.parquet(path)
+    assert back.count() == 3000
+    import os
+    hot_files = [f for f in os.listdir(path.replace("file:", "") + "/p=true") if f.endswith(".parquet")]
+    assert len(hot_files) > 1  # the hot value was written by several tasks
+
+
 def test_full_load_and_connection_source(spark):
     path = work_path(spark, "t_full")
     L.full_load(spark.read.parquet(f"{SF001}/region.parquet"), path)
