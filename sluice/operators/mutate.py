@@ -373,7 +373,11 @@ def with_config_defaults(df: DataFrame) -> DataFrame:
     out = {}
     for name, value in CONFIG_DEFAULTS.items():
         lit = F.lit(value)
-        out[name] = F.coalesce(F.col(name), lit) if name in df.columns else lit
+        if name not in df.columns:
+            out[name] = lit
+            continue
+        col = as_flag(name, df.schema[name].dataType) if isinstance(value, bool) else F.col(name)
+        out[name] = F.coalesce(col, lit.cast(df.schema[name].dataType) if not isinstance(value, bool) else lit)
     return df.withColumns(out)
 
 

@@ -212,3 +212,11 @@ def test_create_configs_with_watermark(spark):
     wm = rows(out["tbl_watermark"])
     assert [(r["watermark_id"], r["table_config_id"], r["created_by"], r["updated_by"]) for r in wm] == [(1, 1, "ann", "ann")]
     assert [r["error_code"] for r in rows(out["rejects"])] == [S.INVALID_SOURCE_ATTRIBUTES]
+
+
+def test_config_defaults_with_int_flags(spark):
+    req = spark.createDataFrame([(1, 7, "d", "g", '{"schema":"s","table":"t"}', "full", 1, None, None)],
+                                "request_seq long, connection_source_id long, connection_domain_name string, config_group string, "
+                                "source_attributes string, load_type string, watermark_enabled int, retry_count int, tags string")
+    out = rows(M.create_configs(C.empty_table(spark, "tbl_source_table"), C.empty_table(spark, "tbl_watermark"), req, NOW)["tbl_source_table"])
+    assert (out[0]["watermark_enabled"], out[0]["pii_scan_enabled"], out[0]["retry_count"], out[0]["tags"]) == (True, False, 0, "[]")
