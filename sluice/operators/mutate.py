@@ -50,6 +50,12 @@ def _active(df: DataFrame) -> Column:
     return as_flag("is_active", df.schema["is_active"].dataType)
 
 
+def _as_state_type(state: DataFrame, name: str, value: Column) -> Column:
+    """A change value in the state column's type (0/1 flags become booleans, D05)."""
+    typ = state.schema[name].dataType
+    return as_flag(value, None) if typ.typeName() == "boolean" else value.cast(typ)
+
+
 def _latest_value(col: str, seq: str = SEQ) -> Column:
     """Last non-NULL value of ``col`` in request order (max_by ignores NULL orderings)."""
     return F.max_by(F.col(col), F.when(F.col(col).isNotNull(), F.col(seq)))
@@ -79,7 +85,7 @@ def patch_update(state: DataFrame, changes: DataFrame, key: str, fields: list[st
     )
     j = state.join(folded, state[key] == folded["_k"], "left")
     hit = F.col("_k").isNotNull() & _active(state)
-    out = {f: F.when(hit, F.coalesce(F.col(f"_new_{f}"), F.col(f))).otherwise(F.col(f)) for f in fields}
+    out = {f: F.when(hit, F.coalesce(_as_state_type(state, f, F.col(f"_new_{f}")), F.col(f))).otherwise(F.col(f)) for f in fields}
     out["updated_by"] = F.when(hit, F.col("_new_actor")).otherwise(F.col("updated_by"))
     out["updated_at"] = F.when(hit, ts_literal(now)).otherwise(F.col("updated_at"))
     return j.withColumns(out).select(*state.columns)
@@ -94,7 +100,7 @@ def overwrite_update(state: DataFrame, changes: DataFrame, key: str, fields: lis
     ).select("_k", "_l.*")
     j = state.join(last, state[key] == last["_k"], "left")
     hit = F.col("_k").isNotNull() & _active(state)
-    out = {f: F.when(hit, F.col(f"_new_{f}")).otherwise(F.col(f)) for f in fields}
+    out = {f: F.when(hit, _as_state_type(state, f, F.col(f"_new_{f}"))).otherwise(F.col(f)) for f in fields}
     out["updated_by"] = F.when(hit, F.col("_actor")).otherwise(F.col("updated_by"))
     out["updated_at"] = F.when(hit, ts_literal(now)).otherwise(F.col("updated_at"))
     return j.withColumns(out).select(*state.columns)

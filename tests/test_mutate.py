@@ -220,3 +220,10 @@ def test_config_defaults_with_int_flags(spark):
                                 "source_attributes string, load_type string, watermark_enabled int, retry_count int, tags string")
     out = rows(M.create_configs(C.empty_table(spark, "tbl_source_table"), C.empty_table(spark, "tbl_watermark"), req, NOW)["tbl_source_table"])
     assert (out[0]["watermark_enabled"], out[0]["pii_scan_enabled"], out[0]["retry_count"], out[0]["tags"]) == (True, False, 0, "[]")
+
+
+def test_patch_with_int_flag_on_boolean_state(spark):
+    st = spark.createDataFrame([(1, False, True, "s", SEED)], "connection_id long, is_target boolean, is_active boolean, updated_by string, updated_at timestamp_ntz")
+    ch = spark.createDataFrame([(1, 1, 1)], "connection_id long, request_seq long, is_target int")
+    assert rows(M.patch_update(st, ch, "connection_id", ["is_target"], NOW))[0]["is_target"] is True
+    assert rows(M.overwrite_update(st, ch, "connection_id", ["is_target"], NOW))[0]["is_target"] is True
