@@ -91,6 +91,25 @@ def decode_json_list(c: ColumnOrName, element: DataType | str = "string") -> Col
     return F.coalesce(F.from_json(_c(c), typ), F.array().cast(typ))
 
 
+def json_truthy(v: Column) -> Column:
+    """Truthiness of a decoded JSON value (a VARIANT), as the reference's checks see it:
+    missing, null, "", 0, false, [] and {} are false; everything else is true."""
+    t = F.schema_of_variant(v)
+    return (
+        F.when(v.isNull() | (t == F.lit("VOID")), F.lit(False))
+        .when(t == F.lit("STRING"), F.variant_get(v, "$", "string") != F.lit(""))
+        .when(t == F.lit("BOOLEAN"), F.variant_get(v, "$", "boolean"))
+        .when(t.startswith("ARRAY"), F.size(F.variant_get(v, "$", "array<variant>")) > 0)
+        .when(t.startswith("OBJECT"), t != F.lit("OBJECT<>"))
+        .otherwise(F.variant_get(v, "$", "double") != F.lit(0.0))
+    )
+
+
+def decode_json_variants(c: ColumnOrName) -> Column:
+    """JSON object text to map<string,variant>: values keep their JSON type."""
+    return F.from_json(_c(c), "map<string,variant>")
+
+
 def decode_json_map(c: ColumnOrName) -> Column:
     """JSON object text to map<string,string>; keys with JSON null stay present with NULL."""
     return F.from_json(_c(c), MapType(StringType(), StringType()))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice import schemas as S
-from sluice.functions.exprs import decode_json_map, is_blank
+from sluice.functions.exprs import decode_json_variants, is_blank, json_truthy
 from sluice.operators.reads import active
 
 ERROR = "error_code"
@@ -98,14 +98,15 @@ def load_type_check(df: DataFrame, col: str = "load_type", required: bool = True
 
 
 def source_attributes_code(attrs_json: Column) -> Column:
-    """With a ``file_path`` key (even JSON null) an empty ``file_type`` ->
-    MISSING_REQUIRED_FIELD; otherwise empty ``schema`` or ``table`` ->
-    INVALID_SOURCE_ATTRIBUTES."""
-    m = decode_json_map(attrs_json)
+    """With a ``file_path`` key (even JSON null) a falsy ``file_type`` ->
+    MISSING_REQUIRED_FIELD; otherwise a falsy ``schema`` or ``table`` ->
+    INVALID_SOURCE_ATTRIBUTES. Values are decoded as VARIANT so falsiness follows the JSON
+    type (0, false, [], {} are falsy; the string "0" is not)."""
+    m = decode_json_variants(attrs_json)
     file_source = F.coalesce(F.map_contains_key(m, F.lit("file_path")), F.lit(False))
     return (
-        F.when(file_source & is_blank(m["file_type"]), F.lit(S.MISSING_REQUIRED_FIELD))
-        .when(~file_source & (is_blank(m["schema"]) | is_blank(m["table"])), F.lit(S.INVALID_SOURCE_ATTRIBUTES))
+        F.when(file_source & ~json_truthy(m["file_type"]), F.lit(S.MISSING_REQUIRED_FIELD))
+        .when(~file_source & ~(json_truthy(m["schema"]) & json_truthy(m["table"])), F.lit(S.INVALID_SOURCE_ATTRIBUTES))
     )
 
 

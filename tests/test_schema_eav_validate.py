@@ -216,3 +216,14 @@ def test_json_encode_only_non_text_and_decoders(spark):
     rules = [r.asDict() for r in row["dq_rules"]]
     data = spark.createDataFrame([(1,), (-1,)], "x int")
     assert [r["failed_rules"] for r in rows(Q.evaluate_rules(data, rules), ["x"])] == [["pos"], []]
+
+
+def test_source_attributes_json_truthiness(spark):
+    df = spark.createDataFrame(
+        [(1, '{"schema": 0, "table": "t"}'), (2, '{"schema": "0", "table": "t"}'), (3, '{"schema": "s", "table": []}'),
+         (4, '{"schema": "s", "table": {"a": 1}}'), (5, '{"file_path": "/x", "file_type": false}'), (6, '{"file_path": 1, "file_type": "csv"}'),
+         (7, "not json"), (8, '{"schema": true, "table": 2.5}')],
+        "id int, source_attributes string")
+    got = {r["id"]: r["error_code"] for r in rows(V.source_attributes_check(df))}
+    assert got == {1: S.INVALID_SOURCE_ATTRIBUTES, 2: None, 3: S.INVALID_SOURCE_ATTRIBUTES, 4: None,
+                   5: S.MISSING_REQUIRED_FIELD, 6: None, 7: S.INVALID_SOURCE_ATTRIBUTES, 8: None}
