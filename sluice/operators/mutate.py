@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import TimestampNTZType
 
 from sluice import schemas as S
-from sluice.functions.exprs import as_flag, encode_json_columns
+from sluice.functions.exprs import as_flag, encode_json_columns, json_truthy
 from sluice.operators.conform import conform
 from sluice.operators.eav import map_to_eav
 from sluice.operators.keys import (
@@ -30,7 +30,15 @@ from sluice.operators.keys import (
     sequence_within,
 )
 from sluice.operators.reads import latest_per_key
-from sluice.operators.validate import ERROR, bulk_validate, connector_code, missing_parent, unique_names
+from sluice.operators.validate import (
+    ERROR,
+    bulk_validate,
+    connector_code,
+    load_type_code,
+    missing_parent,
+    source_attributes_code,
+    unique_names,
+)
 
 SEQ = "request_seq"
 
@@ -365,6 +373,37 @@ def update_connections(master: DataFrame, details: DataFrame, auth: DataFrame, r
     return out
 
 
+CONFIG_UPDATE_FIELDS = ["connection_source_id", "connection_domain_name", "config_group", "source_attributes",
+                        "target_attributes", "load_type", "natural_key_columns", "hash_key_column", "partition_columns",
+                        "watermark_enabled", "pii_scan_enabled", "fail_mode", "retry_count", "ingestion_frequency", "tags",
+                        "env_type"]
+
+
+def validate_config_updates(configs: DataFrame, requests: DataFrame) -> DataFrame:
+    """D25 then D22 and D23 for config updates: PIPELINE_CONFIG_NOT_FOUND without an active
+    config; a supplied load type must be known; supplied (non-empty) source attributes must
+    pass D23."""
+    checked = missing_parent(requests, configs, "table_config_id")
+    if "load_type" in checked.columns:
+        checked = checked.withColumn(ERROR, F.coalesce(F.col(ERROR), load_type_code(F.col("load_type"), required=False)))
+    if "source_attributes" in checked.columns:
+        # validated only when the supplied object is truthy ({} and empty text are skipped)
+        supplied = json_truthy(F.try_parse_json(F.col("source_attributes")))
+        checked = checked.withColumn(ERROR, F.coalesce(F.col(ERROR), F.when(supplied, source_attributes_code(F.col("source_attributes")))))
+    return checked
+
+
+def update_configs(configs: DataFrame, requests: DataFrame, now) -> dict[str, DataFrame]:
+    """D27 for pipeline configs: validated requests (D25, D22, D23) patch the active
+    configs, attribute and tag values JSON-encoded when not text (D18), NULL keeps, the
+    last request per config wins field by field. Returns the new state and the rejects."""
+    checked = validate_config_updates(configs, encode_json_columns(requests, ["source_attributes", "target_attributes", "tags"]))
+    ok = checked.filter(F.col(ERROR).isNull()).drop(ERROR)
+    fields = [f for f in CONFIG_UPDATE_FIELDS if f in ok.columns and f in configs.columns]
+    return {"tbl_source_table": patch_update(configs, ok, "table_config_id", fields, now),
+            "rejects": checked.filter(F.col(ERROR).isNotNull())}
+
+
 WATERMARK_REQUEST_FIELDS = ["watermark_column", "watermark_type", "last_value", "last_run_id"]
 
 # ---- fixed values: defaults of a pipeline-config create request ----

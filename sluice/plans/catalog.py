@@ -353,6 +353,19 @@ def patch_update(spark, sf):
     return out.select("table_config_id", "config_group", "load_type", "ingestion_frequency", "is_active", "updated_by", "updated_at")
 
 
+def update_configs(spark, sf):
+    """D27 with its checks: orders as update requests for the configs (customers)."""
+    state = _seeded(lenses.configs(spark, sf).select("table_config_id", "config_group", "load_type", "source_attributes", "is_active"))
+    req = read_table(spark, sf, "orders").select(
+        F.col("o_custkey").alias("table_config_id"), F.col("o_orderkey").alias("request_seq"),
+        E("CASE o_orderstatus WHEN 'F' THEN 'incremental' WHEN 'P' THEN 'bogus' END").alias("load_type"),
+        E("""CASE o_orderpriority WHEN '5-LOW' THEN '{"schema":""}' WHEN '1-URGENT' THEN '{"schema":"s2","table":"t2"}' END""").alias("source_attributes"),
+        E("CASE WHEN o_orderkey % 4 = 0 THEN concat('grp_o', CAST(o_orderkey % 3 AS STRING)) END").alias("config_group"),
+        F.lit("editor").alias("updated_by"))
+    out = M.update_configs(state, req, NOW)["tbl_source_table"]
+    return out.select("table_config_id", "config_group", "load_type", "source_attributes", "is_active", "updated_by", "updated_at")
+
+
 def _wm_state(spark, sf):
     wm = lenses.watermarks(spark, sf).withColumns({"last_run_id": F.lit("seed_run"), "env_type": F.lit("dev")})
     return _seeded(wm)
@@ -846,6 +859,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "missing_parent": missing_parent,
     "bulk_create": bulk_create,
     "patch_update": patch_update,
+    "update_configs": update_configs,
     "overwrite_update": overwrite_update,
     "soft_delete": soft_delete,
     "cascade_delete": cascade_delete,

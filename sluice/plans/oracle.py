@@ -339,6 +339,25 @@ SELECT c.table_config_id,
   CASE WHEN f.table_config_id IS NOT NULL AND c.is_active THEN {NOW} ELSE {SEED} END AS updated_at
 FROM configs c LEFT JOIN f USING (table_config_id)"""
 
+    q["update_configs"] = _with(CONFIGS, """req AS (SELECT o_custkey AS table_config_id, o_orderkey AS request_seq,
+    CASE o_orderstatus WHEN 'F' THEN 'incremental' WHEN 'P' THEN 'bogus' END AS load_type,
+    CASE o_orderpriority WHEN '5-LOW' THEN '{"schema":""}' WHEN '1-URGENT' THEN '{"schema":"s2","table":"t2"}' END AS source_attributes,
+    CASE WHEN o_orderkey % 4 = 0 THEN concat('grp_o', CAST(o_orderkey % 3 AS VARCHAR)) END AS config_group FROM orders)""",
+        f"""ok AS (SELECT r.* FROM req r WHERE r.table_config_id IN (SELECT table_config_id FROM configs WHERE is_active)
+    AND (r.load_type IS NULL OR r.load_type IN ('full','incremental','cdc','api','file_autoloader'))
+    AND (r.source_attributes IS NULL OR ({SOURCE_CODE.replace("source_attributes", "r.source_attributes")}) IS NULL))""",
+        """f AS (SELECT table_config_id, arg_max(config_group, request_seq) FILTER (WHERE config_group IS NOT NULL) AS n_cg,
+    arg_max(load_type, request_seq) FILTER (WHERE load_type IS NOT NULL) AS n_lt,
+    arg_max(source_attributes, request_seq) FILTER (WHERE source_attributes IS NOT NULL) AS n_sa FROM ok GROUP BY 1)""") + f"""
+SELECT c.table_config_id,
+  CASE WHEN f.table_config_id IS NOT NULL AND c.is_active THEN coalesce(n_cg, c.config_group) ELSE c.config_group END AS config_group,
+  CASE WHEN f.table_config_id IS NOT NULL AND c.is_active THEN coalesce(n_lt, c.load_type) ELSE c.load_type END AS load_type,
+  CASE WHEN f.table_config_id IS NOT NULL AND c.is_active THEN coalesce(n_sa, c.source_attributes) ELSE c.source_attributes END AS source_attributes,
+  c.is_active,
+  CASE WHEN f.table_config_id IS NOT NULL AND c.is_active THEN 'editor' ELSE 'seed' END AS updated_by,
+  CASE WHEN f.table_config_id IS NOT NULL AND c.is_active THEN {NOW} ELSE {SEED} END AS updated_at
+FROM configs c LEFT JOIN f USING (table_config_id)"""
+
     q["overwrite_update"] = _with(WATERMARKS, """ch AS (SELECT user_id AS table_config_id, ts AS last_value,
     CASE WHEN event_type = 'error' THEN NULL ELSE concat('run_', CAST(event_id AS VARCHAR)) END AS last_run_id
   FROM events WHERE ts >= TIMESTAMP '2024-01-15 00:00:00'

@@ -227,3 +227,15 @@ def test_patch_with_int_flag_on_boolean_state(spark):
     ch = spark.createDataFrame([(1, 1, 1)], "connection_id long, request_seq long, is_target int")
     assert rows(M.patch_update(st, ch, "connection_id", ["is_target"], NOW))[0]["is_target"] is True
     assert rows(M.overwrite_update(st, ch, "connection_id", ["is_target"], NOW))[0]["is_target"] is True
+
+
+def test_update_configs_checks(spark):
+    st = spark.createDataFrame([(1, "full", '{"schema":"a","table":"b"}', True, "s", SEED), (2, "full", "{}", False, "s", SEED)],
+                               "table_config_id long, load_type string, source_attributes string, is_active boolean, updated_by string, updated_at timestamp_ntz")
+    req = spark.createDataFrame([(1, 1, "bogus", None), (1, 2, None, '{"schema":""}'), (1, 3, "cdc", "{}"), (2, 4, "cdc", None), (9, 5, "cdc", None)],
+                                "table_config_id long, request_seq long, load_type string, source_attributes string")
+    out = M.update_configs(st, req, NOW)
+    codes = {r["request_seq"]: r["error_code"] for r in rows(out["rejects"])}
+    assert codes == {1: S.INVALID_LOAD_TYPE, 2: S.INVALID_SOURCE_ATTRIBUTES, 4: S.PIPELINE_CONFIG_NOT_FOUND, 5: S.PIPELINE_CONFIG_NOT_FOUND}
+    got = {r["table_config_id"]: (r["load_type"], r["source_attributes"]) for r in rows(out["tbl_source_table"])}
+    assert got == {1: ("cdc", "{}"), 2: ("full", "{}")}
