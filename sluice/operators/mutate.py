@@ -404,6 +404,30 @@ def update_configs(configs: DataFrame, requests: DataFrame, now) -> dict[str, Da
             "rejects": checked.filter(F.col(ERROR).isNotNull())}
 
 
+BTS_JSON = ["silver_layout", "dq_rules", "std_rules", "tags"]
+BTS_FIELDS = ["dataset_name", "source_config_id", *BTS_JSON, "transformation_yaml", "env_type"]
+
+
+def create_bts(bts: DataFrame, requests: DataFrame, now) -> DataFrame:
+    """BTS config create: ids (D12, request order), stamps (D29), layout / rules / tags
+    JSON-encoded when not text (D18) and [] when absent, env_type default 'dev'. Returns
+    the new rows."""
+    reqs = encode_json_columns(requests, BTS_JSON)
+    reqs = reqs.withColumns({c: F.coalesce(F.col(c), F.lit("[]")) if c in reqs.columns else F.lit("[]") for c in BTS_JSON})
+    reqs = reqs.withColumn("env_type", F.coalesce(F.col("env_type"), F.lit("dev")) if "env_type" in reqs.columns else F.lit("dev"))
+    reqs = assign_sequential_ids(stamp(reqs, now).withColumn("is_active", F.lit(True)), bts, "bts_config_id", [F.col(SEQ)])
+    return conform(reqs, bts.schema)
+
+
+def update_bts(bts: DataFrame, requests: DataFrame, now) -> dict[str, DataFrame]:
+    """BTS config update: PIPELINE_CONFIG_NOT_FOUND without an active BTS row (D25), then
+    a patch (D27) of the supplied fields, JSON-encoded when not text."""
+    checked = missing_parent(encode_json_columns(requests, BTS_JSON), bts, "bts_config_id")
+    ok = checked.filter(F.col(ERROR).isNull()).drop(ERROR)
+    fields = [f for f in BTS_FIELDS if f in ok.columns]
+    return {"bts_config": patch_update(bts, ok, "bts_config_id", fields, now), "rejects": checked.filter(F.col(ERROR).isNotNull())}
+
+
 WATERMARK_REQUEST_FIELDS = ["watermark_column", "watermark_type", "last_value", "last_run_id"]
 
 # ---- fixed values: defaults of a pipeline-config create request ----

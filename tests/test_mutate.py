@@ -239,3 +239,20 @@ def test_update_configs_checks(spark):
     assert codes == {1: S.INVALID_LOAD_TYPE, 2: S.INVALID_SOURCE_ATTRIBUTES, 4: S.PIPELINE_CONFIG_NOT_FOUND, 5: S.PIPELINE_CONFIG_NOT_FOUND}
     got = {r["table_config_id"]: (r["load_type"], r["source_attributes"]) for r in rows(out["tbl_source_table"])}
     assert got == {1: ("cdc", "{}"), 2: ("full", "{}")}
+
+
+def test_bts_create_and_update(spark):
+    st = C.empty_table(spark, "bts_config")
+    req = spark.createDataFrame([(1, "ds_a", 7, [{"rule_name": "r", "expression": "x > 0"}], None)],
+                                "request_seq long, dataset_name string, source_config_id long, dq_rules array<struct<rule_name:string,expression:string>>, tags string")
+    new = rows(M.create_bts(st, req, NOW))
+    assert len(new) == 1
+    r = new[0]
+    assert (r["bts_config_id"], r["dq_rules"], r["silver_layout"], r["tags"], r["env_type"], r["created_by"]) == (
+        1, '[{"rule_name":"r","expression":"x > 0"}]', "[]", "[]", "dev", "system")
+    state = st.unionByName(M.create_bts(st, req, NOW))
+    upd = spark.createDataFrame([(1, 2, "ds_b", ["x"]), (5, 3, "nope", None)], "bts_config_id long, request_seq long, dataset_name string, tags array<string>")
+    out = M.update_bts(state, upd, NOW)
+    assert [x["error_code"] for x in rows(out["rejects"])] == [S.PIPELINE_CONFIG_NOT_FOUND]
+    got = rows(out["bts_config"])[0]
+    assert (got["dataset_name"], got["tags"], got["dq_rules"]) == ("ds_b", '["x"]', '[{"rule_name":"r","expression":"x > 0"}]')
