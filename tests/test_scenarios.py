@@ -122,3 +122,11 @@ def test_missing_table_is_invalid_source_attributes(spark):
     out = M.create_configs(C.empty_table(spark, "tbl_source_table"), C.empty_table(spark, "tbl_watermark"), req, NOW)
     assert [r["error_code"] for r in rows(out["rejects"])] == [S.INVALID_SOURCE_ATTRIBUTES]
     assert out["tbl_source_table"].count() == 0
+
+
+def test_partitioned_snapshot_round_trip(spark):
+    runs = C.conform(spark.createDataFrame([(1, "dev"), (2, "prod")], "table_run_id long, env_type string"), S.TABLES["aud_table_run"])
+    path = write_snapshot(runs, spark, "aud_table_run", partition_by=["env_type"])
+    back = read_snapshot(spark, path, "aud_table_run")
+    assert back.columns == S.column_names("aud_table_run")
+    assert [r["table_run_id"] for r in rows(back.filter("env_type = 'prod'"))] == [2]
