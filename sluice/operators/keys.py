@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluice.functions.exprs import epoch_millis
-from sluice.session import cut_lineage
+from sluice.session import pin
 
 _LOCAL_BITS = 33  # monotonically_increasing_id packs (partition << 33) + row index
 
@@ -29,14 +29,15 @@ PID, POS = "_sl_pid", "_sl_pos"
 def ordered_slices(df: DataFrame, order: list, group: list[str]) -> DataFrame:
     """The layout every skew-safe ordered operator shares: rows range-partitioned and
     sorted on (group, order), so one hot group is spread over many tasks, with the task id
-    (``_sl_pid``) and the position inside the task (``_sl_pos``) pinned by a reliable
-    checkpoint. A (task, group) pair is a *slice*; a group's slices are contiguous and in
+    (``_sl_pid``) and the position inside the task (``_sl_pos``) pinned by a written
+    table in the shared checkpoint folder. A (task, group) pair is a *slice*; a group's slices are contiguous and in
     task order, so per-slice summaries windowed over the group give each slice its carry-in.
     """
     sort_keys = [F.col(g) for g in group] + [_as_col(o) for o in order]
     ranked = df.orderBy(*sort_keys).withColumn("_sl_mid", F.monotonically_increasing_id())
-    # The ids depend on task layout; pin them before anything reads them twice.
-    ranked = cut_lineage(ranked)
+    # The ids depend on task layout; pin them (a written table in the shared checkpoint
+    # folder) before anything reads them twice.
+    ranked = pin(ranked, "slices")
     return ranked.withColumns({
         PID: F.shiftright("_sl_mid", _LOCAL_BITS),
         POS: F.col("_sl_mid").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1)),

@@ -144,3 +144,10 @@ def test_child_history_order(spark):
     pii = spark.createDataFrame([(1, 5, True), (2, 5, True), (3, 5, False), (4, 6, True)], "pii_id long, table_config_id long, is_active boolean")
     out = rows(R.child_history(pii, "table_config_id", "pii_id"), ["table_config_id", "position"])
     assert [(r["table_config_id"], r["pii_id"], r["position"]) for r in out] == [(5, 2, 1), (5, 1, 2), (6, 4, 1)]
+
+
+def test_positions_on_empty_input(spark):
+    empty = spark.createDataFrame([], "g string, v long")
+    assert K.sequence_within(empty, ["v"], ["g"]).count() == 0
+    assert K.assign_sequential_ids(empty, spark.createDataFrame([(3,)], "id long"), "id", ["v"]).count() == 0
+    assert K.running_within(empty, ["v"], ["g"], "v").count() == 0
