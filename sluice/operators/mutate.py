@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import TimestampNTZType
 
 from sluice import schemas as S
-from sluice.functions.exprs import as_flag, encode_json_columns, json_truthy
+from sluice.functions.exprs import as_flag, decode_json_variants, encode_json_columns
 from sluice.operators.conform import conform
 from sluice.operators.eav import map_to_eav
 from sluice.operators.keys import (
@@ -36,7 +36,7 @@ from sluice.operators.validate import (
     connector_code,
     load_type_code,
     missing_parent,
-    source_attributes_code,
+    source_attributes_code_of,
     unique_names,
 )
 
@@ -387,9 +387,10 @@ def validate_config_updates(configs: DataFrame, requests: DataFrame) -> DataFram
     if "load_type" in checked.columns:
         checked = checked.withColumn(ERROR, F.coalesce(F.col(ERROR), load_type_code(F.col("load_type"), required=False)))
     if "source_attributes" in checked.columns:
-        # validated only when the supplied object is truthy ({} and empty text are skipped)
-        supplied = json_truthy(F.try_parse_json(F.col("source_attributes")))
-        checked = checked.withColumn(ERROR, F.coalesce(F.col(ERROR), F.when(supplied, source_attributes_code(F.col("source_attributes")))))
+        # parsed once; validated only when the supplied object is truthy (non-empty)
+        checked = checked.withColumn("_sa", decode_json_variants("source_attributes"))
+        supplied = F.coalesce(F.size("_sa") > 0, F.lit(False))
+        checked = checked.withColumn(ERROR, F.coalesce(F.col(ERROR), F.when(supplied, source_attributes_code_of(F.col("_sa"))))).drop("_sa")
     return checked
 
 

@@ -102,7 +102,11 @@ def source_attributes_code(attrs_json: Column) -> Column:
     MISSING_REQUIRED_FIELD; otherwise a falsy ``schema`` or ``table`` ->
     INVALID_SOURCE_ATTRIBUTES. Values are decoded as VARIANT so falsiness follows the JSON
     type (0, false, [], {} are falsy; the string "0" is not)."""
-    m = decode_json_variants(attrs_json)
+    return source_attributes_code_of(decode_json_variants(attrs_json))
+
+
+def source_attributes_code_of(m: Column) -> Column:
+    """D23 on an already decoded map<string,variant>."""
     file_source = F.coalesce(F.map_contains_key(m, F.lit("file_path")), F.lit(False))
     return (
         F.when(file_source & ~json_truthy(m["file_type"]), F.lit(S.MISSING_REQUIRED_FIELD))
