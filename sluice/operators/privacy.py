@@ -49,42 +49,35 @@ def pii_scan(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     column's rows and the suggested protection. Value patterns: email, phone, national_id,
     financial (16 digits passing Luhn); column-name hints: full_name, health.
 
-    The columns are unpivoted in place (a generator, no shuffle) and every category is
-    counted in the same aggregation, combined map-side per column.
+    One global aggregation holds a ``count_if`` per (column, category): a single scan in
+    generated code, combined map-side into one row per task, with no per-column row
+    explosion and no keyed shuffle however wide the table is. The one result row is then
+    unpivoted into (column, category) rows.
     """
     import re
 
     cols = columns or [f.name for f in df.schema.fields if isinstance(f.dataType, StringType)]
-    long = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column_name"), F.col(c).alias("value")) for c in cols
-    ])).alias("_u")).select("_u.column_name", "_u.value")
-    tests = _value_tests(F.col("value"))
-    agg = long.groupBy("column_name").agg(
-        F.count(F.lit(1)).cast("long").alias("_rows"),
-        F.count("value").cast("long").alias("_nonnull"),
-        *[F.count_if(t).cast("long").alias(f"_m_{k}") for k, t in tests.items()],
-    )
-    hint_cats = {c: [k for k, pat in NAME_HINTS.items() if re.search(pat, c)] for c in cols}
-    rows = []
-    for cat in [*tests.keys(), *NAME_HINTS.keys()]:
-        if cat in tests:
-            matched = F.col(f"_m_{cat}")
-        else:
-            hit_cols = [c for c, cats in hint_cats.items() if cat in cats]
-            matched = F.when(F.col("column_name").isin(*hit_cols), F.col("_nonnull")).otherwise(F.lit(0).cast("long")) \
-                if hit_cols else F.lit(0).cast("long")
-        method, sens = SUGGESTED[cat]
-        rows.append(F.struct(
-            F.lit(cat).alias("pii_category"), matched.alias("matching_rows"),
-            F.lit(method).alias("protection_method"), F.lit(sens).alias("sensitivity"),
-        ))
-    out = agg.select("column_name", "_rows", F.explode(F.array(*rows)).alias("_c")).select(
-        "column_name", "_c.pii_category", "_c.matching_rows", "_rows", "_c.protection_method", "_c.sensitivity"
-    )
+    aggs = [F.count(F.lit(1)).cast("long").alias("_rows")]
+    for i, c in enumerate(cols):
+        aggs.append(F.count(F.col(c)).cast("long").alias(f"_nn_{i}"))
+        aggs += [F.count_if(t).cast("long").alias(f"_m_{i}_{k}") for k, t in _value_tests(F.col(c)).items()]
+    one = df.agg(*aggs)
+    entries = []
+    for i, c in enumerate(cols):
+        for cat in [*_value_tests(F.col(c)).keys(), *NAME_HINTS.keys()]:
+            if cat in NAME_HINTS:
+                matched = F.col(f"_nn_{i}") if re.search(NAME_HINTS[cat], c) else F.lit(0).cast("long")
+            else:
+                matched = F.col(f"_m_{i}_{cat}")
+            method, sens = SUGGESTED[cat]
+            entries.append(F.struct(
+                F.lit(c).alias("column_name"), F.lit(cat).alias("pii_category"), matched.alias("matching_rows"),
+                F.lit(method).alias("suggested_protection"), F.lit(sens).alias("sensitivity"),
+            ))
+    out = one.select("_rows", F.explode(F.array(*entries)).alias("_c")).select("_c.*", "_rows")
     return out.filter(F.col("matching_rows") > 0).select(
         "column_name", "pii_category", "matching_rows",
-        (F.col("matching_rows") / F.col("_rows")).alias("share"),
-        F.col("protection_method").alias("suggested_protection"), "sensitivity",
+        (F.col("matching_rows") / F.col("_rows")).alias("share"), "suggested_protection", "sensitivity",
     )
 
 
