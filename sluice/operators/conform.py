@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StructField, StructType, TimestampNTZType, TimestampType
+from pyspark.sql.types import BooleanType, StructType, TimestampNTZType, TimestampType
 
 from sluice.functions.exprs import as_flag
 from sluice.schemas import TABLES
@@ -101,7 +101,3 @@ def store_flags(df: DataFrame, target: StructType) -> DataFrame:
         if f.name in df.columns and not isinstance(f.dataType, BooleanType) and isinstance(df.schema[f.name].dataType, BooleanType):
             out[f.name] = F.col(f.name).cast("int").cast(f.dataType)
     return df.withColumns(out) if out else df
-
-
-def with_fields(schema: StructType, extra: list[StructField]) -> StructType:
-    return StructType([*schema.fields, *extra])

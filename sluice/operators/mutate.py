@@ -472,7 +472,3 @@ def create_configs(configs: DataFrame, watermarks: DataFrame, requests: DataFram
     else:
         out["tbl_watermark"] = watermarks
     return out
-
-
-def next_ids(existing: DataFrame, id_col: str) -> Column:
-    return next_id_base(existing, id_col)

@@ -3,7 +3,6 @@ pages, latest row per key and ordered child history."""
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -122,10 +121,6 @@ def child_history(df: DataFrame, parent: str, order_col: str, name: str = "posit
     return sequence_within(active(df), [F.col(order_col).desc()], [parent], name=name)
 
 
-def total_pages(total: int, page_size: int) -> int:
-    return math.ceil(total / page_size) if total else 0
-
-
 CONFIG_LIST_FILTERS = ("env_type", "connection_source_id", "config_group", "load_type")
 
 

@@ -80,13 +80,6 @@ def pin(df: DataFrame, name: str = "pinned") -> DataFrame:
     return back
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the rows are written to the shared folder, so a lost executor
-    does not force a recompute of non-deterministic columns upstream."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def scale_conf(input_bytes: int, target_partition_bytes: int = 256 << 20, cores: int | None = None) -> dict[str, str]:
     """Settings sized from the bytes a job reads: enough shuffle partitions that each holds
     about ``target_partition_bytes`` (AQE coalesces small ones and splits skewed ones at run

@@ -231,3 +231,12 @@ def test_scale_conf_and_approx_p95(spark):
     exact = {(r["table_config_id"], r["status"]): r["p95_elapsed"] for r in rows(RU.run_metrics(runs))}
     approx = {(r["table_config_id"], r["status"]): r["p95_elapsed"] for r in rows(RU.run_metrics(runs, approx_p95=True))}
     assert exact[(1, "succeeded")] == 19.05 and approx[(1, "succeeded")] in (19.0, 20.0)
+
+
+def test_split_columns_and_jdbc_spec(spark):
+    from sluice.sources.connections import jdbc_spec
+
+    got = rows(spark.createDataFrame([(" a, b ,,c ",), (None,)], "t string").select(L.split_columns(F.col("t")).alias("c")))
+    assert [r["c"] for r in got] == [["a", "b", "c"], None]
+    spec = jdbc_spec("jdbc:x", "t", partition_column="id", lower=0, upper=100, num_partitions=4)
+    assert spec["options"]["numPartitions"] == "4" and spec["options"]["partitionColumn"] == "id"
