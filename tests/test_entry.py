@@ -26,3 +26,15 @@ def test_queries_run_on_smallest_data(spark):
     for name in ["search_page", "upsert_watermark", "pii_scan", "run_metrics", "schema_drift"]:
         df = qs[name](spark, "/root/testdata/sf0.001")
         df.write.format("noop").mode("overwrite").save()
+
+
+def test_no_python_in_any_plan(spark):
+    import re
+
+    python_nodes = re.compile(r"BatchEvalPython|ArrowEvalPython|MapInPandas|FlatMapGroupsInPandas|PythonUDF")
+    found = []
+    for name, fn in entry.queries().items():
+        plan = fn(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()  # noqa: SLF001
+        if python_nodes.search(plan):
+            found.append(name)
+    assert found == []
