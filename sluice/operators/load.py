@@ -195,6 +195,20 @@ def upsert_by_key(target: DataFrame, batch: DataFrame, keys: list[str], order: l
     return kept.unionByName(inserts)
 
 
+def merge_into_table(table: str, batch: DataFrame, keys: list[str], order: list[str]) -> None:
+    """R05 in place, for catalogs with row-level operations (Delta, Iceberg): the batch is
+    deduplicated to its latest row per key first (MERGE rejects several source rows for
+    one target row), then merged: matched rows updated, new keys inserted. Spark's
+    built-in catalog refuses row-level writes; there ``upsert_by_key`` plus a new
+    snapshot is the path."""
+    src = latest_by_key(batch, keys, order)
+    cond = None
+    for k in keys:
+        term = F.col(f"{table}.{k}") == src[k]
+        cond = term if cond is None else cond & term
+    src.mergeInto(table, cond).whenMatched().updateAll().whenNotMatched().insertAll().merge()
+
+
 # ---- R06 CDC apply ----
 
 def cdc_apply(target: DataFrame, changes: DataFrame, keys: list[str], seq_col: str, op_col: str,

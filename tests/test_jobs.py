@@ -240,3 +240,13 @@ def test_split_columns_and_jdbc_spec(spark):
     assert [r["c"] for r in got] == [["a", "b", "c"], None]
     spec = jdbc_spec("jdbc:x", "t", partition_column="id", lower=0, upper=100, num_partitions=4)
     assert spec["options"]["numPartitions"] == "4" and spec["options"]["partitionColumn"] == "id"
+
+
+def test_merge_into_refused_by_builtin_catalog(spark):
+    import pytest as _pytest
+
+    batch = spark.createDataFrame([(1, 1, "a"), (1, 2, "b")], "k int, ver int, v string")
+    assert rows(L.latest_by_key(batch, ["k"], ["ver"])) == [{"k": 1, "ver": 2, "v": "b"}]
+    spark.createDataFrame([(1, 0, "x")], "k int, ver int, v string").createOrReplaceTempView("merge_target_view")
+    with _pytest.raises(Exception):
+        L.merge_into_table("merge_target_view", batch, ["k"], ["ver"])
