@@ -208,22 +208,16 @@ def add_schema_versions(state: DataFrame, requests: DataFrame, now) -> DataFrame
     numbers and by the automatic numbers of earlier requests in the batch (request order).
     Ids are D12. Returns only the new rows.
 
-    Without explicit numbers an automatic number is base + its position among the
-    config's requests (skew-safe ``sequence_within``). With explicit numbers it is
-    A + max(base, max over earlier explicit k of (e_k - A_k)), where A counts the automatic
-    requests so far, computed in one skew-safe sorted pass.
+    An automatic number is A + max(base, max over earlier explicit k of (e_k - A_k)),
+    where A counts the automatic requests so far (without explicit numbers: base + A),
+    computed in one skew-safe sorted pass.
     """
     base = state.groupBy(F.col("table_config_id").alias("_cfg")).agg(F.max("version_number").alias("_max"))
     requests = encode_json_columns(requests, ["column_changes_json"])
-    has_explicit = "version_number" in requests.columns and not requests.filter(F.col("version_number").isNotNull()).isEmpty()
-    if not has_explicit:
-        reqs = requests.drop("version_number") if "version_number" in requests.columns else requests
-        rows = sequence_within(reqs, [F.col(SEQ)], ["table_config_id"], name="_vpos")
-        rows = rows.join(base, rows["table_config_id"] == base["_cfg"], "left").withColumn(
-            "version_number", (F.coalesce(F.col("_max"), F.lit(0)) + F.col("_vpos")).cast("long")
-        ).drop("_cfg", "_max", "_vpos")
-    else:
-        rows = _number_with_explicit(requests, base)
+    if "version_number" not in requests.columns:
+        requests = requests.withColumn("version_number", F.lit(None).cast("long"))
+    # one sorted pass whether or not explicit numbers are present (no extra job to look)
+    rows = _number_with_explicit(requests, base)
     rows = assign_sequential_ids(rows, state, "version_id", [F.col(SEQ)])
     actor = F.coalesce(F.col("created_by"), F.lit(S.DEFAULT_ACTOR)) if "created_by" in rows.columns else F.lit(S.DEFAULT_ACTOR)
     t = ts_literal(now)
