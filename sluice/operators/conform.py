@@ -51,16 +51,17 @@ def empty_table(spark: SparkSession, name: str) -> DataFrame:
 def bootstrap_tables(spark: SparkSession, root: str) -> dict[str, str]:
     """Create the nine empty tables under ``root`` if absent; idempotent.
 
-    Returns table name -> path. Existing tables are left untouched.
+    Returns table name -> path. Existing tables are left untouched. Only the DataFrame
+    reader and writer are used, so this also runs over Spark Connect.
     """
     paths = {}
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path  # noqa: SLF001 - existence check only
-    conf = spark._jsc.hadoopConfiguration()  # noqa: SLF001
     for name, schema in TABLES.items():
         path = f"{root.rstrip('/')}/{name}"
-        p = jvm_path(path)
-        fs = p.getFileSystem(conf)
-        if not fs.exists(p):
+        try:
+            spark.read.schema(schema).parquet(path).limit(0).collect()
+        except Exception as err:  # noqa: BLE001 - only a missing path means "create"
+            if "PATH_NOT_FOUND" not in str(err) and "does not exist" not in str(err):
+                raise
             spark.createDataFrame([], schema).write.mode("errorifexists").parquet(path)
         paths[name] = path
     return paths

@@ -41,9 +41,18 @@ def checkpoint_root(spark: SparkSession) -> str:
     Uses the directory the session already has (``spark.checkpoint.dir`` or an earlier
     ``setCheckpointDir``). A local-mode session without one gets a temporary folder; a
     cluster session without one is an error, because a machine-local folder would not be
-    visible to the other executors.
+    visible to the other executors. Over Spark Connect (no SparkContext on the client)
+    ``spark.checkpoint.dir`` must be set.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect client
+        sc = None
+    if sc is None:
+        configured = spark.conf.get("spark.checkpoint.dir", None)
+        if not configured:
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder before running sluice jobs")
+        return configured
     current = sc.getCheckpointDir()
     if current:
         return current
