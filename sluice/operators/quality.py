@@ -76,6 +76,23 @@ def apply_fail_mode(df: DataFrame, rules, mode: str) -> tuple[DataFrame, DataFra
     raise ValueError(f"unknown fail_mode {mode!r}")
 
 
+def run_outcome(df: DataFrame, rules, mode: str) -> DataFrame:
+    """R16 -> D36: what the run records for ``mode`` after the rules, in one aggregation:
+    rows_read, rows_written (halt writes nothing when any row fails; skip and quarantine
+    write the good rows), status, error_type 'dq' and a message naming the failed count."""
+    checked = evaluate_rules(df, rules)
+    agg = checked.agg(F.count(F.lit(1)).cast("long").alias("rows_read"),
+                      F.count_if(F.size(FAILED) > 0).cast("long").alias("_bad"))
+    halted = F.lit(mode == "halt") & (F.col("_bad") > 0)
+    return agg.select(
+        "rows_read",
+        F.when(halted, F.lit(0).cast("long")).otherwise(F.col("rows_read") - F.col("_bad")).alias("rows_written"),
+        F.when(halted, F.lit("failed")).otherwise(F.lit("succeeded")).alias("status"),
+        F.when(F.col("_bad") > 0, F.lit("dq")).alias("error_type"),
+        F.when(F.col("_bad") > 0, F.concat(F.col("_bad").cast("string"), F.lit(f" rows failed quality rules ({mode})"))).alias("error_message"),
+    )
+
+
 # ---- R17 standardisation ----
 
 def _std(col: Column, rule_type: str, value) -> Column:

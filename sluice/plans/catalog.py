@@ -771,6 +771,11 @@ def dq_quarantine(spark, sf):
     return bad.select("l_orderkey", "l_linenumber", F.array_join(Q.FAILED, ",").alias("failed_rules"))
 
 
+def dq_outcome(spark, sf):
+    """R16 -> D36: the run record of a quarantine-mode load of lineitem."""
+    return Q.run_outcome(read_table(spark, sf, "lineitem"), DQ_RULES, "quarantine")
+
+
 STD_RULES = [
     {"field": "p_name", "rule_type": "trim"},
     {"field": "p_name", "rule_type": "upper"},
@@ -895,6 +900,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "schema_drift": schema_drift,
     "dq_rules": dq_rules,
     "dq_quarantine": dq_quarantine,
+    "dq_outcome": dq_outcome,
     "standardise": standardise,
     "silver_layout": silver_layout,
     "run_metrics": run_metrics,

@@ -604,6 +604,12 @@ FROM per WHERE len(a) + len(r) + len(t) > 0"""
     q["dq_quarantine"] = f"""SELECT l_orderkey, l_linenumber, concat_ws(',', {names}) AS failed_rules FROM lineitem
 WHERE concat_ws(',', {names}) <> ''"""
 
+    any_fail = " OR ".join(f"NOT coalesce({e}, false)" for _n, e in DQ_CASES)
+    q["dq_outcome"] = f"""WITH c AS (SELECT count(*) AS n, count_if({any_fail}) AS bad FROM lineitem)
+SELECT CAST(n AS BIGINT) AS rows_read, CAST(n - bad AS BIGINT) AS rows_written, 'succeeded' AS status,
+  CASE WHEN bad > 0 THEN 'dq' END AS error_type,
+  CASE WHEN bad > 0 THEN CAST(bad AS VARCHAR) || ' rows failed quality rules (quarantine)' END AS error_message FROM c"""
+
     q["standardise"] = """SELECT p_partkey, upper(trim(p_name)) AS p_name, replace(p_brand, 'Brand#1', '') AS p_brand, lower(p_type) AS p_type,
   coalesce(p_size, 0) AS p_size FROM part"""
 

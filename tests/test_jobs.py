@@ -250,3 +250,14 @@ def test_merge_into_refused_by_builtin_catalog(spark):
     spark.createDataFrame([(1, 0, "x")], "k int, ver int, v string").createOrReplaceTempView("merge_target_view")
     with _pytest.raises(Exception):
         L.merge_into_table("merge_target_view", batch, ["k"], ["ver"])
+
+
+def test_run_outcome_per_fail_mode(spark):
+    df = spark.createDataFrame([(1,), (-1,), (2,)], "q int")
+    rules = [{"rule_name": "pos", "expression": "q > 0"}]
+    halt = rows(Q.run_outcome(df, rules, "halt"))[0]
+    assert (halt["rows_read"], halt["rows_written"], halt["status"], halt["error_type"]) == (3, 0, "failed", "dq")
+    skip = rows(Q.run_outcome(df, rules, "skip"))[0]
+    assert (skip["rows_written"], skip["status"], skip["error_message"]) == (2, "succeeded", "1 rows failed quality rules (skip)")
+    clean = rows(Q.run_outcome(df.filter("q > 0"), rules, "halt"))[0]
+    assert (clean["rows_written"], clean["status"], clean["error_type"]) == (2, "succeeded", None)
