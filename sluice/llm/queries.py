@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.llm import decontaminate as DC
+from sluice.llm import exactdedup as ED
+from sluice.llm import mixing as MX
+from sluice.llm import tokencount as TC
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -23,8 +26,29 @@ def op1_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
         DC.is_contaminated().alias("contaminated"))
 
 
+def op5_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        spec = f.read()
+    out = TC.token_counts(table(spark, sf, "documents"), spec)
+    return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
+
+
+def op8_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    out = ED.exact_groups(table(spark, sf, "documents"))
+    return out.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def op9_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    return MX.mix(table(spark, sf, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
+    "op5_token_counts": op5_token_counts,
+    "op8_exact_dedup": op8_exact_dedup,
+    "op9_mixing": op9_mixing,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -47,4 +71,8 @@ it AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item,
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN it USING (doc_id)""",
+    "op8_exact_dedup": """
+WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS t FROM documents),
+g AS (SELECT *, first_value(doc_id) OVER (PARTITION BY t ORDER BY n DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size FROM d)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM g""",
 }
