@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from sluice.llm import decontaminate as DC
 from sluice.llm import exactdedup as ED
+from sluice.llm import licenses as LI
 from sluice.llm import mixing as MX
 from sluice.llm import tokencount as TC
+from sluice.llm import urlfilter as UF
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -26,6 +28,12 @@ def op1_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
         DC.is_contaminated().alias("contaminated"))
 
 
+def op2_license_scan(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    fields = ("n_base", "first_word", "last_word", "base_labels", "labels", "score")
+    return LI.scan(docs).select("doc_id", *[F.col(f"license.{c}").alias(c) for c in fields])
+
+
 def op5_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     import public_tokenizers
 
@@ -35,6 +43,10 @@ def op5_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 
+def op7_url_filter(spark: SparkSession, sf: str) -> DataFrame:
+    return UF.judge(table(spark, sf, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op8_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     out = ED.exact_groups(table(spark, sf, "documents"))
     return out.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -46,7 +58,9 @@ def op9_mixing(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_license_scan": op2_license_scan,
     "op5_token_counts": op5_token_counts,
+    "op7_url_filter": op7_url_filter,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_mixing": op9_mixing,
 }
@@ -54,6 +68,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
+
+
+def _sql_array(values) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + "]"
+
+
+_NOTICES = ", ".join(f"({n}, '{t.label}', {_sql_array(LI.words_of(t.notice))}, {len(t.keys)})" for n, t in enumerate(LI.TEMPLATES))
+_PHRASES = ", ".join(f"({n}, {p.template}, {p.at}, {_sql_array(p.words)}, {str(p.base).lower()})" for n, p in enumerate(LI.phrases(LI.TEMPLATES)))
+_PATTERNS = " OR ".join(f"regexp_matches(subject, '{r.regex}')" for r in UF.PATTERNS)
+_SITES = ", ".join(f"('{r.rule}', '{r.rule.split('/', 1)[0]}', '/{r.rule.split('/', 1)[1]}', {str(r.allow).lower()})" for r in UF.SITE_RULES)
+
 ORACLE_SQL: dict[str, str] = {
     "op1_decontaminate": f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
@@ -75,4 +100,40 @@ FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN it USING (doc_id)""",
 WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS t FROM documents),
 g AS (SELECT *, first_value(doc_id) OVER (PARTITION BY t ORDER BY n DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size FROM d)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM g""",
+    "op2_license_scan": f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+t(template, label, notice, needed) AS (VALUES {_NOTICES}),
+p(phrase, template, tpos, k, base) AS (VALUES {_PHRASES}),
+pos AS (SELECT doc_id, w, unnest(generate_series(1, len(w))) AS i FROM d),
+hit AS (
+  SELECT doc_id, w, i - 1 AS start, p.* FROM pos JOIN p ON w[i] = k[1] AND list_slice(w, i, i + len(k) - 1) = k),
+place AS (
+  SELECT doc_id, any_value(w) AS w, template, start - tpos AS o FROM hit JOIN t USING (template)
+  GROUP BY doc_id, template, start - tpos HAVING count(*) >= any_value(needed)),
+cov AS (
+  SELECT doc_id, label, len(list_filter(generate_series(0, len(notice) - 1), lambda j: o + j >= 0 AND w[o + j + 1] = notice[j + 1])) / len(notice) AS c
+  FROM place JOIN t USING (template)),
+lab AS (
+  SELECT doc_id, label, true AS base FROM hit JOIN t USING (template) WHERE base UNION SELECT doc_id, label, false FROM cov),
+labs AS (
+  SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels,
+    string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base) AS base_labels FROM lab GROUP BY doc_id),
+b AS (SELECT doc_id, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word FROM hit WHERE base GROUP BY doc_id),
+s AS (SELECT doc_id, max(c) AS score FROM cov GROUP BY doc_id)
+SELECT doc_id, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
+  coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score
+FROM d LEFT JOIN labs USING (doc_id) LEFT JOIN b USING (doc_id) LEFT JOIN s USING (doc_id)""",
+    "op7_url_filter": f"""
+WITH u AS (
+  SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{_UPPER}', '{_LOWER}') AS host, regexp_replace(rest, '^[^/?#]*', '') AS after FROM u),
+x AS (SELECT page_id, host, regexp_extract(after, '^[^?#]*') AS path, host || after AS subject FROM h),
+r(rule, rhost, rpath, allow) AS (VALUES {_SITES}),
+best AS (
+  SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(allow, length(rule)) AS allow
+  FROM x JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY page_id)
+SELECT page_id, host, path, rule,
+  CASE WHEN rule IS NOT NULL THEN CASE WHEN allow THEN 'allow' ELSE 'block' END WHEN {_PATTERNS} THEN 'block' ELSE 'allow' END AS verdict
+FROM x LEFT JOIN best USING (page_id)""",
 }
