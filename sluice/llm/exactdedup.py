@@ -166,7 +166,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     fp = pin(fingerprints(d, split_chars), "fingerprints")
     best = F.min(F.struct((-F.col("n_chars")).alias("k"), "id", "h")).alias("best")
     key = ["m", "f1", "f2"]
-    groups = fp.groupBy(*key).agg(best, F.count(F.lit(1)).alias("n")).where("n > 1")
+    # pinned, as the other grouped join sides below: a join on a group's key then has exchanges
+    # of its own, which Spark splits where a group is hot
+    groups = pin(fp.groupBy(*key).agg(best, F.count(F.lit(1)).alias("n")).where("n > 1"), "groups")
     todo = fp.join(groups, key).select(
         "id", "h", "n_chars", *key, F.col("best.id").alias("lead_id"), F.col("best.h").alias("lead_h"))
     id_type = d.schema["id"].dataType
@@ -178,7 +180,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         todo = pin(todo, "equal-prints")
         leads = todo.select("lead_id", "lead_h").distinct()
         lead_chunks = chunks.join(leads, _same("id", "lead_id") & (F.col("h") == F.col("lead_h")), "left_semi").groupBy("id", "h", "idx").agg(F.first("chunk").alias("lead_chunk"))
-        lead_chunks = lead_chunks.withColumnsRenamed({"id": "l_id", "h": "l_h", "idx": "l_idx"})
+        lead_chunks = pin(lead_chunks.withColumnsRenamed({"id": "l_id", "h": "l_h", "idx": "l_idx"}), "lead-chunks")
         pairs = todo.select("id", "h", "lead_id", "lead_h").distinct().withColumnsRenamed({"id": "t_id", "h": "t_h"})
         mine = chunks.join(pairs, _same("id", "t_id") & (F.col("h") == F.col("t_h")))
         compared = mine.join(lead_chunks, _same("lead_id", "l_id") & (F.col("lead_h") == F.col("l_h")) & (F.col("idx") == F.col("l_idx")), "left")
@@ -190,9 +192,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         if verdict.where("NOT same").isEmpty():
             break
         left = judged.where("NOT same").drop("lead_id", "lead_h", "same")
-        nexts = left.groupBy(*key).agg(best)
+        nexts = pin(left.groupBy(*key).agg(best), "next-leads")
         todo = left.join(nexts, key).select("id", "h", "n_chars", *key, F.col("best.id").alias("lead_id"), F.col("best.h").alias("lead_h"))
-    sizes = settled.groupBy("lead_id", "lead_h").agg(F.count(F.lit(1)).alias("size")).withColumnsRenamed({"lead_id": "s_id", "lead_h": "s_h"})
+    sizes = pin(settled.groupBy("lead_id", "lead_h").agg(F.count(F.lit(1)).alias("size")).withColumnsRenamed({"lead_id": "s_id", "lead_h": "s_h"}), "sizes")
     found = settled.distinct().join(sizes, _same("lead_id", "s_id") & (F.col("lead_h") == F.col("s_h")))
     found = found.select(F.col("id").alias("g_id"), F.col("h").alias("g_h"), "lead_id", "size", F.lit(True).alias("grouped"))
     out = fp.join(found, _same("id", "g_id") & (F.col("h") == F.col("g_h")), "left")
