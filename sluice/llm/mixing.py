@@ -139,7 +139,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     cut = cut.select(F.col("source").alias("c_source"), F.col("size").alias("c_size"), F.col("b").alias("cut"), (F.col("extra") - F.col("before")).alias("rest"))
     plan = plan.join(cut, F.col("p_source").eqNullSafe(F.col("c_source")) & (F.col("p_size") == F.col("c_size")), "left")
     plan = plan.select("p_source", "p_size", "base", F.coalesce("cut", F.lit(-1)).alias("cut"), F.coalesce("rest", F.lit(0)).alias("rest"))
-    plan = plan.join(g, F.col("p_source").eqNullSafe(F.col("g_source"))).drop("g_source")
+    # pinned, so that the join below has exchanges of its own and a hot size can be split
+    plan = pin(plan.join(g, F.col("p_source").eqNullSafe(F.col("g_source"))).drop("g_source"), "plan-by-size")
     marked = pin(d.join(plan, same).drop("p_source", "p_size"), "marked")
     cols = ["id", "size", "source_size", "target", "base"]
     sure = marked.where("b <> cut").select(*cols, F.when(F.col("b") < F.col("cut"), 1).otherwise(0).alias("more"))

@@ -12,7 +12,9 @@ from sluice.llm import decontaminate as DC
 from sluice.llm import exactdedup as ED
 from sluice.llm import licenses as LI
 from sluice.llm import mixing as MX
+from sluice.llm import quality as QL
 from sluice.llm import tokencount as TC
+from sluice.llm import toxicity as TX
 from sluice.llm import urlfilter as UF
 
 
@@ -34,6 +36,11 @@ def op2_license_scan(spark: SparkSession, sf: str) -> DataFrame:
     return LI.scan(docs).select("doc_id", *[F.col(f"license.{c}").alias(c) for c in fields])
 
 
+def op4_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    return TX.score(docs, TX.train(docs, table(spark, sf, "labels")))
+
+
 def op5_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     import public_tokenizers
 
@@ -56,13 +63,20 @@ def op9_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return MX.mix(table(spark, sf, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_quality(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    return QL.score(docs, QL.train(docs, table(spark, sf, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_license_scan": op2_license_scan,
+    "op4_toxicity": op4_toxicity,
     "op5_token_counts": op5_token_counts,
     "op7_url_filter": op7_url_filter,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_mixing": op9_mixing,
+    "op10_quality": op10_quality,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

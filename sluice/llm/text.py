@@ -16,8 +16,8 @@ import pyarrow as pa
 
 SLICE_BYTES = 1 << 20
 _M64 = (1 << 64) - 1
-_ODD = 0x9E3779B97F4A7C15  # odd multiplier of the polynomial word hash
-_INV = pow(_ODD, -1, 1 << 64)
+ODD = 0x9E3779B97F4A7C15  # odd multiplier of the polynomial word hash
+INVERSE = pow(ODD, -1, 1 << 64)
 
 #: Deletes A-Z case: bytes A-Z become a-z, every other byte stays.
 LOWER = np.arange(256, dtype=np.uint8)
@@ -45,7 +45,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-BYTE_CODE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(_ODD))
+BYTE_CODE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(ODD))
 
 _powers: dict[int, np.ndarray] = {}
 
@@ -105,9 +105,9 @@ class Words:
         self.start, self.end = edge[0::2], edge[1::2]
         n = len(data)
         total = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(BYTE_CODE[data] * power_table(_ODD, n)[:n], out=total[1:])
-        raw = (total[self.end] - total[self.start]) * power_table(_INV, n + 1)[self.start]
-        self.hash = mix64(raw + (self.end - self.start).astype(np.uint64) * np.uint64(_ODD))
+        np.cumsum(BYTE_CODE[data] * power_table(ODD, n)[:n], out=total[1:])
+        raw = (total[self.end] - total[self.start]) * power_table(INVERSE, n + 1)[self.start]
+        self.hash = mix64(raw + (self.end - self.start).astype(np.uint64) * np.uint64(ODD))
         self.first = np.searchsorted(self.start, np.concatenate((buf.starts, [n]))).astype(np.int64)
         self.doc = np.repeat(np.arange(len(buf.starts)), np.diff(self.first))
 
