@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sluice.llm.rows import keep_rows, same, text_hash
 from sluice.session import pin
 
 PRIME = (1 << 31) - 1
@@ -128,10 +129,6 @@ def _combine_slices(names: list[str]):
     return run
 
 
-def _same(a: str, b: str):
-    return F.col(a).eqNullSafe(F.col(b))
-
-
 def fingerprints(d: DataFrame, split_chars: int = SPLIT_CHARS, digest: bool = True) -> DataFrame:
     """Rows (id, h, n_chars, m, f1, f2, sha256) of rows (id, h, text); h hashes the text."""
     id_type = d.schema["id"].dataType
@@ -149,7 +146,7 @@ def fingerprints(d: DataFrame, split_chars: int = SPLIT_CHARS, digest: bool = Tr
     whole = T.StructType([T.StructField("id2", id_type), *long("h2", "m", "f1", "f2")])
     joined = parts.select(F.col("id").alias("id2"), F.col("h").alias("h2"), "parts").mapInArrow(_combine_slices(whole.names), whole)
     digest_col = F.sha2(F.regexp_replace("text", r"[\x20\x09-\x0D]+", ""), 256) if digest else F.lit("")
-    large = huge.select("id", "h", "n_chars", digest_col.alias("sha256")).join(joined, _same("id", "id2") & (F.col("h") == F.col("h2")))
+    large = huge.select("id", "h", "n_chars", digest_col.alias("sha256")).join(joined, same("id", "id2") & (F.col("h") == F.col("h2")))
     return short.unionByName(large.select(*fp.names))
 
 
@@ -162,7 +159,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     and white-space texts are one group. A row is ``kept`` when its id is the group's
     keep_id; repeated rows of that id and text count in group_size and share the verdict.
     Extra columns are not read."""
-    d = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    d = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("h", text_hash("text"))
     fp = pin(fingerprints(d, split_chars), "fingerprints")
     best = F.min(F.struct((-F.col("n_chars")).alias("k"), "id", "h")).alias("best")
     key = ["m", "f1", "f2"]
@@ -174,30 +171,30 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     id_type = d.schema["id"].dataType
     schema = T.StructType([T.StructField("id", id_type), T.StructField("h", T.LongType()), T.StructField("idx", T.LongType()), T.StructField("chunk", T.BinaryType())])
     wanted = todo.select(F.col("id").alias("id2"), F.col("h").alias("h2")).distinct()
-    chunks = pin(d.join(wanted, _same("id", "id2") & (F.col("h") == F.col("h2")), "left_semi").mapInArrow(_chunks(schema.names, chunk), schema), "chunks")
+    chunks = pin(d.join(wanted, same("id", "id2") & (F.col("h") == F.col("h2")), "left_semi").mapInArrow(_chunks(schema.names, chunk), schema), "chunks")
     settled = None
     while True:
         todo = pin(todo, "equal-prints")
         leads = todo.select("lead_id", "lead_h").distinct()
-        lead_chunks = chunks.join(leads, _same("id", "lead_id") & (F.col("h") == F.col("lead_h")), "left_semi").groupBy("id", "h", "idx").agg(F.first("chunk").alias("lead_chunk"))
+        lead_chunks = chunks.join(leads, same("id", "lead_id") & (F.col("h") == F.col("lead_h")), "left_semi").groupBy("id", "h", "idx").agg(F.first("chunk").alias("lead_chunk"))
         lead_chunks = pin(lead_chunks.withColumnsRenamed({"id": "l_id", "h": "l_h", "idx": "l_idx"}), "lead-chunks")
         pairs = todo.select("id", "h", "lead_id", "lead_h").distinct().withColumnsRenamed({"id": "t_id", "h": "t_h"})
-        mine = chunks.join(pairs, _same("id", "t_id") & (F.col("h") == F.col("t_h")))
-        compared = mine.join(lead_chunks, _same("lead_id", "l_id") & (F.col("lead_h") == F.col("l_h")) & (F.col("idx") == F.col("l_idx")), "left")
+        mine = chunks.join(pairs, same("id", "t_id") & (F.col("h") == F.col("t_h")))
+        compared = mine.join(lead_chunks, same("lead_id", "l_id") & (F.col("lead_h") == F.col("l_h")) & (F.col("idx") == F.col("l_idx")), "left")
         verdict = compared.groupBy("id", "h").agg(F.bool_and(F.coalesce(F.col("chunk") == F.col("lead_chunk"), F.lit(False))).alias("same"))
         verdict = pin(verdict.withColumnsRenamed({"id": "v_id", "h": "v_h"}), "compared")
-        judged = todo.join(verdict, _same("id", "v_id") & (F.col("h") == F.col("v_h"))).drop("v_id", "v_h")
-        same = judged.where("same").select("id", "h", "lead_id", "lead_h")
-        settled = same if settled is None else settled.unionByName(same)
+        judged = todo.join(verdict, same("id", "v_id") & (F.col("h") == F.col("v_h"))).drop("v_id", "v_h")
+        agreed = judged.where("same").select("id", "h", "lead_id", "lead_h")
+        settled = agreed if settled is None else settled.unionByName(agreed)
         if verdict.where("NOT same").isEmpty():
             break
         left = judged.where("NOT same").drop("lead_id", "lead_h", "same")
         nexts = pin(left.groupBy(*key).agg(best), "next-leads")
         todo = left.join(nexts, key).select("id", "h", "n_chars", *key, F.col("best.id").alias("lead_id"), F.col("best.h").alias("lead_h"))
     sizes = pin(settled.groupBy("lead_id", "lead_h").agg(F.count(F.lit(1)).alias("size")).withColumnsRenamed({"lead_id": "s_id", "lead_h": "s_h"}), "sizes")
-    found = settled.distinct().join(sizes, _same("lead_id", "s_id") & (F.col("lead_h") == F.col("s_h")))
+    found = settled.distinct().join(sizes, same("lead_id", "s_id") & (F.col("lead_h") == F.col("s_h")))
     found = found.select(F.col("id").alias("g_id"), F.col("h").alias("g_h"), "lead_id", "size", F.lit(True).alias("grouped"))
-    out = fp.join(found, _same("id", "g_id") & (F.col("h") == F.col("g_h")), "left")
+    out = fp.join(found, same("id", "g_id") & (F.col("h") == F.col("g_h")), "left")
     keep = F.when(F.col("grouped"), F.col("lead_id")).otherwise(F.col("id"))
     return out.select(
         F.col("id").alias(id_col), F.col("h").alias("text_hash"), keep.alias("keep_id"),
@@ -207,11 +204,6 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
     """The rows of ``docs`` that ``exact_groups`` keeps, all columns; of rows that repeat a
-    kept id and text exactly one stays (the smallest by its other columns' text)."""
-    verdict = exact_groups(docs, id_col, text_col, **kw).where("kept").groupBy(F.col(id_col).alias("_k_id"), F.col("text_hash").alias("_k_h")).agg(F.count(F.lit(1)).alias("_k_n"))
-    names = docs.columns
-    rows = docs.select(F.struct(*names).alias("row"), F.col(id_col).alias("_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_h"))
-    kept = rows.join(verdict, _same("_id", "_k_id") & (F.col("_h") == F.col("_k_h")))
-    once = kept.where("_k_n = 1").select("row")
-    again = kept.where("_k_n > 1").groupBy("_id", "_h").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row")
-    return once.unionByName(again).select("row.*")
+    kept id and text exactly one stays."""
+    kept = exact_groups(docs, id_col, text_col, **kw).where("kept")
+    return keep_rows(docs, kept.select(F.col(id_col).alias("id"), F.col("text_hash").alias("h")), id_col, text_col)

@@ -12,6 +12,7 @@ from sluice.llm import decontaminate as DC
 from sluice.llm import exactdedup as ED
 from sluice.llm import licenses as LI
 from sluice.llm import mixing as MX
+from sluice.llm import neardedup as ND
 from sluice.llm import quality as QL
 from sluice.llm import tokencount as TC
 from sluice.llm import toxicity as TX
@@ -36,6 +37,11 @@ def op2_license_scan(spark: SparkSession, sf: str) -> DataFrame:
     return LI.scan(docs).select("doc_id", *[F.col(f"license.{c}").alias(c) for c in fields])
 
 
+def op3_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    out = ND.near_groups(table(spark, sf, "documents"), shingle=3, percent=85)
+    return out.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op4_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     return TX.score(docs, TX.train(docs, table(spark, sf, "labels")))
@@ -71,6 +77,7 @@ def op10_quality(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_license_scan": op2_license_scan,
+    "op3_near_dedup": op3_near_dedup,
     "op4_toxicity": op4_toxicity,
     "op5_token_counts": op5_token_counts,
     "op7_url_filter": op7_url_filter,
