@@ -53,26 +53,35 @@ class Pieces:
         self.find = regex.compile(SPLIT).findall
         self.loose_space = regex.compile(r"\s \s?| \s|^ | \Z").search
         self.special = regex.compile("|".join(map(regex.escape, self.specials))) if self.specials else None
-        self.odd = regex.compile("[" + "".join(f"\\U{c:08x}" for c in sorted(odd)) + "]").search if odd else None
+        self.odd = frozenset(map(chr, odd))
 
     def counts(self, pretokens: list[str]) -> list[int]:
         return [len(e.ids) for e in self.bare.encode_batch(pretokens, add_special_tokens=False)]
 
+    def is_odd(self, text: str) -> bool:
+        return not text.isascii() and not self.odd.isdisjoint(text)
+
     def split(self, text: str) -> list[str]:
         """Pre-tokens of a text without special strings."""
-        if self.odd is not None and self.odd(text):
+        if self.is_odd(text):
             return [text[a:b] for _, (a, b) in self.own.pre_tokenizer.pre_tokenize_str(text)]
         return self.find(text)
 
     def units(self, text: str) -> list[str]:
         """Cuts a text at its single spaces. Each unit (its leading space included) splits
         into pre-tokens on its own, so repeated units need splitting once."""
-        if self.loose_space(text) or (self.odd is not None and self.odd(text)):
+        if self.loose_space(text) or self.is_odd(text):
             return [text] if text else []
         first, *rest = text.split(" ")
         return ([first] if first else []) + [" " + r for r in rest]
 
 
+@lru_cache(maxsize=4)
+def pieces_of(spec: str, odd: frozenset[int] = frozenset()) -> Pieces:
+    """Built once per Python worker: reading a vocabulary takes about a second."""
+    return Pieces(spec, odd)
+
+
 def probe(spec: str) -> frozenset[int]:
     """Code points that the tokenizer's split rule and this process's treat differently."""
     p, out = Pieces(spec), []
@@ -90,11 +99,11 @@ def _probed(spec: str) -> frozenset[int]:
     return probe(spec)
 
 
-def _distinct(spec, column: str, seed: bool):
+def _distinct(spec):
     """(pretoken, n): the distinct pre-tokens of a task's texts with their occurrences."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p, total = Pieces(*spec.value), Counter()
+        p, total = pieces_of(*spec.value), Counter()
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 for part in p.special.split(text) if p.special else [text]:
@@ -113,7 +122,7 @@ def _frequencies(spec, known, schema_names: list[str]):
     of (pretoken, freq)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p, pieces = Pieces(*spec.value), known.value
+        p, pieces = pieces_of(*spec.value), known.value
         memo: dict[str, tuple[int, tuple[str, ...]]] = {}
         for batch in batches:
             at = batch.schema.get_field_index("text")
@@ -148,7 +157,7 @@ def _frequencies(spec, known, schema_names: list[str]):
 
 def _count_pieces(spec):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = Pieces(*spec.value)
+        p = pieces_of(*spec.value)
         for batch in batches:
             names = batch.column(0)
             for first in range(0, len(names), 2_000):
@@ -174,7 +183,7 @@ def token_counts(docs: DataFrame, tokenizer_json: str, id_col: str = "doc_id", t
     share = min(1.0, seed_bytes / size) if size else 1.0
     span = 1 << 20
     sample = d.where(F.pmod(F.xxhash64("h"), F.lit(span)) < int(share * span)).where(F.length("text") <= _LONG).select("text")
-    seeds = sample.mapInArrow(_distinct(spec, "text", True), "pretoken string").distinct()
+    seeds = sample.mapInArrow(_distinct(spec), "pretoken string").distinct()
     # bounded by the sample: at most seed_bytes of distinct pre-tokens
     rows = seeds.mapInArrow(_count_pieces(spec), "pretoken string, pieces long").toLocalIterator()
     known = spark.sparkContext.broadcast({r.pretoken: r.pieces for r in rows})
