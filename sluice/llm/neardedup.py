@@ -1,6 +1,6 @@
 """MinHash near-dedup by fast similarity sketching, banding and exact verification.
 
-Sketch: ``BANDS * ROWS`` coordinates are filled in rounds. In the first t rounds every
+Sketch: t = ``SIZE`` coordinates are filled in rounds. In the first t rounds every
 element is thrown into one hashed bin with a value (round, hash); in the next t rounds all
 elements go to the one bin of that round. A bin keeps its least value, so every coordinate is
 filled after 2t rounds at the latest, in expectation after about t log t throws, and the
@@ -14,18 +14,20 @@ similarity at least as well as for independent hashes.
 3. Components of these links close most buckets. In the others, members outside the
    bucket's largest component are compared with the rest, blockwise (at most ``BLOCK``
    members a side, a bucket's blocks spread over tasks), by their whole sketches; pairs whose
-   sketches agree in ``AGREE`` of the coordinates are verified as well. No pair of a bucket
+   sketches agree in all but ``SLACK`` of the threshold's share are verified as well. No pair of a bucket
    that could still join two components is left out, and nothing is capped.
 4. Links are confirmed on the full shingle sets.
 
-A link of similarity 0.85 shares none of the 32 bands of 6 rows with probability 3e-7, and
-misses the sketch agreement (over five standard deviations) with about 1e-8.
+The band height follows the threshold (``banding``): a link exactly at it shares no band with
+probability below 1e-6 (0.85: 32 bands of 6, 3e-7), and misses the sketch agreement, over five
+standard deviations below the threshold, with about 1e-7.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -38,14 +40,23 @@ from sluice.llm.rows import keep_rows, text_hash
 from sluice.llm.text import NONSPACE, Buffer, Words, mix64, shingles, slices
 from sluice.session import pin
 
-BANDS, ROWS = 32, 6
-SIZE = BANDS * ROWS
+SIZE = 192
 BLOCK = 256
-AGREE = 0.70
+MISS = 1e-6
+SLACK = 0.15
 _SEEDS = mix64(np.arange(1, 2 * SIZE + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
 _LOW = np.uint64(0xFFFFFFFF)
 
 
+def banding(similarity: float) -> tuple[int, int]:
+    """(bands, rows): the highest bands that still miss a link at the threshold with
+    probability below ``MISS``."""
+    for rows in range(SIZE, 1, -1):
+        if (1 - similarity**rows) ** (SIZE // rows) < MISS:
+            return SIZE // rows, rows
+    return SIZE, 1
+
+
 def _throw(h: np.ndarray, rounds: np.ndarray) -> np.ndarray:
     return mix64(h[None, :] ^ _SEEDS[rounds][:, None])
 
@@ -73,11 +84,11 @@ def sketch(h: np.ndarray) -> np.ndarray:
 _BAND_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def band_keys(values: np.ndarray) -> np.ndarray:
+def band_keys(values: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """One key per band, of the band's number and its values."""
-    grid = mix64(values.astype(np.uint64)).reshape(BANDS, ROWS)
-    key = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for j in range(ROWS):
+    grid = mix64(values[: bands * rows].astype(np.uint64)).reshape(bands, rows)
+    key = np.arange(1, bands + 1, dtype=np.uint64)
+    for j in range(rows):
         key = mix64(key * _BAND_STEP + grid[:, j])
     return key.astype(np.int64)
 
@@ -103,7 +114,7 @@ def _digest(h: np.ndarray) -> bytes:
     return hashlib.sha256(h.tobytes()).digest()[:16]
 
 
-def _sketches(names: list[str], k: int):
+def _sketches(names: list[str], k: int, bands: int, height: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, texts in slices(batch, "text"):
@@ -114,7 +125,7 @@ def _sketches(names: list[str], k: int):
                         digests.append(None), keys.append(None), sigs.append(None)
                         continue
                     values = sketch(h)
-                    digests.append(_digest(h)), keys.append(band_keys(values)), sigs.append(signature(values))
+                    digests.append(_digest(h)), keys.append(band_keys(values, bands, height)), sigs.append(signature(values))
                 part = batch.slice(row, len(texts))
                 new = {"n": pa.array(sizes, pa.int64()), "c": pa.array(digests, pa.binary()), "keys": pa.array(keys, pa.list_(pa.int64())), "sig": pa.array(sigs, pa.binary())}
                 yield pa.RecordBatch.from_arrays([new[x] if x in new else part.column(part.schema.get_field_index(x)) for x in names], names)
@@ -133,10 +144,10 @@ def _sets(k: int):
     return run
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _blocks(similarity: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by block (key, x, y, inner); yields pairs (a, b) of a block whose
     labels differ and whose sketches agree enough."""
-    need = int(np.ceil(AGREE * SIZE))
+    need = int(np.ceil((similarity - SLACK) * SIZE))
 
     def compare(rows: list[dict]) -> Iterator[tuple[bytes, bytes]]:
         sig = np.frombuffer(b"".join(r["sig"] for r in rows), dtype=np.uint8).reshape(len(rows), SIZE)
@@ -177,7 +188,7 @@ class Near:
         schema = T.StructType([
             T.StructField("id", self.id_type), long("h"), long("n"), T.StructField("c", T.BinaryType()),
             T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("sig", T.BinaryType())])
-        self.rows = pin(d.mapInArrow(_sketches(schema.names, shingle), schema), "sketches")
+        self.rows = pin(d.mapInArrow(_sketches(schema.names, shingle, *banding(percent / 100)), schema), "sketches")
         have = self.rows.where(F.col("c").isNotNull() & F.col("id").isNotNull())
         self.classes = pin(
             have.groupBy("c").agg(F.min("id").alias("id"), F.any_value("n").alias("n"), F.any_value("keys").alias("keys"), F.any_value("sig").alias("sig")),
@@ -243,7 +254,7 @@ class Near:
         m = m.select("key", "c", "label", "at.*").join(sig, F.col("c") == F.col("_c")).drop("_c")
         sides = ["key", "inner", "x", "y"]
         m = m.repartition(*sides).sortWithinPartitions(*sides)
-        pairs = m.mapInArrow(_blocks, "a binary, b binary")
+        pairs = m.mapInArrow(partial(_blocks, self.percent / 100), "a binary, b binary")
         size = self.classes.select(F.col("c").alias("_c"), F.col("n").alias("_n"))
         pairs = pairs.distinct().join(size.withColumnsRenamed({"_c": "ca", "_n": "na"}), F.col("a") == F.col("ca"))
         pairs = pairs.join(size.withColumnsRenamed({"_c": "cb", "_n": "nb"}), F.col("b") == F.col("cb")).where(self._may_link("na", "nb"))
@@ -270,8 +281,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     linked where 100 * intersection >= percent * union. Null, empty and blank texts have no
     set and no links, and rows with a null id keep a null component: each of them is kept.
     Rows are judged by their own text; repeated rows share a verdict; a repeated id with
-    different texts is judged per text. Extra columns are not read. Bands and agreement are
-    set for thresholds of 80 percent and more."""
+    different texts is judged per text. Extra columns are not read."""
     return Near(docs, id_col, text_col, shingle, percent).result(id_col)
 
 

@@ -14,6 +14,7 @@ from sluice.llm import licenses as LI
 from sluice.llm import mixing as MX
 from sluice.llm import neardedup as ND
 from sluice.llm import quality as QL
+from sluice.llm import suffixdedup as SD
 from sluice.llm import tokencount as TC
 from sluice.llm import toxicity as TX
 from sluice.llm import urlfilter as UF
@@ -56,6 +57,10 @@ def op5_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return SD.drop_repeats(table(spark, sf, "documents"), keep_bytes=False)
+
+
 def op7_url_filter(spark: SparkSession, sf: str) -> DataFrame:
     return UF.judge(table(spark, sf, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -80,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_near_dedup": op3_near_dedup,
     "op4_toxicity": op4_toxicity,
     "op5_token_counts": op5_token_counts,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_url_filter": op7_url_filter,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_mixing": op9_mixing,
