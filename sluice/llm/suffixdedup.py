@@ -170,8 +170,9 @@ class Collection:
             return out
 
         while span < rounds:
+            base = int(rank.max(initial=0)) + 3
             jump = min(span, rounds - span)  # the second half may overlap the first
-            key = rank * (len(at) + 2) + ahead(rank, rounds - span if 2 * span > rounds else span)
+            key = rank * base + ahead(rank, rounds - span if 2 * span > rounds else span)
             _, inverse = np.unique(key, return_inverse=True)
             rank, span = inverse.ravel(), span + jump
         return at[np.argsort(rank, kind="stable")]
