@@ -14,10 +14,19 @@ from sluice.functions.exprs import row_hash
 from sluice.operators.conform import conform
 
 
+def _ties(df: DataFrame, cols: list[str]) -> list[Column]:
+    """``cols`` as orderable tie-breakers: columns without an order (maps, variants) by
+    their JSON text."""
+    def unordered(t: DataType) -> bool:
+        return any(x in t.simpleString() for x in ("map<", "variant"))
+
+    return [F.to_json(F.struct(c)) if unordered(df.schema[c].dataType) else F.col(c) for c in cols]
+
+
 def _key_cond(left: DataFrame, right: DataFrame, keys: list[str], rprefix: str) -> Column:
     cond = None
     for k in keys:
-        term = left[k] == right[rprefix + k]
+        term = left[k].eqNullSafe(right[rprefix + k])
         cond = term if cond is None else cond & term
     return cond
 
@@ -45,9 +54,14 @@ def _typed_literal(value, watermark_type: str, col_type: DataType) -> Column:
     return F.lit(value).cast(col_type)
 
 
-def upper_bound(source: DataFrame, watermark_col: str) -> Column:
-    """The high end fixed at run start: max of the watermark column as a scalar subquery."""
-    return source.agg(F.max(watermark_col)).scalar()
+def upper_bound(source: DataFrame, watermark_col: str, last_value=None, watermark_type: str = "timestamp") -> Column:
+    """The high end fixed at run start: the largest watermark above ``last_value``, taken
+    once and returned as a literal, so that the extract, the advance and the audit of one
+    run all use the same value however often their plans are evaluated. Only rows above
+    ``last_value`` are scanned (pushed filter); nothing new gives a typed NULL."""
+    col_type = source.schema[watermark_col].dataType
+    rows = incremental_extract(source, watermark_col, last_value, watermark_type)
+    return F.lit(rows.agg(F.max(watermark_col)).first()[0]).cast(col_type)
 
 
 def incremental_extract(source: DataFrame, watermark_col: str, last_value, watermark_type: str = "timestamp",
@@ -67,14 +81,32 @@ def incremental_extract(source: DataFrame, watermark_col: str, last_value, water
     return out
 
 
+#: Spark type of a stored (text) last value, by watermark_type.
+WATERMARK_CASTS = {"timestamp": "timestamp_ntz", "integer": "bigint", "hashkey": "string"}
+
+
+def typed_watermarks(watermarks: DataFrame, watermark_type: str, last_col: str = "last_value") -> tuple[DataFrame, DataFrame]:
+    """(watermarks with ``_last`` typed, rejects): the stored text read by
+    ``watermark_type``. A value that cannot be read goes to the rejects with its code
+    instead of failing the batch; NULL stays NULL (read everything)."""
+    typed = watermarks.withColumn("_last", F.col(last_col).try_cast(WATERMARK_CASTS[watermark_type]))
+    bad = F.col("_last").isNull() & F.col(last_col).isNotNull()
+    return typed.filter(~bad), typed.filter(bad).drop("_last").withColumn("error_code", F.lit("INVALID_WATERMARK"))
+
+
 def incremental_by_config(source: DataFrame, watermarks: DataFrame, config_col: str, watermark_col: str,
-                          last_col: str = "last_value") -> DataFrame:
+                          last_col: str = "last_value", watermark_type: str = "timestamp", upper: Column | None = None) -> DataFrame:
     """R02 for many configs in one pass: each source row is kept when it is above its own
-    config's last value (configs without a watermark read everything). The watermark
-    table has one row per config and is joined on the config key."""
-    wm = watermarks.select(F.col("table_config_id").alias("_wcfg"), F.col(last_col).alias("_wlast"))
-    j = source.join(wm, source[config_col] == wm["_wcfg"], "left")
-    return j.filter(F.col("_wlast").isNull() | (F.col(watermark_col) > F.col("_wlast"))).drop("_wcfg", "_wlast")
+    config's last value (configs without a watermark read everything) and at most
+    ``upper``. Stored values are read by ``watermark_type``; a config whose value cannot be
+    read extracts nothing (see ``typed_watermarks`` for the rejects). The smallest last
+    value also bounds the scan when every config has one. The watermark table has one row
+    per config and is joined on the config key."""
+    wm = watermarks.select(F.col("table_config_id").alias("_wcfg"), F.col(last_col).alias("_wtext"),
+                           F.col(last_col).try_cast(WATERMARK_CASTS[watermark_type]).alias("_wlast"))
+    rows = source if upper is None else source.filter(F.col(watermark_col) <= upper)
+    j = rows.join(wm, rows[config_col] == wm["_wcfg"], "left")
+    return j.filter(F.col("_wtext").isNull() | (F.col(watermark_col) > F.col("_wlast"))).drop("_wcfg", "_wtext", "_wlast")
 
 
 # ---- R03 hash-key incremental ----
@@ -83,16 +115,20 @@ def hash_changes(source: DataFrame, target: DataFrame, keys: list[str], hash_col
                  hash_col: str = "row_hash") -> DataFrame:
     """Source rows whose natural key is new, or whose row hash (R08) differs from the
     target's, with ``change_kind`` new/changed. One left join on the key; ``target``
-    holds (keys, hash_col) of the last load."""
+    holds (keys, hash_col) of the last load. Keys match null-safe, so an unchanged row with
+    a NULL key is not new again on every run; a NULL stored hash counts as changed."""
     src = source.withColumn(hash_col, row_hash(hash_cols))
     # keep only the stored hashes of keys in this extract: a semi join that AQE broadcasts
     # when the extract is small, so the stored (key, hash) table is scanned, not shuffled
-    relevant = target.select(*keys, hash_col).join(source.select(*keys), keys, "left_semi")
+    stored = target.select(*keys, hash_col)
+    extract = source.select(*[F.col(k).alias(f"_e_{k}") for k in keys])
+    relevant = stored.join(extract, _key_cond(stored, extract, keys, "_e_"), "left_semi")
     tgt = relevant.select(*[F.col(k).alias(f"_t_{k}") for k in keys], F.col(hash_col).alias("_t_hash"))
+    tgt = tgt.withColumn("_t_hit", F.lit(True))
     j = src.join(tgt, _key_cond(src, tgt, keys, "_t_"), "left")
-    kind = F.when(F.col(f"_t_{keys[0]}").isNull(), F.lit("new")).when(F.col("_t_hash") != F.col(hash_col), F.lit("changed"))
+    kind = F.when(F.col("_t_hit").isNull(), F.lit("new")).when(~F.col("_t_hash").eqNullSafe(F.col(hash_col)), F.lit("changed"))
     return j.withColumn("change_kind", kind).filter(F.col("change_kind").isNotNull()).drop(
-        *[f"_t_{k}" for k in keys], "_t_hash"
+        *[f"_t_{k}" for k in keys], "_t_hash", "_t_hit"
     )
 
 
@@ -104,26 +140,41 @@ def with_row_hash(df: DataFrame, cols: list[str], name: str = "row_hash") -> Dat
 # ---- R04 watermark advance ----
 
 def advance_watermark(watermarks: DataFrame, extracted: DataFrame, config_col: str, watermark_col: str,
-                      last_col: str = "last_value") -> DataFrame:
+                      last_col: str = "last_value", watermark_type: str = "timestamp") -> DataFrame:
     """Per config the new value = max extracted, never lower than the old one and
-    unchanged when nothing was extracted. Returns table_config_id, watermark_start (old),
-    watermark_end (new), rows_read: the inputs of D33 and D36."""
+    unchanged when nothing was extracted. Covers every config that has a watermark or
+    extracted rows (a first load has no watermark yet); configs whose stored value cannot
+    be read are left out, as R02 extracts nothing for them. Values are compared in the
+    type of ``watermark_type``. Returns table_config_id, watermark_start (old, as stored),
+    watermark_end (new, typed), rows_read: the inputs of D33 and D36."""
     got = extracted.groupBy(F.col(config_col).alias("_cfg")).agg(
         F.max(watermark_col).alias("_max"), F.count(F.lit(1)).alias("_n")
     )
-    j = watermarks.join(got, watermarks["table_config_id"] == got["_cfg"], "left")
+    readable, _ = typed_watermarks(watermarks, watermark_type, last_col)
+    wm = readable.select("table_config_id", F.col(last_col).alias("_start"), "_last")
+    j = wm.join(got, wm["table_config_id"] == got["_cfg"], "full")
     return j.select(
-        F.col("table_config_id"),
-        F.col(last_col).alias("watermark_start"),
-        F.greatest(F.col(last_col), F.col("_max")).alias("watermark_end"),
+        F.coalesce("table_config_id", "_cfg").alias("table_config_id"),
+        F.col("_start").alias("watermark_start"),
+        F.greatest(F.col("_last"), F.col("_max")).alias("watermark_end"),
         F.coalesce(F.col("_n"), F.lit(0)).cast("long").alias("rows_read"),
     )
 
 
+def canonical_text(col: str | Column, typ: DataType) -> Column:
+    """A watermark as stored text: ISO with microseconds for timestamps."""
+    c = F.col(col) if isinstance(col, str) else col
+    return F.date_format(c, ISO_MICROS) if isinstance(typ, (TimestampType, TimestampNTZType)) else c.cast("string")
+
+
 def watermark_upserts(advanced: DataFrame, watermark_column: str, watermark_type: str, run_id: str,
-                      actor: str = "system") -> DataFrame:
+                      actor: str = "system", as_text: bool = False) -> DataFrame:
     """R04 -> D33: upsert requests for the configs whose watermark moved (rows were read);
-    configs with nothing extracted keep their watermark untouched."""
+    configs with nothing extracted keep their watermark untouched. ``as_text`` writes the
+    value as the stored schema has it: canonical text."""
+    if as_text:
+        typ = advanced.schema["watermark_end"].dataType
+        advanced = advanced.withColumn("watermark_end", canonical_text("watermark_end", typ))
     return advanced.filter(F.col("rows_read") > 0).select(
         "table_config_id", F.col("table_config_id").alias("request_seq"),
         F.lit(watermark_column).alias("watermark_column"), F.lit(watermark_type).alias("watermark_type"),
@@ -146,8 +197,7 @@ def run_close_requests(advanced: DataFrame, runs: DataFrame, now, status: str =
     j = advanced.join(open_runs, advanced["table_config_id"] == open_runs["_cfg"], "inner")
 
     def text(c):
-        return F.date_format(c, ISO_MICROS) if isinstance(advanced.schema[c].dataType, (TimestampType, TimestampNTZType)) \
-            else F.col(c).cast("string")
+        return canonical_text(c, advanced.schema[c].dataType)
 
     return j.select(
         F.col("_r.table_run_id").alias("table_run_id"), F.col("_r.table_run_id").alias("request_seq"),
@@ -161,22 +211,31 @@ def run_close_requests(advanced: DataFrame, runs: DataFrame, now, status: str =
 # ---- R05 natural-key upsert ----
 
 def latest_by_key(batch: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The latest row per natural key; ties in ``order`` are broken by every other column,
-    so the pick is deterministic. Aggregated map-side (hot keys shrink before the shuffle)."""
+    """The latest row per natural key; ties in ``order`` are broken by every other column
+    (maps by their JSON), so the pick is deterministic. Aggregated map-side (hot keys shrink
+    before the shuffle)."""
     rest = [c for c in batch.columns if c not in keys and c not in order]
-    best = batch.groupBy(*keys).agg(F.max(F.struct(*order, *rest)).alias("_b"))
+    best = batch.groupBy(*keys).agg(F.max_by(F.struct(*order, *rest), F.struct(*order, *_ties(batch, rest))).alias("_b"))
     return best.select(*keys, *[F.col(f"_b.{c}").alias(c) for c in [*order, *rest]]).select(*batch.columns)
 
 
 def _matched_keys(target: DataFrame, batch_keys: DataFrame, keys: list[str]) -> DataFrame:
     """Batch keys present in the target: a key-only scan of the target joined with the
     batch's keys (which the planner broadcasts when the batch is small)."""
-    return target.select(*keys).join(batch_keys, keys, "inner").distinct()
+    t = target.select(*[F.col(k).alias(f"_m_{k}") for k in keys])
+    return batch_keys.join(t, _key_cond(batch_keys, t, keys, "_m_"), "left_semi")
+
+
+def _absent(batch: DataFrame, target: DataFrame, keys: list[str]) -> DataFrame:
+    """Batch rows whose key (null-safe) is not in the target: anti join of batch-sized sides."""
+    known = _matched_keys(target, batch.select(*keys), keys).select(*[F.col(k).alias(f"_a_{k}") for k in keys])
+    return batch.join(known, _key_cond(batch, known, keys, "_a_"), "left_anti")
 
 
 def upsert_by_key(target: DataFrame, batch: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Dedupe the batch to its latest row per key, update matched target rows,
-    insert new keys, keep the rest. Adds ``merge_action`` (insert/update/keep).
+    insert new keys, keep the rest; keys match null-safe, so the same batch twice gives the
+    same rows as once. Adds ``merge_action`` (insert/update/keep).
 
     No full outer join (which always shuffles both sides): the target left-joins the
     deduplicated batch (broadcast by AQE when the batch is small, so the big target is
@@ -189,7 +248,7 @@ def upsert_by_key(target: DataFrame, batch: DataFrame, keys: list[str], order: l
     hit = F.col("_b_hit").isNotNull()
     kept = j.select(*[F.when(hit, F.col(f"_b_{c}")).otherwise(F.col(c)).alias(c) for c in target.columns],
                     F.when(hit, F.lit("update")).otherwise(F.lit("keep")).alias("merge_action"))
-    inserts = latest.join(_matched_keys(target, latest.select(*keys), keys), keys, "left_anti")
+    inserts = _absent(latest, target, keys)
     inserts = inserts.select(*[F.col(c) if c in inserts.columns else F.lit(None).cast(target.schema[c].dataType).alias(c)
                                for c in target.columns], F.lit("insert").alias("merge_action"))
     return kept.unionByName(inserts)
@@ -213,31 +272,38 @@ def merge_into_table(table: str, batch: DataFrame, keys: list[str], order: list[
 
 def cdc_apply(target: DataFrame, changes: DataFrame, keys: list[str], seq_col: str, op_col: str,
               value_cols: list[str]) -> DataFrame:
-    """Per key the last change by ``seq_col``; I/U upsert the values (active), D marks
-    the target row inactive and keeps its values; a D for an unknown key adds nothing.
-    Output: keys, values, is_active, last_seq (NULL where no change applied).
+    """As if the changes were applied one by one in ``seq_col`` order. The values come
+    from the key's last I or U, the activity from its last change (D keeps the values); a
+    key with only D changes and no target row adds nothing. When the target has
+    ``last_seq``, changes at or below it are old news and skipped, so a replayed or older
+    batch changes nothing. Keys match null-safe. Output: all target columns (new keys have
+    NULL in those the changes don't carry), is_active and last_seq.
 
     Same shape as R05: the target left-joins the folded changes (broadcastable when the
     change set is small), new keys come from an anti join of change-sized sides.
     """
-    last = changes.groupBy(*keys).agg(F.max(F.struct(seq_col, op_col, *value_cols)).alias("_c")).select(
-        *keys, F.col(f"_c.{seq_col}").alias("_c_seq"), F.col(f"_c.{op_col}").alias("_c_op"),
-        *[F.col(f"_c.{v}").alias(f"_c_{v}") for v in value_cols],
-    )
-    c = last.select(*[F.col(k).alias(f"_c_{k}") for k in keys], "_c_seq", "_c_op", *[f"_c_{v}" for v in value_cols])
-    t = target.select(*keys, *value_cols, "is_active")
+    ch = changes.select(*keys, F.col(seq_col).alias("_seq"), F.col(op_col).alias("_op"), *[F.col(v).alias(f"_v_{v}") for v in value_cols])
+    if "last_seq" in target.columns:
+        seen = target.select(*[F.col(k).alias(f"_s_{k}") for k in keys], F.col("last_seq").alias("_last"))
+        ch = ch.join(seen, _key_cond(ch, seen, keys, "_s_"), "left")
+        ch = ch.filter(F.col("_last").isNull() | (F.col("_seq") > F.col("_last"))).drop(*[f"_s_{k}" for k in keys], "_last")
+    values = [f"_v_{v}" for v in value_cols]
+    order = F.struct("_seq", "_op", *_ties(ch, values))
+    writes = F.col("_op").isin("I", "U")
+    folded = ch.groupBy(*keys).agg(
+        F.max_by("_op", order).alias("_last_op"), F.max("_seq").alias("_c_seq"),
+        F.max_by(F.struct(*values), F.when(writes, order)).alias("_w"))
+    c = folded.select(*[F.col(k).alias(f"_c_{k}") for k in keys], "_last_op", "_c_seq", "_w")
+    t = target if "last_seq" in target.columns else target.withColumn("last_seq", F.lit(None).cast(changes.schema[seq_col].dataType))
     j = t.join(c, _key_cond(t, c, keys, "_c_"), "left")
-    upsert = F.col("_c_op").isin("I", "U")
-    delete = F.col("_c_op") == F.lit("D")
-    existing = j.select(
-        *keys,
-        *[F.when(upsert, F.col(f"_c_{v}")).otherwise(F.col(v)).alias(v) for v in value_cols],
-        F.when(upsert, F.lit(True)).when(delete, F.lit(False)).otherwise(F.col("is_active")).alias("is_active"),
-        F.col("_c_seq").alias("last_seq"),
-    )
-    fresh = last.filter(F.col("_c_op").isin("I", "U")).join(_matched_keys(t, last.select(*keys), keys), keys, "left_anti")
-    fresh = fresh.select(*keys, *[F.col(f"_c_{v}").alias(v) for v in value_cols], F.lit(True).alias("is_active"),
-                         F.col("_c_seq").alias("last_seq"))
+    new = {v: F.when(F.col("_w").isNotNull(), F.col(f"_w._v_{v}")).otherwise(F.col(v)) for v in value_cols}
+    new["is_active"] = F.when(F.col("_last_op").isin("I", "U"), F.lit(True)).when(F.col("_last_op") == "D", F.lit(False)).otherwise(F.col("is_active"))
+    new["last_seq"] = F.coalesce("_c_seq", "last_seq")
+    existing = j.withColumns(new).select(*t.columns)
+    fresh = _absent(folded.filter(F.col("_w").isNotNull()), t, keys)
+    given = {**{k: F.col(k) for k in keys}, **{v: F.col(f"_w._v_{v}") for v in value_cols},
+             "is_active": F.col("_last_op") != "D", "last_seq": F.col("_c_seq")}
+    fresh = fresh.select(*[given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in t.schema.fields])
     return existing.unionByName(fresh)
 
 
@@ -249,15 +315,16 @@ def partitioned_write(df: DataFrame, path: str, partition_cols: list[str], fmt:
     """Write by partition columns, replacing only the partitions present in ``df``
     (dynamic partition overwrite); untouched partitions stay as they are.
 
-    ``cluster`` range-partitions on (partition columns, a deterministic row hash) first:
-    each task then writes few partition values (few files), while a partition value with
-    a third of the rows is still spread over many tasks. The hash, unlike ``rand()``,
-    gives the same layout when a task is retried.
+    ``cluster`` rebalances on the partition columns first: each task then writes few
+    partition values (few files), and AQE splits a value with a third of the rows over many
+    tasks and joins small ones. With ``num_partitions`` the layout is fixed instead: a range
+    partitioning on (partition columns, a deterministic row hash).
     """
     out = df
-    if cluster:
-        n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        out = df.repartitionByRange(n, *[F.col(c) for c in partition_cols], F.xxhash64(*[F.col(c) for c in df.columns]))
+    if cluster and num_partitions:
+        out = df.repartitionByRange(num_partitions, *[F.col(c) for c in partition_cols], F.xxhash64(*[F.col(c) for c in df.columns]))
+    elif cluster:
+        out = df.hint("rebalance", *partition_cols)
     w = out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_cols).format(fmt)
     if max_records_per_file:
         w = w.option("maxRecordsPerFile", str(max_records_per_file))

@@ -29,6 +29,7 @@ from sluice.operators.keys import (
     ordered_slices,
     sequence_within,
 )
+from sluice.operators.load import _ties
 from sluice.operators.reads import latest_per_key
 from sluice.operators.validate import (
     ERROR,
@@ -58,6 +59,12 @@ def _active(df: DataFrame) -> Column:
     return as_flag("is_active", df.schema["is_active"].dataType)
 
 
+def _stored_flag(state: DataFrame, value: Column, name: str = "is_active") -> Column:
+    """A boolean in the state's own flag type (D05 on write: 0/1 states keep integers)."""
+    typ = state.schema[name].dataType
+    return value if typ.typeName() == "boolean" else value.cast("int").cast(typ)
+
+
 def _as_state_type(state: DataFrame, name: str, value: Column) -> Column:
     """A change value in the state column's type (0/1 flags become booleans, D05)."""
     typ = state.schema[name].dataType
@@ -104,7 +111,8 @@ def overwrite_update(state: DataFrame, changes: DataFrame, key: str, fields: lis
     """Every supplied field replaces, NULL included; the last request per key wins."""
     actor = F.coalesce(F.col(actor_col), F.lit(S.DEFAULT_ACTOR)) if actor_col in changes.columns else F.lit(S.DEFAULT_ACTOR)
     last = changes.withColumn("_actor", actor).groupBy(F.col(key).alias("_k")).agg(
-        F.max(F.struct(F.col(SEQ), *[F.col(f).alias(f"_new_{f}") for f in fields], F.col("_actor"))).alias("_l")
+        F.max_by(F.struct(*[F.col(f).alias(f"_new_{f}") for f in fields], F.col("_actor")),
+                 F.struct(F.col(SEQ), *_ties(changes, fields), F.col("_actor"))).alias("_l")
     ).select("_k", "_l.*")
     j = state.join(last, state[key] == last["_k"], "left")
     hit = F.col("_k").isNotNull() & _active(state)
@@ -125,7 +133,7 @@ def soft_delete(state: DataFrame, ids: DataFrame, key: str, now, actor: str = S.
     j = state.join(hits, state[key] == hits["_d"], "left")
     hit = F.col("_d").isNotNull() & _active(state)
     return j.withColumns({
-        "is_active": F.when(hit, F.lit(False)).otherwise(_active(state)),
+        "is_active": _stored_flag(state, F.when(hit, F.lit(False)).otherwise(_active(state))),
         "updated_by": F.when(hit, F.col("_who")).otherwise(F.col("updated_by")),
         "updated_at": F.when(hit, ts_literal(now)).otherwise(F.col("updated_at")),
     }).select(*state.columns)
@@ -157,12 +165,14 @@ def cascade_soft_delete(configs: DataFrame, children: dict[str, tuple[DataFrame,
 
 def replace_children(state: DataFrame, parents: DataFrame, new_children: DataFrame, parent_col: str, id_col: str,
                      order: list, now, actor: str = S.DEFAULT_ACTOR, actor_col: str | None = None) -> DataFrame:
-    """Soft-delete every active child of the ``parents``, then append
-    ``new_children`` with fresh ids (max+1.. in ``order``). A parent with no new children
+    """Soft-delete every active child of the ``parents``, then append the
+    ``new_children`` of those parents with fresh ids (max+1.. in ``order``). A parent with no new children
     is just cleared. Children are stamped with ``actor`` (or the per-parent ``actor_col``
     carried by ``parents`` and ``new_children``) and ``now``."""
     cleared = soft_delete(state, parents, parent_col, now, actor, actor_col=actor_col)
-    fresh = assign_sequential_ids(new_children, state, id_col, order)
+    asked = parents.select(F.col(parent_col).alias("_asked")).distinct()
+    mine = new_children.join(asked, new_children[parent_col] == asked["_asked"], "left_semi")
+    fresh = assign_sequential_ids(mine, state, id_col, order)
     t = ts_literal(now)
     who = F.col(actor_col) if actor_col else F.lit(actor)
     fresh = fresh.withColumns({
@@ -185,7 +195,8 @@ def upsert_watermark(state: DataFrame, upserts: DataFrame, now, fields: list[str
     )
     actor = F.coalesce(F.col("updated_by"), F.lit(S.DEFAULT_ACTOR)) if "updated_by" in upserts.columns else F.lit(S.DEFAULT_ACTOR)
     last = upserts.withColumn("updated_by", actor).groupBy("table_config_id").agg(
-        F.max(F.struct(F.col(SEQ), *[F.col(f) for f in fields], F.col("updated_by"))).alias("_l")
+        F.max_by(F.struct(*[F.col(f) for f in fields], F.col("updated_by")),
+                 F.struct(F.col(SEQ), *_ties(upserts, fields), F.col("updated_by"))).alias("_l")
     ).select("table_config_id", *[F.col(f"_l.{f}").alias(f) for f in [*fields, "updated_by"]])
     matched = last.join(cur, last["table_config_id"] == cur["_cfg"], "left")
     updates = matched.filter(F.col("_wid").isNotNull()).select(F.col("_wid").alias("watermark_id"), *fields, "updated_by")
@@ -253,13 +264,23 @@ def _number_with_explicit(requests: DataFrame, base: DataFrame) -> DataFrame:
     return r.drop(PID, POS, "_auto", "_a_loc", "_d", "_d_loc", "_a_carry", "_p_carry", "_cfg", "_max")
 
 
+def guarded(requests: DataFrame, parents: DataFrame, key: str, apply, parent_key: str | None = None,
+            code: str = S.PIPELINE_CONFIG_NOT_FOUND) -> dict[str, DataFrame]:
+    """D25 in front of a change: requests whose active parent is missing are refused with
+    ``code``; ``apply`` gets the others. Returns the change's ``state`` and the ``rejects``.
+    Used for watermarks, schema versions, PII sets, deletes (parent: the config) and run
+    closes (parent: the run itself)."""
+    tagged = missing_parent(requests, parents, key, parent_key, code)
+    return {"state": apply(tagged.filter(F.col(ERROR).isNull()).drop(ERROR)), "rejects": tagged.filter(F.col(ERROR).isNotNull())}
+
+
 RUN_CLOSE_FIELDS = ["end_time", "elapsed_seconds", "rows_read", "rows_written", "watermark_start",
                     "watermark_end", "status", "error_message", "error_type"]
 
 
 def open_runs(state: DataFrame, requests: DataFrame, now, order: list | None = None) -> DataFrame:
     """One audit row per request: status default 'running', start_time required
-    (requests without one are not opened), ids D12, stamps D29. Returns only the new rows."""
+    (requests without one are not opened; ``run_rejects`` returns them), ids D12, stamps D29. Returns only the new rows."""
     reqs = encode_json_columns(requests.filter(F.col("start_time").isNotNull()), ["source_attributes", "target_attributes"])
     reqs = reqs.withColumn("status", F.coalesce(F.col("status"), F.lit("running")) if "status" in reqs.columns else F.lit("running"))
     reqs = stamp(reqs, now).withColumn("is_active", F.lit(True))
@@ -269,12 +290,22 @@ def open_runs(state: DataFrame, requests: DataFrame, now, order: list | None = N
     return conform(reqs, state.schema)
 
 
+def run_rejects(requests: DataFrame) -> DataFrame:
+    """The requests that ``open_runs`` refuses (no start_time), with their code."""
+    return requests.filter(F.col("start_time").isNull()).withColumn(ERROR, F.lit(S.MISSING_REQUIRED_FIELD))
+
+
 def close_runs(state: DataFrame, changes: DataFrame, now) -> DataFrame:
     """Patch (D27) of the close fields of active runs."""
     fields = [f for f in RUN_CLOSE_FIELDS if f in changes.columns]
     return patch_update(state, changes, "table_run_id", fields, now)
 
 
+def _entries(map_col: str) -> Column:
+    """Entries of a map, 0 for NULL (``size`` gives -1 there without ANSI mode)."""
+    return F.when(F.col(map_col).isNotNull(), F.size(map_col)).otherwise(F.lit(0))
+
+
 def composite_create(master: DataFrame, details: DataFrame, auth: DataFrame, requests: DataFrame, now) -> dict[str, DataFrame]:
     """Connection requests (name, type, domain, is_target, env_type, auth_type,
     details map, auth map, created_by, updated_by, request_seq) -> validated (D21, D24),
@@ -286,8 +317,8 @@ def composite_create(master: DataFrame, details: DataFrame, auth: DataFrame, req
     # One sorted pass gives each connection its id and the offsets at which its details
     # and auth rows start, so the children's ids need no sort of their own.
     ok = sequence_within(ok, [F.col(SEQ)], None, name="_pos", sums={
-        "_d_off": F.size("details") if "details" in ok.columns else F.lit(0),
-        "_a_off": F.size("auth") if "auth" in ok.columns else F.lit(0),
+        "_d_off": _entries("details") if "details" in ok.columns else F.lit(0),
+        "_a_off": _entries("auth") if "auth" in ok.columns else F.lit(0),
     })
     ok = ok.withColumns({
         "connection_id": (next_id_base(master, "connection_id") + F.col("_pos")).cast("long"),

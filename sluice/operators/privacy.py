@@ -12,9 +12,9 @@ from sluice.schemas import ACCESS_TIERS
 
 # ---- fixed values: detection patterns (Java regex, also valid RE2) ----
 EMAIL_PATTERN = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
-PHONE_PATTERN = r"\(\d{3}\) ?\d{3}-\d{4}"
+PHONE_PATTERN = r"\(\d{3}\) ?\d{3}[- ]\d{4}|\b\d{3}[-. ]\d{3}[-. ]\d{4}\b|\+\d{1,3}[- ]?\(?\d{1,4}\)?([- ]\d{2,4}){2,4}\b"
 NATIONAL_ID_PATTERN = r"\b\d{3}-\d{2}-\d{4}\b"
-CARD_PATTERN = r"\b\d{16}\b"
+CARD_PATTERN = r"\b\d(?:[ -]?\d){12,18}\b"
 
 # ---- fixed values: column-name hints, suggested protection and sensitivity ----
 NAME_HINTS = {
@@ -33,13 +33,14 @@ REDACTED = "[REDACTED]"
 
 
 def _value_tests(v: Column) -> dict[str, Column]:
-    # Each regex is guarded by a literal test every match must pass ('@', '(', '-', a
-    # 16-digit run): the cheap test rejects most long texts before the backtracking regex.
+    # Each regex is guarded by a cheap test every match must pass ('@', '-', a run of 13
+    # digits): it rejects most long texts before the backtracking regex.
     return {
         "email": v.contains("@") & v.rlike(EMAIL_PATTERN),
-        "phone": v.contains("(") & v.rlike(PHONE_PATTERN),
+        "phone": v.rlike(PHONE_PATTERN),
         "national_id": v.contains("-") & v.rlike(NATIONAL_ID_PATTERN),
-        "financial": F.when(v.rlike(r"\d{16}"), F.exists(F.regexp_extract_all(v, F.lit(CARD_PATTERN), 0), luhn_valid))
+        "financial": F.when(v.rlike(r"\d([ -]?\d){12}"), F.exists(
+            F.transform(F.regexp_extract_all(v, F.lit(CARD_PATTERN), 0), lambda x: F.regexp_replace(x, "[ -]", "")), luhn_valid))
         .otherwise(F.lit(False)),
     }
 
@@ -47,7 +48,7 @@ def _value_tests(v: Column) -> dict[str, Column]:
 def pii_scan(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Per string column and category, the rows that match, their share of the
     column's rows and the suggested protection. Value patterns: email, phone, national_id,
-    financial (16 digits passing Luhn); column-name hints: full_name, health.
+    financial (13 to 19 digits, grouped or not, passing Luhn); column-name hints: full_name, health.
 
     One global aggregation holds a ``count_if`` per (column, category): a single scan in
     generated code, combined map-side into one row per task, with no per-column row
@@ -81,38 +82,40 @@ def pii_scan(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     )
 
 
-def classification_rows(scan: DataFrame, table_config_id: int, access_tier: str = "INTERNAL") -> DataFrame:
+def classification_rows(scan: DataFrame, table_config_id: int, access_tier: str = "INTERNAL", env_type: str = "dev") -> DataFrame:
     """R11 -> tbl_pii_attribute rows (for D32's replace): one row per detected (column,
     category) with the suggested protection and sensitivity, untagged, at ``access_tier``."""
     return scan.select(
         F.lit(table_config_id).cast("long").alias("table_config_id"), "column_name", "pii_category",
         F.col("suggested_protection").alias("protection_method"), "sensitivity",
         F.lit(None).cast("string").alias("masking_policy"), F.lit(False).alias("uc_tag_applied"),
-        F.lit(access_tier).alias("access_tier"),
+        F.lit(access_tier).alias("access_tier"), F.lit(env_type).alias("env_type"),
     )
 
 
 # ---- R12 protection ----
 
 def mask_value(v: Column, policy: str | None) -> Column:
-    """MASK: letters -> X/x, digits -> n; policy 'last4' keeps the last four characters,
-    'email_domain' keeps everything from '@'."""
+    """MASK: letters -> X/x, digits -> n; policy 'last4' keeps the last four characters
+    of a longer value (shorter ones are masked in full), 'email_domain' keeps everything from '@'."""
     if policy == "last4":
         n = F.char_length(v)
         head = F.mask(F.substring(v, F.lit(1), F.greatest(n - F.lit(4), F.lit(0))))
-        return F.when(n <= 4, v).otherwise(F.concat(head, F.substring(v, -4, 4)))
+        return F.when(n <= 4, F.mask(v)).otherwise(F.concat(head, F.substring(v, -4, 4)))
     if policy == "email_domain":
         at = F.instr(v, "@")
-        return F.when(at > 0, F.concat(F.mask(F.substring(v, F.lit(1), at - F.lit(1))), F.substring(v, at, 1 << 30))).otherwise(F.mask(v))
+        return F.when(at > 0, F.concat(F.mask(F.substring(v, F.lit(1), at - F.lit(1))), F.substr(v, at))).otherwise(F.mask(v))
     return F.mask(v)
 
 
-def protect_column(v: Column, method: str, policy: str | None, key: str | None, salt: str) -> Column:
+def protect_column(v: Column, method: str, policy: str | None, key: str | None, salt: str | None) -> Column:
     text = v.cast("string")
     m = method.upper()
     if m == "MASK":
         out = mask_value(text, policy)
     elif m == "PSEUDONYMIZE":
+        if not salt:
+            raise ValueError("PSEUDONYMIZE needs a salt")
         out = F.sha2(F.concat(F.lit(salt), text), 256)
     elif m == "REDACT":
         out = F.lit(REDACTED)
@@ -129,11 +132,39 @@ def decrypt_column(v: Column, key: str) -> Column:
     return F.aes_decrypt(F.unbase64(v), F.lit(key), F.lit("GCM")).cast("string")
 
 
-def protect(df: DataFrame, pii_rows: list[dict], key: str | None = None, salt: str = "") -> DataFrame:
-    """Each classified column replaced by its protected text (ENCRYPT with AES-GCM,
+#: Weakest to strongest; a column classified several times gets the strongest.
+METHOD_STRENGTH = ["MASK", "PSEUDONYMIZE", "ENCRYPT", "REDACT"]
+
+
+def strictest(pii_rows: list[dict]) -> dict[str, dict]:
+    """One rule per column from its active classification rows, whatever their order: the
+    highest access tier (INTERNAL when unset) and the strongest method; MASK rows that
+    differ in policy mask in full."""
+    out: dict[str, dict] = {}
+    for r in pii_rows:
+        if not r.get("is_active", True):
+            continue
+        tier, method = r.get("access_tier") or "INTERNAL", (r.get("protection_method") or "REDACT").upper()
+        if method not in METHOD_STRENGTH:
+            raise ValueError(f"unknown protection_method {method!r}")
+        have = out.get(r["column_name"])
+        mine = {"access_tier": tier, "protection_method": method, "masking_policy": r.get("masking_policy")}
+        if have is None:
+            out[r["column_name"]] = mine
+            continue
+        have["access_tier"] = max(have["access_tier"], tier, key=tier_rank)
+        if METHOD_STRENGTH.index(method) > METHOD_STRENGTH.index(have["protection_method"]):
+            have["protection_method"], have["masking_policy"] = method, mine["masking_policy"]
+        elif method == have["protection_method"] and mine["masking_policy"] != have["masking_policy"]:
+            have["masking_policy"] = None
+    return out
+
+
+def protect(df: DataFrame, pii_rows: list[dict], key: str | None = None, salt: str | None = None) -> DataFrame:
+    """R12 (the strongest method per column, ``strictest``): each classified column replaced by its protected text (ENCRYPT with AES-GCM,
     MASK, PSEUDONYMIZE with salted SHA-256, REDACT); NULL stays NULL; other columns pass
     through. One ``select`` built from the active classification rows."""
-    rules = {r["column_name"]: r for r in pii_rows if r.get("is_active", True)}
+    rules = strictest(pii_rows)
     cols = []
     for c in df.columns:
         r = rules.get(c)
@@ -148,9 +179,9 @@ def tier_rank(tier: str) -> int:
 def tier_view(df: DataFrame, pii_rows: list[dict], reader_tier: str) -> DataFrame:
     """A reader of ``reader_tier`` sees columns at or below it; columns classified
     above it are redacted (text -> '[REDACTED]', other types -> NULL). Unclassified columns
-    are PUBLIC."""
+    are PUBLIC; a column classified several times has its highest tier."""
     rank = tier_rank(reader_tier)
-    tiers = {r["column_name"]: r.get("access_tier") or "INTERNAL" for r in pii_rows if r.get("is_active", True)}
+    tiers = {c: r["access_tier"] for c, r in strictest(pii_rows).items()}
     cols = []
     for f in df.schema.fields:
         if f.name in tiers and tier_rank(tiers[f.name]) > rank:

@@ -4,6 +4,7 @@ rule of a dataset is evaluated in one pass inside generated code."""
 
 from __future__ import annotations
 
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -27,11 +28,29 @@ def _passes(rule: Rule) -> Column:
     return F.coalesce(F.expr(rule.expression).cast("boolean"), F.lit(False))
 
 
+@contextmanager
+def _lenient(df: DataFrame):
+    """Rule expressions resolved without ANSI mode: a cast or operation that cannot be done
+    gives NULL, so the row fails the rule instead of ending the job. Plans built inside keep
+    that meaning; the session's setting is put back."""
+    conf = df.sparkSession.conf
+    before = conf.get("spark.sql.ansi.enabled", "true")
+    conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        yield
+    finally:
+        conf.set("spark.sql.ansi.enabled", before)
+
+
 def evaluate_rules(df: DataFrame, rules) -> DataFrame:
-    """R15 per row: ``failed_rules`` = names of the rules that are false or NULL, in rule order."""
+    """R15 per row: ``failed_rules`` = names of the rules that are false or NULL, in rule order.
+    A rule that cannot be evaluated on a row (a failing cast) is NULL there, so it fails."""
     rs = _rules(rules)
     checks = [F.when(_passes(r), F.lit(None).cast("string")).otherwise(F.lit(r.rule_name)) for r in rs]
-    return df.withColumn(FAILED, F.array_compact(F.array(*checks)) if checks else F.array().cast("array<string>"))
+    with _lenient(df):
+        out = df.withColumn(FAILED, F.array_compact(F.array(*checks)) if checks else F.array().cast("array<string>"))
+        _ = out.schema  # resolves the expressions here
+    return out
 
 
 def rule_stats(df: DataFrame, rules) -> DataFrame:
@@ -39,7 +58,9 @@ def rule_stats(df: DataFrame, rules) -> DataFrame:
     rs = _rules(rules)
     aggs = [F.count(F.lit(1)).cast("long").alias("_total")]
     aggs += [F.count_if(~_passes(r)).cast("long").alias(f"_r{i}") for i, r in enumerate(rs)]
-    one = df.agg(*aggs)
+    with _lenient(df):
+        one = df.agg(*aggs)
+        _ = one.schema
     rows = F.explode(F.array(*[
         F.struct(F.lit(r.rule_name).alias("rule_name"), F.col(f"_r{i}").alias("failed")) for i, r in enumerate(rs)
     ])).alias("_x")

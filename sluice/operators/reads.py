@@ -106,13 +106,15 @@ def keyset_page(df: DataFrame, order_col: str, after: int | None, page_size: int
 def latest_per_key(df: DataFrame, key: list[str] | str, order_col: str, only_active: bool = True) -> DataFrame:
     """Per key the (active) row with the highest ``order_col``.
 
-    ``max(struct(order_col, ...))`` is aggregated map-side first, so a hot key is reduced
-    inside each task before the shuffle.
+    ``max_by`` is aggregated map-side first, so a hot key is reduced inside each task before
+    the shuffle; ties fall to the other columns (maps by their JSON).
     """
     keys = [key] if isinstance(key, str) else list(key)
     src = active(df) if only_active and "is_active" in df.columns else df
     rest = [c for c in src.columns if c not in keys and c != order_col]
-    best = src.groupBy(*keys).agg(F.max(F.struct(order_col, *rest)).alias("_best"))
+    from sluice.operators.load import _ties
+
+    best = src.groupBy(*keys).agg(F.max_by(F.struct(order_col, *rest), F.struct(order_col, *_ties(src, rest))).alias("_best"))
     return best.select(*keys, *[F.col(f"_best.{c}").alias(c) for c in [order_col, *rest]])
 
 

@@ -136,24 +136,24 @@ HASH = _row_hash_sql(["c_custkey", "c_name", "c_nationkey", "c_mktsegment"])
 
 MASK = "regexp_replace(regexp_replace(regexp_replace({v}, '[A-Z]', 'X', 'g'), '[a-z]', 'x', 'g'), '[0-9]', 'n', 'g')"
 
-LUHN = """list_sum(list_transform(range(16), lambda i: CASE WHEN i % 2 = 1
-    THEN (CASE WHEN CAST(substr(t, 16 - i, 1) AS INTEGER) * 2 > 9 THEN CAST(substr(t, 16 - i, 1) AS INTEGER) * 2 - 9
-          ELSE CAST(substr(t, 16 - i, 1) AS INTEGER) * 2 END)
-    ELSE CAST(substr(t, 16 - i, 1) AS INTEGER) END)) % 10 = 0"""
+LUHN = """list_sum(list_transform(range(length(t)), lambda i: CASE WHEN i % 2 = 1
+    THEN (CASE WHEN CAST(substr(t, length(t) - i, 1) AS INTEGER) * 2 > 9 THEN CAST(substr(t, length(t) - i, 1) AS INTEGER) * 2 - 9
+          ELSE CAST(substr(t, length(t) - i, 1) AS INTEGER) * 2 END)
+    ELSE CAST(substr(t, length(t) - i, 1) AS INTEGER) END)) % 10 = 0"""
 
 
 def _pii_scan_sql() -> str:
     email = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
-    phone = r"\(\d{3}\) ?\d{3}-\d{4}"
+    phone = r"\(\d{3}\) ?\d{3}[- ]\d{4}|\b\d{3}[-. ]\d{3}[-. ]\d{4}\b|\+\d{1,3}[- ]?\(?\d{1,4}\)?([- ]\d{2,4}){2,4}\b"
     nid = r"\b\d{3}-\d{2}-\d{4}\b"
-    card = r"\b\d{16}\b"
+    card = r"\b\d(?:[ -]?\d){12,18}\b"
     per_col = []
     for c in ["text", "lang", "source"]:
         per_col.append(f"""SELECT '{c}' AS column_name, CAST(count(*) AS BIGINT) AS n,
       CAST(count_if(regexp_matches({c}, '{email}')) AS BIGINT) AS m_email,
       CAST(count_if(regexp_matches({c}, '{phone}')) AS BIGINT) AS m_phone,
       CAST(count_if(regexp_matches({c}, '{nid}')) AS BIGINT) AS m_national_id,
-      CAST(count_if(coalesce(list_bool_or(list_transform(regexp_extract_all({c}, '{card}'), lambda t: {LUHN})), false)) AS BIGINT) AS m_financial
+      CAST(count_if(coalesce(list_bool_or(list_transform(list_transform(regexp_extract_all({c}, '{card}'), lambda x: regexp_replace(x, '[ -]', '', 'g')), lambda t: {LUHN})), false)) AS BIGINT) AS m_financial
     FROM documents""")
     unions = "\n  UNION ALL ".join(per_col)
     cats = [("email", "MASK", "PII"), ("phone", "MASK", "PII"), ("national_id", "ENCRYPT", "PII"), ("financial", "ENCRYPT", "PCI")]
@@ -550,15 +550,16 @@ FROM tgt t FULL OUTER JOIN b ON t.l_orderkey = b.l_orderkey AND t.l_linenumber =
     q["cdc_events"] = """WITH tgt AS (SELECT user_id, event_type, value, true AS is_active FROM events WHERE ts < TIMESTAMP '2024-01-15'
   QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1),
 ch AS (SELECT user_id, event_id, event_type, value,
-    CASE event_type WHEN 'signup' THEN 'I' WHEN 'error' THEN 'D' ELSE 'U' END AS op FROM events WHERE ts >= TIMESTAMP '2024-01-15'
-  QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1)
+    CASE event_type WHEN 'signup' THEN 'I' WHEN 'error' THEN 'D' ELSE 'U' END AS op FROM events WHERE ts >= TIMESTAMP '2024-01-15'),
+c AS (SELECT user_id, max(event_id) AS seq, arg_max(op, event_id) AS last_op, arg_max(event_type, event_id) FILTER (op <> 'D') AS et,
+    arg_max(value, event_id) FILTER (op <> 'D') AS v, count(*) FILTER (op <> 'D') AS writes FROM ch GROUP BY user_id)
 SELECT coalesce(t.user_id, c.user_id) AS user_id,
-  CASE WHEN c.op IN ('I', 'U') THEN c.event_type ELSE t.event_type END AS event_type,
-  CASE WHEN c.op IN ('I', 'U') THEN c.value ELSE t.value END AS value,
-  CASE WHEN c.op IN ('I', 'U') THEN true WHEN c.op = 'D' THEN false ELSE t.is_active END AS is_active,
-  c.event_id AS last_seq
-FROM tgt t FULL OUTER JOIN ch c ON t.user_id = c.user_id
-WHERE t.user_id IS NOT NULL OR c.op <> 'D'"""
+  CASE WHEN c.writes > 0 THEN c.et ELSE t.event_type END AS event_type,
+  CASE WHEN c.writes > 0 THEN c.v ELSE t.value END AS value,
+  CASE WHEN c.user_id IS NULL THEN t.is_active ELSE c.last_op <> 'D' END AS is_active,
+  c.seq AS last_seq
+FROM tgt t FULL OUTER JOIN c ON t.user_id = c.user_id
+WHERE t.user_id IS NOT NULL OR c.writes > 0"""
 
     q["autoload_events"] = "SELECT * FROM events"
 
