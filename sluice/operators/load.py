@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, StructType, TimestampNTZType, TimestampType
+from pyspark.sql.types import DataType, StringType, StructType, TimestampNTZType, TimestampType
 
 from sluice.functions.exprs import row_hash
 from sluice.operators.conform import conform
@@ -85,11 +85,18 @@ def incremental_extract(source: DataFrame, watermark_col: str, last_value, water
 WATERMARK_CASTS = {"timestamp": "timestamp_ntz", "integer": "bigint", "hashkey": "string"}
 
 
+def _typed_last(watermarks: DataFrame, last_col: str, watermark_type: str) -> Column:
+    """The stored text read by ``watermark_type`` (NULL where it cannot be); a column that
+    already has a type is taken as it is."""
+    c = F.col(last_col)
+    return c.try_cast(WATERMARK_CASTS[watermark_type]) if isinstance(watermarks.schema[last_col].dataType, StringType) else c
+
+
 def typed_watermarks(watermarks: DataFrame, watermark_type: str, last_col: str = "last_value") -> tuple[DataFrame, DataFrame]:
     """(watermarks with ``_last`` typed, rejects): the stored text read by
     ``watermark_type``. A value that cannot be read goes to the rejects with its code
     instead of failing the batch; NULL stays NULL (read everything)."""
-    typed = watermarks.withColumn("_last", F.col(last_col).try_cast(WATERMARK_CASTS[watermark_type]))
+    typed = watermarks.withColumn("_last", _typed_last(watermarks, last_col, watermark_type))
     bad = F.col("_last").isNull() & F.col(last_col).isNotNull()
     return typed.filter(~bad), typed.filter(bad).drop("_last").withColumn("error_code", F.lit("INVALID_WATERMARK"))
 
@@ -103,7 +110,7 @@ def incremental_by_config(source: DataFrame, watermarks: DataFrame, config_col:
     value also bounds the scan when every config has one. The watermark table has one row
     per config and is joined on the config key."""
     wm = watermarks.select(F.col("table_config_id").alias("_wcfg"), F.col(last_col).alias("_wtext"),
-                           F.col(last_col).try_cast(WATERMARK_CASTS[watermark_type]).alias("_wlast"))
+                           _typed_last(watermarks, last_col, watermark_type).alias("_wlast"))
     rows = source if upper is None else source.filter(F.col(watermark_col) <= upper)
     j = rows.join(wm, rows[config_col] == wm["_wcfg"], "left")
     return j.filter(F.col("_wtext").isNull() | (F.col(watermark_col) > F.col("_wlast"))).drop("_wcfg", "_wtext", "_wlast")

@@ -141,7 +141,7 @@ def child_history(spark, sf):
 
 # ---------------------------------------------------------------- schema D02, D04, D05
 
-CONFORM_STAMP = "2026-05-26T12:38:26.814854"
+CONFORM_STAMP = "2024-03-09T07:15:42.250001"
 
 
 def conform_append(spark, sf):

@@ -216,7 +216,7 @@ FROM versions WHERE is_active"""
   CAST(NULL AS VARCHAR) AS target_attributes, load_type, CAST(NULL AS VARCHAR) AS natural_key_columns, CAST(NULL AS VARCHAR) AS hash_key_column,
   CAST(NULL AS VARCHAR) AS partition_columns, table_config_id % 2 <> 0 AS watermark_enabled, CAST(NULL AS BOOLEAN) AS pii_scan_enabled,
   CAST(NULL AS VARCHAR) AS fail_mode, CAST(NULL AS BIGINT) AS retry_count, ingestion_frequency, tags, env_type, is_active,
-  'tester' AS created_by, TIMESTAMP '2026-05-26 12:38:26.814854' AS created_at, CAST(NULL AS VARCHAR) AS updated_by,
+  'tester' AS created_by, TIMESTAMP '2024-03-09 07:15:42.250001' AS created_at, CAST(NULL AS VARCHAR) AS updated_by,
   CAST(NULL AS TIMESTAMP) AS updated_at
 FROM configs"""
 

@@ -15,11 +15,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(master: str | None = None, app_name: str = "sluice", shuffle_partitions: int | None = None) -> SparkSession:
-    master = master or f"local[{os.environ.get('BENCH_CPUS', '8')}]"
+    """A session with the settings the jobs expect. ``master`` is set only when asked for or
+    when the environment names none, so a cluster's own setting stands."""
     parts = shuffle_partitions or 8
+    builder = SparkSession.builder
+    if master or not (os.environ.get("MASTER") or os.environ.get("SPARK_REMOTE") or os.environ.get("PYSPARK_SUBMIT_ARGS")):
+        builder = builder.master(master or f"local[{os.environ.get('BENCH_CPUS', '8')}]")
     builder = (
-        SparkSession.builder.master(master)
-        .appName(app_name)
+        builder.appName(app_name)
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", str(parts))

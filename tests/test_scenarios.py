@@ -1,127 +1,105 @@
-"""The reference's end-to-end scenarios (its six API tests), replayed on the operators with
-the same request bodies, through configuration snapshots on disk: bootstrap, create,
-write children before parents, read back, get, list."""
+"""End-to-end runs through configuration snapshots on disk: each step reads the stored
+tables, applies one operator and stores the new snapshot for the next."""
 
 from __future__ import annotations
 
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import NOW, rows
 from sluice import schemas as S
 from sluice.operators import conform as C
 from sluice.operators import eav as EAV
+from sluice.operators import load as L
 from sluice.operators import mutate as M
 from sluice.operators import reads as R
-from sluice.operators import validate as V
 from sluice.sources.tables import read_snapshot, write_snapshot
 
-CONN_REQUEST = "request_seq long, connection_name string, connection_type string, connection_domain_name string, " \
-               "is_target int, env_type string, auth_type string, details map<string,string>, auth map<string,string>, " \
-               "created_by string, updated_by string"
-
-
-def _conn_request(spark, name, domain, seq=1):
-    return spark.createDataFrame(
-        [(seq, name, "postgres", domain, 0, "dev", "iam",
-          {"host": "localhost", "port": "5432", "database": "dwh", "schema": "public"}, {"iam_credentials": "token"},
-          "tester", "tester")], CONN_REQUEST,
-    ).withColumn("details", F.create_map(*[F.lit(x) for kv in [("host", "localhost"), ("port", "5432"), ("database", "dwh"),
-                                                                    ("schema", "public")] for x in kv]))
-
-
-def _store(spark):
-    root = tempfile.mkdtemp(prefix="sluice-store-")
-    return C.bootstrap_tables(spark, root)
-
-
-def _create_connections(spark, paths, req):
-    master = read_snapshot(spark, paths["conn_master"], "conn_master")
-    det = read_snapshot(spark, paths["connection_details"], "connection_details")
-    auth = read_snapshot(spark, paths["connection_auth"], "connection_auth")
-    out = M.composite_create(master, det, auth, req, NOW)
-    new_paths = dict(paths)
-    # children first: a reader never sees a parent without its children
-    for name in ("connection_details", "connection_auth", "conn_master"):
-        state = {"conn_master": master, "connection_details": det, "connection_auth": auth}[name]
-        new_paths[name] = write_snapshot(state.unionByName(out[name]), spark, name)
-    return new_paths, rows(out["rejects"])
-
-
-def test_connector_list_has_twelve(spark):
-    assert V.registry_frame(spark).count() >= 12
-
-
-def test_postgres_iam_fields(spark):
-    f = rows(V.connector_fields(spark).filter("connector = 'postgres' AND auth_type = 'iam' AND field_kind = 'auth'"), ["field_order"])
-    assert f[0]["field_name"] == "iam_credentials"
-
-
-def test_connection_create_get_list(spark):
-    paths = _store(spark)
-    paths, rejects = _create_connections(spark, paths, _conn_request(spark, "conn_a", "finance"))
-    assert rejects == []
-    master = read_snapshot(spark, paths["conn_master"], "conn_master")
-    det = read_snapshot(spark, paths["connection_details"], "connection_details")
-    auth = read_snapshot(spark, paths["connection_auth"], "connection_auth")
-    ids = spark.createDataFrame([(1,)], "connection_id long")
-    view = EAV.connection_view(R.lookup_active(master, ids, "connection_id"), det, auth)
-    # map order is checked inside Spark: collecting a map to Python goes through an unordered map
-    got = rows(view.withColumn("detail_keys", F.map_keys("details")))
-    assert len(got) == 1
-    g = got[0]
-    assert (g["connection_name"], g["connection_type"], g["connection_domain_name"], g["is_target"]) == ("conn_a", "postgres", "finance", False)
-    assert g["detail_keys"] == ["host", "port", "database", "schema"]
-    assert g["details"] == {"host": "localhost", "port": "5432", "database": "dwh", "schema": "public"}
-    assert g["auth"] == {"iam_credentials": "token"} and g["auth_type"] == "iam"
-    assert g["created_by"] == "tester" and g["is_active"] is True
-    listed = rows(EAV.list_connections(master, det, auth, {}, None, 1, 20))
-    assert len(listed) == 1 and listed[0]["total"] == 1
-    assert [r["connection_property_id"] for r in rows(det, ["connection_property_id"])] == [1, 2, 3, 4]
-
-
-def test_duplicate_name_rejected(spark):
-    paths = _store(spark)
-    paths, rejects = _create_connections(spark, paths, _conn_request(spark, "dup", "finance"))
-    assert rejects == []
-    paths, rejects = _create_connections(spark, paths, _conn_request(spark, "dup", "finance", seq=2))
-    assert [r["error_code"] for r in rejects] == [S.DUPLICATE_CONNECTION_NAME]
-    assert read_snapshot(spark, paths["conn_master"], "conn_master").count() == 1
-
-
-CONFIG_REQUEST = "request_seq long, connection_source_id long, connection_domain_name string, config_group string, " \
-                 "source_attributes string, target_attributes string, load_type string, env_type string, " \
-                 "watermark_column string, watermark_type string, last_value string, wm_env_type string"
-
-
-def test_config_create_with_watermark_and_fetch(spark):
-    paths = _store(spark)
-    paths, _ = _create_connections(spark, paths, _conn_request(spark, "source_conn", "sales"))
+
+class Store:
+    """The newest snapshot of every configuration table."""
+
+    def __init__(self, spark):
+        self.spark, self.paths = spark, C.bootstrap_tables(spark, tempfile.mkdtemp(prefix="sluice-store-"))
+
+    def __getitem__(self, table):
+        return read_snapshot(self.spark, self.paths[table], table)
+
+    def put(self, table, df):
+        self.paths[table] = write_snapshot(df, self.spark, table)
+
+
+@pytest.fixture()
+def store(spark):
+    return Store(spark)
+
+
+def links(spark, *names, kind="snowflake", auth="basic"):
+    req = spark.createDataFrame(
+        [(i, n, kind, "logistics", "qa", auth, "ops") for i, n in enumerate(names)],
+        "request_seq long, connection_name string, connection_type string, connection_domain_name string, env_type string, auth_type string, created_by string")
+    pairs = [F.lit(x) for kv in (("account", "acc-7"), ("warehouse", "wh_small"), ("role", "reader")) for x in kv]
+    return req.withColumns({"details": F.create_map(*pairs), "auth": F.create_map(F.lit("username"), F.lit("u7"), F.lit("password"), F.lit("p7"))})
+
+
+def create(store, requests):
+    out = M.composite_create(store["conn_master"], store["connection_details"], store["connection_auth"], requests, NOW)
+    refused = rows(out["rejects"])
+    for table in ("connection_details", "connection_auth", "conn_master"):  # children before parents
+        store.put(table, store[table].unionByName(out[table]))
+    return [r["error_code"] for r in refused]
+
+
+def test_several_connections_then_one_is_deleted(spark, store):
+    assert create(store, links(spark, "north", "south")) == []
+    assert create(store, links(spark, "east")) == []
+    ids = {r["connection_name"]: r["connection_id"] for r in rows(store["conn_master"])}
+    assert sorted(ids.values()) == [1, 2, 3]
+    gone = spark.createDataFrame([(ids["south"],)], "connection_id long")
+    new = M.soft_delete_connections(store["conn_master"], store["connection_details"], store["connection_auth"], gone, NOW, "ops")
+    for table, df in new.items():
+        store.put(table, df)
+    page = rows(EAV.list_connections(store["conn_master"], store["connection_details"], store["connection_auth"], {"env_type": "qa"}, None, 1, 10))
+    assert [r["connection_name"] for r in page] == ["east", "north"]
+    assert {r["total"] for r in page} == {2}
+    assert all(r["details"]["warehouse"] == "wh_small" and r["auth"]["username"] == "u7" for r in page)
+    assert store["connection_details"].filter(~F.col("is_active")).count() == 3
+
+
+def test_names_stay_taken_and_bad_pairs_are_refused(spark, store):
+    assert create(store, links(spark, "hub", "hub")) == [S.DUPLICATE_CONNECTION_NAME]
+    assert create(store, links(spark, "hub")) == [S.DUPLICATE_CONNECTION_NAME]
+    assert create(store, links(spark, "x1", kind="papertape")) == [S.INVALID_CONNECTOR_TYPE]
+    assert store["conn_master"].count() == 1
+
+
+def test_configs_watermarks_and_an_incremental_run(spark, store):
+    fields = "request_seq long, connection_source_id long, config_group string, source_attributes string, load_type string, env_type string, watermark_column string, watermark_type string, last_value string"
     req = spark.createDataFrame(
-        [(1, 1, "sales", "grp_a", '{"schema": "main", "table": "orders"}', '{"catalog": "cat", "schema": "silver", "table": "orders_s"}',
-          "full", "dev", "updated_at", "timestamp", "2026-01-01T00:00:00Z", "dev")], CONFIG_REQUEST)
-    cfg = read_snapshot(spark, paths["tbl_source_table"], "tbl_source_table")
-    wm = read_snapshot(spark, paths["tbl_watermark"], "tbl_watermark")
-    out = M.create_configs(cfg, wm, req, NOW)
-    assert rows(out["rejects"]) == []
-    wm_path = write_snapshot(out["tbl_watermark"], spark, "tbl_watermark")
-    cfg_path = write_snapshot(cfg.unionByName(out["tbl_source_table"]), spark, "tbl_source_table")
-    configs = read_snapshot(spark, cfg_path, "tbl_source_table")
-    listed = rows(R.list_configs(configs, {}, 1, 20))
-    assert len(listed) == 1 and listed[0]["source_attributes"] == {"schema": "main", "table": "orders"}
-    assert listed[0]["tags"] == [] and listed[0]["fail_mode"] == "halt"
-    latest = rows(R.latest_per_key(read_snapshot(spark, wm_path, "tbl_watermark"), "table_config_id", "watermark_id"))
-    assert [(r["table_config_id"], r["watermark_column"], r["last_value"], r["env_type"]) for r in latest] == [
-        (1, "updated_at", "2026-01-01T00:00:00Z", "dev")]
-
-
-def test_missing_table_is_invalid_source_attributes(spark):
-    req = spark.createDataFrame([(1, 1, "sales", "grp_a", '{"schema": "missing_table"}', "{}", "full", "dev", None, None, None, None)],
-                                CONFIG_REQUEST)
-    out = M.create_configs(C.empty_table(spark, "tbl_source_table"), C.empty_table(spark, "tbl_watermark"), req, NOW)
+        [(1, 1, "g", '{"schema": "wms", "table": "moves"}', "incremental", "qa", "seen_at", "timestamp", "2024-01-10T00:00:00"),
+         (2, 1, "g", '{"schema": "wms", "table": "bins"}', "incremental", "qa", "seen_at", "timestamp", "soon"),
+         (3, 1, "g", '{"schema": "wms"}', "incremental", "qa", None, None, None)], fields)
+    out = M.create_configs(store["tbl_source_table"], store["tbl_watermark"], req, NOW)
     assert [r["error_code"] for r in rows(out["rejects"])] == [S.INVALID_SOURCE_ATTRIBUTES]
-    assert out["tbl_source_table"].count() == 0
+    store.put("tbl_watermark", out["tbl_watermark"])
+    store.put("tbl_source_table", store["tbl_source_table"].unionByName(out["tbl_source_table"]))
+    source = spark.createDataFrame(
+        [(1, "2024-01-09 00:00:00"), (1, "2024-01-11 00:00:00"), (2, "2024-01-11 00:00:00"), (9, "2024-01-05 00:00:00")], "cfg long, t string",
+    ).select("cfg", F.col("t").cast("timestamp_ntz").alias("seen_at"))
+    state = store["tbl_watermark"]
+    good, bad = L.typed_watermarks(state, "timestamp")
+    assert good.count() == 1 and [r["last_value"] for r in rows(bad)] == ["soon"]
+    got = L.incremental_by_config(source, state, "cfg", "seen_at", upper=L.upper_bound(source, "seen_at"))
+    assert sorted((r["cfg"], str(r["seen_at"])) for r in rows(got)) == [(1, "2024-01-11 00:00:00"), (9, "2024-01-05 00:00:00")]
+    adv = L.advance_watermark(state, got, "cfg", "seen_at")
+    ups = L.watermark_upserts(adv, "seen_at", "timestamp", "run_1", as_text=True)
+    done = M.guarded(ups, store["tbl_source_table"], "table_config_id", lambda ok: M.upsert_watermark(state, ok, NOW))
+    assert [r["table_config_id"] for r in rows(done["rejects"])] == [9]
+    store.put("tbl_watermark", done["state"])
+    last = {r["table_config_id"]: r["last_value"] for r in rows(store["tbl_watermark"])}
+    assert last == {1: "2024-01-11T00:00:00.000000", 2: "soon"}
 
 
 def test_partitioned_snapshot_round_trip(spark):
@@ -130,3 +108,19 @@ def test_partitioned_snapshot_round_trip(spark):
     back = read_snapshot(spark, path, "aud_table_run")
     assert back.columns == S.column_names("aud_table_run")
     assert [r["table_run_id"] for r in rows(back.filter("env_type = 'prod'"))] == [2]
+
+
+def test_map_columns_and_missing_maps(spark):
+    df = spark.createDataFrame([(1, 1, {"a": "x"}), (1, 2, {"b": "y"}), (2, 1, None)], "k long, seq long, m map<string,string>")
+    assert {r["k"]: r["m"] for r in rows(R.latest_per_key(df, "k", "seq"))} == {1: {"b": "y"}, 2: None}
+    assert {r["k"]: r["m"] for r in rows(L.latest_by_key(df, ["k"], ["seq"]))} == {1: {"b": "y"}, 2: None}
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        req = links(spark, "a1", "a2").withColumn("details", F.when(F.col("request_seq") == 1, F.col("details")))
+        empty = {t: C.empty_table(spark, t) for t in ("conn_master", "connection_details", "connection_auth")}
+        out = M.composite_create(*empty.values(), req, NOW)
+        assert sorted(r["connection_details_id"] for r in rows(out["connection_details"])) == [1, 2, 3]
+        assert sorted(r["connection_auth_id"] for r in rows(out["connection_auth"])) == [1, 2, 3, 4]
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
