@@ -90,12 +90,13 @@ def list_connections(master: DataFrame, details: DataFrame, auth: DataFrame, fil
     but never aggregated or shuffled in full. Every row carries total and total_pages."""
     from sluice.operators.reads import active as _active
     from sluice.operators.reads import equality_filters, page, search, with_page_meta
+    from sluice.session import pin
 
     flt = dict(filters or {})
     state = flt.pop("is_active", True)
     hits = search(equality_filters(_active(master, state), flt), search_term, ["connection_name", "connection_domain_name"])
-    pg = page(hits, page_no, page_size, "connection_id")
+    # the page with its totals, computed once (at most MAX_PAGE_SIZE rows)
+    pg = pin(with_page_meta(page(hits, page_no, page_size, "connection_id"), hits, page_size), "page")
     ids = F.broadcast(pg.select("connection_id"))
-    view = connection_view(pg, details.join(ids, "connection_id", "left_semi"), auth.join(ids, "connection_id", "left_semi"),
+    return connection_view(pg, details.join(ids, "connection_id", "left_semi"), auth.join(ids, "connection_id", "left_semi"),
                            only_active=False)
-    return with_page_meta(view, hits, page_size)

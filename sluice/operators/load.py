@@ -12,6 +12,7 @@ from pyspark.sql.types import DataType, StringType, StructType, TimestampNTZType
 
 from sluice.functions.exprs import row_hash
 from sluice.operators.conform import conform
+from sluice.session import pin
 
 
 def _ties(df: DataFrame, cols: list[str]) -> list[Column]:
@@ -35,7 +36,9 @@ def _key_cond(left: DataFrame, right: DataFrame, keys: list[str], rprefix: str)
 
 def full_load(source: DataFrame, target_path: str, schema: StructType | None = None, fmt: str = "parquet",
               partition_by: list[str] | None = None) -> str:
-    """Read source, conform (D02) when a target schema is given, replace the target."""
+    """Read source, conform (D02) when a target schema is given, replace the target in
+    place. A job that fails midway leaves the target incomplete; ``full_load_version`` keeps
+    readers off that."""
     df = conform(source, schema) if schema is not None else source
     w = df.write.mode("overwrite").format(fmt)
     if partition_by:
@@ -44,6 +47,20 @@ def full_load(source: DataFrame, target_path: str, schema: StructType | None = N
     return target_path
 
 
+def full_load_version(source: DataFrame, target_root: str, version: str, schema: StructType | None = None,
+                      partition_by: list[str] | None = None) -> str:
+    """R01 published by version: a new folder ``version=...`` under ``target_root`` is written
+    whole, and only then returned for the caller to record (D36) and readers to switch to.
+    Earlier versions stay until removed; an existing version is an error, not overwritten."""
+    path = f"{target_root.rstrip('/')}/version={version}"
+    df = conform(source, schema) if schema is not None else source
+    w = df.write.mode("errorifexists").format("parquet")
+    if partition_by:
+        w = w.partitionBy(*partition_by)
+    w.save(path)
+    return path
+
+
 # ---- R02 incremental extract ----
 
 def _typed_literal(value, watermark_type: str, col_type: DataType) -> Column:
@@ -249,7 +266,7 @@ def upsert_by_key(target: DataFrame, batch: DataFrame, keys: list[str], order: l
     not shuffled), and the inserts are the batch keys absent from a key-only scan of the
     target, an anti join between two batch-sized sides.
     """
-    latest = latest_by_key(batch, keys, order)
+    latest = pin(latest_by_key(batch, keys, order), "batch")  # folded once, read three times
     b = latest.select(*[F.col(c).alias(f"_b_{c}") for c in latest.columns]).withColumn("_b_hit", F.lit(True))
     j = target.join(b, _key_cond(target, b, keys, "_b_"), "left")
     hit = F.col("_b_hit").isNotNull()
@@ -300,6 +317,7 @@ def cdc_apply(target: DataFrame, changes: DataFrame, keys: list[str], seq_col: s
     folded = ch.groupBy(*keys).agg(
         F.max_by("_op", order).alias("_last_op"), F.max("_seq").alias("_c_seq"),
         F.max_by(F.struct(*values), F.when(writes, order)).alias("_w"))
+    folded = pin(folded, "changes")
     c = folded.select(*[F.col(k).alias(f"_c_{k}") for k in keys], "_last_op", "_c_seq", "_w")
     t = target if "last_seq" in target.columns else target.withColumn("last_seq", F.lit(None).cast(changes.schema[seq_col].dataType))
     j = t.join(c, _key_cond(t, c, keys, "_c_"), "left")

@@ -10,6 +10,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sluice.session import pin
+
 FAILED = "failed_rules"
 
 
@@ -86,6 +88,9 @@ def apply_fail_mode(df: DataFrame, rules, mode: str) -> tuple[DataFrame, DataFra
     good = checked.filter(F.size(FAILED) == 0).drop(FAILED)
     bad = checked.filter(F.size(FAILED) > 0)
     if mode == "halt":
+        # one evaluation serves the gate and the write
+        checked = pin(checked, "dq-checked")
+        good, bad = checked.filter(F.size(FAILED) == 0).drop(FAILED), checked.filter(F.size(FAILED) > 0)
         n_bad = checked.agg(F.count_if(F.size(FAILED) > 0)).first()[0]
         if n_bad:
             raise DataQualityHalt(f"{n_bad} rows failed quality rules")

@@ -25,7 +25,7 @@ from sluice.operators import reads as R
 from sluice.operators import runs as RU
 from sluice.operators import validate as V
 from sluice.schemas import TABLES
-from sluice.session import work_path
+from sluice.session import pin, work_path
 from sluice.sources import lenses
 from sluice.sources.connections import source_from_connection as read_from_connection
 from sluice.sources.tables import read_table
@@ -392,11 +392,17 @@ def _bts_state(spark, sf):
         E("CASE WHEN p_size > 45 THEN NULL ELSE p_partkey END").alias("source_config_id")))
 
 
+def _pii_state(spark, sf):
+    return _seeded(read_table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("pii_id"), F.col("o_custkey").alias("table_config_id"), E("o_orderkey % 10 <> 0").alias("is_active")))
+
+
 def cascade_delete(spark, sf):
     ids = read_table(spark, sf, "customer").filter(F.col("c_acctbal") < 0).select(F.col("c_custkey").alias("table_config_id"))
     children = {
         "tbl_watermark": (_wm_state(spark, sf), "table_config_id"),
         "tbl_schema_version": (_seeded(lenses.versions(spark, sf).drop("created_at")), "table_config_id"),
+        "tbl_pii_attribute": (_pii_state(spark, sf), "table_config_id"),
         "aud_table_run": (_seeded(lenses.runs(spark, sf)), "table_config_id"),
         "bts_config": (_bts_state(spark, sf), "source_config_id"),
     }
@@ -687,7 +693,8 @@ DOCS_CONFIG_ID = 1
 def pii_classify(spark, sf):
     """R11 -> D32: the scan of ``documents`` replaces that table's PII classification."""
     docs = read_table(spark, sf, "documents").select("text", "lang", "source")
-    new = P.classification_rows(P.pii_scan(docs), DOCS_CONFIG_ID)
+    # a few rows: written once, so the text is scanned once for parents, ids and children
+    new = pin(P.classification_rows(P.pii_scan(docs), DOCS_CONFIG_ID), "classified")
     parents = new.select("table_config_id").distinct()
     out = M.replace_children(C.empty_table(spark, "tbl_pii_attribute"), parents, new, "table_config_id", "pii_id",
                              ["table_config_id", "column_name", "pii_category"], NOW, "scanner")

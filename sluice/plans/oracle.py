@@ -384,6 +384,8 @@ UNION ALL SELECT 'tbl_watermark', count(*), CAST(count_if(table_config_id IN (SE
   CAST(count_if(table_config_id NOT IN (SELECT * FROM ids)) AS BIGINT) FROM wm
 UNION ALL SELECT 'tbl_schema_version', count(*), CAST(count_if(is_active AND table_config_id IN (SELECT * FROM ids)) AS BIGINT),
   CAST(count_if(is_active AND table_config_id NOT IN (SELECT * FROM ids)) AS BIGINT) FROM versions
+UNION ALL SELECT 'tbl_pii_attribute', count(*), CAST(count_if(o_orderkey % 10 <> 0 AND o_custkey IN (SELECT * FROM ids)) AS BIGINT),
+  CAST(count_if(o_orderkey % 10 <> 0 AND o_custkey NOT IN (SELECT * FROM ids)) AS BIGINT) FROM orders
 UNION ALL SELECT 'aud_table_run', count(*), CAST(count_if(is_active AND table_config_id IN (SELECT * FROM ids)) AS BIGINT),
   CAST(count_if(is_active AND table_config_id NOT IN (SELECT * FROM ids)) AS BIGINT) FROM runs
 UNION ALL SELECT 'bts_config', count(*), CAST(count_if(source_config_id IN (SELECT * FROM ids)) AS BIGINT),

@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -73,6 +74,25 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark).rstrip('/')}/sluice-{name}-{uuid.uuid4().hex}"
 
 
+_PINS: list[str] = []
+
+
+@contextmanager
+def job_scope(spark: SparkSession):
+    """Removes the pinned tables of a job when it ends. Write or collect the job's outputs
+    inside: their plans read the pins, which are gone afterwards."""
+    first = len(_PINS)
+    try:
+        yield
+    finally:
+        mine = _PINS[first:]
+        del _PINS[first:]
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()  # noqa: SLF001
+        for path in mine:
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(conf).delete(p, True)
+
+
 def pin(df: DataFrame, name: str = "pinned") -> DataFrame:
     """Cut lineage through a written Parquet table in the shared folder: columnar and
     compressed (about half the bytes of an RDD checkpoint), and later steps read back
@@ -83,6 +103,7 @@ def pin(df: DataFrame, name: str = "pinned") -> DataFrame:
 
     void = [f.name for f in df.schema.fields if isinstance(f.dataType, NullType)]
     path = work_path(df.sparkSession, name)
+    _PINS.append(path)
     kept = df.drop(*void)
     kept.write.mode("errorifexists").parquet(path)
     # read with the known schema: an empty input leaves no data file to infer it from

@@ -26,6 +26,26 @@ def _fmt(pattern: str, props: dict) -> str:
     return pattern.format(**{k: ("" if v is None else v) for k, v in props.items()}).rstrip("/")
 
 
+DEFAULT_FETCH_SIZE = 10_000
+DEFAULT_SPLITS = 32
+
+
+def _range_split(source_attributes: dict) -> dict[str, str]:
+    """Parallel range reads of a table: by ``partition_column`` between ``lower_bound`` and
+    ``upper_bound`` (they only shape the ranges, no row is left out) in ``num_partitions``
+    tasks. A query text cannot be split; a table without these fields is read by one task."""
+    column = source_attributes.get("partition_column")
+    if not column:
+        return {}
+    if source_attributes.get("query"):
+        raise ValueError("partition_column needs a table, not a query")
+    low, high = source_attributes.get("lower_bound"), source_attributes.get("upper_bound")
+    if low is None or high is None:
+        raise ValueError("partition_column needs lower_bound and upper_bound")
+    return {"partitionColumn": column, "lowerBound": str(low), "upperBound": str(high),
+            "numPartitions": str(source_attributes.get("num_partitions") or DEFAULT_SPLITS)}
+
+
 def reader_spec(connection: dict, source_attributes: dict) -> dict:
     """Format, options and path for one (connection, source) pair, without reading."""
     ctype = connection["connection_type"]
@@ -55,6 +75,11 @@ def reader_spec(connection: dict, source_attributes: dict) -> dict:
         if "username" in auth:
             opts["user"] = auth["username"]
             opts["password"] = auth.get("password", "")
+        elif auth:
+            # never read without the login that the connection asks for
+            raise ValueError(f"auth fields {sorted(auth)} are not supported for {ctype!r} here")
+        opts["fetchsize"] = str(source_attributes.get("fetch_size") or details.get("fetch_size") or DEFAULT_FETCH_SIZE)
+        opts.update(_range_split(source_attributes))
         return {"format": "jdbc", "options": opts, "path": None}
     raise ValueError(f"connector {ctype!r} has no Spark source here")
 

@@ -1,6 +1,6 @@
 """Lenses: projections that give driver tables the shape of configuration tables, so the
 operators run over data that grows with the scale factor. Each lens is a plain select on
-one driver table (plus a union for details), so pruning and pushdown reach the scan."""
+one driver table, so pruning and pushdown reach the scan."""
 
 from __future__ import annotations
 
@@ -76,18 +76,17 @@ def details(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Connection details EAV from ``supplier``, with on purpose a NULL value, a repeated
     key, an inactive row and a NULL key."""
     s = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
-    k = F.col("s_suppkey")
-    parts = [
-        s.select(k.alias("connection_id"), F.lit(1).alias("connection_property_id"), F.lit("host").alias("connection_property"),
-                 F.col("s_name").alias("connection_property_value"), F.lit(True).alias("is_active")),
-        s.select(k, F.lit(2), F.lit("port"), E("CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE '5432' END"), F.lit(True)),
-        s.select(k, F.lit(3), F.lit("host"), F.lit("override"), E("s_suppkey % 2 = 0")),
-        s.select(k, F.lit(4), F.lit(None).cast("string"), F.lit("ignored"), F.lit(True)),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out.withColumn("connection_property_id", F.col("connection_property_id").cast("long"))
+    prop = lambda n, name, value, active: F.struct(
+        F.lit(n).cast("long").alias("connection_property_id"), F.lit(name).cast("string").alias("connection_property"),
+        value.cast("string").alias("connection_property_value"), active.alias("is_active"))
+    yes = F.lit(True)
+    rows = F.array(
+        prop(1, "host", F.col("s_name"), yes),
+        prop(2, "port", E("CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE '5432' END"), yes),
+        prop(3, "host", F.lit("override"), E("s_suppkey % 2 = 0")),
+        prop(4, None, F.lit("ignored"), yes),
+    )
+    return s.select(F.col("s_suppkey").alias("connection_id"), F.explode(rows).alias("_p")).select("connection_id", "_p.*")
 
 
 def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
