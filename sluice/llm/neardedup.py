@@ -13,10 +13,11 @@ similarity at least as well as for independent hashes.
    large it is.
 3. Components of these links close most buckets. In the others, members outside the
    bucket's largest component are compared with the rest, blockwise (at most ``BLOCK``
-   members a side, a bucket's blocks spread over tasks), by their whole sketches; pairs whose
-   sketches agree in all but ``SLACK`` of the threshold's share are verified as well. No pair of a bucket
-   that could still join two components is left out, and nothing is capped.
-4. Links are confirmed on the full shingle sets.
+   members a side, a bucket's blocks spread over tasks): by their whole sketches first, and
+   where these agree in all but ``SLACK`` of the threshold's share, by their full sets. No pair
+   of a bucket that could still join two components is left out, each is looked at once, only
+   links are given out, and nothing is capped.
+4. Every link is confirmed on the full shingle sets.
 
 The band height follows the threshold (``banding``): a link exactly at it shares no band with
 probability below 1e-6 (0.85: 32 bands of 6, 3e-7), and misses the sketch agreement, over five
@@ -144,21 +145,48 @@ def _sets(k: int):
     return run
 
 
-def _blocks(similarity: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by block (key, x, y, inner); yields pairs (a, b) of a block whose
-    labels differ and whose sketches agree enough."""
-    need = int(np.ceil((similarity - SLACK) * SIZE))
-
-    def compare(rows: list[dict]) -> Iterator[tuple[bytes, bytes]]:
-        sig = np.frombuffer(b"".join(r["sig"] for r in rows), dtype=np.uint8).reshape(len(rows), SIZE)
-        _, label = np.unique(np.array([r["label"].hex() for r in rows]), return_inverse=True)
-        left = np.array([r["side"] == 0 for r in rows])
-        for i in np.flatnonzero(left):  # one row against a block: BLOCK * SIZE bytes
-            other = ~left if not rows[0]["inner"] else np.arange(len(rows)) > i
-            at = np.flatnonzero(other & (label != label[i]))
-            if len(at):
-                for j in at[(sig[at] == sig[i]).sum(axis=1) >= need]:
-                    yield rows[i]["c"], rows[j]["c"]
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets."""
+    at = np.searchsorted(a, b)
+    at[at == len(a)] = len(a) - 1
+    return int((a[at] == b).sum())
+
+
+def _link_block(rows: list[tuple], percent: int) -> Iterator[tuple[bytes, bytes]]:
+    """Links of one block: rows (key, inner, side, c, label, keys, sig, elements). A pair is
+    looked at in the first band it shares only, so once in all blocks; pairs already joined by
+    a link of this block are passed over, the likeliest ones come first."""
+    need = int(np.ceil((percent / 100 - SLACK) * SIZE))
+    key, inner = rows[0][:2]
+    _, root = np.unique([r[4].hex() for r in rows], return_inverse=True)
+    if root.max() == 0:
+        return
+    sig = np.frombuffer(b"".join(r[6] for r in rows), dtype=np.uint8).reshape(len(rows), SIZE)
+    keys = np.array([r[5] for r in rows])
+    size = np.array([len(r[7]) for r in rows])
+    band = int(np.flatnonzero(keys[0] == key)[0])
+    left = np.array([r[2] == 0 for r in rows])
+    for i in np.flatnonzero(left):
+        other = (np.arange(len(rows)) > i) if inner else ~left
+        other &= (root != root[i]) & (100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i]))
+        at = np.flatnonzero(other)
+        if not len(at):
+            continue
+        alike = (sig[at] == sig[i]).sum(axis=1)
+        first = (keys[at] == keys[i]).argmax(axis=1) == band
+        ok = first & (alike >= need)
+        at = at[ok][np.argsort(-alike[ok], kind="stable")]
+        for j in at:
+            if root[i] == root[j]:
+                continue
+            both = _common(rows[i][7], rows[j][7])
+            if 100 * both >= percent * (size[i] + size[j] - both):
+                yield rows[i][3], rows[j][3]
+                root[root == root[j]] = root[i]
+
+
+def _blocks(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by block (key, inner, x, y); yields the links (a, b) found in them."""
 
     def emit(pairs):
         a, b = zip(*pairs, strict=True) if pairs else ((), ())
@@ -166,15 +194,23 @@ def _blocks(similarity: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa
 
     held, at = [], None
     for batch in batches:
+        col = {n: batch.column(batch.schema.get_field_index(n)) for n in batch.schema.names}
+        plain = {n: col[n].to_pylist() for n in ("key", "inner", "x", "y", "side", "c", "label", "sig")}
+        views = {}
+        for n in ("keys", "elements"):
+            values, cut = col[n].values.to_numpy(zero_copy_only=False), col[n].offsets.to_numpy()
+            views[n] = [values[cut[i] : cut[i + 1]] for i in range(len(cut) - 1)]
         out = []
-        for r in batch.to_pylist():
-            block = (r["key"], r["inner"], r["x"], r["y"])
+        for i in range(batch.num_rows):
+            block = tuple(plain[n][i] for n in ("key", "inner", "x", "y"))
             if block != at:
-                out += compare(held) if held else []
+                out += _link_block(held, percent) if held else []
                 held, at = [], block
-            held.append(r)
+            # unsigned order, as the sets are sorted
+            held.append((block[0], block[1], plain["side"][i], plain["c"][i], plain["label"][i], views["keys"][i], plain["sig"][i], views["elements"][i].view(np.uint64)))
+        held = [(*r[:5], r[5].copy(), r[6], r[7].copy()) for r in held]  # the batch's memory goes
         yield emit(out)
-    yield emit(list(compare(held)) if held else [])
+    yield emit(list(_link_block(held, percent)) if held else [])
 
 
 class Near:
@@ -198,14 +234,16 @@ class Near:
         """Sizes allow the similarity."""
         return 100 * F.least(F.col(a), F.col(b)) >= self.percent * F.greatest(F.col(a), F.col(b))
 
-    def verified(self, pairs: DataFrame) -> DataFrame:
+    def sets(self, classes: DataFrame) -> DataFrame:
+        """Full shingle sets (c, elements) of the classes, made from their documents."""
+        ids = self.classes.join(classes, "c", "left_semi").select(F.col("id").alias("_id")).distinct()
+        texts = self.texts.join(ids, F.col("id") == F.col("_id"), "left_semi").select("text")
+        found = texts.mapInArrow(_sets(self.k), "c binary, elements array<long>")
+        return pin(found.join(classes, "c", "left_semi").groupBy("c").agg(F.any_value("elements").alias("elements")), "sets")
+
+    def verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """The pairs (a, b) of classes whose full sets are similar enough."""
         pairs = pin(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-        needed = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct()
-        ids = self.classes.join(needed, "c", "left_semi").select(F.col("id").alias("_id")).distinct()
-        texts = self.texts.join(ids, F.col("id") == F.col("_id"), "left_semi").select("text")
-        sets = texts.mapInArrow(_sets(self.k), "c binary, elements array<long>")
-        sets = pin(sets.join(needed, "c", "left_semi").groupBy("c").agg(F.any_value("elements").alias("elements")), "sets")
         one = lambda c: sets.select(F.col("c").alias(f"_{c}"), F.col("elements").alias(f"set_{c}"))
         both = pairs.join(one("a"), F.col("a") == F.col("_a")).join(one("b"), F.col("b") == F.col("_b"))
         common = F.size(F.array_intersect("set_a", "set_b"))
@@ -221,11 +259,12 @@ class Near:
         lead = buckets.join(met, F.col("c") == F.col("_c")).groupBy("key").agg(F.max(F.struct("met", "c", "n")).alias("lead"))
         lead = pin(lead.select("key", F.col("lead.c").alias("lead"), F.col("lead.n").alias("lead_n")), "leads")
         stars = buckets.join(lead, "key").where((F.col("c") != F.col("lead")) & self._may_link("n", "lead_n"))
-        links = self.verified(stars.select(F.col("lead").alias("a"), F.col("c").alias("b")))
-        more = self._across(buckets, lead, components(links))
+        sets = self.sets(buckets.select("c").distinct())
+        links = self.verified(stars.select(F.col("lead").alias("a"), F.col("c").alias("b")), sets)
+        more = self._across(buckets, lead, components(links), sets)
         return links if more is None else links.union(more)
 
-    def _across(self, buckets: DataFrame, lead: DataFrame, label: DataFrame) -> DataFrame | None:
+    def _across(self, buckets: DataFrame, lead: DataFrame, label: DataFrame, sets: DataFrame) -> DataFrame | None:
         """Links between different components within a bucket, leaders (whose pairs are
         verified) left out."""
         label = label.withColumnRenamed("node", "_c")
@@ -250,15 +289,11 @@ class Near:
         left = F.transform(upto("ny"), lambda y: place(False, nth, y, 0))
         right = F.transform(upto("nx"), lambda x: place(False, x, nth, 1))
         m = m.withColumn("at", F.explode(F.when(F.col("out"), F.concat(inner, left)).otherwise(right)))
-        sig = self.classes.select(F.col("c").alias("_c"), "sig")
-        m = m.select("key", "c", "label", "at.*").join(sig, F.col("c") == F.col("_c")).drop("_c")
+        of = self.classes.select(F.col("c").alias("_c"), "keys", "sig").join(sets.withColumnRenamed("c", "_e"), F.col("_c") == F.col("_e"))
+        m = m.select("key", "c", "label", "at.*").join(of, F.col("c") == F.col("_c")).drop("_c", "_e")
         sides = ["key", "inner", "x", "y"]
         m = m.repartition(*sides).sortWithinPartitions(*sides)
-        pairs = m.mapInArrow(partial(_blocks, self.percent / 100), "a binary, b binary")
-        size = self.classes.select(F.col("c").alias("_c"), F.col("n").alias("_n"))
-        pairs = pairs.distinct().join(size.withColumnsRenamed({"_c": "ca", "_n": "na"}), F.col("a") == F.col("ca"))
-        pairs = pairs.join(size.withColumnsRenamed({"_c": "cb", "_n": "nb"}), F.col("b") == F.col("cb")).where(self._may_link("na", "nb"))
-        return self.verified(pairs.select("a", "b"))
+        return pin(m.mapInArrow(partial(_blocks, self.percent), "a binary, b binary"), "links")
 
     def result(self, id_col: str) -> DataFrame:
         roots = components(self.links()).withColumnRenamed("node", "_c")
