@@ -12,6 +12,7 @@ from pyspark.sql.types import DataType, StringType, StructType, TimestampNTZType
 
 from sluice.functions.exprs import row_hash
 from sluice.operators.conform import conform
+from sluice.schemas import WATERMARK_TYPES
 from sluice.session import pin
 
 
@@ -99,7 +100,7 @@ def incremental_extract(source: DataFrame, watermark_col: str, last_value, water
 
 
 #: Spark type of a stored (text) last value, by watermark_type.
-WATERMARK_CASTS = {"timestamp": "timestamp_ntz", "integer": "bigint", "hashkey": "string"}
+WATERMARK_CASTS = dict(zip(WATERMARK_TYPES, ("timestamp_ntz", "bigint", "string"), strict=True))
 
 
 def _typed_last(watermarks: DataFrame, last_col: str, watermark_type: str) -> Column:

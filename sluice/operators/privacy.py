@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from sluice.functions.exprs import luhn_valid
-from sluice.schemas import ACCESS_TIERS
+from sluice.schemas import ACCESS_TIERS, PROTECTION_METHODS
 
 # ---- fixed values: detection patterns (Java regex, also valid RE2) ----
 EMAIL_PATTERN = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
@@ -145,7 +145,7 @@ def strictest(pii_rows: list[dict]) -> dict[str, dict]:
         if not r.get("is_active", True):
             continue
         tier, method = r.get("access_tier") or "INTERNAL", (r.get("protection_method") or "REDACT").upper()
-        if method not in METHOD_STRENGTH:
+        if method not in PROTECTION_METHODS:
             raise ValueError(f"unknown protection_method {method!r}")
         have = out.get(r["column_name"])
         mine = {"access_tier": tier, "protection_method": method, "masking_policy": r.get("masking_policy")}

@@ -10,6 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sluice.schemas import FAIL_MODES
 from sluice.session import pin
 
 FAILED = "failed_rules"
@@ -84,6 +85,8 @@ def apply_fail_mode(df: DataFrame, rules, mode: str) -> tuple[DataFrame, DataFra
     skip: bad rows are dropped (the second frame is empty).
     quarantine: bad rows with their failed rule names go to the second frame.
     """
+    if mode not in FAIL_MODES:
+        raise ValueError(f"unknown fail_mode {mode!r}")
     checked = evaluate_rules(df, rules)
     good = checked.filter(F.size(FAILED) == 0).drop(FAILED)
     bad = checked.filter(F.size(FAILED) > 0)
@@ -97,9 +100,7 @@ def apply_fail_mode(df: DataFrame, rules, mode: str) -> tuple[DataFrame, DataFra
         return good, bad.limit(0)
     if mode == "skip":
         return good, bad.limit(0)
-    if mode == "quarantine":
-        return good, bad
-    raise ValueError(f"unknown fail_mode {mode!r}")
+    return good, bad
 
 
 def run_outcome(df: DataFrame, rules, mode: str) -> DataFrame:

@@ -24,7 +24,7 @@ from sluice.operators import quality as Q
 from sluice.operators import reads as R
 from sluice.operators import runs as RU
 from sluice.operators import validate as V
-from sluice.schemas import TABLES
+from sluice.schemas import CASCADE_CHILDREN, TABLES
 from sluice.session import pin, work_path
 from sluice.sources import lenses
 from sluice.sources.connections import source_from_connection as read_from_connection
@@ -399,13 +399,14 @@ def _pii_state(spark, sf):
 
 def cascade_delete(spark, sf):
     ids = read_table(spark, sf, "customer").filter(F.col("c_acctbal") < 0).select(F.col("c_custkey").alias("table_config_id"))
-    children = {
-        "tbl_watermark": (_wm_state(spark, sf), "table_config_id"),
-        "tbl_schema_version": (_seeded(lenses.versions(spark, sf).drop("created_at")), "table_config_id"),
-        "tbl_pii_attribute": (_pii_state(spark, sf), "table_config_id"),
-        "aud_table_run": (_seeded(lenses.runs(spark, sf)), "table_config_id"),
-        "bts_config": (_bts_state(spark, sf), "source_config_id"),
+    states = {
+        "tbl_watermark": _wm_state(spark, sf),
+        "tbl_schema_version": _seeded(lenses.versions(spark, sf).drop("created_at")),
+        "tbl_pii_attribute": _pii_state(spark, sf),
+        "aud_table_run": _seeded(lenses.runs(spark, sf)),
+        "bts_config": _bts_state(spark, sf),
     }
+    children = {name: (states[name], parent) for name, parent in CASCADE_CHILDREN}
     new = M.cascade_soft_delete(_config_state(spark, sf), children, ids, NOW, "cascader")
     parts = [
         df.agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).cast("long").alias("n_rows"),

@@ -82,18 +82,7 @@ TABLES: dict[str, StructType] = {
     ]),
 }
 
-PRIMARY_KEY = {
-    "conn_master": "connection_id",
-    "connection_details": "connection_details_id",
-    "connection_auth": "connection_auth_id",
-    "tbl_source_table": "table_config_id",
-    "tbl_watermark": "watermark_id",
-    "tbl_schema_version": "version_id",
-    "tbl_pii_attribute": "pii_id",
-    "aud_table_run": "table_run_id",
-    "bts_config": "bts_config_id",
-}
-
+# ---- fixed values that must equal the reference's: cascade order and parent columns ----
 # Children soft-deleted with a pipeline config, in the order the cascade touches them.
 CASCADE_CHILDREN = [
     ("tbl_watermark", "table_config_id"),
@@ -106,16 +95,9 @@ CASCADE_CHILDREN = [
 # ---- fixed values that must equal the reference's vocabularies ----
 LOAD_TYPES = ["full", "incremental", "cdc", "api", "file_autoloader"]
 FAIL_MODES = ["halt", "skip", "quarantine"]
-INGESTION_FREQUENCIES = ["daily", "weekly", "monthly", "adhoc"]
 WATERMARK_TYPES = ["timestamp", "integer", "hashkey"]
-CHANGE_TYPES = ["additive", "deletion"]
-PII_CATEGORIES = ["email", "phone", "full_name", "national_id", "financial", "health"]
 PROTECTION_METHODS = ["ENCRYPT", "MASK", "PSEUDONYMIZE", "REDACT"]
-SENSITIVITIES = ["PII", "PCI", "PHI", "CONFIDENTIAL", "PUBLIC"]
 ACCESS_TIERS = ["PUBLIC", "INTERNAL", "RESTRICTED", "HIGHLY_RESTRICTED"]
-RUN_STATUSES = ["running", "succeeded", "failed"]
-ERROR_TYPES = ["connection", "schema", "dq", "compute", "timeout", "unknown"]
-ENV_TYPES = ["dev", "qa", "prod"]
 
 # ---- fixed values: error codes carried as column values ----
 INVALID_CONNECTOR_TYPE = "INVALID_CONNECTOR_TYPE"
