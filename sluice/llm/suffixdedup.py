@@ -41,7 +41,7 @@ GRAM = 32
 ROUNDS = 5
 BUCKET_BYTES = 2 << 20
 SHARD_BYTES = 1 << 20
-GROUP = 1000
+GROUP = BUCKET_BYTES // 512  # about as many pieces as fill a bucket
 _STRETCH = 1 << 20  # longest run of bytes whose anchors are found at once
 
 
