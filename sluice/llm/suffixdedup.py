@@ -138,51 +138,53 @@ def _cut(length: int):
 
 
 class Collection:
-    """The suffixes of a bucket's pieces in steps of ``step`` bytes. Positions 0..len of every
-    piece are numbered one after the other; a position with less than a block left is empty."""
+    """The suffixes of a bucket's pieces in steps of ``step`` bytes, as far as they can matter.
 
-    def __init__(self, texts: list[bytes], step: int):
-        self.step = step
+    A block found once in the bucket cannot lie in a repeated window, so only windows of
+    ``rounds`` blocks that each occur again are candidates; the suffixes kept are the
+    candidates and what follows them step by step. ``sym`` is a suffix's first block (0 where
+    its chain ends), ``next`` the suffix a block further on, ``bwt`` the block before it."""
+
+    def __init__(self, texts: list[bytes], step: int, rounds: int):
         size = np.fromiter((len(t) for t in texts), dtype=np.int64, count=len(texts))
         base = np.concatenate(([0], np.cumsum(size + 1)))
-        self.piece = np.repeat(np.arange(len(texts)), size + 1)
-        self.x = np.arange(base[-1]) - base[self.piece]
-        self.left = size[self.piece] - self.x
+        n = int(base[-1])
+        piece = np.repeat(np.arange(len(texts), dtype=np.int32), size + 1)
+        left = (np.repeat(base[1:] - 1, size + 1) - np.arange(n)).astype(np.int32)
         data = np.frombuffer(b"\x00".join(texts) + b"\x00", dtype=np.uint8)
-        has = np.flatnonzero(self.left >= step)
-        h = _hash(_prefix(data), has, has + step)
-        self.sym = np.zeros(len(self.x), dtype=np.int64)  # 0: no block left
+        has = np.flatnonzero(left >= step)
+        sym = np.zeros(n, dtype=np.int32)
         if len(has):
-            _, rank = np.unique(h, return_inverse=True)
-            self.sym[has] = rank.ravel() + 1
+            _, rank, often = np.unique(_hash(_prefix(data), has, has + step), return_inverse=True, return_counts=True)
+            rank = rank.ravel()
+            sym[has] = np.where(often[rank] > 1, rank + 1, 0)
+        full = left >= step * rounds
+        for k in range(rounds):
+            full[: n - k * step] &= sym[k * step :] > 0
+        need = full.copy()
+        for k in range(1, rounds + 1):
+            need[k * step :] |= full[: n - k * step]
+        at = np.flatnonzero(need)
+        index = np.full(n + step, -1, dtype=np.int64)
+        index[at] = np.arange(len(at))
+        follows = np.where(left[at] >= step, index[at + step], -1)
+        follows[sym[at] == 0] = -1
+        self.piece, self.x, self.full = piece[at], at - base[piece[at]], full[at]
+        self.next, self.sym = follows, np.where(follows >= 0, sym[at], 0).astype(np.int32)
+        self.bwt = np.zeros(len(at), dtype=np.int32)
+        ok = follows >= 0
+        self.bwt[follows[ok]] = self.sym[ok]
 
     def order(self, at: np.ndarray, rounds: int) -> np.ndarray:
-        """Positions ``at`` (whole pieces) sorted by their first ``rounds`` symbols."""
-        index = np.full(len(self.x), -1, dtype=np.int64)
-        index[at] = np.arange(len(at))
-        one = self.sym[at]
-        rank, span = one, 1
-
-        def ahead(r, n):  # rank of the suffix n blocks further on, 0 past the end
-            ok = self.left[at] >= n * self.step
-            out = np.zeros(len(at), dtype=np.int64)
-            out[ok] = r[index[at[ok] + n * self.step]] + 1
-            return out
-
-        while span < rounds:
-            base = int(rank.max(initial=0)) + 3
-            jump = min(span, rounds - span)  # the second half may overlap the first
-            key = rank * base + ahead(rank, rounds - span if 2 * span > rounds else span)
-            _, inverse = np.unique(key, return_inverse=True)
-            rank, span = inverse.ravel(), span + jump
-        return at[np.argsort(rank, kind="stable")]
-
-    def bwt(self, order: np.ndarray) -> np.ndarray:
-        """Symbol before each suffix; 0 where there is none."""
-        out = np.zeros(len(order), dtype=np.int64)
-        ok = self.x[order] >= self.step
-        out[ok] = self.sym[order[ok] - self.step]
-        return out
+        """Suffixes ``at`` sorted by their first ``rounds`` symbols, those without any first."""
+        keys, here = [], at
+        for _ in range(rounds):
+            keys.append(np.where(here >= 0, self.sym[here], 0))
+            here = np.where(here >= 0, self.next[here], -1)
+        out = np.arange(len(at))
+        for key in reversed(keys):
+            out = out[stable_order(key[out])]
+        return at[out]
 
 
 def stable_order(c: np.ndarray) -> np.ndarray:
@@ -206,7 +208,7 @@ def merge(bwt_a: np.ndarray, bwt_b: np.ndarray, empty_a: int, empty_b: int, roun
     interval = np.zeros(n, dtype=np.int64)
     head = np.concatenate((np.zeros(empty_a, dtype=bool), np.ones(empty_b, dtype=bool)))
     for _ in range(rounds):
-        c = np.empty(n, dtype=np.int64)
+        c = np.empty(n, dtype=np.int32)
         c[~z], c[z] = bwt_a, bwt_b
         has = np.flatnonzero(c)
         go = has[stable_order(c[has])]
@@ -221,26 +223,25 @@ def merge(bwt_a: np.ndarray, bwt_b: np.ndarray, empty_a: int, empty_b: int, roun
 def repeated_windows(texts: list[bytes], weight: np.ndarray, length: int, rounds: int = ROUNDS, shard_bytes: int = SHARD_BYTES) -> tuple[np.ndarray, np.ndarray]:
     """(piece, window start) of the windows of ``length`` bytes found at least twice, weights
     counting how often a piece occurs. Shards are ordered alone and merged one by one."""
-    step = length // rounds
-    all_ = Collection(texts, step)
+    c = Collection(texts, length // rounds, rounds)
     size = np.fromiter((len(t) for t in texts), dtype=np.int64, count=len(texts))
-    shard = (np.cumsum(size) // shard_bytes)[all_.piece]
-    order = np.zeros(0, dtype=np.int64)
+    shard = (np.cumsum(size) // shard_bytes)[c.piece]
+    empty = lambda o: int((c.sym[o] == 0).sum())
+    parts = [c.order(np.flatnonzero(shard == k), rounds) for k in np.unique(shard)]
+    order = parts[0] if parts else np.zeros(0, dtype=np.int64)
     interval = np.zeros(0, dtype=np.int64)
-    for s in np.unique(shard):
-        own = all_.order(np.flatnonzero(shard == s), rounds)
-        empty = lambda o: int((all_.left[o] < step).sum())
-        z, interval = merge(all_.bwt(order), all_.bwt(own), empty(order), empty(own), rounds)
+    for own in parts[1:] or [order[:0]]:
+        z, interval = merge(c.bwt[order], c.bwt[own], empty(order), empty(own), rounds)
         merged = np.empty(len(z), dtype=np.int64)
         merged[~z], merged[z] = order, own
         order = merged
-    full = all_.left[order] >= length
-    order, interval = order[full], interval[full]
+    keep = c.full[order]
+    order, interval = order[keep], interval[keep]
     if not len(order):
         return order, order
-    often = np.bincount(interval, weight[all_.piece[order]])
+    often = np.bincount(interval, weight[c.piece[order]])
     found = np.sort(order[often[interval] >= 2])
-    return all_.piece[found], all_.x[found]
+    return c.piece[found].astype(np.int64), c.x[found]
 
 
 def _runs(piece: np.ndarray, x: np.ndarray):
