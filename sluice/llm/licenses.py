@@ -108,10 +108,11 @@ def _array(values, kind: str) -> Column:
 
 
 def scan(docs: DataFrame, text_col: str = "text", templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
-    """``docs`` with the column ``license``: struct of n_base, first_word, last_word,
+    """``docs`` with the column ``license``: struct of n_words, n_base, first_word, last_word,
     base_labels, labels, score and places (label, start word, coverage).
 
-    Words are lower-cased (A-Z) runs outside ``[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]``. n_base counts
+    Words are lower-cased (A-Z) runs outside ``[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]``; n_words counts
+    them. n_base counts
     every place of a base phrase, first_word and last_word are the smallest and largest start
     (null without one). labels has the base labels and the labels of templates whose key
     phrases all stand at one relative position; both are distinct, sorted and comma-joined.
@@ -164,9 +165,12 @@ def scan(docs: DataFrame, text_col: str = "text", templates: tuple[Template, ...
     d = d.withColumn("_lic_places", F.transform(agreed, lambda t: F.struct(
         F.element_at(labels, t["template"] + 1).alias("label"), t["offset"].alias("start"), coverage(t).alias("coverage"))))
     base = F.filter("_lic_hits", lambda h: h["base"])
+    # a text that ends with a separator has an empty last part
+    n_words = F.size(tmp) - F.when(F.get(F.col(tmp), F.size(tmp) - 1) == "", F.lit(1)).otherwise(F.lit(0))
     joined = lambda a: F.array_join(F.array_sort(F.array_distinct(a)), ",")
     base_labels = F.transform(base, lambda h: F.element_at(labels, h["template"] + 1))
     out = F.struct(
+        n_words.cast("long").alias("n_words"),
         F.size(base).cast("long").alias("n_base"),
         F.array_min(F.transform(base, lambda h: h["start"])).cast("long").alias("first_word"),
         F.array_max(F.transform(base, lambda h: h["start"])).cast("long").alias("last_word"),

@@ -34,7 +34,7 @@ def op1_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
 
 def op2_license_scan(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    fields = ("n_base", "first_word", "last_word", "base_labels", "labels", "score")
+    fields = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
     return LI.scan(docs).select("doc_id", *[F.col(f"license.{c}").alias(c) for c in fields])
 
 

@@ -4,6 +4,7 @@ import random
 import re
 
 from sluice.llm import licenses as LI
+from sluice.llm import queries as Q
 
 from .conftest import ODD_TEXTS
 
@@ -63,3 +64,17 @@ def test_native_plan_repeats_and_empty(docs, spark):
     assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
     assert sorted(r.license.n_base for r in df.collect()) == [0, 1, 1]
     assert LI.scan(docs([])).count() == 0
+
+
+def test_word_counts(docs):
+    ends = ["cc by.", ".cc by", "...", "a", "-a-b-", "\x00", "é!", "!é"]
+    rows = corpus() + [(2000 + i, t) for i, t in enumerate(ends)]
+    out = {r.doc_id: r.n_words for r in LI.scan(docs(rows)).select("doc_id", "license.*").collect()}
+    assert out == {i: len(words(t)) for i, t in rows}
+
+
+def test_query_has_word_counts(spark):
+    out = Q.op2_license_scan(spark, "/root/testdata/sf0.001")
+    assert out.dtypes[:3] == [("doc_id", "bigint"), ("n_words", "bigint"), ("n_base", "bigint")]
+    text = {r.doc_id: r.text for r in Q.table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text").collect()}
+    assert {r.doc_id: r.n_words for r in out.collect()} == {i: len(words(t)) for i, t in text.items()}
