@@ -14,7 +14,10 @@ from sluice.schemas import ACCESS_TIERS, PROTECTION_METHODS
 EMAIL_PATTERN = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 PHONE_PATTERN = r"\(\d{3}\) ?\d{3}[- ]\d{4}|\b\d{3}[-. ]\d{3}[-. ]\d{4}\b|\+\d{1,3}[- ]?\(?\d{1,4}\)?([- ]\d{2,4}){2,4}\b"
 NATIONAL_ID_PATTERN = r"\b\d{3}-\d{2}-\d{4}\b"
-CARD_PATTERN = r"\b\d(?:[ -]?\d){12,18}\b"
+# From a border of a digit group on, at most 19 digits up to another border. Empty matches,
+# so every group is a start. (Java only: RE2 has no lookahead.)
+CARD_PATTERN = r"\b(?=(\d(?:[ -]?\d){12,18})\b)"
+CARD_LENGTHS = range(13, 20)
 
 # ---- fixed values: column-name hints, suggested protection and sensitivity ----
 NAME_HINTS = {
@@ -32,6 +35,15 @@ SUGGESTED = {
 REDACTED = "[REDACTED]"
 
 
+def _has_card(v: Column) -> Column:
+    """A run of 13 to 19 digits that starts and ends at a border of a digit group (groups are
+    one blank or hyphen apart) passes Luhn, whatever groups stand beside it."""
+    starts = F.regexp_extract_all(v, F.lit(CARD_PATTERN), 1)
+    runs = F.flatten(F.transform(starts, lambda x: F.array(
+        *[F.regexp_extract(x, rf"^\d(?:[ -]?\d){{{n - 1}}}\b", 0) for n in CARD_LENGTHS])))
+    return F.exists(F.transform(F.filter(runs, lambda x: x != ""), lambda x: F.regexp_replace(x, "[ -]", "")), luhn_valid)
+
+
 def _value_tests(v: Column) -> dict[str, Column]:
     # Each regex is guarded by a cheap test every match must pass ('@', '-', a run of 13
     # digits): it rejects most long texts before the backtracking regex.
@@ -39,16 +51,14 @@ def _value_tests(v: Column) -> dict[str, Column]:
         "email": v.contains("@") & v.rlike(EMAIL_PATTERN),
         "phone": v.rlike(PHONE_PATTERN),
         "national_id": v.contains("-") & v.rlike(NATIONAL_ID_PATTERN),
-        "financial": F.when(v.rlike(r"\d([ -]?\d){12}"), F.exists(
-            F.transform(F.regexp_extract_all(v, F.lit(CARD_PATTERN), 0), lambda x: F.regexp_replace(x, "[ -]", "")), luhn_valid))
-        .otherwise(F.lit(False)),
+        "financial": F.when(v.rlike(r"\d([ -]?\d){12}"), _has_card(v)).otherwise(F.lit(False)),
     }
 
 
 def pii_scan(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Per string column and category, the rows that match, their share of the
     column's rows and the suggested protection. Value patterns: email, phone, national_id,
-    financial (13 to 19 digits, grouped or not, passing Luhn); column-name hints: full_name, health.
+    financial (13 to 19 digits, grouped or not, passing Luhn, also beside other digit groups); column-name hints: full_name, health.
 
     One global aggregation holds a ``count_if`` per (column, category): a single scan in
     generated code, combined map-side into one row per task, with no per-column row

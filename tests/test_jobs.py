@@ -142,6 +142,38 @@ def test_pii_scan_and_luhn(spark):
                    ("full_name", "full_name"): 4}
 
 
+def _luhn(digits):
+    twice = [int(c) * (1 + i % 2) for i, c in enumerate(reversed(digits))]
+    return sum(d - 9 if d > 9 else d for d in twice) % 10 == 0
+
+
+def _card_brute(text):
+    import re
+
+    borders = [m.start() for m in re.finditer(r"(?a:\b)", text)]
+    runs = (text[a:b] for a in borders for b in borders if a < b <= a + 40)
+    runs = (re.sub("[ -]", "", r) for r in runs if re.fullmatch(r"[0-9](?:[ -]?[0-9])*", r))
+    return any(13 <= len(r) <= 19 and _luhn(r) for r in runs)
+
+
+def test_pii_scan_cards_beside_other_digits(spark):
+    import random
+
+    card, grouped = "4111111111111111", "4111 1111 1111 1111"
+    hits = [card, grouped, grouped.replace(" ", "-"), f"2024-05-01 {card}", f"qty 2 {card}", f"{grouped} 12/27", f"{grouped} 12-27",
+            f"{card} 123", f"1 2 3 {grouped} 4 5 6", "1 " * 3000 + "x " + card, f"{card}-{card}", "4222222222222 7", "x12 " + card]
+    misses = ["4111111111111112", f"a{card}", f"{card}b", f"9{card}0000", "4111  1111  1111  1111", "4111", "", None]
+    rng = random.Random(5)
+    more = ["".join(rng.choice(["4111", "1111", "12", "7", "2024", card, " ", " ", "-", "/", "x", "  "]) for _ in range(rng.randint(1, 12))) for _ in range(300)]
+    assert all(_card_brute(t) for t in hits) and not any(_card_brute(t or "") for t in misses)
+    texts = [*hits, *misses, *more]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r["i"] for r in rows(df.filter(P._value_tests(F.col("t"))["financial"]))}
+    assert got == {i for i, t in enumerate(texts) if t and _card_brute(t)}
+    scan = {r["pii_category"]: r["matching_rows"] for r in rows(P.pii_scan(df.filter(F.col("i") < len(hits))))}
+    assert scan["financial"] == len(hits)
+
+
 def test_protect_and_roundtrip(spark):
     df = spark.createDataFrame([("Customer#0001", "Ab1@y.com", "BUILDING", "42"), (None, None, None, None)], "name string, mail string, seg string, bal string")
     key = "0123456789abcdef"
