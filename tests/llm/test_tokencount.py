@@ -42,3 +42,21 @@ def test_repeats_nulls_and_empty(docs):
     out = sorted((str(r.doc_id), r.n_tokens) for r in TC.token_counts(docs(rows), spec(), seed_bytes=1).collect())
     assert out == sorted((str(i), len(tok.encode(t or "").ids)) for i, t in rows)
     assert TC.token_counts(docs([]), spec()).count() == 0
+
+
+def test_characters_of_the_high_planes(docs):
+    tok = Tokenizer.from_file(PATH)
+    rows = list(enumerate(f"it{c}'s 1{c}2 {c}{c} .{c}!" for c in "\U0002fa1d\U000323b0\U00033479\U00040000\U000e01ef\U000f0000\U0010fffd"))
+    rows.append((len(rows), "\U000323b0's"))
+    out = {r.doc_id: r.n_tokens for r in TC.token_counts(docs(rows), spec(), seed_bytes=1).collect()}
+    assert out == {i: len(tok.encode(t, add_special_tokens=False).ids) for i, t in rows}
+
+
+def test_probe_finds_every_character_split_differently():
+    p, odd = TC.Pieces(spec()), TC.probe(spec())
+    rng = random.Random(6)
+    cps = [*range(0x32300, 0x32400), *rng.sample(range(0xE000, 0x110000), 5000), *sorted(odd)[::50]]
+    for cp in cps:
+        text = f"a{chr(cp)}a 1{chr(cp)}1 .{chr(cp)}."
+        same = [text[a:b] for _, (a, b) in p.own.pre_tokenizer.pre_tokenize_str(text)] == p.find(text)
+        assert same == (cp not in odd), hex(cp)
