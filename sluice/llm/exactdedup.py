@@ -152,12 +152,14 @@ def fingerprints(d: DataFrame, split_chars: int = SPLIT_CHARS, digest: bool = Tr
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, split_chars: int = SPLIT_CHARS) -> DataFrame:
     """One row per row of ``docs``: id, text_hash (of the original text), keep_id,
-    group_size, kept, text_sha256 (normalised text).
+    keep_hash (text_hash of the row that stays), group_size, kept, text_sha256 (normalised
+    text).
 
     Of equal normalised texts the row with the most code points in its original text stays,
     then the smallest id (a null id sorts first). Null counts as empty, so all null, empty
     and white-space texts are one group. A row is ``kept`` when its id is the group's
     keep_id; repeated rows of that id and text count in group_size and share the verdict.
+    An id may repeat with texts that differ in white space: keep_hash tells which one stays.
     Extra columns are not read."""
     d = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("h", text_hash("text"))
     fp = pin(fingerprints(d, split_chars), "fingerprints")
@@ -193,17 +195,18 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         todo = left.join(nexts, key).select("id", "h", "n_chars", *key, F.col("best.id").alias("lead_id"), F.col("best.h").alias("lead_h"))
     sizes = pin(settled.groupBy("lead_id", "lead_h").agg(F.count(F.lit(1)).alias("size")).withColumnsRenamed({"lead_id": "s_id", "lead_h": "s_h"}), "sizes")
     found = settled.distinct().join(sizes, same("lead_id", "s_id") & (F.col("lead_h") == F.col("s_h")))
-    found = found.select(F.col("id").alias("g_id"), F.col("h").alias("g_h"), "lead_id", "size", F.lit(True).alias("grouped"))
+    found = found.select(F.col("id").alias("g_id"), F.col("h").alias("g_h"), "lead_id", "lead_h", "size", F.lit(True).alias("grouped"))
     out = fp.join(found, same("id", "g_id") & (F.col("h") == F.col("g_h")), "left")
     keep = F.when(F.col("grouped"), F.col("lead_id")).otherwise(F.col("id"))
+    keep_hash = F.when(F.col("grouped"), F.col("lead_h")).otherwise(F.col("h"))
     return out.select(
-        F.col("id").alias(id_col), F.col("h").alias("text_hash"), keep.alias("keep_id"),
+        F.col("id").alias(id_col), F.col("h").alias("text_hash"), keep.alias("keep_id"), keep_hash.alias("keep_hash"),
         F.coalesce("size", F.lit(1)).cast("long").alias("group_size"), F.col("id").eqNullSafe(keep).alias("kept"),
         F.col("sha256").alias("text_sha256"))
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
-    """The rows of ``docs`` that ``exact_groups`` keeps, all columns; of rows that repeat a
-    kept id and text exactly one stays."""
-    kept = exact_groups(docs, id_col, text_col, **kw).where("kept")
+    """One row of every group of ``exact_groups``, all columns: of rows with the kept id the
+    one with the kept text, of rows that repeat both any one."""
+    kept = exact_groups(docs, id_col, text_col, **kw).where("kept AND text_hash = keep_hash")
     return keep_rows(docs, kept.select(F.col(id_col).alias("id"), F.col("text_hash").alias("h")), id_col, text_col)

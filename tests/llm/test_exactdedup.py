@@ -77,3 +77,10 @@ def test_fingerprints_compose(a, b):
     for c in a:
         value = (value * ED.POINTS[0] + c + 1) % ED.PRIME
     assert ED.fingerprint(a)[:2] == (len(a), value)
+
+
+def test_one_row_stays_where_an_id_repeats_with_other_white_space(docs):
+    rows = [(1, "a b"), (1, "ab"), (1, "a b"), (2, "a b"), (None, "x  y"), (None, "xy"), (3, "c d"), (3, "e f"), (4, ""), (4, None), (4, " ")]
+    out = [(r.doc_id, r.text) for r in ED.drop_copies(docs(rows)).collect()]
+    assert sorted(out, key=str) == sorted([(1, "a b"), (None, "x  y"), (3, "c d"), (3, "e f"), (4, " ")], key=str)
+    assert {r.kept for r in ED.exact_groups(docs([(1, "a b"), (1, "ab")])).collect()} == {True}
