@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sluice.llm.components import components
-from sluice.llm.rows import keep_rows, text_hash
+from sluice.llm.rows import keep_rows, same, text_hash
 from sluice.llm.text import NONSPACE, Buffer, Words, mix64, shingles, slices
 from sluice.session import pin
 
@@ -219,15 +219,17 @@ class Near:
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int):
         self.k, self.percent = shingle, percent
         d = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), text_hash(text_col).alias("h"))
-        self.texts, self.id_type = d.select("id", "text"), d.schema["id"].dataType
+        self.texts, self.id_type = d, d.schema["id"].dataType
         long = lambda c: T.StructField(c, T.LongType())
         schema = T.StructType([
             T.StructField("id", self.id_type), long("h"), long("n"), T.StructField("c", T.BinaryType()),
             T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("sig", T.BinaryType())])
         self.rows = pin(d.mapInArrow(_sketches(schema.names, shingle, *banding(percent / 100)), schema), "sketches")
-        have = self.rows.where(F.col("c").isNotNull() & F.col("id").isNotNull())
+        have = self.rows.where(F.col("c").isNotNull())
+        # the row that stands for a class: the smallest id (null last), then text hash
+        best = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "h")).alias("best")
         self.classes = pin(
-            have.groupBy("c").agg(F.min("id").alias("id"), F.any_value("n").alias("n"), F.any_value("keys").alias("keys"), F.any_value("sig").alias("sig")),
+            have.groupBy("c").agg(best, F.any_value("n").alias("n"), F.any_value("keys").alias("keys"), F.any_value("sig").alias("sig")),
             "classes")
 
     def _may_link(self, a: str, b: str):
@@ -236,8 +238,8 @@ class Near:
 
     def sets(self, classes: DataFrame) -> DataFrame:
         """Full shingle sets (c, elements) of the classes, made from their documents."""
-        ids = self.classes.join(classes, "c", "left_semi").select(F.col("id").alias("_id")).distinct()
-        texts = self.texts.join(ids, F.col("id") == F.col("_id"), "left_semi").select("text")
+        ids = self.classes.join(classes, "c", "left_semi").select(F.col("best.id").alias("_id"), F.col("best.h").alias("_h")).distinct()
+        texts = self.texts.join(ids, same("id", "_id") & (F.col("h") == F.col("_h")), "left_semi").select("text")
         found = texts.mapInArrow(_sets(self.k), "c binary, elements array<long>")
         return pin(found.join(classes, "c", "left_semi").groupBy("c").agg(F.any_value("elements").alias("elements")), "sets")
 
@@ -297,32 +299,37 @@ class Near:
 
     def result(self, id_col: str) -> DataFrame:
         roots = components(self.links()).withColumnRenamed("node", "_c")
-        member = self.classes.select("c", "id").join(roots, F.col("c") == F.col("_c"), "left").select("c", "id", F.coalesce("root", "c").alias("root"))
-        least = member.groupBy("root").agg(F.min("id").alias("component")).withColumnRenamed("root", "_r")
-        named = pin(member.join(least, F.col("root") == F.col("_r")).select(F.col("c").alias("_c"), "component"), "components")
+        member = self.classes.select("c", "best").join(roots, F.col("c") == F.col("_c"), "left").select("c", "best", F.coalesce("root", "c").alias("root"))
+        least = member.groupBy("root").agg(F.min("best").alias("least")).withColumnRenamed("root", "_r")
+        named = member.join(least, F.col("root") == F.col("_r"))
+        named = pin(named.select(F.col("c").alias("_c"), F.col("least.id").alias("component"), F.col("least.h").alias("stay_h")), "components")
         out = self.rows.select("id", "h", "n", "c").join(named, F.col("c") == F.col("_c"), "left")
         component = F.when(F.col("id").isNull(), F.col("id")).otherwise(F.coalesce("component", "id"))
         return out.select(
             F.col("id").alias(id_col), F.col("h").alias("text_hash"), F.col("n").alias("n_shingles"), component.alias("component_id"),
-            F.col("id").eqNullSafe(component).alias("kept"))
+            F.col("id").eqNullSafe(component).alias("kept"),
+            (F.col("c").isNull() | (same("id", "component") & (F.col("h") == F.col("stay_h")))).alias("stays"))
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of ``docs``: id, text_hash, n_shingles, component_id (smallest id
-    reachable over links, itself included), kept (id = component_id).
+    reachable over links, itself included), kept (id = component_id), stays (the one row, by id
+    and text, that is left of its component: the smallest id, null last, then text hash).
 
     Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; a document's set is its distinct
     ``shingle``-word runs, or its whole sequence when it has fewer words. Documents are
     linked where 100 * intersection >= percent * union. Null, empty and blank texts have no
-    set and no links, and rows with a null id keep a null component: each of them is kept.
+    set and no links: each of them is kept and stays. Rows with a null id have links like
+    others; their component_id is null and kept is true, whether they stay or not.
     Rows are judged by their own text; repeated rows share a verdict; a repeated id with
     different texts is judged per text. Extra columns are not read."""
     return Near(docs, id_col, text_col, shingle, percent).result(id_col)
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
-    """The rows of ``docs``, all columns, that ``near_groups`` keeps; of repeated rows one."""
-    kept = near_groups(docs, id_col, text_col, **kw).where("kept")
+    """The rows of ``docs``, all columns, that stay by ``near_groups``: one of every component,
+    and those without a set; of repeated rows one."""
+    kept = near_groups(docs, id_col, text_col, **kw).where("stays")
     return keep_rows(docs, kept.select(F.col(id_col).alias("id"), F.col("text_hash").alias("h")), id_col, text_col)
 
 

@@ -113,3 +113,20 @@ def test_components_of_chains_and_stars(spark):
     for n, r in roots.items():
         groups.setdefault(r, set()).add(n)
     assert sorted(map(sorted, groups.values())) == [list(range(61)), list(range(100, 150)), [300, 301]]
+
+
+def test_one_row_of_a_component_stays_for_null_and_repeated_ids(docs):
+    base = [f"w{i}" for i in range(60)]
+    near = lambda at: " ".join([*base[:at], "zz", *base[at + 1 :]])
+    other = "quite other words that nobody else has here"
+    rows = [(None, near(0)), (None, near(59)), (None, " ".join(base)), (None, "one two three four five six"), (None, "One two three four five six")]
+    out = ND.drop_near_copies(docs(rows)).collect()
+    assert len(out) == 2 and {"zz" in r.text or "w5" in r.text for r in out} == {True, False}
+    rows += [(7, near(0)), (7, near(59)), (7, other), (8, other.upper()), (9, None), (None, ""), (None, "")]
+    for _ in range(2):
+        out = [(r.doc_id, r.text) for r in ND.drop_near_copies(docs(rows)).collect()]
+        assert sorted(i for i, t in out if t and i is not None) == [7, 7]
+        assert sum(t in (near(0), near(59)) for _, t in out) == 1 and (7, other) in out
+        assert sorted(((i, t) for i, t in out if i != 7), key=str) in (
+            sorted([(None, t), (9, None), (None, "")], key=str) for t in ("one two three four five six", "One two three four five six"))
+        rows = rows[::-1]
