@@ -122,14 +122,14 @@ def typed_watermarks(watermarks: DataFrame, watermark_type: str, last_col: str =
 def incremental_by_config(source: DataFrame, watermarks: DataFrame, config_col: str, watermark_col: str,
                           last_col: str = "last_value", watermark_type: str = "timestamp", upper: Column | None = None) -> DataFrame:
     """R02 for many configs in one pass: each source row is kept when it is above its own
-    config's last value (configs without a watermark read everything) and at most
-    ``upper``. Stored values are read by ``watermark_type``; a config whose value cannot be
+    config's last value and at most ``upper``; configs without a watermark read everything
+    up to ``upper``, rows without a value in the watermark column included. Stored values are read by ``watermark_type``; a config whose value cannot be
     read extracts nothing (see ``typed_watermarks`` for the rejects). The smallest last
     value also bounds the scan when every config has one. The watermark table has one row
     per config and is joined on the config key."""
     wm = watermarks.select(F.col("table_config_id").alias("_wcfg"), F.col(last_col).alias("_wtext"),
                            _typed_last(watermarks, last_col, watermark_type).alias("_wlast"))
-    rows = source if upper is None else source.filter(F.col(watermark_col) <= upper)
+    rows = source if upper is None else source.filter((F.col(watermark_col) <= upper) | F.col(watermark_col).isNull())
     j = rows.join(wm, rows[config_col] == wm["_wcfg"], "left")
     return j.filter(F.col("_wtext").isNull() | (F.col(watermark_col) > F.col("_wlast"))).drop("_wcfg", "_wtext", "_wlast")
 

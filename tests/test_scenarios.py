@@ -102,6 +102,18 @@ def test_configs_watermarks_and_an_incremental_run(spark, store):
     assert last == {1: "2024-01-11T00:00:00.000000", 2: "soon"}
 
 
+def test_first_load_reads_rows_without_a_watermark_value(spark):
+    source = spark.createDataFrame([(1, 5), (1, None), (1, 2), (2, None), (2, 4), (3, None), (3, 9), (4, None)], "cfg long, seen long")
+    state = spark.createDataFrame([(1, "3"), (2, None)], "table_config_id long, last_value string")
+    everything = L.incremental_by_config(source, state, "cfg", "seen", watermark_type="integer")
+    bounded = L.incremental_by_config(source, state, "cfg", "seen", watermark_type="integer", upper=L.upper_bound(source, "seen", watermark_type="integer"))
+    want = [(1, 5), (2, 4), (2, None), (3, 9), (3, None), (4, None)]
+    for got in (everything, bounded):
+        assert sorted(((r["cfg"], r["seen"]) for r in rows(got)), key=str) == want
+    below = L.incremental_by_config(source, state, "cfg", "seen", watermark_type="integer", upper=F.lit(4))
+    assert sorted(((r["cfg"], r["seen"]) for r in rows(below)), key=str) == [(2, 4), (2, None), (3, None), (4, None)]
+
+
 def test_partitioned_snapshot_round_trip(spark):
     runs = C.conform(spark.createDataFrame([(1, "dev"), (2, "prod")], "table_run_id long, env_type string"), S.TABLES["aud_table_run"])
     path = write_snapshot(runs, spark, "aud_table_run", partition_by=["env_type"])
