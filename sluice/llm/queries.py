@@ -10,14 +10,17 @@ from pyspark.sql import functions as F
 
 from sluice.llm import decontaminate as DC
 from sluice.llm import exactdedup as ED
+from sluice.llm import hardnegatives as HN
 from sluice.llm import licenses as LI
 from sluice.llm import mixing as MX
 from sluice.llm import neardedup as ND
+from sluice.llm import packing as PK
 from sluice.llm import quality as QL
 from sluice.llm import suffixdedup as SD
 from sluice.llm import tokencount as TC
 from sluice.llm import toxicity as TX
 from sluice.llm import urlfilter as UF
+from sluice.llm import whitening as WH
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -48,12 +51,15 @@ def op4_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return TX.score(docs, TX.train(docs, table(spark, sf, "labels")))
 
 
-def op5_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+def _vocabulary() -> str:
     import public_tokenizers
 
     with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
-        spec = f.read()
-    out = TC.token_counts(table(spark, sf, "documents"), spec)
+        return f.read()
+
+
+def op5_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    out = TC.token_counts(table(spark, sf, "documents"), _vocabulary())
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 
@@ -79,6 +85,23 @@ def op10_quality(spark: SparkSession, sf: str) -> DataFrame:
     return QL.score(docs, QL.train(docs, table(spark, sf, "labels")))
 
 
+def op11_packing(spark: SparkSession, sf: str) -> DataFrame:
+    out = PK.pack(table(spark, sf, "documents"), _vocabulary(), end_id=0, width=1024)
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op12_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    out = WH.whiten(table(spark, sf, "embeddings"), components=4)
+    return out.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = table(spark, sf, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    out = HN.mine(vectors.withColumn("label", label), F.col("vec_id") % 100 == 0)
+    return out.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_license_scan": op2_license_scan,
@@ -90,6 +113,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_mixing": op9_mixing,
     "op10_quality": op10_quality,
+    "op11_packing": op11_packing,
+    "op12_whitening": op12_whitening,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -147,7 +173,7 @@ labs AS (
     string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base) AS base_labels FROM lab GROUP BY doc_id),
 b AS (SELECT doc_id, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word FROM hit WHERE base GROUP BY doc_id),
 s AS (SELECT doc_id, max(c) AS score FROM cov GROUP BY doc_id)
-SELECT doc_id, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
   coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score
 FROM d LEFT JOIN labs USING (doc_id) LEFT JOIN b USING (doc_id) LEFT JOIN s USING (doc_id)""",
     "op7_url_filter": f"""
@@ -163,4 +189,23 @@ best AS (
 SELECT page_id, host, path, rule,
   CASE WHEN rule IS NOT NULL THEN CASE WHEN allow THEN 'allow' ELSE 'block' END WHEN {_PATTERNS} THEN 'block' ELSE 'allow' END AS verdict
 FROM x LEFT JOIN best USING (page_id)""",
+    "op13_hard_negatives": """
+WITH e AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda c: CAST(floor(CAST(c AS DOUBLE) * 256) AS BIGINT)) AS x
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id AS id,
+    CAST(list_sum(list_transform(list_zip(a.x, b.x), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+p AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS INTEGER) AS rank,
+  id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id)
+WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+QUALIFY rank <= 5""",
 }
