@@ -39,14 +39,26 @@ def word_count(text: str = "text"):
 
 def fit_counts(sizes: list[int], counts: list[int], budget: int, dp_words: int = DP_WORDS) -> list[int]:
     """How many documents of each size to take so that their sum comes as near to ``budget``
-    from below as this fitting finds: an equal share of every size, the largest sizes while
-    much is left, and an exact bounded knapsack over the last ``dp_words``."""
+    as this fitting finds, from below or from above. First an equal share of every size is
+    taken and only what it leaves is fitted; if that misses the budget, the share is taken of
+    ``dp_words`` less (of nothing, for a budget up to that: the fit is then exact)."""
     total = sum(s * n for s, n in zip(sizes, counts, strict=True))
     if budget <= 0 or not total:
         return [0] * len(sizes)
     if budget >= total:
         return [n if s else 0 for s, n in zip(sizes, counts, strict=True)]
-    take = [n * budget // total if s else 0 for s, n in zip(sizes, counts, strict=True)]
+    miss = lambda take: abs(sum(s * k for s, k in zip(sizes, take, strict=True)) - budget)
+    take = _fit_rest(sizes, counts, budget, budget, total, dp_words)
+    if not miss(take):
+        return take
+    return min(take, _fit_rest(sizes, counts, budget, max(0, budget - dp_words), total, dp_words), key=miss)
+
+
+def _fit_rest(sizes: list[int], counts: list[int], budget: int, shared: int, total: int, dp_words: int) -> list[int]:
+    """An equal share of every size for ``shared`` words, the largest sizes while more than
+    ``dp_words`` are left, and an exact bounded knapsack over the rest, read on both sides of
+    the budget (ties: below)."""
+    take = [n * shared // total if s else 0 for s, n in zip(sizes, counts, strict=True)]
     left = budget - sum(s * k for s, k in zip(sizes, take, strict=True))
     order = sorted((i for i, s in enumerate(sizes) if s), key=lambda i: -sizes[i])
     for i in order:
@@ -57,9 +69,10 @@ def fit_counts(sizes: list[int], counts: list[int], budget: int, dp_words: int =
             take[i] += k
             left -= k * sizes[i]
     goal = left
-    mask, reach, steps = (1 << (goal + 1)) - 1, 1, []
+    # a sum above twice the goal is further off than taking nothing more
+    mask, reach, steps = (1 << (2 * goal + 1)) - 1, 1, []
     for i in order:
-        spare = min(counts[i] - take[i], goal // sizes[i])
+        spare = min(counts[i] - take[i], 2 * goal // sizes[i])
         if spare <= 0:
             continue
         steps.append((i, spare, reach))
@@ -71,7 +84,11 @@ def fit_counts(sizes: list[int], counts: list[int], budget: int, dp_words: int =
             part *= 2
         if reach >> goal & 1:
             break
-    at = reach.bit_length() - 1
+    at = (reach & ((1 << (goal + 1)) - 1)).bit_length() - 1
+    above = reach >> goal
+    if above:
+        over = (above & -above).bit_length() - 1
+        at = goal + over if over < goal - at else at
     for i, spare, before in reversed(steps):
         k = 0
         while not before >> at & 1:

@@ -61,8 +61,12 @@ def test_targets_and_fit(docs):
         taken[s] += r.taken
     for s in sizes.keys() - {"odd"}:
         assert abs(taken[s] - want[s]) <= 1, (s, taken[s], want[s])  # sizes 1 and 7 abound
-    small = sizes["odd"] - 30_000  # one document holds nearly all words: twice it would pass the target
-    assert taken["odd"] == 30_000 + 2 * small
+    # one document holds nearly all words: the nearest sum takes each of them once or twice
+    odd = [len(WORD.findall(t or "")) for t in ODD_TEXTS]
+    sums = {0}
+    for n in odd:
+        sums = {x + k * n for x in sums for k in (1, 2)}
+    assert abs(taken["odd"] - want["odd"]) == min(abs(x - want["odd"]) for x in sums)
 
 
 def test_reruns_agree_and_seed_matters(docs):
@@ -85,17 +89,29 @@ def test_small_budgets_are_fitted_exactly_as_possible(hist, budget):
     take = MX.fit_counts(sizes, counts, budget)
     assert all(0 <= t <= c for t, c in zip(take, counts, strict=True))
     got = sum(s * t for s, t in zip(sizes, take, strict=True))
-    assert got <= max(budget, 0)
-    # the knapsack over what the equal share left is exact: nothing nearer is reachable from it
-    total = sum(s * c for s, c in zip(sizes, counts, strict=True))
-    if budget < total:
-        share = [c * budget // total for c in counts]
-        reach = {sum(s * t for s, t in zip(sizes, share, strict=True))}
-        for s, c, t in zip(sizes, counts, share, strict=True):
-            reach = {x + s * k for x in reach for k in range(c - t + 1)}
-        assert got == max(x for x in reach if x <= budget)
-    else:
-        assert got == total
+    # a budget below ``dp_words`` is fitted exactly: nothing nearer is reachable at all
+    reach = {0}
+    for s, c in zip(sizes, counts, strict=True):
+        reach = {x + s * k for x in reach for k in range(c + 1)}
+    assert abs(got - max(budget, 0)) == min(abs(x - max(budget, 0)) for x in reach)
+
+
+def test_nearest_sum_from_both_sides():
+    assert MX.fit_counts([100], [1], 99) == [1]
+    assert MX.fit_counts([100], [1], 50) == [0]  # a tie stays below
+    assert MX.fit_counts([33_001], [1], 32_993) == [1]
+    assert MX.fit_counts([3, 10], [2, 3], 19) == [0, 2]
+
+
+def test_a_source_with_one_large_document(docs):
+    rows = [(i, "w " * 100, "a") for i in range(200)] + [(900, "w " * 9_000, "b"), (901, "w", "c")]
+    taken = {}
+    out = MX.mix(docs(rows, SCHEMA)).collect()
+    for r in out:
+        taken[r.source_size] = taken.get(r.source_size, 0) + r.taken
+        assert r.taken in (0, r["size"], 2 * r["size"])
+    target = {r.source_size: r.target for r in out}
+    assert abs(taken[9_000] - target[9_000]) == min(abs(k * 9_000 - target[9_000]) for k in range(3))
 
 
 def test_large_budget_comes_near():
