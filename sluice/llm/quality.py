@@ -159,17 +159,16 @@ def fit_pu(pos: np.ndarray, unl: np.ndarray, width: int, prior: float | None, st
 
 
 def estimate_prior(score_pos: np.ndarray, score_unl: np.ndarray, delta: float = 0.1) -> float:
-    """Share of positives among the unlabelled, from scores not used in the fit."""
+    """Share of positives among the unlabelled, from scores not used in the fit; the estimate
+    is drawn towards one half by the width of its margin, which falls with the sample."""
     cuts = np.unique(np.concatenate((score_pos, score_unl)))
     sp, su = np.sort(score_pos), np.sort(score_unl)
     above_p = 1 - np.searchsorted(sp, cuts, side="left") / len(sp)
     above_u = 1 - np.searchsorted(su, cuts, side="left") / len(su)
     margin = np.sqrt(np.log(4 / delta) / 2 / len(sp)) + np.sqrt(np.log(4 / delta) / 2 / len(su))
-    ok = above_p > 2 * margin
-    if not ok.any():
-        return 0.5
-    best = np.argmin(((above_u + margin) / np.maximum(above_p, 1e-9))[ok])
-    return float(np.clip((above_u[ok] / above_p[ok])[best], 0.01, 0.99))
+    best = np.argmin((above_u + margin) / np.maximum(above_p, 1e-9))
+    found = min(1.0, above_u[best] / max(above_p[best], 1e-9))
+    return float(np.clip((found + 0.5 * margin) / (1 + margin), 0.01, 0.99))
 
 
 class Model:
@@ -179,24 +178,27 @@ class Model:
         self.bins, self.w, self.bias, self.prior = bins, w, bias, prior
 
     def score(self, texts: list[bytes]) -> np.ndarray:
-        if self.bins is None:
-            return np.full(len(texts), 0.5)
+        if self.bins is None:  # no positive is known
+            return np.full(len(texts), self.prior)
         return _sigmoid(self.w[self.bins.columns(features(texts))].sum(axis=1) + self.bias)
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", bound: int = BOUND) -> Model:
     """Fits on about ``bound`` trusted positives and ``bound`` unlabelled documents, none of
-    them held out. With fewer than 20 positives every score is 0.5."""
+    them held out, from one positive on. Without a positive every score is the share that one
+    among the unlabelled would have; without unlabelled texts the positives stand in for them."""
     collect = lambda df: np.array(sorted(list(r.x) for r in df.select("text").mapInArrow(_feature_rows, "x array<double>").toLocalIterator()))
     pos = collect(labelled_texts(docs, labels, label_col, bound, id_col, text_col, only=1))
     unl = collect(drawn_texts(docs, bound, id_col, text_col))
-    if len(pos) < 20 or len(unl) < 20:
-        return Model(None, None, 0.0, 0.5)
+    if not len(pos):
+        return Model(None, None, 0.0, 1 / (len(unl) + 2))
+    unl = unl if len(unl) else pos
     bins = Bins(np.concatenate((unl, pos)))
     p, u = bins.columns(pos), bins.columns(unl)
     w, bias = fit_pu(p[::2], u[::2], bins.width, None)
     value = lambda rows: w[rows].sum(axis=1) + bias
-    prior = estimate_prior(value(p[1::2]), value(u[1::2]))
+    # a single row is on both sides of the split
+    prior = estimate_prior(value(p[1::2] if len(p) > 1 else p), value(u[1::2] if len(u) > 1 else u))
     w, bias = fit_pu(p, u, bins.width, prior, start=(w, bias))
     return Model(bins, w, bias, prior)
 

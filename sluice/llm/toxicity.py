@@ -31,6 +31,7 @@ BITS = 20
 GRAMS = (4, 6)
 BOUND = 16_000
 KEEP = 4_000
+CLEAN = 20
 
 # Identity terms that are swapped for one another.
 IDENTITY_TERMS = (
@@ -147,13 +148,16 @@ class Sparse:
 def fit(rows: list[list[int]], y: np.ndarray, twins: list[list[int] | None], width: int, fairness: float = 4.0, ridge: float = 1e-3, steps: int = 300) -> tuple[np.ndarray, float]:
     """Weights and bias minimising mean log loss + ridge + fairness * mean squared logit
     change over the rows that have a counterfactual (Adam, full batch, fixed steps). The
-    rarer class weighs more, by the square root of the classes' ratio."""
+    rarer class weighs more, by the square root of the classes' ratio. ``CLEAN`` clean texts
+    without any feature count among the rows, so a text that shows none is clean unless the
+    sample outweighs them."""
     paired = [i for i, t in enumerate(twins) if t is not None]
     x = Sparse(rows, width)
     a, b = Sparse([rows[i] for i in paired], width), Sparse([twins[i] for i in paired], width)
     ratio = np.sqrt((len(y) - y.sum() + 1) / (y.sum() + 1))
     weight = np.where(y > 0, ratio, 1.0)
-    weight /= weight.sum()
+    clean = CLEAN / (weight.sum() + CLEAN)
+    weight /= weight.sum() + CLEAN
     w, bias = np.zeros(width), float(-np.log(ratio))
     m, v = np.zeros(width + 1), np.zeros(width + 1)
     for step in range(1, steps + 1):
@@ -163,7 +167,7 @@ def fit(rows: list[list[int]], y: np.ndarray, twins: list[list[int] | None], wid
         if paired:
             change = a.dot(w) - b.dot(w)
             grad += 2 * fairness * (a.back(change) - b.back(change)) / len(paired)
-        g = np.append(grad, err.sum())
+        g = np.append(grad, err.sum() + clean / (1 + np.exp(-np.clip(bias, -40, 40))))
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         move = 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
         w -= move[:-1]
@@ -188,15 +192,17 @@ class Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", bound: int = BOUND, keep: int = KEEP, groups=IDENTITY_TERMS, fairness: float = 4.0) -> Model:
-    """Fits on about ``bound`` labelled rows outside the held-out part. Without any labelled
-    row (or with one class only) every score is the class share, 0.5 when nothing is known."""
+    """Fits on about ``bound`` labelled rows outside the held-out part. Without labelled rows of
+    both classes no text is told from another: every score is half the toxic share (one row of
+    each class added), so below 0.5."""
     spark = docs.sparkSession
     sample = labelled_texts(docs, labels, label_col, bound, id_col, text_col)
     counts = sample.mapInArrow(_class_counts, "bucket long, neg long, pos long").groupBy("bucket").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
     share = sample.agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("pos")).first()
     n, pos = share.n, share.pos or 0
     if not n or not pos or pos == n:
-        return Model(np.zeros(1 << BITS), float(np.log((pos + 1) / (n - pos + 1))))
+        share = (pos + 1) / (n + 2) / 2
+        return Model(np.zeros(1 << BITS), float(np.log(share / (1 - share))))
     # standardised log odds ratio of having the bucket, by class
     smooth = lambda c, total: (F.col(c) + 0.5) / (F.lit(float(total)) - F.col(c) + 0.5)
     spread = 1 / (F.col("pos") + 0.5) + 1 / (F.col("neg") + 0.5)
@@ -239,7 +245,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, that score below 0.5."""
+    """The rows of ``docs``, all columns, that score below 0.5. Null and empty texts show no
+    feature and stay. Without labelled rows of both classes all rows stay, and with few of them
+    every text that shows none of the learnt features; repeated rows share a verdict."""
     rest = [c for c in docs.columns if c != text_col]
     d = docs.select(F.struct(*rest).alias("id"), F.col(text_col).alias("text"))
     schema = T.StructType([T.StructField("id", d.schema["id"].dataType), T.StructField("text", T.StringType()), T.StructField("score", T.DoubleType())])

@@ -79,10 +79,56 @@ def test_scores_of_odd_rows(docs, spark):
     assert kept.schema.names == d.schema.names
     assert kept.count() == sum(r.predicted == 0 for r in out)
     empty = TX.train(docs([]), docs([], LABELS))
-    assert TX.score(docs([(1, "a")]), empty).first().score == 0.5
+    assert TX.score(docs([(1, "a")]), empty).first().score == 0.25
     assert TX.score(docs([]), tox).count() == 0
     none = QL.train(docs([]), docs([], LABELS))
-    assert {r.score for r in QL.score(d, none).collect()} == {0.5}
+    assert {r.score for r in QL.score(d, none).collect()} == {0.5}  # neither positives nor others
+
+
+def trainable(n):
+    return [i for i in range(10 * n) if not held(i)][:n]
+
+
+def test_toxic_stage_keeps_the_corpus_without_evidence(docs, spark, tmp_path):
+    import corpus_pipeline
+
+    rows, _ = toxic_corpus(60)
+    d = docs([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    ids = trainable(40)
+    for name, labels in {
+        "empty": [], "clean": [(i, 1, 0) for i in ids], "toxic": [(i, 1, 1) for i in ids], "one": [(ids[0], 0, 1)],
+        "null": [(i, None, None) for i in ids], "two": [(ids[0], 0, 1), (ids[1], 1, 0)],
+    }.items():
+        folder = str(tmp_path / name)
+        docs(labels, LABELS).write.parquet(f"{folder}/labels.parquet")
+        kept = corpus_pipeline.drop_toxic(spark, d, folder)
+        assert kept.columns == d.columns
+        assert kept.count() == len(rows), name
+    few = TX.train(d, docs([(i, 1, int(k % 2)) for k, i in enumerate(ids[:12])], LABELS))
+    blank = docs([(1, None), (2, ""), (3, "qqq zzz xxyy"), (3, "qqq zzz xxyy")])
+    assert TX.drop_toxic(blank, few).count() == 4  # texts that show nothing learnt
+
+
+def test_quality_from_few_positives(docs):
+    rows, labels, _ = quality_corpus(300)
+    good = [x for x in labels if x[1] == 1 and not held(x[0])]
+    d = docs(rows)
+    for n in (1, 2, 5, 19, 21):
+        model = QL.train(d, docs(good[:n], LABELS))
+        s = model.score([t.encode() for _, t in rows])
+        assert np.isfinite(s).all() and s.std() > 0 and 0.01 <= model.prior <= 0.99
+    alone = QL.train(docs([(i, t) for i, t in rows if i == good[0][0]]), docs(good[:1], LABELS))
+    assert 0 <= alone.score([b"any text"])[0] <= 1
+    nothing = QL.train(d, docs([x for x in labels if x[1] != 1], LABELS))
+    assert {r.predicted for r in QL.score(d, nothing).collect()} == {0}
+
+
+def test_prior_moves_smoothly_with_the_sample():
+    rng = np.random.default_rng(5)
+    pos, unl = rng.normal(2, 1, 4000), np.where(rng.random(4000) < 0.8, rng.normal(2, 1, 4000), rng.normal(-2, 1, 4000))
+    found = [QL.estimate_prior(pos[:n], unl[:n]) for n in (1, 2, 10, 40, 200, 1000, 4000)]
+    assert all(0.01 <= x <= 0.99 for x in found)
+    assert abs(found[-1] - 0.8) < 0.05 and abs(found[-1] - 0.8) <= min(abs(x - 0.8) for x in found[:3]) + 0.05
 
 
 def test_gram_buckets_stay_inside_their_text():
