@@ -1,14 +1,14 @@
 """Token counts without token ids: pieces per distinct pre-token, joined to the per-document
 pre-token frequencies and summed.
 
-1. A seeded sample of documents of at most ``seed_bytes`` of text (a documented bound) gives
-   the frequent pre-tokens; their piece counts are broadcast. This only saves shuffle, it
-   never decides a count.
+1. Pre-tokens that ``HOT`` times or more stand in a seeded sample of about ``seed_bytes`` of
+   text are hot: they would put many rows under one key of the join. Their piece counts are
+   broadcast (at most one entry for HOT pre-tokens of the sample, whatever the corpus).
 2. One pass over all documents splits each text into pre-tokens and counts them per
-   document. Frequencies of broadcast pre-tokens are summed in place; every other
-   (document, pre-token, frequency) is emitted.
-3. The emitted pre-tokens are made distinct, each is split into pieces once, and the counts
-   join back to the frequencies.
+   document. Frequencies of hot pre-tokens are summed in place; every other (document,
+   pre-token, frequency) is kept.
+3. These pre-tokens are made distinct, each is split into pieces once, the counts join back to
+   the frequencies, and the products are summed by document.
 
 Splitting follows the tokenizer's own rule. Where this process's Unicode tables and the
 tokenizer's disagree about a character (found by probing both once), texts holding such a
@@ -28,7 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sluice.session import pin
+
 SEED_BYTES = 32 << 20
+HOT = 4
 CACHE = 400_000
 _LONG = 1 << 15
 
@@ -106,7 +109,7 @@ def _probed(spec: str) -> frozenset[int]:
     return probe(spec)
 
 
-def _distinct(spec):
+def _occurrences(spec):
     """(pretoken, n): the distinct pre-tokens of a task's texts with their occurrences."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,7 +122,8 @@ def _distinct(spec):
                             total[w] += n
         names = list(total)
         for i in range(0, len(names), 20_000):
-            yield pa.RecordBatch.from_arrays([pa.array(names[i : i + 20_000], pa.string())], ["pretoken"])
+            some = names[i : i + 20_000]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), pa.array([total[w] for w in some], pa.int64())], ["pretoken", "n"])
 
     return run
 
@@ -174,41 +178,35 @@ def _count_pieces(spec):
     return run
 
 
-def token_counts(docs: DataFrame, tokenizer_json: str, id_col: str = "doc_id", text_col: str = "text", seed_bytes: int = SEED_BYTES) -> DataFrame:
+def token_counts(docs: DataFrame, tokenizer_json: str, id_col: str = "doc_id", text_col: str = "text", seed_bytes: int = SEED_BYTES, hot: int = HOT) -> DataFrame:
     """One row per row of ``docs``: id, n_bytes (UTF-8), n_tokens as the tokenizer of
     ``tokenizer_json`` (the content of its file) counts them without added special tokens.
 
     Null counts as empty: 0 bytes, 0 tokens. Special strings inside a text are one token
-    each, as the library's default has it. Repeated rows each keep their row: frequencies
-    are keyed by (id, text hash) and made distinct, so copies don't add up. Null ids are
-    matched null-safe; extra columns are not read."""
+    each, as the library's default has it. Repeated rows and null ids each keep their row:
+    frequencies are keyed by a number that each row gets when the frequencies are written.
+    Extra columns are not read."""
     spark = docs.sparkSession
     spec = spark.sparkContext.broadcast((tokenizer_json, _probed(tokenizer_json)))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    d = docs.select(F.col(id_col).alias("id"), text.alias("text")).withColumn("h", F.xxhash64("text"))
+    d = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     size = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     share = min(1.0, seed_bytes / size) if size else 1.0
     span = 1 << 20
-    sample = d.where(F.pmod(F.xxhash64("h"), F.lit(span)) < int(share * span)).where(F.length("text") <= _LONG).select("text")
-    seeds = sample.mapInArrow(_distinct(spec), "pretoken string").distinct()
-    # bounded by the sample: at most seed_bytes of distinct pre-tokens
+    sample = d.where(F.pmod(F.xxhash64("text"), F.lit(span)) < int(share * span)).where(F.length("text") <= _LONG).select("text")
+    seen = sample.mapInArrow(_occurrences(spec), "pretoken string, n long").groupBy("pretoken").agg(F.sum("n").alias("n"))
+    seeds = seen.where(F.col("n") >= hot).select("pretoken")
+    # bounded by the sample: one pre-token for every ``hot`` of its occurrences
     rows = seeds.mapInArrow(_count_pieces(spec), "pretoken string, pieces long").toLocalIterator()
     known = spark.sparkContext.broadcast({r.pretoken: r.pieces for r in rows})
     pair = T.StructType([T.StructField("pretoken", T.StringType()), T.StructField("freq", T.LongType())])
     schema = T.StructType([
-        T.StructField("id", d.schema["id"].dataType), T.StructField("h", T.LongType()), T.StructField("n_bytes", T.LongType()),
+        T.StructField("id", d.schema["id"].dataType), T.StructField("n_bytes", T.LongType()),
         T.StructField("known", T.LongType()), T.StructField("rest", T.ArrayType(pair))])
-    from sluice.session import pin
-
-    per_doc = pin(
-        d.withColumn("n_bytes", F.octet_length("text").cast("long")).mapInArrow(_frequencies(spec, known, schema.names), schema), "pretokens")
-    freq = per_doc.select("id", "h", F.explode("rest").alias("x")).select("id", "h", "x.pretoken", "x.freq")
+    found = d.withColumn("n_bytes", F.octet_length("text").cast("long")).mapInArrow(_frequencies(spec, known, schema.names), schema)
+    # the row numbers are written with the frequencies, so every later read has the same
+    per_doc = pin(found.withColumn("row", F.monotonically_increasing_id()), "pretokens")
+    freq = per_doc.select("row", F.explode("rest").alias("x")).select("row", "x.pretoken", "x.freq")
     pieces = freq.select("pretoken").distinct().mapInArrow(_count_pieces(spec), "pretoken string, pieces long")
-    per = freq.join(pieces, "pretoken").select("id", "h", "pretoken", (F.col("freq") * F.col("pieces")).alias("n"))
-    copies = per_doc.where(F.size("rest") > 0).groupBy("id", "h").agg(F.count(F.lit(1)).alias("copies"))
-    summed = per.groupBy("id", "h").agg(F.sum("n").alias("n")).withColumnsRenamed({"id": "id2", "h": "h2"})
-    copies = copies.withColumnsRenamed({"id": "id3", "h": "h3"})
-    rare = summed.join(copies, F.col("id2").eqNullSafe(F.col("id3")) & (F.col("h2") == F.col("h3"))).select(
-        "id2", "h2", F.expr("n div copies").alias("rare"))  # equal rows emit equal frequencies
-    out = per_doc.select("id", "h", "n_bytes", "known").join(rare, F.col("id").eqNullSafe(F.col("id2")) & (F.col("h") == F.col("h2")), "left")
-    return out.select(F.col("id").alias(id_col), "n_bytes", (F.col("known") + F.coalesce("rare", F.lit(0))).alias("n_tokens"))
+    per = freq.join(pieces, "pretoken").groupBy("row").agg(F.sum(F.col("freq") * F.col("pieces")).alias("more"))
+    out = per_doc.select("id", "n_bytes", "known", "row").join(per, "row", "left")
+    return out.select(F.col("id").alias(id_col), "n_bytes", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_tokens"))
