@@ -64,7 +64,10 @@ def op5_token_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op6_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    return SD.drop_repeats(table(spark, sf, "documents"), keep_bytes=False)
+    out = SD.drop_repeats(table(spark, sf, "documents"))
+    # what is left as text: a cut inside a character leaves U+FFFD there
+    kept = F.make_valid_utf8(F.col("kept").cast("string"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", kept.alias("kept_text"))
 
 
 def op7_url_filter(spark: SparkSession, sf: str) -> DataFrame:
