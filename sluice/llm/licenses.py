@@ -1,12 +1,16 @@
 """License scan by a positional rare-token index, in built-in functions only.
 
-Templates are short notices; each has mandatory key phrases at known positions. A phrase is
-indexed under its anchor, its word of the highest IDF over the corpus. A file looks up its
-own words in that index; a posting says where the anchor stands in the phrase and where the
-phrase stands in the template, so every hit fixes the relative position of both:
+Templates are notices, from one line to a whole licence text; each has mandatory key phrases
+at known positions. A phrase has an anchor, its word of the highest IDF over the corpus, and a
+template is filed under the rarest of its anchors. A file ranks its own licence words by IDF
+and looks them up, rarest first; a template fetched that way whose other anchors the file has
+too is a candidate. Only the candidates' anchors are located: a posting says where the anchor
+stands in the phrase and where the phrase stands in the template, so every hit fixes the
+relative position of both:
 
 * the phrase is verified word by word at its place (consecutive words);
-* a template counts where all its key phrases stand at the same relative position;
+* the hits are sorted by template and relative position; a template counts where all its key
+  phrases stand at the same one;
 * its coverage is the share of the template's words found at their relative positions.
 
 Everything about a file happens in its own row: no row is shuffled, exploded or collected.
@@ -60,6 +64,43 @@ TEMPLATES = (
     Template("cc0", "dedicated to the public domain under cc0", ("public domain", "cc0")),
     Template("isc", "permission to use copy modify and or distribute this software for any purpose", ("permission to use copy modify", "for any purpose")),
     Template("unlicense", "free and unencumbered software released into the public domain", ("free and unencumbered software",)),
+    # Whole texts and file headers, as their publishers give them.
+    Template("mit", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and
+        associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation
+        the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit
+        persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this
+        permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS",
+        WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS
+        FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM,
+        DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH
+        THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+        ("permission is hereby granted free of charge", "publish distribute sublicense", "substantial portions of the software", "fitness for a particular purpose and noninfringement")),
+    Template("bsd", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that
+        the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of
+        conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this
+        list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.""",
+        ("redistribution and use in source and binary forms", "redistributions of source code must retain", "redistributions in binary form must reproduce")),
+    Template("apache", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in
+        compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless
+        required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS"
+        BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language
+        governing permissions and limitations under the License.""",
+        ("apache license version 2 0", "except in compliance with the license", "without warranties or conditions of any kind", "governing permissions and limitations")),
+    Template("gpl", """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General
+        Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later
+        version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied
+        warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.""",
+        ("redistribute it and or modify it", "gnu general public license as published", "free software foundation", "in the hope that it will be useful")),
+    Template("isc", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby
+        granted, provided that the above copyright notice and this permission notice appear in all copies.""",
+        ("permission to use copy modify and or distribute", "with or without fee", "appear in all copies")),
+    Template("mpl", """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was
+        not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+        ("source code form is subject to the terms", "mozilla public license", "if a copy of the mpl")),
+    Template("unlicense", """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify,
+        publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any
+        purpose, commercial or non-commercial, and by any means.""",
+        ("free and unencumbered software", "released into the public domain", "commercial or non commercial and by any means")),
 )
 
 
@@ -96,15 +137,21 @@ def lower_words(text: Column) -> Column:
 
 def idf(docs: DataFrame, vocabulary: list[str], text_col: str) -> dict[str, float]:
     """IDF of the index's words over all documents: one row per word reaches the driver."""
-    words = F.array_intersect(lower_words(F.col(text_col)), F.array(*map(F.lit, vocabulary)))
+    words = F.array_intersect(lower_words(F.col(text_col)), F.expr(_list(vocabulary, "string")))
     present = docs.select(F.explode(words).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     total = docs.count()
     seen = {r.word: r.df for r in present.collect()}  # at most len(vocabulary) rows
     return {w: math.log((total + 1) / (seen.get(w, 0) + 1)) for w in vocabulary}
 
 
-def _array(values, kind: str) -> Column:
-    return F.array(*map(F.lit, values)).cast(f"array<{kind}>")
+def _list(values, kind: str) -> str:
+    """SQL text of a literal array of words (without quotes or spaces) or numbers. The index is
+    written as SQL text because one Column object per entry makes a plan slow to build."""
+    return f"cast(split('{' '.join(map(str, values))}', ' ') AS array<{kind}>)" if len(values) else f"cast(array() AS array<{kind}>)"
+
+
+def _lists(rows, kind: str) -> Column:
+    return F.expr(f"array({', '.join(_list(r, kind) for r in rows)})")
 
 
 def scan(docs: DataFrame, text_col: str = "text", templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
@@ -122,40 +169,51 @@ def scan(docs: DataFrame, text_col: str = "text", templates: tuple[Template, ...
     index = phrases(templates)
     vocabulary = sorted({w for p in index for w in p.words})
     rarity = idf(docs, vocabulary, text_col)
-    by_anchor: dict[str, list[tuple[int, int]]] = {}
-    for n, p in enumerate(index):
-        word, at = max(((w, -i) for i, w in enumerate(p.words)), key=lambda x: (rarity[x[0]], x[0], x[1]))
-        by_anchor.setdefault(word, []).append((n, -at))
-    anchors = sorted(by_anchor)
-    notices = F.array(*[_array(words_of(t.notice), "string") for t in templates])
-    labels = _array([t.label for t in templates], "string")
-    needed = _array([len(t.keys) for t in templates], "int")
-    posting = lambda n, a: F.struct(
-        F.lit(n).alias("phrase"), F.lit(index[n].template).alias("template"), F.lit(a).alias("anchor_at"),
-        F.lit(index[n].at).alias("at"), _array(index[n].words, "string").alias("words"), F.lit(index[n].base).alias("base"))
-    postings = F.array(*[F.array(*[posting(n, a) for n, a in by_anchor[w]]) for w in anchors])
+    rank = lambda w: (rarity[w], w)
+    anchor = [max(((*rank(w), -i) for i, w in enumerate(p.words)))[1:] for p in index]  # word, -place in the phrase
+    anchors = sorted({w for w, _ in anchor}, key=rank, reverse=True)  # rarest first
+    slot = {w: k + 1 for k, w in enumerate(anchors)}
+    slots = [sorted({slot[anchor[n][0]] for n, p in enumerate(index) if p.template == t}) for t in range(len(templates))]
+    notices = _lists([words_of(t.notice) for t in templates], "string")
+    labels = F.expr(_list([t.label for t in templates], "string"))
+    needed = F.expr(_list([len(t.keys) for t in templates], "int"))
+    posting = lambda n: (
+        f"named_struct('template', {index[n].template}, 'anchor_at', {-anchor[n][1]}, 'at', {index[n].at}, "
+        f"'words', {_list(index[n].words, 'string')}, 'base', {str(index[n].base).lower()})")
+    of_anchor = [[posting(n) for n in range(len(index)) if anchor[n][0] == w] for w in anchors]
+    postings = F.expr(f"array({', '.join('array(' + ', '.join(ps) + ')' for ps in of_anchor)})")
+    filed = _lists([[t for t, s in enumerate(slots) if s[0] == k + 1] for k in range(len(anchors))], "int")
+    others = _lists(slots, "int")
+    ranked = F.expr(_list(anchors, "string"))
     tmp = "_lic_words"
     split = lower_words(F.col(text_col))
     d = docs.withColumn(tmp, split)
     # a text that starts with a separator has an empty first part
     d = d.withColumn(tmp, F.when(F.element_at(tmp, 1) == "", F.slice(tmp, 2, F.greatest(F.size(tmp) - 1, F.lit(0)))).otherwise(F.col(tmp)))
-    # look-up: (position, index entry) of the file's anchor words
+    # the file's own licence words, rarest first, as places in the ranking
+    d = d.withColumn("_lic_own", F.transform(F.array_intersect(ranked, F.col(tmp)), lambda w: F.array_position(ranked, w).cast("int")))
+    # templates filed under one of them, all of whose anchors the file has
+    candidates = F.filter(F.flatten(F.transform("_lic_own", lambda k: F.element_at(filed, k))),
+                          lambda t: F.size(F.array_except(F.element_at(others, t + 1), F.col("_lic_own"))) == 0)
+    d = d.withColumn("_lic_active", F.array_distinct(F.flatten(F.transform(candidates, lambda t: F.element_at(others, t + 1)))))
+    # look-up: (position, place in the ranking) of the candidates' anchors
     found = F.filter(
-        F.transform(tmp, lambda w, i: F.struct(i.alias("i"), F.array_position(_array(anchors, "string"), w).cast("int").alias("slot"))),
-        lambda x: x["slot"] > 0)
-    d = d.withColumn("_lic_found", found)
+        F.transform(tmp, lambda w, i: F.struct(i.alias("i"), F.array_position(ranked, w).cast("int").alias("slot"))),
+        lambda x: F.array_contains("_lic_active", x["slot"]))
+    none = F.array().cast("array<struct<i:int,slot:int>>")
+    d = d.withColumn("_lic_found", F.when(F.size("_lic_active") == 0, none).otherwise(found))
     hits = F.flatten(F.transform("_lic_found", lambda x: F.transform(
         F.element_at(postings, x["slot"]),
         lambda p: F.struct((x["i"] - p["anchor_at"]).alias("start"), p.alias("p")))))
     verified = F.filter(hits, lambda h: (h["start"] >= 0) & (F.slice(F.col(tmp), F.greatest(h["start"], F.lit(0)) + 1, F.size(h["p"]["words"])) == h["p"]["words"]))
     d = d.withColumn("_lic_hits", F.transform(verified, lambda h: F.struct(
-        h["start"].alias("start"), h["p"]["phrase"].alias("phrase"), h["p"]["template"].alias("template"),
+        h["start"].alias("start"), h["p"]["template"].alias("template"),
         (h["start"] - h["p"]["at"]).alias("offset"), h["p"]["base"].alias("base"))))
-    # a template stands where all its key phrases agree on its offset
-    agreed = F.filter(
-        F.array_distinct(F.transform("_lic_hits", lambda h: F.struct(h["template"].alias("template"), h["offset"].alias("offset")))),
-        lambda t: F.size(F.filter("_lic_hits", lambda h: (h["template"] == t["template"]) & (h["offset"] == t["offset"])))
-        >= F.element_at(needed, t["template"] + 1))
+    # a template stands where all its key phrases agree on its offset: sorted, its run of equal
+    # hits is as long as it has phrases
+    d = d.withColumn("_lic_sorted", F.array_sort(F.transform("_lic_hits", lambda h: F.struct(h["template"].alias("template"), h["offset"].alias("offset")))))
+    runs = F.col("_lic_sorted")
+    agreed = F.filter(runs, lambda x, i: ((i == 0) | (F.get(runs, i - 1) != x)) & (F.get(runs, i + F.element_at(needed, x["template"] + 1) - 1) == x))
 
     def coverage(t):
         notice = F.element_at(notices, t["template"] + 1)
@@ -178,4 +236,4 @@ def scan(docs: DataFrame, text_col: str = "text", templates: tuple[Template, ...
         joined(F.concat(base_labels, F.transform("_lic_places", lambda p: p["label"]))).alias("labels"),
         F.coalesce(F.array_max(F.transform("_lic_places", lambda p: p["coverage"])), F.lit(0.0)).alias("score"),
         F.col("_lic_places").alias("places"))
-    return d.withColumn("license", out).drop(tmp, "_lic_found", "_lic_hits", "_lic_places")
+    return d.withColumn("license", out).drop(tmp, "_lic_own", "_lic_active", "_lic_found", "_lic_hits", "_lic_sorted", "_lic_places")

@@ -78,3 +78,22 @@ def test_query_has_word_counts(spark):
     assert out.dtypes[:3] == [("doc_id", "bigint"), ("n_words", "bigint"), ("n_base", "bigint")]
     text = {r.doc_id: r.text for r in Q.table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text").collect()}
     assert {r.doc_id: r.n_words for r in out.collect()} == {i: len(words(t)) for i, t in text.items()}
+
+
+def test_whole_texts_with_several_key_phrases(docs):
+    full = [t for t in LI.TEMPLATES if len(LI.words_of(t.notice)) > 25]
+    assert {t.label for t in full} >= {"mit", "bsd", "apache", "gpl"} and all(len(t.keys) >= 3 for t in full)
+    rows = [(i, "# " + t.notice.upper().replace(" ", "\n  ")) for i, t in enumerate(full)]
+    gapped = [(100 + i, t.notice.replace(t.keys[-1].split()[0], "other words", 1)) for i, t in enumerate(full)]
+    out = {r.doc_id: r.license for r in LI.scan(docs(rows + gapped)).collect()}
+    for i, t in enumerate(full):
+        assert t.label in out[i].labels.split(",") and out[i].score == 1.0
+        text = dict(gapped)[100 + i]
+        assert (out[100 + i].n_base, out[100 + i].labels, out[100 + i].score) == (brute(text)[0], *brute(text)[4:])
+
+
+def test_very_many_places(docs):
+    n = 20_000
+    text = "licensed under cc by all rights reserved " * n
+    got = LI.scan(docs([(1, text)])).first().license
+    assert (got.n_words, got.n_base, len(got.places), got.labels, got.score) == (7 * n, 2 * n, 2 * n, "cc-by,reserved", 1.0)
