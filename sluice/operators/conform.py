@@ -3,6 +3,7 @@ D05 flag normalisation."""
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructType, TimestampNTZType, TimestampType
@@ -54,19 +55,25 @@ def bootstrap_tables(spark: SparkSession, root: str) -> dict[str, str]:
     Returns table name -> path. Existing tables are left untouched. Only the DataFrame
     reader and writer are used, so this also runs over Spark Connect.
     """
-    paths = {}
-    for name, schema in TABLES.items():
-        path = f"{root.rstrip('/')}/{name}"
-        try:
-            spark.read.schema(schema).parquet(path).limit(0).collect()
-        except Exception as err:  # noqa: BLE001 - only a missing path means "create"
-            if "PATH_NOT_FOUND" not in str(err) and "does not exist" not in str(err):
-                raise
-            spark.createDataFrame([], schema).write.mode("errorifexists").parquet(path)
-        paths[name] = path
+    paths = {name: f"{root.rstrip('/')}/{name}" for name in TABLES}
+    for name, path in paths.items():
+        if not path_exists(spark, path):
+            spark.createDataFrame([], TABLES[name]).write.mode("ignore").parquet(path)
     return paths
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is anything at ``path``: the reader looks when its plan is resolved, so no
+    job runs and no file is opened. Any other failure is raised."""
+    try:
+        _ = spark.read.schema("x int").parquet(path).schema
+    except AnalysisException as err:
+        if err.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False
+    return True
+
+
 def add_column_after(df: DataFrame, name: str, dtype, after: str) -> DataFrame:
     """Add a nullable column right after ``after``; harmless when already present."""
     if name in df.columns:

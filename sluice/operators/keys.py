@@ -54,6 +54,13 @@ def in_slice(group: list[str]):
     return Window.partitionBy(PID, *group).orderBy(POS).rowsBetween(Window.unboundedPreceding, 0)
 
 
+def earlier_rows(ranked: DataFrame) -> DataFrame:
+    """(task id, rows in earlier tasks): with the position inside the task a row's place in
+    the whole order. One row per task."""
+    per = ranked.groupBy(PID).agg(F.count(F.lit(1)).alias("_er_n"))
+    return per.select(PID, F.coalesce(F.sum("_er_n").over(earlier_slices([])), F.lit(0)).alias("_er_before"))
+
+
 def join_slice_stats(ranked: DataFrame, stats: DataFrame, group: list[str], cols: list[str]) -> DataFrame:
     """Attach per-slice columns ``cols`` of ``stats`` (one row per slice) to its rows. The
     stats table has at most (groups + tasks) rows; AQE broadcasts it when it is small and
@@ -118,22 +125,23 @@ def running_within(df: DataFrame, order: list, group: list[str], value, how: str
 
 
 def lag_within(df: DataFrame, order: list, group: list[str], cols: list[str], prefix: str = "prev_") -> DataFrame:
-    """Add ``prefix+col`` = value of ``col`` on the previous row of the same group.
+    """Add ``prefix+col`` = value of ``col`` on the previous row of the same group, NULL on
+    its first row. ``order`` must be total.
 
-    Positions come from ``sequence_within``; the neighbour is found by an equi-join on
-    (group, position), whose keys are unique, so no task receives a whole group.
+    Inside a slice the neighbour is a window value (the exchange on (task, group) spreads a
+    hot group by task). The first row of a slice takes the last row of the group's slice
+    before it: one row per slice, so no row is joined to the table itself.
     """
-    seq = sequence_within(df, order, group, name="_lag_seq")
-    prev = seq.select(
-        *[F.col(g).alias(f"_lag_g_{i}") for i, g in enumerate(group)],
-        (F.col("_lag_seq") + F.lit(1)).alias("_lag_next"),
-        *[F.col(c).alias(prefix + c) for c in cols],
-    )
-    cond = seq["_lag_seq"] == prev["_lag_next"]
-    for i, g in enumerate(group):
-        cond = cond & seq[g].eqNullSafe(prev[f"_lag_g_{i}"])
-    out = seq.join(prev, cond, "left")
-    return out.drop("_lag_next", *[f"_lag_g_{i}" for i in range(len(group))])
+    group = list(group)
+    ranked = ordered_slices(df, order, group)
+    row = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(cols)])
+    here = Window.partitionBy(PID, *group).orderBy(POS)
+    last = ranked.groupBy(PID, *group).agg(F.max_by(row, POS).alias("_lag_last"))
+    last = last.withColumn("_lag_carry", F.lag("_lag_last").over(Window.partitionBy(*group).orderBy(PID)))
+    out = ranked.withColumn("_lag_here", F.lag(row).over(here))
+    out = join_slice_stats(out, last, group, ["_lag_carry"])
+    prev = F.coalesce("_lag_here", "_lag_carry")  # a row before it is a struct, never NULL
+    return out.withColumns({prefix + c: prev[f"c{i}"] for i, c in enumerate(cols)}).drop(PID, POS, "_lag_here", "_lag_carry")
 
 
 def next_id_base(existing: DataFrame, id_col: str) -> Column:

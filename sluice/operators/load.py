@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, StringType, StructType, TimestampNTZType, TimestampType
+from pyspark.sql.types import DataType, DateType, NumericType, StringType, StructType, TimestampNTZType, TimestampType
 
 from sluice.functions.exprs import row_hash
 from sluice.operators.conform import conform
@@ -25,10 +25,10 @@ def _ties(df: DataFrame, cols: list[str]) -> list[Column]:
     return [F.to_json(F.struct(c)) if unordered(df.schema[c].dataType) else F.col(c) for c in cols]
 
 
-def _key_cond(left: DataFrame, right: DataFrame, keys: list[str], rprefix: str) -> Column:
+def _key_cond(left: DataFrame, right: DataFrame, keys: list[str], rprefix: str, null_safe: bool = True) -> Column:
     cond = None
     for k in keys:
-        term = left[k].eqNullSafe(right[rprefix + k])
+        term = left[k].eqNullSafe(right[rprefix + k]) if null_safe else left[k] == right[rprefix + k]
         cond = term if cond is None else cond & term
     return cond
 
@@ -119,34 +119,82 @@ def typed_watermarks(watermarks: DataFrame, watermark_type: str, last_col: str =
     return typed.filter(~bad), typed.filter(bad).drop("_last").withColumn("error_code", F.lit("INVALID_WATERMARK"))
 
 
+def _as_literal(text: str | None, typ: DataType) -> Column:
+    """A value taken from Spark as text, as a typed literal again."""
+    return F.lit(text).cast(typ)
+
+
+def lower_bound(watermarks: DataFrame, last_col: str = "last_value", watermark_type: str = "timestamp") -> str | None:
+    """The low end of a run over many configs, taken once at run start: the smallest readable
+    last value, as text; None when no config has one. One row per config is aggregated."""
+    return watermarks.agg(F.min(_typed_last(watermarks, last_col, watermark_type)).cast("string")).first()[0]
+
+
 def incremental_by_config(source: DataFrame, watermarks: DataFrame, config_col: str, watermark_col: str,
-                          last_col: str = "last_value", watermark_type: str = "timestamp", upper: Column | None = None) -> DataFrame:
-    """R02 for many configs in one pass: each source row is kept when it is above its own
+                          last_col: str = "last_value", watermark_type: str = "timestamp", upper: Column | None = None,
+                          configs: DataFrame | None = None) -> DataFrame:
+    """R02 for many configs in one run: each source row is kept when it is above its own
     config's last value and at most ``upper``; configs without a watermark read everything
-    up to ``upper``, rows without a value in the watermark column included. Stored values are read by ``watermark_type``; a config whose value cannot be
-    read extracts nothing (see ``typed_watermarks`` for the rejects). The smallest last
-    value also bounds the scan when every config has one. The watermark table has one row
-    per config and is joined on the config key."""
+    up to ``upper``, rows without a value in the watermark column included. Stored values are
+    read by ``watermark_type``; a config whose value cannot be read extracts nothing (see
+    ``typed_watermarks`` for the rejects). The watermark table has one row per config.
+
+    The two kinds are read apart. Configs with a watermark: the smallest of the last values is
+    taken once, as a literal, and bounds the scan (pushed filter), so history below it is not
+    read; then each row meets its own config's value. Configs without one need their whole
+    history: with ``configs`` (table_config_id of the configs to load; rows of others are not
+    read) only theirs is kept, and there is no such read when all have a watermark. Without
+    ``configs`` every row whose config has no watermark counts."""
     wm = watermarks.select(F.col("table_config_id").alias("_wcfg"), F.col(last_col).alias("_wtext"),
                            _typed_last(watermarks, last_col, watermark_type).alias("_wlast"))
+    low = lower_bound(watermarks, last_col, watermark_type)
     rows = source if upper is None else source.filter((F.col(watermark_col) <= upper) | F.col(watermark_col).isNull())
-    j = rows.join(wm, rows[config_col] == wm["_wcfg"], "left")
-    return j.filter(F.col("_wtext").isNull() | (F.col(watermark_col) > F.col("_wlast"))).drop("_wcfg", "_wtext", "_wlast")
+    known = wm.filter(F.col("_wtext").isNotNull()).select("_wcfg")
+    if configs is None:
+        whole = rows.join(known, rows[config_col] == known["_wcfg"], "left_anti")
+    else:
+        asked = configs.select(F.col("table_config_id").alias("_ocfg")).distinct()
+        wm = wm.join(asked, wm["_wcfg"] == asked["_ocfg"], "left_semi")
+        open_ = asked.join(known, asked["_ocfg"] == known["_wcfg"], "left_anti")
+        whole = None if open_.isEmpty() else rows.join(open_, rows[config_col] == open_["_ocfg"], "left_semi")
+    if low is None:
+        return whole if whole is not None else source.filter(F.lit(False))
+    recent = rows.filter(F.col(watermark_col) > _as_literal(low, source.schema[watermark_col].dataType))
+    j = recent.join(wm.filter(F.col("_wlast").isNotNull()), recent[config_col] == F.col("_wcfg"))
+    above = j.filter(F.col(watermark_col) > F.col("_wlast")).select(*source.columns)
+    return above if whole is None else above.unionByName(whole)
 
 
 # ---- R03 hash-key incremental ----
 
+def key_range(df: DataFrame, key: str) -> Column:
+    """The condition that ``key`` lies between the least and the largest of ``df`` (or is NULL,
+    where ``df`` has NULL keys): literals, so it reaches the scan it is put on as a pushed
+    filter. A type without an order through text (binary, maps, structs) gives no bound."""
+    typ = df.schema[key].dataType
+    if not (isinstance(typ, (NumericType, StringType, DateType)) or typ.typeName().startswith("timestamp")):
+        return F.lit(True)
+    row = df.agg(F.min(key).cast("string").alias("low"), F.max(key).cast("string").alias("high"),
+                 F.count_if(F.col(key).isNull()).alias("nulls")).first()
+    inside = F.col(key).between(_as_literal(row.low, typ), _as_literal(row.high, typ)) if row.low is not None else F.lit(False)
+    return (inside | F.col(key).isNull()) if row.nulls else inside
+
+
 def hash_changes(source: DataFrame, target: DataFrame, keys: list[str], hash_cols: list[str],
                  hash_col: str = "row_hash") -> DataFrame:
     """Source rows whose natural key is new, or whose row hash (R08) differs from the
-    target's, with ``change_kind`` new/changed. One left join on the key; ``target``
-    holds (keys, hash_col) of the last load. Keys match null-safe, so an unchanged row with
-    a NULL key is not new again on every run; a NULL stored hash counts as changed."""
-    src = source.withColumn(hash_col, row_hash(hash_cols))
+    target's, with ``change_kind`` new/changed. ``target`` holds (keys, hash_col) of the last
+    load. Keys match null-safe, so an unchanged row with a NULL key is not new again on every
+    run; a NULL stored hash counts as changed.
+
+    The extract is read once: it is written with its hashes, and the bound on the stored table
+    (the extract's key range, pushed to its scan), the stored hashes of the extract's keys and
+    the comparison all come from what was written."""
+    src = pin(source.withColumn(hash_col, row_hash(hash_cols)), "extract")
     # keep only the stored hashes of keys in this extract: a semi join that AQE broadcasts
     # when the extract is small, so the stored (key, hash) table is scanned, not shuffled
-    stored = target.select(*keys, hash_col)
-    extract = source.select(*[F.col(k).alias(f"_e_{k}") for k in keys])
+    stored = target.select(*keys, hash_col).filter(key_range(src, keys[0]))
+    extract = src.select(*[F.col(k).alias(f"_e_{k}") for k in keys])
     relevant = stored.join(extract, _key_cond(stored, extract, keys, "_e_"), "left_semi")
     tgt = relevant.select(*[F.col(k).alias(f"_t_{k}") for k in keys], F.col(hash_col).alias("_t_hash"))
     tgt = tgt.withColumn("_t_hit", F.lit(True))
@@ -244,20 +292,20 @@ def latest_by_key(batch: DataFrame, keys: list[str], order: list[str]) -> DataFr
     return best.select(*keys, *[F.col(f"_b.{c}").alias(c) for c in [*order, *rest]]).select(*batch.columns)
 
 
-def _matched_keys(target: DataFrame, batch_keys: DataFrame, keys: list[str]) -> DataFrame:
+def _matched_keys(target: DataFrame, batch_keys: DataFrame, keys: list[str], null_safe: bool = True) -> DataFrame:
     """Batch keys present in the target: a key-only scan of the target joined with the
     batch's keys (which the planner broadcasts when the batch is small)."""
     t = target.select(*[F.col(k).alias(f"_m_{k}") for k in keys])
-    return batch_keys.join(t, _key_cond(batch_keys, t, keys, "_m_"), "left_semi")
+    return batch_keys.join(t, _key_cond(batch_keys, t, keys, "_m_", null_safe), "left_semi")
 
 
-def _absent(batch: DataFrame, target: DataFrame, keys: list[str]) -> DataFrame:
-    """Batch rows whose key (null-safe) is not in the target: anti join of batch-sized sides."""
-    known = _matched_keys(target, batch.select(*keys), keys).select(*[F.col(k).alias(f"_a_{k}") for k in keys])
-    return batch.join(known, _key_cond(batch, known, keys, "_a_"), "left_anti")
+def _absent(batch: DataFrame, target: DataFrame, keys: list[str], null_safe: bool = True) -> DataFrame:
+    """Batch rows whose key is not in the target: anti join of batch-sized sides."""
+    known = _matched_keys(target, batch.select(*keys), keys, null_safe).select(*[F.col(k).alias(f"_a_{k}") for k in keys])
+    return batch.join(known, _key_cond(batch, known, keys, "_a_", null_safe), "left_anti")
 
 
-def upsert_by_key(target: DataFrame, batch: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+def upsert_by_key(target: DataFrame, batch: DataFrame, keys: list[str], order: list[str], null_safe: bool = True) -> DataFrame:
     """Dedupe the batch to its latest row per key, update matched target rows,
     insert new keys, keep the rest; keys match null-safe, so the same batch twice gives the
     same rows as once. Adds ``merge_action`` (insert/update/keep).
@@ -265,38 +313,45 @@ def upsert_by_key(target: DataFrame, batch: DataFrame, keys: list[str], order: l
     No full outer join (which always shuffles both sides): the target left-joins the
     deduplicated batch (broadcast by AQE when the batch is small, so the big target is
     not shuffled), and the inserts are the batch keys absent from a key-only scan of the
-    target, an anti join between two batch-sized sides.
+    target, an anti join between two batch-sized sides. ``null_safe=False`` is for batches
+    without NULL keys: plain equality, which a bucketed target serves without a shuffle
+    (``sluice.operators.bucketed``).
     """
     latest = pin(latest_by_key(batch, keys, order), "batch")  # folded once, read three times
     b = latest.select(*[F.col(c).alias(f"_b_{c}") for c in latest.columns]).withColumn("_b_hit", F.lit(True))
-    j = target.join(b, _key_cond(target, b, keys, "_b_"), "left")
+    j = target.join(b, _key_cond(target, b, keys, "_b_", null_safe), "left")
     hit = F.col("_b_hit").isNotNull()
-    kept = j.select(*[F.when(hit, F.col(f"_b_{c}")).otherwise(F.col(c)).alias(c) for c in target.columns],
+    kept = j.select(*[F.when(hit, F.col(f"_b_{c}")).otherwise(F.col(c)).alias(c) if c in latest.columns else F.col(c) for c in target.columns],
                     F.when(hit, F.lit("update")).otherwise(F.lit("keep")).alias("merge_action"))
-    inserts = _absent(latest, target, keys)
+    inserts = _absent(latest, target, keys, null_safe)
     inserts = inserts.select(*[F.col(c) if c in inserts.columns else F.lit(None).cast(target.schema[c].dataType).alias(c)
                                for c in target.columns], F.lit("insert").alias("merge_action"))
     return kept.unionByName(inserts)
 
 
+def merge_condition(table: str, src: DataFrame, keys: list[str]) -> Column:
+    """Keys of the target table equal to the batch's, NULL to NULL: as in ``upsert_by_key``."""
+    cond = None
+    for k in keys:
+        term = F.col(f"{table}.{k}").eqNullSafe(src[k])
+        cond = term if cond is None else cond & term
+    return cond
+
+
 def merge_into_table(table: str, batch: DataFrame, keys: list[str], order: list[str]) -> None:
     """R05 in place, for catalogs with row-level operations (Delta, Iceberg): the batch is
     deduplicated to its latest row per key first (MERGE rejects several source rows for
-    one target row), then merged: matched rows updated, new keys inserted. Spark's
+    one target row), then merged null-safe: matched rows updated, new keys inserted. Spark's
     built-in catalog refuses row-level writes; there ``upsert_by_key`` plus a new
     snapshot is the path."""
     src = latest_by_key(batch, keys, order)
-    cond = None
-    for k in keys:
-        term = F.col(f"{table}.{k}") == src[k]
-        cond = term if cond is None else cond & term
-    src.mergeInto(table, cond).whenMatched().updateAll().whenNotMatched().insertAll().merge()
+    src.mergeInto(table, merge_condition(table, src, keys)).whenMatched().updateAll().whenNotMatched().insertAll().merge()
 
 
 # ---- R06 CDC apply ----
 
 def cdc_apply(target: DataFrame, changes: DataFrame, keys: list[str], seq_col: str, op_col: str,
-              value_cols: list[str]) -> DataFrame:
+              value_cols: list[str], null_safe: bool = True) -> DataFrame:
     """As if the changes were applied one by one in ``seq_col`` order. The values come
     from the key's last I or U, the activity from its last change (D keeps the values); a
     key with only D changes and no target row adds nothing. When the target has
@@ -305,12 +360,13 @@ def cdc_apply(target: DataFrame, changes: DataFrame, keys: list[str], seq_col: s
     NULL in those the changes don't carry), is_active and last_seq.
 
     Same shape as R05: the target left-joins the folded changes (broadcastable when the
-    change set is small), new keys come from an anti join of change-sized sides.
+    change set is small), new keys come from an anti join of change-sized sides;
+    ``null_safe=False`` as there, for changes without NULL keys.
     """
     ch = changes.select(*keys, F.col(seq_col).alias("_seq"), F.col(op_col).alias("_op"), *[F.col(v).alias(f"_v_{v}") for v in value_cols])
     if "last_seq" in target.columns:
         seen = target.select(*[F.col(k).alias(f"_s_{k}") for k in keys], F.col("last_seq").alias("_last"))
-        ch = ch.join(seen, _key_cond(ch, seen, keys, "_s_"), "left")
+        ch = ch.join(seen, _key_cond(ch, seen, keys, "_s_", null_safe), "left")
         ch = ch.filter(F.col("_last").isNull() | (F.col("_seq") > F.col("_last"))).drop(*[f"_s_{k}" for k in keys], "_last")
     values = [f"_v_{v}" for v in value_cols]
     order = F.struct("_seq", "_op", *_ties(ch, values))
@@ -321,12 +377,12 @@ def cdc_apply(target: DataFrame, changes: DataFrame, keys: list[str], seq_col: s
     folded = pin(folded, "changes")
     c = folded.select(*[F.col(k).alias(f"_c_{k}") for k in keys], "_last_op", "_c_seq", "_w")
     t = target if "last_seq" in target.columns else target.withColumn("last_seq", F.lit(None).cast(changes.schema[seq_col].dataType))
-    j = t.join(c, _key_cond(t, c, keys, "_c_"), "left")
+    j = t.join(c, _key_cond(t, c, keys, "_c_", null_safe), "left")
     new = {v: F.when(F.col("_w").isNotNull(), F.col(f"_w._v_{v}")).otherwise(F.col(v)) for v in value_cols}
     new["is_active"] = F.when(F.col("_last_op").isin("I", "U"), F.lit(True)).when(F.col("_last_op") == "D", F.lit(False)).otherwise(F.col("is_active"))
     new["last_seq"] = F.coalesce("_c_seq", "last_seq")
     existing = j.withColumns(new).select(*t.columns)
-    fresh = _absent(folded.filter(F.col("_w").isNotNull()), t, keys)
+    fresh = _absent(folded.filter(F.col("_w").isNotNull()), t, keys, null_safe)
     given = {**{k: F.col(k) for k in keys}, **{v: F.col(f"_w._v_{v}") for v in value_cols},
              "is_active": F.col("_last_op") != "D", "last_seq": F.col("_c_seq")}
     fresh = fresh.select(*[given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in t.schema.fields])

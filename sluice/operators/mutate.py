@@ -22,6 +22,7 @@ from sluice.operators.keys import (
     PID,
     POS,
     assign_sequential_ids,
+    earlier_rows,
     earlier_slices,
     in_slice,
     join_slice_stats,
@@ -220,16 +221,15 @@ def add_schema_versions(state: DataFrame, requests: DataFrame, now) -> DataFrame
     Ids are D12. Returns only the new rows.
 
     An automatic number is A + max(base, max over earlier explicit k of (e_k - A_k)),
-    where A counts the automatic requests so far (without explicit numbers: base + A),
-    computed in one skew-safe sorted pass.
+    where A counts the automatic requests so far (without explicit numbers: base + A). Both
+    counters, the config's and the ids', come from one sorted layout (``_number_versions``).
     """
     base = state.groupBy(F.col("table_config_id").alias("_cfg")).agg(F.max("version_number").alias("_max"))
     requests = encode_json_columns(requests, ["column_changes_json"])
     if "version_number" not in requests.columns:
         requests = requests.withColumn("version_number", F.lit(None).cast("long"))
-    # one sorted pass whether or not explicit numbers are present (no extra job to look)
-    rows = _number_with_explicit(requests, base)
-    rows = assign_sequential_ids(rows, state, "version_id", [F.col(SEQ)])
+    rows = _number_versions(requests, base)
+    rows = rows.withColumn("version_id", (next_id_base(state, "version_id") + F.col("_place")).cast("long"))
     actor = F.coalesce(F.col("created_by"), F.lit(S.DEFAULT_ACTOR)) if "created_by" in rows.columns else F.lit(S.DEFAULT_ACTOR)
     t = ts_literal(now)
     rows = rows.withColumns({
@@ -239,29 +239,35 @@ def add_schema_versions(state: DataFrame, requests: DataFrame, now) -> DataFrame
     return conform(rows, state.schema)
 
 
-def _number_with_explicit(requests: DataFrame, base: DataFrame) -> DataFrame:
-    """Automatic numbers next to explicit ones, in one sorted pass (``ordered_slices``):
+def _number_versions(requests: DataFrame, base: DataFrame) -> DataFrame:
+    """Version numbers per config and each row's place in the whole batch (``_place``, from
+    1), in one layout sorted by request order (``ordered_slices``): a config's rows in one
+    task are a slice of it, and its slices follow each other in task order.
 
     v_i = A_i + max(base, max over earlier explicit k of (e_k - A_k)), A = automatic
     requests so far. Inside a slice A and the running max of (e_k - A_k) are window
     aggregates; a slice's carry-in (A of earlier slices, and their best e_k - A_k, which
-    shifts by that same carry) comes from the per-slice summary windowed over the config.
+    shifts by that same carry) comes from the per-slice summary windowed over the config. The
+    config's base and the task's count of earlier rows ride on the same summary, so the rows
+    are joined once.
     """
     group = ["table_config_id"]
     auto = F.col("version_number").isNull()
-    r = ordered_slices(requests.withColumn("_auto", auto.cast("long")), [F.col(SEQ)], group)
+    r = ordered_slices(requests.withColumn("_auto", auto.cast("long")), [F.col(SEQ)], [])
     r = r.withColumn("_a_loc", F.sum("_auto").over(in_slice(group)))
     r = r.withColumn("_d", F.when(~auto, F.col("version_number") - F.col("_a_loc")))
     r = r.withColumn("_d_loc", F.max("_d").over(in_slice(group)))
     stats = r.groupBy(PID, *group).agg(F.sum("_auto").alias("_cnt"), F.max("_d").alias("_md"))
     stats = stats.withColumn("_a_carry", F.coalesce(F.sum("_cnt").over(earlier_slices(group)), F.lit(0)))
     stats = stats.withColumn("_p_carry", F.max(F.col("_md") - F.col("_a_carry")).over(earlier_slices(group)))
-    r = join_slice_stats(r, stats, group, ["_a_carry", "_p_carry"])
-    r = r.join(base, r["table_config_id"] == base["_cfg"], "left")
+    stats = stats.join(base, stats["table_config_id"].eqNullSafe(base["_cfg"]), "left").join(earlier_rows(r), PID)
+    r = join_slice_stats(r, stats, group, ["_a_carry", "_p_carry", "_max", "_er_before"])
     lift = F.greatest(F.col("_d_loc") - F.col("_a_carry"), F.col("_p_carry"))
     numbered = F.col("_a_loc") + F.col("_a_carry") + F.greatest(F.coalesce(F.col("_max"), F.lit(0)), lift)
-    r = r.withColumn("version_number", F.when(auto, numbered).otherwise(F.col("version_number")).cast("long"))
-    return r.drop(PID, POS, "_auto", "_a_loc", "_d", "_d_loc", "_a_carry", "_p_carry", "_cfg", "_max")
+    r = r.withColumns({
+        "version_number": F.when(auto, numbered).otherwise(F.col("version_number")).cast("long"),
+        "_place": F.col(POS) + F.col("_er_before") + 1})
+    return r.drop(PID, POS, "_auto", "_a_loc", "_d", "_d_loc", "_a_carry", "_p_carry", "_max", "_er_before")
 
 
 def guarded(requests: DataFrame, parents: DataFrame, key: str, apply, parent_key: str | None = None,

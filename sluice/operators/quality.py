@@ -4,7 +4,7 @@ rule of a dataset is evaluated in one pass inside generated code."""
 
 from __future__ import annotations
 
-from contextlib import contextmanager
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -31,18 +31,20 @@ def _passes(rule: Rule) -> Column:
     return F.coalesce(F.expr(rule.expression).cast("boolean"), F.lit(False))
 
 
-@contextmanager
-def _lenient(df: DataFrame):
-    """Rule expressions resolved without ANSI mode: a cast or operation that cannot be done
-    gives NULL, so the row fails the rule instead of ending the job. Plans built inside keep
-    that meaning; the session's setting is put back."""
-    conf = df.sparkSession.conf
-    before = conf.get("spark.sql.ansi.enabled", "true")
-    conf.set("spark.sql.ansi.enabled", "false")
-    try:
-        yield
-    finally:
-        conf.set("spark.sql.ansi.enabled", before)
+def _lenient(df: DataFrame, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``build(df)`` resolved without ANSI mode: a cast or operation that cannot be done gives
+    NULL, so the row fails the rule instead of ending the job. It is resolved in a session of
+    its own with this one's settings, so neither this session nor another thread that uses it
+    ever sees the setting; the resolved plan keeps that meaning and comes back to this one."""
+    spark = df.sparkSession
+    apart = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if spark.conf.isModifiable(key):
+            apart.conf.set(key, value)
+    apart.conf.set("spark.sql.ansi.enabled", "false")
+    of_rows = spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows  # noqa: SLF001
+    there = build(DataFrame(of_rows(apart._jsparkSession, df._jdf.queryExecution().analyzed()), apart))  # noqa: SLF001
+    return DataFrame(of_rows(spark._jsparkSession, there._jdf.queryExecution().analyzed()), spark)  # noqa: SLF001
 
 
 def evaluate_rules(df: DataFrame, rules) -> DataFrame:
@@ -50,10 +52,8 @@ def evaluate_rules(df: DataFrame, rules) -> DataFrame:
     A rule that cannot be evaluated on a row (a failing cast) is NULL there, so it fails."""
     rs = _rules(rules)
     checks = [F.when(_passes(r), F.lit(None).cast("string")).otherwise(F.lit(r.rule_name)) for r in rs]
-    with _lenient(df):
-        out = df.withColumn(FAILED, F.array_compact(F.array(*checks)) if checks else F.array().cast("array<string>"))
-        _ = out.schema  # resolves the expressions here
-    return out
+    failed = F.array_compact(F.array(*checks)) if checks else F.array().cast("array<string>")
+    return _lenient(df, lambda d: d.withColumn(FAILED, failed))
 
 
 def rule_stats(df: DataFrame, rules) -> DataFrame:
@@ -61,9 +61,7 @@ def rule_stats(df: DataFrame, rules) -> DataFrame:
     rs = _rules(rules)
     aggs = [F.count(F.lit(1)).cast("long").alias("_total")]
     aggs += [F.count_if(~_passes(r)).cast("long").alias(f"_r{i}") for i, r in enumerate(rs)]
-    with _lenient(df):
-        one = df.agg(*aggs)
-        _ = one.schema
+    one = _lenient(df, lambda d: d.agg(*aggs))
     rows = F.explode(F.array(*[
         F.struct(F.lit(r.rule_name).alias("rule_name"), F.col(f"_r{i}").alias("failed")) for i, r in enumerate(rs)
     ])).alias("_x")

@@ -24,6 +24,7 @@ from sluice.sources.tables import read_table
 
 E = F.expr
 NOW, CUT = K.NOW, K.CDC_CUT
+UPSERT_CUT = "1998-01-01 00:00:00"
 
 
 def _stored_watermarks(spark, sf, kind: str) -> DataFrame:
@@ -105,9 +106,11 @@ def hash_changes_nulls(spark, sf):
 
 def upsert_twice(spark, sf):
     """R05 with NULL keys: the batch applied twice gives the rows of applying it once."""
-    o = read_table(spark, sf, "orders").select(E("CASE WHEN o_custkey % 9 = 0 THEN NULL ELSE o_custkey END").alias("k"), "o_orderkey", "o_orderstatus")
-    target = L.latest_by_key(o.filter("o_orderkey % 3 = 0"), ["k"], ["o_orderkey"])
-    batch = o.filter("o_orderkey % 3 = 1")
+    o = read_table(spark, sf, "orders").select(
+        E("CASE WHEN o_custkey % 9 = 0 THEN NULL ELSE o_custkey END").alias("k"), "o_orderkey", "o_orderstatus", "o_orderdate")
+    cut = F.lit(UPSERT_CUT).cast("timestamp_ntz")
+    target = L.latest_by_key(o.filter(F.col("o_orderdate") < cut).drop("o_orderdate"), ["k"], ["o_orderkey"])
+    batch = o.filter(F.col("o_orderdate") >= cut).drop("o_orderdate")
     once = L.upsert_by_key(target, batch, ["k"], ["o_orderkey"]).drop("merge_action")
     return L.upsert_by_key(once, batch, ["k"], ["o_orderkey"])
 
@@ -251,10 +254,10 @@ SELECT c.k, et, v, NULL, last_op <> 'D', seq FROM c WHERE writes > 0 AND NOT EXI
     "hash_changes_nulls": (hash_changes_nulls, """
 WITH c AS (SELECT CASE WHEN c_custkey % 50 = 0 THEN NULL ELSE c_custkey END AS k, min(c_name) AS c_name FROM customer GROUP BY 1)
 SELECT k, c_name, CASE WHEN k % 7 = 0 THEN 'new' ELSE 'changed' END AS change_kind FROM c WHERE k % 7 = 0 OR k % 11 = 0"""),
-    "upsert_twice": (upsert_twice, """
-WITH o AS (SELECT CASE WHEN o_custkey % 9 = 0 THEN NULL ELSE o_custkey END AS k, o_orderkey, o_orderstatus FROM orders),
-b AS (SELECT * FROM o WHERE o_orderkey % 3 = 1 QUALIFY row_number() OVER (PARTITION BY k ORDER BY o_orderkey DESC) = 1),
-t AS (SELECT * FROM o WHERE o_orderkey % 3 = 0 QUALIFY row_number() OVER (PARTITION BY k ORDER BY o_orderkey DESC) = 1)
+    "upsert_twice": (upsert_twice, f"""
+WITH o AS (SELECT CASE WHEN o_custkey % 9 = 0 THEN NULL ELSE o_custkey END AS k, o_orderkey, o_orderstatus, o_orderdate FROM orders),
+b AS (SELECT * EXCLUDE (o_orderdate) FROM o WHERE o_orderdate >= TIMESTAMP '{UPSERT_CUT}' QUALIFY row_number() OVER (PARTITION BY k ORDER BY o_orderkey DESC) = 1),
+t AS (SELECT * EXCLUDE (o_orderdate) FROM o WHERE o_orderdate < TIMESTAMP '{UPSERT_CUT}' QUALIFY row_number() OVER (PARTITION BY k ORDER BY o_orderkey DESC) = 1)
 SELECT *, 'update' AS merge_action FROM b
 UNION ALL SELECT *, 'keep' FROM t WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.k IS NOT DISTINCT FROM t.k)"""),
     "protect_strictest": (protect_strictest, f"""

@@ -10,7 +10,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -74,36 +76,58 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark).rstrip('/')}/sluice-{name}-{uuid.uuid4().hex}"
 
 
-_PINS: list[str] = []
+#: Pins of the innermost open scope of this thread (or task); None outside any scope.
+_SCOPE: ContextVar[list[str] | None] = ContextVar("sluice_pins", default=None)
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A ``work_path`` that the open job scope, if any, removes when it ends."""
+    path = work_path(spark, name)
+    scope = _SCOPE.get()
+    if scope is not None:
+        scope.append(path)
+    return path
+
+
+def remove_paths(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes written tables. Without a JVM handle (Spark Connect) they are left to whoever
+    cleans the shared folder."""
+    try:
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()  # noqa: SLF001
+    except Exception:  # noqa: BLE001 - Spark Connect client
+        return
+    for path in paths:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(conf).delete(p, True)
 
 
 @contextmanager
 def job_scope(spark: SparkSession):
     """Removes the pinned tables of a job when it ends. Write or collect the job's outputs
-    inside: their plans read the pins, which are gone afterwards."""
-    first = len(_PINS)
+    inside: their plans read the pins, which are gone afterwards. Scopes nest, and each thread
+    has its own, so jobs that run side by side keep their pins apart. Pins made outside any
+    scope stay until the shared folder is cleaned."""
+    mine: list[str] = []
+    token = _SCOPE.set(mine)
     try:
-        yield
+        yield mine
     finally:
-        mine = _PINS[first:]
-        del _PINS[first:]
-        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()  # noqa: SLF001
-        for path in mine:
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(conf).delete(p, True)
+        _SCOPE.reset(token)
+        remove_paths(spark, mine)
 
 
-def pin(df: DataFrame, name: str = "pinned") -> DataFrame:
-    """Cut lineage through a written Parquet table in the shared folder: columnar and
-    compressed (about half the bytes of an RDD checkpoint), and later steps read back
-    only the columns they use. Columns of void type, which Parquet cannot store, are
-    left out and restored as typed NULLs."""
+def pin_result(spark: SparkSession, build: Callable[[], DataFrame], name: str = "result") -> DataFrame:
+    """The DataFrame that ``build`` returns, pinned; what it pinned on the way is removed."""
+    path = scratch_path(spark, name)
+    with job_scope(spark):
+        return _write_and_read(build(), path)
+
+
+def _write_and_read(df: DataFrame, path: str) -> DataFrame:
     from pyspark.sql import functions as F
     from pyspark.sql.types import NullType
 
     void = [f.name for f in df.schema.fields if isinstance(f.dataType, NullType)]
-    path = work_path(df.sparkSession, name)
-    _PINS.append(path)
     kept = df.drop(*void)
     kept.write.mode("errorifexists").parquet(path)
     # read with the known schema: an empty input leaves no data file to infer it from
@@ -113,6 +137,14 @@ def pin(df: DataFrame, name: str = "pinned") -> DataFrame:
     return back
 
 
+def pin(df: DataFrame, name: str = "pinned") -> DataFrame:
+    """Cut lineage through a written Parquet table in the shared folder: columnar and
+    compressed (about half the bytes of an RDD checkpoint), and later steps read back
+    only the columns they use. Columns of void type, which Parquet cannot store, are
+    left out and restored as typed NULLs."""
+    return _write_and_read(df, scratch_path(df.sparkSession, name))
+
+
 def scale_conf(input_bytes: int, target_partition_bytes: int = 256 << 20, cores: int | None = None) -> dict[str, str]:
     """Settings sized from the bytes a job reads: enough shuffle partitions that each holds
     about ``target_partition_bytes`` (AQE coalesces small ones and splits skewed ones at run
