@@ -33,7 +33,8 @@ BOUND = 16_000
 KEEP = 4_000
 CLEAN = 20
 
-# Identity terms that are swapped for one another.
+# Identity terms that are swapped for one another, in English, German, French and
+# Spanish. A word stands in one group only.
 IDENTITY_TERMS = (
     ("women", "men", "girls", "boys", "trans people"),
     ("woman", "man", "girl", "boy"),
@@ -43,6 +44,18 @@ IDENTITY_TERMS = (
     ("black", "white", "asian", "latino", "arab"),
     ("immigrants", "refugees", "foreigners", "natives"),
     ("deaf", "blind", "disabled", "autistic"),
+    ("frauen", "männer", "mädchen", "jungen"),
+    ("muslime", "christen", "juden", "buddhisten", "atheisten"),
+    ("schwul", "lesbisch", "bisexuell", "heterosexuell"),
+    ("einwanderer", "flüchtlinge", "ausländer", "einheimische"),
+    ("femmes", "hommes", "filles", "garçons"),
+    ("musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "athées"),
+    ("gais", "lesbiennes", "bisexuels", "hétérosexuels"),
+    ("immigrés", "réfugiés", "étrangers", "autochtones"),
+    ("mujeres", "hombres", "chicas", "chicos"),
+    ("musulmanes", "cristianos", "judíos", "hindúes", "budistas", "ateos"),
+    ("homosexuales", "lesbianas", "bisexuales", "heterosexuales"),
+    ("inmigrantes", "refugiados", "extranjeros", "nativos"),
 )
 
 BLANK = np.where(ALNUM, np.arange(256), 32).astype(np.uint8)
@@ -79,9 +92,11 @@ def distinct(doc: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def swapper(groups=IDENTITY_TERMS):
-    """A function that swaps every identity term of a lower-cased text for the next one of
-    its group, or returns None for a text without any."""
+    """A function that swaps every identity term of a text, A-Z lower-cased, for the next one of
+    its group, or returns None for a text without any. A term repeated in ``groups`` is an error."""
     next_of = {t.encode(): g[(i + 1) % len(g)].encode() for g in groups for i, t in enumerate(g)}
+    if len(next_of) < sum(map(len, groups)):
+        raise ValueError("an identity term stands in two places")
     terms = sorted(next_of, key=len, reverse=True)
     if not terms:
         return lambda text: None

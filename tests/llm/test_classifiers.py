@@ -140,6 +140,61 @@ def test_gram_buckets_stay_inside_their_text():
         assert len(alone) == sum(max(0, len(t) + 2 - n + 1) for n in TX.GRAMS)
 
 
+def test_identity_terms_are_swapped_in_four_languages():
+    swap = TX.swapper()
+    assert swap("Die Frauen und Muslime".encode()) == "die männer und christen".encode()
+    assert swap("des étrangers, des femmes".encode()) == "des autochtones, des hommes".encode()
+    assert swap("Mujeres y judíos".encode()) == "hombres y hindúes".encode()
+    assert swap(b"women, WOMEN") == b"men, men"
+    assert swap("womenfolk, xfrauen, étrangersé".encode()) is None and swap(b"") is None
+    back = b"black"
+    for _ in range(5):  # every group is a ring
+        back = swap(back)
+    assert back == b"black"
+    with pytest.raises(ValueError):
+        TX.swapper((("a", "b"), ("b", "c")))
+
+
+def test_toxicity_scores_and_loss_against_plain_code(docs):
+    rows, labels = toxic_corpus(300)
+    model = TX.train(docs(rows), docs(labels, LABELS), keep=150)
+    texts = [(t or "").encode() for _, t in rows[:60]] + [(t or "").encode() for t in ODD_TEXTS]
+
+    def grams(text):  # one byte string after the other, no shared buffer
+        padded = bytes(int(TX.BLANK[TX.LOWER[b]]) for b in b" " + text + b" ")
+        found = set()
+        for n in TX.GRAMS:
+            for i in range(len(padded) - n + 1):
+                key = np.array([int.from_bytes(padded[i : i + n], "little") | n << 56], dtype=np.uint64)
+                found.add(int(TX.mix64(key)[0] >> np.uint64(64 - TX.BITS)))
+        return found
+
+    short = [t for t in texts if len(t) < 1000]
+    want = [1 / (1 + np.exp(-(sum(model.table[b] for b in sorted(grams(t))) + model.bias))) for t in short]
+    assert np.allclose(model.score(short), want)
+
+    # the fit stands at a minimum of the loss its docstring names, written out densely
+    rng = np.random.default_rng(2)
+    x = (rng.random((80, 6)) < 0.4).astype(float)
+    y = (x[:, 0] + 0.3 * rng.random(80) > 0.7).astype(float)
+    twins = [None if i % 3 else [j for j in range(6) if x[i, j] and j != 2] + ([3] if x[i, 2] and not x[i, 3] else []) for i in range(80)]
+    as_lists = [np.flatnonzero(r).tolist() for r in x]
+    w, bias = TX.fit(as_lists, y, twins, 6, fairness=4.0, ridge=1e-2, steps=4000)
+
+    def loss(v):
+        z = x @ v[:6] + v[6]
+        weight = np.where(y > 0, np.sqrt((len(y) - y.sum() + 1) / (y.sum() + 1)), 1.0)
+        total = weight.sum() + TX.CLEAN
+        log_loss = (weight * (np.logaddexp(0, z) - y * z)).sum() / total + TX.CLEAN * np.logaddexp(0, v[6]) / total
+        change = [sum(v[j] for j in as_lists[i]) - sum(v[j] for j in t) for i, t in enumerate(twins) if t is not None]
+        return log_loss + 0.5e-2 * (v[:6] ** 2).sum() + 4.0 * np.mean(np.square(change))
+
+    found = np.append(w, bias)
+    best = loss(found)
+    for _ in range(200):
+        assert best <= loss(found + rng.normal(0, 0.05, 7)) + 1e-6
+
+
 def quality_corpus(n=1600):
     rng = random.Random(6)
     vocab = ["".join(rng.choice("aeioulmnrst") for _ in range(rng.randint(2, 7))) for _ in range(300)]
@@ -183,6 +238,45 @@ def test_features_do_not_depend_on_the_batch(batch):
     assert np.allclose(whole, parts)
 
 
+def test_quality_features_and_risk_against_plain_code():
+    texts = [t for _, t in quality_corpus(40)[0]] + ["one two two three\nAb CD 12!\nAb CD 12!", "x", ""]
+    got = {name: col for name, col in zip(QL.FEATURES, QL.features([t.encode() for t in texts]).T, strict=True)}
+    for i, t in enumerate(texts):
+        words = t.encode().split()
+        pairs = list(zip(words, words[1:], strict=False))
+        letters = max(sum(c.isascii() and c.isalpha() for c in t), 1)
+        plain = {
+            "log_bytes": np.log1p(len(t.encode())),
+            "upper": sum(c.isascii() and c.isupper() for c in t) / letters,
+            "digits": sum(c in "0123456789" for c in t) / max(len(t), 1),
+            "newlines": t.count("\n") / max(len(t), 1),
+            "bars": t.count("|") / max(len(t), 1),
+            "word_length": np.mean([len(w) for w in words]) if words else 0,
+            "word_spread": np.std([len(w) for w in words]) if words else 0,
+            "distinct_words": len(set(words)) / len(words) if words else 1,
+            "distinct_pairs": len(set(pairs)) / len(pairs) if pairs else 1,
+            "echoed": sum(a == b for a, b in pairs) / max(len(words), 1),
+            "commonest": max(map(words.count, words)) / len(words) if words else 0,
+            "distinct_lines": len(set(t.split("\n"))) / len(t.split("\n")),
+        }
+        for name, want in plain.items():
+            assert np.isclose(got[name][i], want, atol=1e-6), (name, t)
+
+    # the fit lowers the non-negative risk, written out, of the classifier it starts from
+    rng = np.random.default_rng(4)
+    pos = np.where(rng.random((300, 1)) < 0.9, 0, 1)
+    unl = np.where(rng.random((300, 1)) < 0.5, 0, 1)
+    start = QL.fit_pu(pos, unl, 2, None)
+    w, bias = QL.fit_pu(pos, unl, 2, 0.5, start=start)
+
+    def risk(w, bias):
+        sp, su = QL._sigmoid(w[pos].sum(axis=1) + bias), QL._sigmoid(w[unl].sum(axis=1) + bias)
+        return 0.5 * (1 - sp).mean() + max(0.0, su.mean() - 0.5 * sp.mean())
+
+    assert risk(w, bias) <= risk(*start) + 1e-9
+    assert w[0] > w[1]
+
+
 def test_prior_estimate():
     rng = np.random.default_rng(3)
     for share in (0.3, 0.6, 0.9):
