@@ -1,8 +1,9 @@
 """R05 and R06 against a target that is stored by key: a bucketed table, published by version.
 
-The target's rows lie in buckets of the natural key, so an upsert shuffles only the batch; the
-new state is written bucketed again, and the next upsert finds it the same way. Readers use a
-view, which is switched to the new version once that is whole.
+The target's rows lie in buckets of the natural key, so an upsert shuffles only the batch. The
+new state is written bucketed again without dealing the target's rows anew: only the inserts,
+which the batch bounds, are brought together by bucket. The next upsert finds it the same way.
+Readers use a view, which is switched to the new version once that is whole.
 """
 
 from __future__ import annotations
@@ -17,8 +18,9 @@ from sluice.operators.load import cdc_apply, latest_by_key, upsert_by_key
 
 def save_bucketed(df: DataFrame, table: str, path: str, keys: list[str], buckets: int, deal: bool = True) -> str:
     """Writes ``df`` as the table ``table`` (data under ``path``), bucketed and sorted by
-    ``keys``. ``deal`` brings each bucket's rows into one task first, so a bucket is one file;
-    a state that an upsert left in its buckets needs no dealing."""
+    ``keys``. ``deal`` brings each bucket's rows into one task first, so a bucket is one file.
+    Without it every task writes a file for each bucket it has rows of: right for a state whose
+    rows lie in their buckets already (``new_state``)."""
     rows = df.repartition(buckets, *keys) if deal else df
     rows.write.format("parquet").bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(table)
     return table
@@ -53,6 +55,17 @@ def upsert_bucketed(target: DataFrame, batch: DataFrame, keys: list[str], order:
     return _by_key(target, batch, keys, lambda t, b, safe: upsert_by_key(t, b, keys, order, null_safe=safe))
 
 
+def new_state(target: DataFrame, batch: DataFrame, keys: list[str], order: list[str], buckets: int) -> DataFrame:
+    """The state after ``upsert_bucketed``, ready to be written with ``deal=False``: the target's
+    rows stay in the tasks that read their buckets, the inserts are dealt by bucket. So a bucket
+    gets one file from either side (NULL keys, in a run that has any, add their own)."""
+    new = upsert_bucketed(target, batch, keys, order)
+    # the action is a constant of each side, so each filter leaves one side of the union
+    fresh = F.col("merge_action") == "insert"
+    stay, inserts = new.filter(~fresh), new.filter(fresh).repartition(buckets, *keys)
+    return stay.unionByName(inserts).drop("merge_action")
+
+
 def cdc_bucketed(target: DataFrame, changes: DataFrame, keys: list[str], seq_col: str, op_col: str, value_cols: list[str]) -> DataFrame:
     """R06 (``cdc_apply``) on a bucketed target."""
     return _by_key(target, changes, keys, lambda t, c, safe: cdc_apply(t, c, keys, seq_col, op_col, value_cols, null_safe=safe))
@@ -69,8 +82,8 @@ def apply_upsert(spark: SparkSession, name: str, root: str, version: str, batch:
     """One upsert run: the current version with ``batch`` applied becomes ``version``, then
     readers are switched. The earlier version stays for readers that still use it; a version
     that exists is an error. Returns the new state."""
-    new = upsert_bucketed(spark.table(name), batch, keys, order).drop("merge_action")
+    new = new_state(spark.table(name), batch, keys, order, buckets)
     table = f"{name}_{version}"
-    save_bucketed(new, table, f"{root.rstrip('/')}/{name}/version={version}", keys, buckets)
+    save_bucketed(new, table, f"{root.rstrip('/')}/{name}/version={version}", keys, buckets, deal=False)
     switch(spark, name, table)
     return spark.table(name)

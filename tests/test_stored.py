@@ -149,23 +149,49 @@ def test_second_upsert_leaves_the_target_in_its_buckets(spark, tmp_path):
     assert _exchanges_over(final, f"{name}_v1") == 0
 
 
-def _exchanges_over(text: str, table: str) -> int:
-    """Exchanges on the path from the root to the scans of ``table`` below the last join."""
+def _exchanges_over(text: str, table: str, to_root_of: str | None = None) -> int:
+    """Exchanges on the path from the scans of ``table`` up to their first join; with
+    ``to_root_of``, on the whole path of the scans that read this column."""
     lines = [x for x in text.splitlines() if re.search(r"[+:]- |^\S", x)]
     depth = lambda x: len(re.match(r"[ :]*(?:[+:]- )?", x).group(0))
     found = 0
     for i, line in enumerate(lines):
-        if table in line and "FileScan" in line:
+        if table in line and "FileScan" in line and (to_root_of is None or f"{to_root_of}#" in line):
             level = depth(line)
             for up in reversed(lines[:i]):
                 if depth(up) < level:
                     level = depth(up)
-                    if "Join" in up:
+                    if "Join" in up and to_root_of is None:
                         break
                     found += "Exchange" in up and "ReusedExchange" not in up
     return found
 
 
+def test_a_bucketed_state_is_written_without_dealing_the_target(spark, tmp_path):
+    def make(ids, seq):
+        return spark.createDataFrame([(k, seq, f"{k}-{seq}") for k in ids], "k int, seq int, v string")
+
+    name, root, n = _name(), str(tmp_path), 8
+    first = make([*range(300), None], 0)
+    B.load_bucketed(spark, name, root, "v0", first, ["k"], ["seq"], n)
+    saved = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(B.new_state(spark.table(name), make(range(250, 350), 1), ["k"], ["seq"], n))
+        assert "FileScan" in text and f"{name}_v0" in text
+        assert _exchanges_over(text, f"{name}_v0", to_root_of="v") == 0
+        want = first
+        for v, ids in enumerate(([*range(250, 350)], [*range(340, 400), None], [5, None], []), 1):
+            batch = make(ids, v)
+            want = L.upsert_by_key(want, batch, ["k"], ["seq"]).drop("merge_action")
+            got = B.apply_upsert(spark, name, root, f"v{v}", batch, ["k"], ["seq"], n)
+            assert as_set(got) == as_set(want), v
+            files = [f for f in os.listdir(f"{root}/{name}/version=v{v}") if f.endswith(".parquet")]
+            assert len(files) <= 2 * n + 2, v
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", saved)
+
+
 def test_bucketed_forms_equal_the_plain_ones(spark, tmp_path):
     t = spark.createDataFrame([(1, 1, "a"), (None, 1, "n"), (2, 1, "b"), (3, 1, "c")], "k int, seq int, v string")
     name = _name()
