@@ -101,9 +101,8 @@ def source_splits(spark, sf):
     """The reads of ``orders`` that a histogram of o_totalprice gives: one predicate per
     task, what each of them reads. The histogram stands for the database's own."""
     o = read_table(spark, sf, "orders").select("o_totalprice")
-    shares = [k / (2 * SPLITS) for k in range(2 * SPLITS + 1)]
-    bounds = o.agg(*[E(f"percentile_disc({s}) WITHIN GROUP (ORDER BY o_totalprice)").alias(f"b{i}") for i, s in enumerate(shares)]).first()
-    parts = splits.split_predicates("o_totalprice", splits.split_points(list(bounds), SPLITS)) if bounds[0] is not None else ["1 = 1"]
+    bounds = splits.histogram_bounds(o, "o_totalprice", 2 * SPLITS)
+    parts = splits.split_predicates("o_totalprice", splits.split_points(bounds, SPLITS))
     reads = [o.filter(p).agg(F.lit(i).cast("int").alias("split"), F.count(F.lit(1)).alias("n_rows"), F.min("o_totalprice").alias("low"),
                              F.max("o_totalprice").alias("high")) for i, p in enumerate(parts)]
     return reduce(DataFrame.unionByName, reads)

@@ -13,7 +13,10 @@ import decimal
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from sluice.operators.keys import sequence_within
+from sluice.session import job_scope
 from sluice.sources.connections import reader_spec
 
 # ---- fixed values: where each database keeps the histogram of a column ----
@@ -60,6 +63,26 @@ def parse_bounds(text: str | None) -> list[str]:
     return [re.sub(r"\\(.)", r"\1", quoted) if quoted or not bare else bare for quoted, bare in items]
 
 
+def histogram_bounds(df: DataFrame, column: str, buckets: int) -> list:
+    """The ``buckets + 1`` bounds of an equal-height histogram of a column of ``df``, each a
+    value of the column as percentile_disc picks it: NULLs do not count, no value no bounds.
+
+    percentile_disc keeps every distinct value in the memory of one task. Here the values are
+    counted per value and sorted over many tasks; each knows how many rows stand before it,
+    and only those where a bound falls come to the driver."""
+    values = df.select(F.col(column).alias("value")).where("value IS NOT NULL")
+    total = values.count()
+    if not total:
+        return []
+    ranks = [max(1, -(-k * total // buckets)) for k in range(buckets + 1)]
+    counts = values.groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+    with job_scope(df.sparkSession):
+        placed = sequence_within(counts, ["value"], sums={"before": F.col("n")})
+        hit = F.exists(F.array(*[F.lit(r).cast("long") for r in ranks]), lambda r: (r > F.col("before")) & (r <= F.col("before") + F.col("n")))
+        found = placed.where(hit).select("before", "n", "value").collect()
+    return [next(row["value"] for row in found if row["before"] < r <= row["before"] + row["n"]) for r in ranks]
+
+
 def split_points(bounds: list, n_splits: int) -> list:
     """At most ``n_splits - 1`` distinct inner points, evenly spaced among the histogram's
     bounds (in value order, as the database gives them)."""

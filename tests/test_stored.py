@@ -446,3 +446,42 @@ def test_stored_queries_on_the_smallest_tables(spark):
     for name in ("incremental_configured", "published_create", "bts_update", "source_splits"):
         with S.job_scope(spark):
             assert rows(STORED[name][0](spark, SF001)), name
+
+
+@pytest.mark.parametrize("values", [
+    [3.5], [2.0, 2.0, 2.0], [None, 7.0, None, 1.0], [float(i % 7) for i in range(50)], [-0.0, 0.0, float("nan"), 5.0, float("-inf")],
+    [((i * 7919) % 1009) / 4 for i in range(1009)], [1.0] * 500 + [2.0, 3.0]])
+def test_histogram_bounds_as_percentile_disc(spark, values):
+    df = spark.createDataFrame([(v,) for v in values], "v double").repartition(3)
+    want = df.agg(*[F.expr(f"percentile_disc({k / 16}) WITHIN GROUP (ORDER BY v)").alias(f"b{k}") for k in range(17)]).first()
+    got = SP.histogram_bounds(df, "v", 16)
+    assert len(got) == 17 and all(a == b or (a != a and b != b) for a, b in zip(got, want, strict=True))
+
+
+def test_histogram_bounds_of_no_value(spark):
+    df = spark.createDataFrame([(None,), (None,)], "v double")
+    assert SP.histogram_bounds(df, "v", 16) == [] == SP.histogram_bounds(df.limit(0), "v", 16)
+    assert SP.split_predicates("v", SP.split_points([], 8)) == ["1 = 1"]
+
+
+def test_source_splits_keeps_no_column_in_one_task(spark, tmp_path, monkeypatch):
+    """The values are placed by several tasks; percentile_disc held them all in one."""
+    from sluice.plans.stored import source_splits
+
+    n, shares = 20_000, []
+    spark.range(n).selectExpr("CAST(id * 7919 % 20011 AS DOUBLE) AS o_totalprice").write.parquet(str(tmp_path / "orders.parquet"))
+
+    def watched(*args, **kw):
+        out = sequence_within(*args, **kw)
+        shares.append(max(r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()) / n)
+        return out
+
+    sequence_within = SP.sequence_within
+    monkeypatch.setattr(SP, "sequence_within", watched)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = sorted((r.split, r.n_rows) for r in source_splits(spark, str(tmp_path)).collect())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(shares) == 1 and shares[0] < 0.6
+    assert [s for s, _ in got] == list(range(8)) and sum(k for _, k in got) == n and all(abs(k - n / 8) <= 1 for _, k in got)
