@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from sluice.llm import suffixdedup as SD
+from sluice.llm.queries import op6_suffix_dedup
 
 from .conftest import ODD_TEXTS
 
@@ -61,6 +62,21 @@ def test_repeats_nulls_and_empty(docs, spark):
     assert SD.drop_repeats(docs([])).count() == 0
 
 
+def test_query_takes_400_bytes_however_many_words(docs, tmp_path, spark):
+    """A shared passage of over 50 words stays while it has 399 bytes and goes with 400."""
+    rng = random.Random(5)
+    words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    short, long = words(60)[:399], words(60)[:400]
+    assert min(len(short.split()), len(long.split())) > 50
+    texts = [f"{words(20)}{mark}{passage}{mark.upper()}{words(20)}" for mark, passage in (("w", short), ("x", short), ("y", long), ("z", long))]
+    rows = list(enumerate(texts))
+    docs(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in op6_suffix_dedup(spark, str(tmp_path)).collect()}
+    assert [got[i].n_removed for i in range(4)] == [0, 0, 400, 400]
+    assert sorted((str(i), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for i, r in got.items()) == [r[:-1] for r in brute(rows, 400)]
+    assert [got[i].kept_text for i in (0, 2)] == [texts[0], texts[2].replace(long, "")]
+
+
 def test_merge_keeps_shard_orders_and_sorts():
     """The interleave from the transforms alone equals a sort of all suffixes by their symbols."""
     rng = random.Random(2)
